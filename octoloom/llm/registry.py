@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, sharding, simhash
+from . import decontam, fixity, licenses, mixing, pii, quality, sharding, simhash, toxicity, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -43,12 +47,44 @@ def op6_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judge(table(spark, sf_dir, "pages"))
+
+
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages as WARC files, audited against a copy with known damage: the records that differ."""
+    laid_out = fixity.lay_out(table(spark, sf_dir, "pages"))
+    found = fixity.audit(laid_out, fixity.damaged_copy(laid_out))
+    names = laid_out.select("page_id", "file", "offset", "sha256")
+    return found.join(names, ["file", "offset"]).select("page_id", "file", "offset", "length", "sha256", "status")
+
+
+def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with personal data replaced, and the kinds and pseudonyms in text order."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.with_pseudonyms(docs).select(
+        "doc_id",
+        "text",
+        F.array_join(F.transform("pseudonyms", lambda p: p["kind"]), ",").alias("kinds"),
+        F.size("pseudonyms").cast("long").alias("n_pseudonyms"),
+    )
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
+    "op3_license_scan": op3_license_scan,
     "op4_quality_rules": op4_quality_rules,
     "op5_stratified_shards": op5_stratified_shards,
     "op6_source_mix": op6_source_mix,
+    "op7_toxicity": op7_toxicity,
+    "op8_url_filter": op8_url_filter,
+    "op9_warc_fixity": op9_warc_fixity,
+    "op10_pii_pseudonyms": op10_pii_pseudonyms,
 }
 
 OP2_SQL = r"""
@@ -129,7 +165,52 @@ SELECT r.doc_id, r.size, r.source_size, r.target,
 FROM running r LEFT JOIN bounds b ON r.source IS NOT DISTINCT FROM b.source
 """
 
+OP8_SQL = r"""
+WITH parts AS (
+  SELECT page_id,
+         translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''),
+                   'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages),
+rules(name, rule_host, rule_path, verdict) AS (
+  VALUES ('com/en/', 'com', '/en/', 'block'), ('example.com/en/7', 'example.com', '/en/7', 'allow'),
+         ('net/de/', 'net', '/de/', 'block'), ('example.net/de/8', 'example.net', '/de/8', 'block'),
+         ('org/es/', 'org', '/es/', 'block')),
+judged AS (
+  SELECT p.*,
+         (SELECT arg_max({n: r.name, v: r.verdict}, length(r.name)) FROM rules r
+          WHERE (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)) AS best
+  FROM parts p)
+SELECT page_id, host, path, best.n AS rule,
+       coalesce(best.v, CASE WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])(casino|porn|xxx|viagra|torrent|warez|phishing|wp-login|escort|betting)($|[^A-Za-z0-9])')
+                             THEN 'block' ELSE 'allow' END) AS verdict
+FROM judged
+"""
+
+OP9_SQL = r"""
+WITH records AS (
+  SELECT page_id, concat_ws(chr(13) || chr(10), 'WARC/1.0', 'WARC-Type: response',
+           'WARC-Record-ID: <urn:md5:' || md5(coalesce(CAST(page_id AS VARCHAR), '') || ' ' || coalesce(url, '')) || '>',
+           'WARC-Target-URI: ' || coalesce(url, ''), 'Content-Length: ' || strlen(coalesce(html, '')), '',
+           coalesce(html, '')) AS record
+  FROM pages),
+keyed AS (
+  SELECT page_id, md5(record) AS key, CAST(strlen(record) + 4 AS BIGINT) AS length, sha256(record) AS sha256,
+         greatest(1, CAST(ceil((SELECT count(*) FROM pages) / 1000.0) AS BIGINT)) AS files
+  FROM records),
+placed AS (
+  SELECT page_id, length, sha256, CAST('0x' || substr(key, 1, 8) AS BIGINT) % files AS file,
+         CAST(coalesce(sum(length) OVER (PARTITION BY CAST('0x' || substr(key, 1, 8) AS BIGINT) % files ORDER BY key, page_id
+                                         ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
+         CAST('0x' || substr(sha256, 1, 8) AS BIGINT) % 97 AS lot
+  FROM keyed)
+SELECT page_id, file, "offset", length, sha256, CASE lot WHEN 3 THEN 'corrupt' ELSE 'missing' END AS status
+FROM placed WHERE lot IN (3, 5)
+"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
     "op6_source_mix": OP6_SQL,
+    "op8_url_filter": OP8_SQL,
+    "op9_warc_fixity": OP9_SQL,
 }
