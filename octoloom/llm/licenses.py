@@ -1,13 +1,13 @@
 """License scans by conditional compression.
 
-A text is cut into overlapping word windows; those that hold a word of licensing are candidate
-blocks.  A block is compressed plain and with each template as a raw zstandard dictionary: the
-bytes saved, as a share of what the template saves on itself, rank the templates.  Ranked templates
-are then confirmed by their exact wording: the words of the template missing from the block, and the
-words of the block put between them, must stay within a tenth of the template.
-
-Windows are twice as long as the longest template of their class and overlap by half, so every
-occurrence lies whole in some block, blocks have a bounded size, and texts are read whole.
+Words of licensing mark candidate blocks: at each mark, each template that has the word is laid so
+that the two meet, and the words under it (with a tenth to spare on both sides) are a block.  A block
+is compressed plain and with the template as a raw zstandard dictionary: the bytes saved, as a
+share of what the template saves on itself, rank the templates.  Ranked templates are then
+confirmed by their exact wording: the words of the template missing from the block, and the words
+of the block put between them, must stay within a tenth of the template.
+
+Blocks are as long as a template, however long the text; texts are read whole.
 Documents are scored where they lie; nothing is shuffled.
 """
 
@@ -27,8 +27,6 @@ from pyspark.sql import functions as F
 LEAST_GAIN = 0.4
 #: Words missing or put between, as a share of the template.
 MOST_CHANGED = 0.1
-#: Templates up to this many words are sought in short windows.
-SHORT_WORDS = 24
 LEVEL = 9
 
 ANCHOR = r"(?i)licen[cs]|copyright|all rights reserved|spdx|redistribut|permission|warrant|public domain"
@@ -95,6 +93,7 @@ TEMPLATES = (
     ("LicenseRef-reserved", "All rights reserved."),
 )
 
+_MARK = re.compile(r"licen[cs]|copyright|reserved|spdx|redistribut|permission|warrant|domain")
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
@@ -114,6 +113,10 @@ class Template:
     def __init__(self, name: str, text: str):
         self.name, self.words = name, normal_words(text)
         self.body = " ".join(self.words).encode()
+        self.slack = int(len(self.words) * MOST_CHANGED)
+        self.marks = [(stem[0], k) for k, w in enumerate(self.words) if (stem := _MARK.search(w))]
+        if not self.marks:
+            raise ValueError(f"template without a word of licensing: {name}")
         dictionary = zstandard.ZstdCompressionDict(self.body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.with_dict = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False)
         self.own = max(1, _plain(self.body) - len(self.with_dict.compress(self.body)))
@@ -123,14 +126,10 @@ class Template:
 
     def differences(self, block: list[str]) -> tuple[int, int]:
         """Template words missing from the best place of the block, and words put between."""
-        core = SequenceMatcher(None, self.words, block, autojunk=False).find_longest_match()
-        if not core.size:
-            return len(self.words), 0
-        slack = int(len(self.words) * MOST_CHANGED)
-        first = max(0, core.b - core.a - slack)
-        near = block[first : core.b - core.a + len(self.words) + slack]
-        runs = SequenceMatcher(None, self.words, near, autojunk=False).get_matching_blocks()[:-1]
+        runs = SequenceMatcher(None, self.words, block, autojunk=False).get_matching_blocks()[:-1]
         matched = sum(r.size for r in runs)
+        if not matched:
+            return len(self.words), 0
         return len(self.words) - matched, runs[-1].b + runs[-1].size - runs[0].b - matched
 
 
@@ -140,13 +139,10 @@ def _plain(block: bytes) -> int:
 
 class Scanner:
     def __init__(self, templates=TEMPLATES):
-        made = [Template(*t) for t in templates]
-        for t in made:
-            if not re.search(ANCHOR, t.body.decode()):
-                raise ValueError(f"template without a word of licensing: {t.name}")
-        short = [t for t in made if len(t.words) <= SHORT_WORDS]
-        long = [t for t in made if len(t.words) > SHORT_WORDS]
-        self.classes = [group for group in (short, long) if group]
+        self.by_mark: dict[str, list[tuple[Template, int]]] = {}
+        for template in [Template(*t) for t in templates]:
+            for stem, place in template.marks:
+                self.by_mark.setdefault(stem, []).append((template, place))
 
     def scan(self, text: str | None) -> list[Found]:
         """The confirmed licenses of a text, one each with its closest wording, by name."""
@@ -154,39 +150,28 @@ class Scanner:
             return []
         words = normal_words(text)
         best: dict[str, Found] = {}
-        for group in self.classes:
-            half = max(len(t.words) for t in group)
-            half += int(half * MOST_CHANGED) + 1
-            for block in _blocks(words, half):
-                for found in self._confirmed(block, group):
-                    old = best.get(found.license)
-                    if old is None or (found.missing + found.added, -found.gain) < (old.missing + old.added, -old.gain):
-                        best[found.license] = found
+        for at, word in enumerate(words):
+            stem = _MARK.search(word)
+            for found in self._confirmed(words, at, self.by_mark.get(stem[0], ())) if stem else ():
+                old = best.get(found.license)
+                if old is None or (found.missing + found.added, -found.gain) < (old.missing + old.added, -old.gain):
+                    best[found.license] = found
         return sorted(best.values(), key=lambda f: f.license)
 
-    def _confirmed(self, block: list[str], group: list[Template]) -> Iterator[Found]:
-        body = " ".join(block).encode()
-        plain = _plain(body)
-        ranked = sorted(((t.gain(body, plain), k) for k, t in enumerate(group)), reverse=True)
-        for gain, k in ranked:
+    def _confirmed(self, words: list[str], at: int, laid: list[tuple[Template, int]]) -> Iterator[Found]:
+        ranked = []
+        for k, (template, place) in enumerate(laid):
+            first = at - place
+            block = words[max(0, first - template.slack) : max(0, first + len(template.words) + template.slack)]
+            body = " ".join(block).encode()
+            ranked.append((template.gain(body, _plain(body)), -k, block))
+        for gain, k, block in sorted(ranked, reverse=True):
             if gain < LEAST_GAIN:
                 return
-            missing, added = group[k].differences(block)
-            if missing + added <= len(group[k].words) * MOST_CHANGED:
-                yield Found(group[k].name, round(gain, 4), missing, added)
-
-
-_ANCHOR_WORD = re.compile(r"licen[cs]|copyright|reserved|spdx|redistribut|permission|warrant|domain")
-
-
-def _blocks(words: list[str], half: int) -> Iterator[list[str]]:
-    marks = [k for k, w in enumerate(words) if _ANCHOR_WORD.search(w)]
-    done = -1
-    for mark in marks:
-        for start in sorted({max(0, mark // half - 1), mark // half}):
-            if start > done:
-                done = start
-                yield words[start * half : (start + 2) * half]
+            template = laid[-k][0]
+            missing, added = template.differences(block)
+            if missing + added <= len(template.words) * MOST_CHANGED:
+                yield Found(template.name, round(gain, 4), missing, added)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:
