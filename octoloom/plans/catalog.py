@@ -1,4 +1,9 @@
-"""Named queries over the driver's tables, and the same queries in DuckDB SQL."""
+"""Named queries over the driver's tables.
+
+The tables hold no archives, images or weights, so texts stand in for binaries, embeddings for patch
+logits, and so on; results say nothing about malware.  The same queries in SQL are in
+``catalog_sql``.
+"""
 
 from __future__ import annotations
 
@@ -7,13 +12,409 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.bytes import CLASS_GREY, CLASS_RGB, byte_counts, class_counts, entropy_curve, hex_colour
+from ..operators import entropy, layout, orders, patches, sampling, spans, verdict
+from ..operators.report import bundles
+from ..operators.scoring import sigmoid
+from ..sources.blobs import chain, chunks, text_blobs
+from . import attest, imaging
+from .catalog_sql import SQL
+
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = SQL
+#: Stretches embeddings so that both sides of the threshold occur.
+LOGIT_SCALE = 8.0
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_blobs(_table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_blobs(_table(spark, sf_dir, "pages"), "page_id", "html")
+
+
+@query
+def byte_class_histogram(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("source", class_counts(F.col("text").cast("binary")).alias("c"))
+    sums = [F.sum(f"c.{k}").alias(f"n_{k}") for k in ("zero", "full", "text", "other")]
+    return docs.groupBy("source").agg(*sums)
+
+
+@query
+def byte_class_rgb(spark, sf_dir):
+    """Sums of the class palette over all bytes of each document."""
+    docs = _documents(spark, sf_dir).select("blob_id", class_counts("data").alias("c"))
+    kinds = ("zero", "full", "text", "other")
+    sums = [
+        sum((F.col(f"c.{k}") * p[i] for k, p in zip(kinds, CLASS_RGB, strict=True)), F.lit(0)).alias(f"sum_{c}")
+        for i, c in enumerate("rgb")
+    ]
+    grey = sum((F.col(f"c.{k}") * v for k, v in zip(kinds, CLASS_GREY, strict=True)), F.lit(0)).alias("sum_grey")
+    return docs.select(F.col("blob_id").alias("doc_id"), *sums, grey)
+
+
+@query
+def byte_magnitude_stats(spark, sf_dir):
+    pages = _pages(spark, sf_dir).select("blob_id", "n_bytes", byte_counts("data").alias("c"))
+    present = F.filter(F.sequence(F.lit(0), F.lit(255)), lambda v: F.get(F.col("c"), v) > 0)
+    total = F.aggregate(
+        F.sequence(F.lit(0), F.lit(255)), F.lit(0).cast("long"), lambda s, v: s + F.get(F.col("c"), v) * v
+    )
+    return pages.select(
+        F.col("blob_id").alias("page_id"),
+        "n_bytes",
+        total.alias("sum_value"),
+        F.array_min(present).alias("min_value"),
+        F.array_max(present).alias("max_value"),
+        F.size(present).alias("n_symbols"),
+    )
+
+
+@query
+def channel_mix3(spark, sf_dir):
+    pixels = imaging.render(_documents(spark, sf_dir), 4, ("class", "magnitude"), "zigzag", "square")
+    return pixels.select(F.col("blob_id").alias("doc_id"), "x", "y", "r", "g", "b")
+
+
+@query
+def zigzag_layout(spark, sf_dir):
+    return layout.layout_table(spark, "zigzag", 48)
+
+
+@query
+def hilbert_layout(spark, sf_dir):
+    return layout.layout_table(spark, "hilbert", 64)
+
+
+@query
+def sample_square(spark, sf_dir):
+    return sampling.grid(_documents(spark, sf_dir), 8, "square").select(
+        F.col("blob_id").alias("doc_id"), "j", "byte_idx", "b"
+    )
+
+
+@query
+def sample_unrolled4(spark, sf_dir):
+    return sampling.grid(_documents(spark, sf_dir), 4, "unrolled").select(
+        F.col("blob_id").alias("doc_id"), "quad", "j", "byte_idx", "b"
+    )
+
+
+@query
+def sample_unrolled_step(spark, sf_dir):
+    return sampling.grid(_pages(spark, sf_dir), 8, "unrolled", 3).select(
+        F.col("blob_id").alias("page_id"), "quad", "j", "byte_idx", F.coalesce("b", F.lit(0)).alias("b")
+    )
+
+
+@query
+def unrolled_n_quads(spark, sf_dir):
+    """Bytes and their sum in each quad of a layout that keeps every byte: quads are chunks."""
+    quads = chunks(_documents(spark, sf_dir), 16 * 16).select("blob_id", "chunk_id", "data", byte_counts("data").alias("c"))
+    total = F.aggregate(
+        F.sequence(F.lit(0), F.lit(255)), F.lit(0).cast("long"), lambda s, v: s + F.get(F.col("c"), v) * v
+    )
+    return quads.select(
+        F.col("blob_id").alias("doc_id"),
+        F.col("chunk_id").alias("quad"),
+        F.octet_length("data").alias("n_bytes"),
+        total.alias("sum_value"),
+    )
+
+
+def _seeded_spans(blobs: DataFrame) -> DataFrame:
+    """Three spans a blob from its id and length; they may overlap and may be empty."""
+    start = F.pmod(F.col("blob_id") * 37 + F.col("k") * 101, F.col("n_bytes"))
+    length = F.pmod(F.col("blob_id") * 13 + F.col("k") * 29, F.lit(200))
+    k = F.explode(F.sequence(F.lit(0), F.lit(2))).alias("k")
+    return blobs.where("n_bytes > 0").select("blob_id", "n_bytes", k).select(
+        "blob_id", start.alias("span_start"), F.least(start + length, F.col("n_bytes")).alias("span_end")
+    )
+
+
+@query
+def span_mask(spark, sf_dir):
+    blobs = _documents(spark, sf_dir)
+    pixels = imaging.render_mask(blobs, _seeded_spans(blobs), 8, "zigzag", "square")
+    return pixels.select(F.col("blob_id").alias("doc_id"), "x", "y", "mask")
+
+
+def _page_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as the members of archives of ten, each with a header of 512 and padding to 512 bytes."""
+    from pyspark.sql import Window
+
+    pages = _table(spark, sf_dir, "pages").select(
+        F.floor(F.col("page_id") / 10).alias("blob_id"),
+        F.pmod("page_id", F.lit(10)).cast("int").alias("member_idx"),
+        F.coalesce(F.octet_length("html"), F.lit(0)).cast("long").alias("size"),
+        F.col("url").alias("name"),
+    )
+    held = F.ceil(F.col("size") / 512) * 512 + 512
+    before = Window.partitionBy("blob_id").orderBy("member_idx").rowsBetween(Window.unboundedPreceding, -1)
+    offset = F.coalesce(F.sum(held).over(before), F.lit(0)).alias("offset")
+    return pages.select("*", F.col("member_idx").cast("string").alias("type"), offset).withColumn(
+        "offset_data", F.col("offset") + 512
+    )
+
+
+@query
+def interval_structure(spark, sf_dir):
+    members = _page_members(spark, sf_dir)
+    ends = members.groupBy("blob_id").agg(F.max(F.col("offset_data") + F.col("size")).alias("end"))
+    points = ends.select("blob_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end"), F.lit(97).cast("long"))).alias("byte_idx"))
+    return spans.structure(points, members, block=4096)
+
+
+@query
+def window_entropy(spark, sf_dir):
+    pixels = sampling.grid(_documents(spark, sf_dir), 8, "square")
+    return entropy.window_entropy(pixels).select(
+        F.col("blob_id").alias("doc_id"), "j", F.round("entropy", 6).alias("entropy")
+    )
+
+
+@query
+def block_entropy(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    h = entropy.block_entropy(byte_counts("data"), F.col("n_bytes"))
+    return docs.select(F.col("blob_id").alias("doc_id"), F.round(h, 6).alias("entropy"))
+
+
+@query
+def entropy_contrast(spark, sf_dir):
+    docs = _documents(spark, sf_dir)
+    h = entropy.block_entropy(byte_counts("data"), F.col("n_bytes")) / 2
+    return docs.select(F.col("blob_id").alias("doc_id"), F.round(entropy_curve(h), 6).alias("contrast"))
+
+
+@query
+def render_quads(spark, sf_dir):
+    """Images drawn quad by quad in Arrow batches; the SQL rebuilds each from sampled bytes."""
+    quads = imaging.render_quads(_documents(spark, sf_dir), 8, ("class",), "zigzag", "unrolled")
+    return quads.select(F.col("blob_id").alias("doc_id"), "quad", F.md5(F.hex("image")).alias("image_md5"))
+
+
+@query
+def patch_ids(spark, sf_dir):
+    side = spark.range(100 * 70).select((F.col("id") % 100).alias("x"), F.floor(F.col("id") / 100).alias("y"))
+    return patches.whole_patches(side, F.lit(100), F.lit(70), 32, 16)
+
+
+@query
+def near_equal_splits(spark, sf_dir):
+    """Images as wide as documents are long, cut into seven parts."""
+    docs = _documents(spark, sf_dir).select("blob_id", "n_bytes", F.explode(F.sequence(F.lit(0), F.lit(6))).alias("k"))
+    first, last = patches.split_bounds(F.col("n_bytes"), 7, F.col("k"))
+    return docs.select(F.col("blob_id").alias("doc_id"), "k", first.cast("long").alias("first"), last.cast("long").alias("last"))
+
+
+@query
+def patch_label_any(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("image_name"),
+        F.col("turn").alias("patch_id"),
+        (F.col("role") == "system").cast("int").alias("mask"),
+    )
+    return patches.patch_labels(turns)
+
+
+def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings as patches: image by label, logits by the first two numbers."""
+    z = [F.get("embedding", k).cast("double") * LOGIT_SCALE for k in (0, 1)]
+    return _table(spark, sf_dir, "embeddings").select(
+        F.col("label").alias("image_name"),
+        F.col("vec_id").alias("patch_id"),
+        sigmoid(z[0]).alias("p_benign"),
+        sigmoid(z[1]).alias("p_malevolent"),
+        (F.col("label") % 2).alias("label"),
+        z[0].alias("z0"),
+        z[1].alias("z1"),
+    )
+
+
+@query
+def infer_verdict(spark, sf_dir):
+    return verdict.infer_verdict(_scores(spark, sf_dir)).withColumn("probability", F.round("probability", 6))
+
+
+@query
+def eval_verdict(spark, sf_dir):
+    return verdict.eval_rows(_scores(spark, sf_dir)).withColumn("malevolent_prob", F.round("malevolent_prob", 6))
+
+
+@query
+def eval_accuracy(spark, sf_dir):
+    return verdict.accuracy(verdict.eval_rows(_scores(spark, sf_dir))).select(F.round("accuracy", 6).alias("accuracy"))
+
+
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "labels").select(F.col("quality").alias("y_true"), F.col("toxic").alias("y_pred"))
+
+
+@query
+def confusion_matrix(spark, sf_dir):
+    return verdict.confusion(_labels(spark, sf_dir))
+
+
+@query
+def confusion_metrics(spark, sf_dir):
+    rows = verdict.metrics(_labels(spark, sf_dir))
+    return rows.select("tp", "fp", "fn", "tn", *[F.round(c, 6).alias(c) for c in ("accuracy", "precision", "recall", "f1")])
+
+
+@query
+def class_weights(spark, sf_dir):
+    weights = verdict.class_weights(_table(spark, sf_dir, "labels"), "toxic")
+    return weights.select("w_benign", F.round("w_malevolent", 6).alias("w_malevolent"))
+
+
+@query
+def weighted_bce(spark, sf_dir):
+    """Mean of both classes' losses by image, with the evaluation weights 1 and 64."""
+    s = _scores(spark, sf_dir)
+    one = F.col("label").cast("double")
+    benign = verdict.bce_with_logits(F.col("z0"), 1 - one, F.lit(1.0))
+    bad = verdict.bce_with_logits(F.col("z1"), one, F.lit(64.0))
+    return s.groupBy("image_name").agg(F.round(F.avg((benign + bad) / 2), 5).alias("loss"))
+
+
+@query
+def running_loss(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select(F.col("event_id").alias("i"), F.abs("value").alias("loss"))
+    return verdict.running_loss(rows).select(F.round("running_loss", 4).alias("running_loss"))
+
+
+@query
+def diff_files(spark, sf_dir):
+    """Events as metadata records: their number chooses added, modified and deleted files."""
+    k = F.from_json("props", "k int")["k"]
+    name = F.concat(F.lit("/f"), k.cast("string"))
+
+    def files(on: int):
+        one = F.array(F.struct(name.alias("Name"), F.col("event_id").alias("Size")))
+        return F.when(k % 3 == on, one)
+
+    diffs = F.struct(files(0).alias("Adds"), files(1).alias("Dels"), files(2).alias("Mods"))
+    records = _table(spark, sf_dir, "events").select(
+        F.col("event_id").alias("path"), F.when(k % 5 != 0, diffs).alias("diffs")
+    )
+    return spans.changed_files(records)
+
+
+@query
+def label_exclusion(spark, sf_dir):
+    rows = _table(spark, sf_dir, "events").select("event_id", F.nullif(F.col("event_type"), F.lit("view")).alias("label"))
+    return spans.usable(rows, ("click", "purchase"))
+
+
+@query
+def member_semi_join(spark, sf_dir):
+    """Pages whose language folder is a language of some document."""
+    lang = F.regexp_extract("url", r"://[^/]*(/[a-z]+)/", 1)
+    members = _table(spark, sf_dir, "pages").select("page_id", lang.alias("name"))
+    files = _table(spark, sf_dir, "documents").where("lang != 'fr'").select(F.concat(F.lit("//"), "lang").alias("file"))
+    return spans.member_name_matches(members, files)
+
+
+@query
+def service_dedupe(spark, sf_dir):
+    """Turns as services: each (role, text) judged once, and the verdict joined back."""
+    listed = _table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("order_id"), F.col("turn").alias("container_name"), F.col("role").alias("image"), F.col("text").alias("tag")
+    )
+    once = orders.distinct_images(listed)
+    judged = once.select(
+        "image", "tag", F.when(F.octet_length("tag") % 3 == 0, "malevolent").when(F.octet_length("tag") % 3 == 1, "benign").alias("class")
+    )
+    return orders.with_verdicts(listed, judged).select("order_id", "container_name", "image", "class", "status")
+
+
+@query
+def sa_hash(spark, sf_dir):
+    """Hashes of all texts; of equal ones the first id is stored, and the others are hits."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", orders.content_hash(F.col("text")).alias("sa_hash"))
+    stored = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "sa_hash", F.col("doc_id").alias("stix_report"))
+    return orders.hits(docs, stored).select("doc_id", "sa_hash", F.col("stix_report").alias("stored_id"))
+
+
+@query
+def hash_misses(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", orders.content_hash(F.col("text")).alias("sa_hash"))
+    return orders.misses(docs, docs.where("doc_id % 2 = 0")).select("sa_hash")
+
+
+@query
+def order_verdict(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").select(
+        F.col("conv_id").alias("order_id"),
+        F.when(F.octet_length("text") % 7 == 0, "malevolent").otherwise("benign").alias("class"),
+    )
+    return orders.order_label(turns)
+
+
+@query
+def attestation_listing(spark, sf_dir):
+    return attest.listing(_table(spark, sf_dir, "events"))
+
+
+@query
+def attestation_lookup(spark, sf_dir):
+    """The stored result of one id, with its links."""
+    stored = _table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", "value")
+    found = orders.result_by_id(stored, 17)
+    return found.select("id", "event_type", "value", F.inline(orders.links("https://host", F.col("id"))))
+
+
+@query
+def report_json(spark, sf_dir):
+    """A report an order, from the turns of conversations."""
+    turns = _table(spark, sf_dir, "conversations")
+    p = F.pmod(F.octet_length("text"), F.lit(100)) / 100
+    judged = turns.select(
+        F.col("conv_id").alias("order_id"),
+        F.concat(F.lit("c"), F.col("turn").cast("string")).alias("container_name"),
+        F.col("role").alias("image"),
+        F.lit("latest").alias("tag"),
+        F.lit("a.tar").alias("path_to_tar"),
+        F.md5(F.col("text").cast("binary")).alias("hash"),
+        F.when(p > 0.4, "malevolent").otherwise("benign").alias("class"),
+        p.alias("probability"),
+    )
+    return bundles(judged, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+
+
+@query
+def chain_sources(spark, sf_dir):
+    both = chain(
+        _documents(spark, sf_dir).select(F.lit("doc").alias("kind"), "blob_id", "n_bytes"),
+        _pages(spark, sf_dir).select(F.lit("page").alias("kind"), "blob_id", "n_bytes"),
+    )
+    return both.groupBy("kind").agg(F.count("*").alias("n_blobs"), F.sum("n_bytes").alias("n_bytes"))
 
 
-def byte_class_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = spark.read.parquet(f"{sf_dir}/documents.parquet").select("source", F.encode("text", "UTF-8").alias("b"))
-    return text.groupBy("source").agg(F.sum(F.octet_length("b")).alias("n_bytes"))
+@query
+def path_functions(spark, sf_dir):
+    path = F.concat(F.regexp_replace("url", "[?#].*", ""), F.lit(".png"))
+    pages = _table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    return pages.select(
+        "page_id", patches.mask_path(F.col("path")).alias("mask_path"), patches.stem(F.col("path")).alias("stem"), patches.label_from_path(F.col("path")).alias("label")
+    )
 
 
-QUERIES: dict[str, Query] = {"byte_class_histogram": byte_class_histogram}
-ORACLES: dict[str, str] = {}
+@query
+def colour_parse(spark, sf_dir):
+    spec = F.substring(F.md5(F.col("c_name").cast("binary")), 1, 6)
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, "nope").otherwise(spec).alias("spec"))
+    colour = hex_colour(F.col("spec"))
+    return rows.select("c_custkey", *[F.round(colour[c], 6).alias(c) for c in "rgb"])
