@@ -121,6 +121,30 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n_hit, 0)
 FROM doc_words d LEFT JOIN covered c USING (doc_id) LEFT JOIN owners o USING (doc_id)
 """
 
+OP5_SQL = """
+WITH crc AS (
+  SELECT list_transform(range(256), lambda x: list_reduce([x, 1, 2, 3, 4, 5, 6, 7, 8],
+           lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+rows AS (
+  SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
+         xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
+                                                                  lambda h: CAST('0x' || h AS BIGINT))),
+                         lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS text_crc32,
+         md5('shard-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+  FROM documents, crc),
+ranked AS (
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32, size) - 0.5::DOUBLE)
+            / count(*) OVER (PARTITION BY source) AS fraction
+  FROM rows),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, key, doc_id, text_crc32, size) - 1 AS place,
+         count(*) OVER () AS n
+  FROM ranked)
+SELECT doc_id, size, text_crc32, 'rows' AS law, CAST(place * 8 // n AS INT) AS shard,
+       CAST(place - (place * 8 // n * n + 7) // 8 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard
+FROM placed
+"""
+
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
@@ -210,6 +234,7 @@ FROM placed WHERE lot IN (3, 5)
 
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
+    "op5_stratified_shards": OP5_SQL,
     "op6_source_mix": OP6_SQL,
     "op8_url_filter": OP8_SQL,
     "op9_warc_fixity": OP9_SQL,
