@@ -133,8 +133,9 @@ rows AS (
          md5('shard-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
   FROM documents, crc),
 ranked AS (
-  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32, size) - 0.5::DOUBLE)
-            / count(*) OVER (PARTITION BY source) AS fraction
+  SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32, size) - 1
+             + (CAST(CAST('0x' || substr(md5('shard-1:' || coalesce(source, '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE)
+               / 4294967296.0::DOUBLE) / count(*) OVER (PARTITION BY source) AS fraction
   FROM rows),
 placed AS (
   SELECT *, row_number() OVER (ORDER BY fraction, source NULLS FIRST, key, doc_id, text_crc32, size) - 1 AS place,

@@ -1,6 +1,7 @@
 """Shards by proportional stratified interleaving.
 
-Rows of each source are ranked in seeded hash order, the rank becomes a fraction of the source,
+Rows of each source are ranked in seeded hash order, the rank becomes a fraction of the source
+(from a starting point of the source's own),
 and the order of those fractions is cut into equal runs: every run of the order holds each source
 in its share of the corpus.  No rank is computed over a whole source or the whole table in one
 task.  A rank is the count of rows in lower buckets plus a row number inside the own bucket:
@@ -32,6 +33,15 @@ def row_key(doc_id: Column, seed: str = SEED) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
 
 
+def source_phase(source: Column, seed: str = SEED) -> Column:
+    """Where in its steps of the order a source stands, between 0 and 1.
+
+    Sources of equal size would otherwise meet at the same fractions and crowd out the others there.
+    """
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(source, F.lit(""))).cast("binary"))
+    return (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+
+
 def _offsets(rows: DataFrame, group: list[str], bucket: str) -> DataFrame:
     """Rows in lower buckets of the same group, for each bucket (one row a bucket, pre-aggregated)."""
     counts = rows.groupBy(*group, bucket).agg(F.count("*").alias("n"))
@@ -80,7 +90,7 @@ def interleave(
     ranked = rows.withColumn("row", F.row_number().over(inside)).join(
         below, F.col("source").eqNullSafe(F.col("_source")) & (F.col("bucket") == F.col("_bucket"))
     )
-    fraction = (F.col("lower") + F.col("row") - 0.5) / F.col("whole")
+    fraction = (F.col("lower") + F.col("row") - 1 + source_phase(F.col("source"), seed)) / F.col("whole")
     ranked = cut(
         ranked.select("doc_id", "source", "size", "text_crc32", "key", fraction.alias("fraction")).withColumn(
             "bucket", F.floor(F.col("fraction") * buckets).cast("long")

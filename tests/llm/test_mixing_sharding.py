@@ -1,0 +1,92 @@
+"""Mixture and shards: against SQL, and their laws."""
+
+from collections import Counter
+from zlib import crc32
+
+import pytest
+from pyspark.sql import functions as F
+
+from octoloom.llm import mixing, registry, sharding
+
+
+def test_mix_equals_sql(same_as_sql):
+    same_as_sql(registry.op6_source_mix, registry.OP6_SQL)
+
+
+def test_shards_equal_sql(same_as_sql):
+    same_as_sql(registry.op5_stratified_shards, registry.OP5_SQL)
+
+
+def plain_targets(sizes, weights=(3, 1, 2)):
+    """Water filling, one round after another."""
+    order = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
+    w = {s: weights[k % len(weights)] for k, s in enumerate(order)}
+    left, full, goal = 1.5 * sum(sizes.values()), set(), {}
+    while len(full) < len(order):
+        rest = [s for s in order if s not in full]
+        level = left / sum(w[s] for s in rest)
+        over = [s for s in rest if level * w[s] >= 2 * sizes[s]]
+        if not over:
+            goal |= {s: level * w[s] for s in rest}
+            break
+        for s in over:
+            goal[s] = 2.0 * sizes[s]
+            left -= goal[s]
+            full.add(s)
+    return goal
+
+
+@pytest.mark.parametrize(
+    "sizes",
+    [
+        {"a": 100, "b": 100, "c": 100},
+        {"a": 1, "b": 1000, "c": 1, None: 5},
+        {"a": 0, "b": 10},
+        {"z": 7, "Z": 900, "é": 30, "aa": 30, "ab": 2},
+        {"only": 12},
+    ],
+)
+def test_targets_are_filled_by_weight(spark, sizes):
+    rows = spark.createDataFrame([(s, n) for s, n in sizes.items()], "source string, size long")
+    got = {r["source"]: r["target"] for r in mixing.targets(rows).collect()}
+    assert got == pytest.approx(plain_targets(sizes))
+
+
+def test_taken_words_come_near_the_targets(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    mixed = mixing.mix(docs).toPandas()
+    for _, rows in mixed.groupby("source"):
+        assert abs(rows["taken"].sum() - rows["target"].iloc[0]) <= rows["size"].max()
+    assert (mixed["taken"] <= 2 * mixed["size"]).all()
+    times = dict(zip(mixed["doc_id"], mixed["passes"], strict=True))
+    repeated = Counter(r["doc_id"] for r in mixing.resample(docs).select("doc_id").collect())
+    assert repeated == Counter({d: n for d, n in times.items() if n})
+
+
+def test_mix_runs_no_python(spark, small):
+    plan = registry.op6_source_mix(spark, small)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_shards_hold_each_source_in_its_share(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").withColumn(
+        "source", F.when(F.col("doc_id") % 3 == 0, "hot").otherwise(F.col("source"))
+    )
+    rows = sharding.interleave(docs).toPandas()
+    counts = rows.groupby("shard").size()
+    assert counts.max() - counts.min() <= 1 and len(counts) == 8
+    for _, one in rows.groupby("shard"):
+        assert sorted(one["slot"]) == list(range(len(one)))
+    for _, one in rows.groupby("source"):
+        share = one.groupby("shard").size().reindex(range(8), fill_value=0)
+        assert (share - len(one) / 8).abs().max() <= 3
+    texts = {r["doc_id"]: r["text"].encode() for r in docs.collect()}
+    for doc_id, size, crc in rows[["doc_id", "size", "text_crc32"]].itertuples(index=False):
+        assert (size, crc) == (len(texts[doc_id]) + 1, crc32(texts[doc_id]))
+
+
+def test_shards_do_not_depend_on_the_buckets(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    usual = sorted(map(tuple, sharding.interleave(docs).collect()))
+    monkeypatch.setattr(sharding, "LEAST_BUCKETS", 1)
+    assert sorted(map(tuple, sharding.interleave(docs.repartition(7)).collect())) == usual
