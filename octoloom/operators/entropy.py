@@ -33,20 +33,31 @@ def _entropy(values: Column) -> Column:
     return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log(p) / F.log(F.lit(float(WINDOW))))
 
 
+#: Keeps a sum of logarithms that should be a whole step of the colour from falling just below it.
+NUDGE = 1e-9
+
+
 def entropy_colours(entropy: Column) -> Column:
     """Red by entropy, blue by its square."""
     top = F.least(entropy, F.lit(1.0))
     return F.struct(
-        F.floor(top * 255).cast("int").alias("r"), F.lit(0).alias("g"), F.floor(top * top * 255).cast("int").alias("b")
+        F.floor(top * 255 + NUDGE).cast("int").alias("r"),
+        F.lit(0).alias("g"),
+        F.floor(top * top * 255 + NUDGE).cast("int").alias("b"),
     )
 
 
+def entropy_levels(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same red and blue of one quad's samples, for chunk kernels."""
+    top = np.minimum(window_entropy_kernel(samples), 1.0)
+    return np.floor(top * 255 + NUDGE), np.floor(top * top * 255 + NUDGE)
+
+
 def window_entropy_kernel(samples: np.ndarray) -> np.ndarray:
     """The same entropy of one quad's samples, for chunk kernels."""
     half = WINDOW // 2
     padded = np.zeros(len(samples) + WINDOW - 1, np.uint8)
     padded[half : half + len(samples)] = samples
-    # counts change by one value in and one value out at each step
     at = np.arange(len(samples))
     views = np.sort(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[at], axis=1)
     first = np.ones(views.shape, bool)

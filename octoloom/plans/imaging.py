@@ -87,7 +87,9 @@ def render_quads(
     last = sampling.quad_count(F.col("n"), size, layout_type, step) - 1
     quads = known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("quad"))
     start, stop = sampling.quad_bounds(F.col("n"), F.col("quad"), size, layout_type, step)
-    part = F.substr("data", (start + 1).cast("int"), (F.least(stop, F.col("n")) - start).cast("int"))
+    # an empty range still shows the byte at its start, as the row grain does
+    end = F.least(F.greatest(stop, start + 1), F.col("n"))
+    part = F.substr("data", (start + 1).cast("int"), (end - start).cast("int"))
     ranged = quads.select("blob_id", "quad", (stop - start).alias("width"), part.alias("part"))
     at = layout.positions(layout_map, size)
     names = list(color_map)
@@ -97,11 +99,8 @@ def render_quads(
         if name != "entropy" and name not in grey:
             raise NotImplementedError(f"no chunk colour map named {name!r}")
 
-    def colour(name: str, values: np.ndarray, samples: np.ndarray) -> np.ndarray:
-        if name == "entropy":
-            level = np.minimum(entropy.window_entropy_kernel(samples), 1.0)
-            return np.floor(level * 255)[: len(samples)]
-        return grey[name][values]
+    def colour(name: str, samples: np.ndarray) -> np.ndarray:
+        return entropy.entropy_levels(samples)[0] if name == "entropy" else grey[name][samples]
 
     @F.arrow_udf("binary")
     def draw(parts: pa.Array, widths: pa.Array) -> pa.Array:
@@ -115,10 +114,10 @@ def render_quads(
             if names == ["class"]:
                 pixels = palette[samples]
             elif names == ["entropy"]:
-                level = np.minimum(entropy.window_entropy_kernel(samples), 1.0)
-                pixels = np.stack([np.floor(level * 255), np.zeros(area), np.floor(level**2 * 255)], 1)
+                red, blue = entropy.entropy_levels(samples)
+                pixels = np.stack([red, np.zeros(area), blue], 1)
             else:
-                channels = [colour(n, samples, samples) for n in (names * 3 if len(names) == 1 else names)[:3]]
+                channels = [colour(n, samples) for n in (names * 3 if len(names) == 1 else names)[:3]]
                 channels += [np.zeros(area)] * (3 - len(channels))
                 pixels = np.stack(channels, 1)
             image = np.zeros((size, size, 3), np.uint8)

@@ -145,6 +145,11 @@ class ShardSource(DataSource):
 
 
 def read_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+    """(shard, key, png, mask, name, label) of shards whose file name holds ``split``.
+
+    Filters on ``shard`` reach the source too; the session setting that lets them is turned on.
+    """
     spark.dataSource.register(ShardSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("sample_shards")
     return (reader.option("split", split) if split else reader).load(path)

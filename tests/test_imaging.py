@@ -1,0 +1,127 @@
+"""Sampling, entropy and rendering: whole-array versions against the row grain and the quad kernel."""
+
+import math
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from octoloom.functions.bytes import rgb_table
+from octoloom.operators import entropy, layout, patches, sampling
+from octoloom.plans import imaging
+
+
+def plain_index(n, size, kind, step):
+    """Sampled byte of each pixel, a list a quad."""
+    area = size * size
+    if kind == "square":
+        bounds = [(0, n)]
+    elif kind == "unrolled_n":
+        bounds = [(q * area, (q + 1) * area) for q in range(-(-n // area))]
+    elif step is None:
+        bounds = [(q * n // 4, (q + 1) * n // 4) for q in range(4)]
+    else:
+        bounds = [(q * area * step, (q + 1) * area * step) for q in range(-(-n // (area * step)))]
+    return [[a + j * (z - a) // area for j in range(area)] for a, z in bounds]
+
+
+def plain_entropy(samples):
+    padded = [0] * 16 + list(samples) + [0] * 15
+    out = []
+    for i in range(len(samples)):
+        window = padded[i : i + 32]
+        out.append(-sum(c / 32 * math.log(c / 32, 32) for c in (window.count(v) for v in set(window))))
+    return out
+
+
+CASES = [("square", None), ("unrolled", None), ("unrolled", 1), ("unrolled", 3), ("unrolled_n", None)]
+SIZES = [1, 10, 31, 32, 33, 64, 100, 256, 257]
+
+
+@pytest.fixture(scope="module")
+def blobs(spark):
+    rng = np.random.default_rng(1)
+    rows = [(n, bytes(rng.integers(0, 256, n, np.uint8))) for n in SIZES] + [(0, b"")]
+    return spark.createDataFrame(rows, "blob_id long, data binary").cache()
+
+
+@pytest.mark.parametrize(("kind", "step"), CASES)
+def test_grid_samples_the_ruled_bytes(blobs, kind, step):
+    data = {r["blob_id"]: bytes(r["data"]) for r in blobs.collect()}
+    got = sampling.grid(blobs, 8, kind, step).orderBy("blob_id", "quad", "j").collect()
+    for n in SIZES:
+        expected = [i for quad in plain_index(n, 8, kind, step) for i in quad]
+        rows = [r for r in got if r["blob_id"] == n]
+        assert [r["byte_idx"] for r in rows] == expected
+        assert [r["b"] for r in rows] == [data[n][i] if i < n else None for i in expected]
+    assert not [r for r in got if r["blob_id"] == 0]
+
+
+MAPS = [("class",), ("magnitude",), ("entropy",), ("class", "magnitude"), ("class", "magnitude", "entropy")]
+
+
+@pytest.mark.parametrize(("maps", "curve"), [(m, "hilbert") for m in MAPS] + [(("class",), "zigzag")])
+@pytest.mark.parametrize(("kind", "step"), CASES)
+def test_row_grain_and_quad_kernel_agree(blobs, kind, step, maps, curve):
+    size = 8
+    quads = imaging.render_quads(blobs, size, maps, curve, kind, step).collect()
+    images = {(r["blob_id"], r["quad"]): np.frombuffer(bytes(r["image"]), np.uint8).reshape(size, size, 3) for r in quads}
+    rows = imaging.render(blobs, size, maps, curve, kind, step).collect()
+    assert len(rows) == len(images) * size * size
+    for r in rows:
+        image = images[r["blob_id"], r["quad"]]
+        assert image[r["y"] - r["quad"] * size, r["x"]].tolist() == [r["r"], r["g"], r["b"]]
+
+
+def test_quad_images_by_a_whole_array_version(blobs):
+    at, palette = layout.positions("hilbert", 8), rgb_table()
+    for r in imaging.render_quads(blobs, 8, ("class",), "hilbert", "unrolled", 3).join(blobs, "blob_id").collect():
+        data = bytes(r["data"])
+        image = np.zeros((8, 8, 3), np.uint8)
+        for j, i in enumerate(plain_index(len(data), 8, "unrolled", 3)[r["quad"]]):
+            if i < len(data):
+                image[at[j, 1], at[j, 0]] = palette[data[i]]
+        assert bytes(r["image"]) == image.tobytes()
+
+
+def test_window_entropy_three_ways(spark):
+    rng = np.random.default_rng(4)
+    samples = rng.integers(0, 6, 64, np.uint8)
+    expected = plain_entropy(samples.tolist())
+    assert entropy.window_entropy_kernel(samples) == pytest.approx(expected)
+    rows = spark.createDataFrame([(1, 0, j, int(b)) for j, b in enumerate(samples)], "blob_id long, quad long, j long, b int")
+    got = entropy.window_entropy(rows).orderBy("j").collect()
+    assert [r["entropy"] for r in got] == pytest.approx(expected)
+
+
+def test_block_entropy(spark):
+    from octoloom.functions.bytes import byte_counts
+
+    df = spark.createDataFrame([(b"",), (b"a",), (b"ab",), (b"aab" * 50,), (bytes(range(256)),)], "data binary")
+    got = [r[0] for r in df.select(entropy.block_entropy(byte_counts("data"), F.octet_length("data"))).collect()]
+    third = -(2 / 3 * math.log(2 / 3, 32) + 1 / 3 * math.log(1 / 3, 32))
+    assert got == [None, None, pytest.approx(1), pytest.approx(third), pytest.approx(8 / 5)]
+
+
+def test_patches_of_quads_are_row_major(blobs):
+    quads = imaging.render_quads(blobs.where("blob_id = 257"), 8, ("magnitude",), "zigzag", "unrolled_n")
+    whole = np.concatenate(
+        [np.frombuffer(bytes(r["image"]), np.uint8).reshape(8, 8, 3) for r in quads.orderBy("quad").collect()]
+    )
+    for r in imaging.patches_of_quads(quads, 8, 4, 4).collect():
+        y, x = r["patch_id"] // 2 * 4, r["patch_id"] % 2 * 4
+        assert bytes(r["patch"]) == whole[y : y + 4, x : x + 4].tobytes()
+
+
+def test_partial_patches_go(spark):
+    image = np.arange(5 * 7 * 3, dtype=np.uint8).reshape(5, 7, 3)
+    df = spark.createDataFrame([("i", 7, 5, image.tobytes())], "image_name string, width int, height int, data binary")
+    got = {r["patch_id"]: bytes(r["patch"]) for r in patches.cut_patches(df, 3, 2).collect()}
+    assert got == {
+        y * 2 + x: image[y * 2 : y * 2 + 2, x * 3 : x * 3 + 3].tobytes() for y in range(2) for x in range(2)
+    }
+
+
+def test_bad_arguments():
+    with pytest.raises(NotImplementedError):
+        sampling.quad_count(None, 8, "spiral")
