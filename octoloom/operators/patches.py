@@ -76,3 +76,38 @@ def cut_patches(images: DataFrame, patch_w: int, patch_h: int) -> DataFrame:
         return pa.array(rows, pa.list_(pa.binary()))
 
     return images.select("image_name", F.posexplode(patches("data", "width", "height")).alias("patch_id", "patch"))
+
+
+def mask_labels(masks: DataFrame, patch_w: int, patch_h: int) -> DataFrame:
+    """(image_name, patch_id, label) from mask images: 1 where a patch has any value but zero."""
+
+    @F.arrow_udf("int")
+    def marked(data: pa.Array) -> pa.Array:
+        return pa.array([int(any(d)) for d in data.to_pylist()], pa.int32())
+
+    cut = cut_patches(masks, patch_w, patch_h)
+    return cut.select("image_name", "patch_id", marked("patch").alias("label"))
+
+
+def training_patches(images: DataFrame, masks: DataFrame, patch_w: int, patch_h: int) -> DataFrame:
+    """(image_name, patch_id, patch, label) of images with a label, and masks of the same names.
+
+    Patches of benign images are 0 and their masks are not looked at; of others, each patch has the
+    label of its mask, or the image's where there is no mask.
+    """
+    named = images.select("image_name", F.col("label").alias("_image"))
+    bad = named.where("_image = 1").select("image_name")
+    labels = mask_labels(masks.join(bad, "image_name", "left_semi"), patch_w, patch_h)
+    cut = cut_patches(images, patch_w, patch_h).join(named, "image_name")
+    joined = cut.join(labels, ["image_name", "patch_id"], "left")
+    label = F.when(F.col("_image") == 0, 0).otherwise(F.coalesce("label", "_image"))
+    return joined.select("image_name", "patch_id", "patch", label.alias("label"))
+
+
+def shuffled(rows: DataFrame, seed: int) -> DataFrame:
+    """Rows in a seeded order; needed only where a consumer reads them in turn."""
+    return rows.orderBy(F.rand(seed))
+
+
+def normalised(pixel: Column, mean: float, deviation: float) -> Column:
+    return (pixel / 255 - mean) / deviation
