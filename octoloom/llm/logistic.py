@@ -7,15 +7,16 @@ from collections.abc import Callable
 import numpy as np
 
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+#: Rows of one block: what a step holds beside the sample is a block's share of it.
+BLOCK_ROWS = 256
 
 
 def stack(rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
     """(row of each entry, index, value) of sparse rows."""
-    sizes = [len(i) for i, _ in rows]
-    owner = np.repeat(np.arange(len(rows)), sizes)
-    index = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int64)
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
+    index = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int32)
     value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0, np.float32)
-    return owner, index.astype(np.int64), value.astype(np.float64)
+    return owner, index.astype(np.int32, copy=False), value.astype(np.float32, copy=False)
 
 
 def sigmoid(z):
@@ -37,17 +38,27 @@ def adam(
 
 
 def fit_logistic(
-    rows: Rows, labels: np.ndarray, dims: int, l2: float = 1e-6, steps: int = 120, rate: float = 0.5
+    rows: list[tuple[np.ndarray, np.ndarray]],
+    labels: np.ndarray,
+    dims: int,
+    l2: float = 1e-6,
+    steps: int = 120,
+    rate: float = 0.5,
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch descent on the mean log loss."""
-    owner, index, value = rows
+    """Weights and bias by full-batch descent on the mean log loss; rows are (index, value)."""
     n = len(labels)
+    cuts = range(0, n, BLOCK_ROWS)
+    blocks = [(stack(rows[k : k + BLOCK_ROWS]), labels[k : k + BLOCK_ROWS]) for k in cuts]
 
     def gradient(params):
         w, b = params
-        z = np.bincount(owner, weights=w[index] * value, minlength=n) + b[0]
-        off = (sigmoid(z) - labels) / n
-        return [np.bincount(index, weights=off[owner] * value, minlength=dims) + l2 * w, np.array([off.sum()])]
+        gw, gb = l2 * w, 0.0
+        for (owner, index, value), y in blocks:
+            z = np.bincount(owner, weights=w[index] * value, minlength=len(y)) + b[0]
+            off = (sigmoid(z) - y) / n
+            gw += np.bincount(index, weights=off[owner] * value, minlength=dims)
+            gb += off.sum()
+        return [gw, np.array([gb])]
 
     w, b = adam([np.zeros(dims), np.zeros(1)], gradient, steps, rate)
     return w, float(b[0])

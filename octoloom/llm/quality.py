@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .logistic import fit_logistic, fit_platt, sigmoid, stack
+from .logistic import fit_logistic, fit_platt, sigmoid
 
 #: Labelled rows that the fit takes at most (those first in hash order).
 SAMPLE_ROWS = 4_000
@@ -172,7 +172,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns)
     apart = np.array([crc32(str(i).encode()) % 5 == 0 for i in table["doc_id"].to_pylist()])
     if not 0 < y[~apart].sum() < (~apart).sum():
         apart[:] = False
-    weights, bias = fit_logistic(stack([r for r, a in zip(x, apart, strict=True) if not a]), y[~apart], DIMS)
+    del table
+    weights, bias = fit_logistic([r for r, a in zip(x, apart, strict=True) if not a], y[~apart], DIMS)
     held = apart if apart.any() else ~apart
     scores = np.array([bias + float(weights[i] @ v) for (i, v), a in zip(x, held, strict=True) if a])
     slope, offset = fit_platt(scores, y[held])
