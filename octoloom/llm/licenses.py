@@ -29,7 +29,8 @@ LEAST_GAIN = 0.4
 MOST_CHANGED = 0.1
 LEVEL = 9
 
-ANCHOR = r"(?i)licen[cs]|copyright|all rights reserved|spdx|redistribut|permission|warrant|public domain"
+MARK = r"licen[cs]|copyright|reserved|spdx|redistribut|permission|warrant|domain"
+ANCHOR = f"(?i){MARK}"
 
 _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
@@ -93,7 +94,7 @@ TEMPLATES = (
     ("LicenseRef-reserved", "All rights reserved."),
 )
 
-_MARK = re.compile(r"licen[cs]|copyright|reserved|spdx|redistribut|permission|warrant|domain")
+_MARK = re.compile(MARK)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
 
