@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbers import div
+
 
 def check_size(size: int) -> int:
     if not isinstance(size, int) or isinstance(size, bool) or size < 1:
@@ -23,7 +25,7 @@ def _bits(size: int) -> int:
 def zigzag(d: Column, size: int) -> Column:
     """Serpentine: x grows each ``size`` steps, y runs to and fro."""
     check_size(size)
-    x = F.floor(d / size).cast("int")
+    x = div(d, size).cast("int")
     y = F.pmod(d, F.lit(size)).cast("int")
     return F.struct(x.alias("x"), F.when(x % 2 == 1, size - 1 - y).otherwise(y).alias("y"))
 

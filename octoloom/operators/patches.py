@@ -7,22 +7,23 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numbers import div
+
 
 def patch_id(x: Column, y: Column, width: Column, patch_w: int, patch_h: int) -> Column:
     """Row-major number of the patch that holds a pixel."""
-    across = F.floor(width / patch_w)
-    return (F.floor(y / patch_h) * across + F.floor(x / patch_w)).cast("long")
+    return div(y, patch_h) * div(width, patch_w) + div(x, patch_w)
 
 
 def whole_patches(pixels: DataFrame, width: Column, height: Column, patch_w: int, patch_h: int) -> DataFrame:
     """Pixels (x, y, ...) of full patches, with ``patch_id``; the remainder at the edges goes."""
-    inside = (F.col("x") < F.floor(width / patch_w) * patch_w) & (F.col("y") < F.floor(height / patch_h) * patch_h)
+    inside = (F.col("x") < div(width, patch_w) * patch_w) & (F.col("y") < div(height, patch_h) * patch_h)
     return pixels.where(inside).withColumn("patch_id", patch_id(F.col("x"), F.col("y"), width, patch_w, patch_h))
 
 
 def split_bounds(length: Column, parts: int, k: Column) -> tuple[Column, Column]:
     """[first, last) of the k-th of near-equal parts; the first ones are longer by one."""
-    small, more = F.floor(length / parts), F.pmod(length, F.lit(parts))
+    small, more = div(length, parts), F.pmod(length, F.lit(parts))
     return k * small + F.least(k, more), (k + 1) * small + F.least(k + 1, more)
 
 

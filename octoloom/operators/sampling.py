@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytes import byte_at
+from ..functions.numbers import ceil_div, div
 from .layout import check_size, curve
 
 LAYOUTS = ("square", "unrolled", "unrolled_n")
@@ -23,9 +24,9 @@ def quad_count(n_bytes: Column, size: int, layout: str, step: int | None = None)
     if layout == "square":
         quads = F.lit(1)
     elif layout == "unrolled":
-        quads = F.lit(DEFAULT_QUADS) if step is None else F.ceil(n_bytes / (step * area))
+        quads = F.lit(DEFAULT_QUADS) if step is None else ceil_div(n_bytes, step * area)
     elif layout == "unrolled_n":
-        quads = F.ceil(n_bytes / area)
+        quads = ceil_div(n_bytes, area)
     else:
         raise NotImplementedError(f"no layout named {layout!r}; there are {LAYOUTS}")
     return quads.cast("long")
@@ -40,14 +41,14 @@ def quad_bounds(n_bytes: Column, quad: Column, size: int, layout: str, step: int
     if layout == "square":
         return F.lit(0).cast("long"), n_bytes.cast("long")
     if layout == "unrolled" and step is None:
-        return tuple(F.floor(q * n_bytes / DEFAULT_QUADS).cast("long") for q in (quad, quad + 1))
+        return tuple(div(q * n_bytes, DEFAULT_QUADS) for q in (quad, quad + 1))
     width = area * (step if layout == "unrolled" else 1)
     return (quad * width).cast("long"), ((quad + 1) * width).cast("long")
 
 
 def sample_index(start: Column, stop: Column, j: Column, size: int) -> Column:
     """``start + floor(j * (stop - start) / size ** 2)`` in whole numbers."""
-    return start + F.floor((j * (stop - start)) / (size * size)).cast("long")
+    return start + div(j * (stop - start), size * size)
 
 
 def grid(blobs: DataFrame, size: int, layout: str = "unrolled", step: int | None = None) -> DataFrame:

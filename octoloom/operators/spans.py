@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import MASK_COLOUR
+from ..functions.numbers import div
 
 BLOCK = 65_536
 #: Header colours by member type, and the cycle of data colours.  Fixed values.
@@ -43,7 +44,7 @@ def merge_spans(spans: DataFrame) -> DataFrame:
 
 
 def _filed(ranges: DataFrame, start: str, end: str, block: int) -> DataFrame:
-    first, last = F.floor(F.col(start) / block), F.floor((F.col(end) - 1) / block)
+    first, last = div(F.col(start), block), div(F.col(end) - 1, block)
     return ranges.where(F.col(end) > F.col(start)).select("*", F.explode(F.sequence(first, last)).alias("_block"))
 
 
@@ -53,7 +54,7 @@ def mask(points: DataFrame, spans: DataFrame, block: int = BLOCK) -> DataFrame:
     Spans may be empty, overlap, and come in any order.
     """
     filed = _filed(merge_spans(spans), "span_start", "span_end", block).withColumnRenamed("blob_id", "_blob")
-    own = F.floor(F.col("byte_idx") / block)
+    own = div(F.col("byte_idx"), block)
     inside = (
         (F.col("blob_id") == F.col("_blob"))
         & (own == F.col("_block"))
@@ -82,9 +83,12 @@ def structure_ranges(members: DataFrame) -> DataFrame:
 
 
 def structure(points: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``points`` with ``structure``: the colour of the last member range that holds the byte, else 0."""
+    """``points`` with ``structure``: the colour of the last member range that holds the byte, else 0.
+
+    ``points`` are distinct rows; one that lies in several ranges meets them all and keeps the last.
+    """
     filed = _filed(structure_ranges(members), "range_start", "range_end", block).withColumnRenamed("blob_id", "_blob")
-    own = F.floor(F.col("byte_idx") / block)
+    own = div(F.col("byte_idx"), block)
     inside = (
         (F.col("blob_id") == F.col("_blob"))
         & (own == F.col("_block"))
@@ -92,11 +96,8 @@ def structure(points: DataFrame, members: DataFrame, block: int = BLOCK) -> Data
         & (F.col("byte_idx") < F.col("range_end"))
     )
     latest = F.max(F.struct("member_idx", "range_start", "colour"))
-    found = (
-        points.select("blob_id", "byte_idx").distinct().join(filed, inside).groupBy("blob_id", "byte_idx").agg(latest.alias("_m"))
-    )
-    joined = points.join(found, ["blob_id", "byte_idx"], "left")
-    return joined.select(*points.columns, F.coalesce("_m.colour", F.lit(0)).alias("structure"))
+    found = points.join(filed, inside, "left").groupBy(*points.columns).agg(latest.alias("_m"))
+    return found.select(*points.columns, F.coalesce("_m.colour", F.lit(0)).alias("structure"))
 
 
 def changed_files(records: DataFrame) -> DataFrame:

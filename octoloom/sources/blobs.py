@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
+from ..functions.numbers import ceil_div
+
 #: Default bytes of a chunk.
 CHUNK_SIZE = 512 * 512
 
@@ -37,7 +39,7 @@ def chunks(blobs: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
     """(blob_id, chunk_id, byte_start, data) of blobs that are already rows; empty blobs give none."""
     if chunk_size < 1:
         raise ValueError("chunk_size must be at least 1")
-    count = F.ceil(F.octet_length("data") / chunk_size)
+    count = ceil_div(F.octet_length("data"), chunk_size)
     numbered = blobs.where(F.octet_length("data") > 0).select(
         "blob_id", "data", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("chunk_id")
     )
