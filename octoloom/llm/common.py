@@ -32,10 +32,18 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _cuts(spark: SparkSession) -> str:
+    """The folder of this application's cuts."""
+    return f"{checkpoint_dir(spark)}/octoloom/{spark.sparkContext.applicationId}"
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it back."""
+    """Write ``df`` below the shared checkpoint folder and read it back.
+
+    Operators return frames that read such tables, so they stay until ``clear_cuts``.
+    """
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark)}/octoloom/{uuid.uuid4().hex}"
+    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(_nullable(df.schema)).parquet(path)
     out._octoloom_path = path
@@ -46,9 +54,17 @@ def drop_cut(df: DataFrame) -> None:
     """Delete a table made by ``cut`` that nothing will read again."""
     path = getattr(df, "_octoloom_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(df.sparkSession, path)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Delete every cut of this application, once the results that read them are written."""
+    _delete(spark, _cuts(spark))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

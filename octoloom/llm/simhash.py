@@ -84,7 +84,7 @@ def _masks(width: int, weights: tuple[int, ...], shift: int = 0) -> list[int]:
 
 
 def links(fingerprints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFrame:
-    """Pairs (``big``, ``small``) of distinct fingerprints at 1 or 2 differing bits.
+    """Pairs (``big``, ``small``) of distinct fingerprints at 1 or 2 differing bits, each once.
 
     ``fingerprints`` has one row for each distinct long ``fp``.  At most 2,080 fingerprints lie
     within two bits of any, so the result is linear in the input.
@@ -111,7 +111,8 @@ def links(fingerprints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFram
     if crowded:
         index = index.join(full, ["segment", "key"], "left_anti")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))).between(1, 2)
-    once = (F.col("p.spent") == 1) | (F.col("fp") < F.col("other"))
+    apart = F.bit_count(F.shiftrightunsigned(F.col("fp").bitwiseXOR(F.col("other")), 32))
+    once = (F.col("p.spent") == 1) | (F.col("fp") < F.col("other")) & ((F.col("p.segment") == 0) | (apart == 2))
     same = (F.col("p.segment") == F.col("i.segment")) & (F.col("p.key") == F.col("i.key"))
     found = probes.alias("p").join(index.alias("i"), same & once & near).select("fp", "other")
     if crowded:
@@ -125,8 +126,9 @@ def links(fingerprints: DataFrame, bucket_limit: int = BUCKET_LIMIT) -> DataFram
         ).otherwise(F.col("fp"))
         balls = (
             probes.join(full, ["segment", "key"], "left_semi")
-            .select("fp", base.alias("base"), F.explode(rest).alias("mask"))
-            .select("fp", F.col("base").bitwiseXOR(F.col("mask")).alias("other"))
+            .select("fp", "spent", base.alias("base"), F.explode(rest).alias("mask"))
+            .select("fp", "spent", F.col("base").bitwiseXOR(F.col("mask")).alias("other"))
+            .where("spent = 1 OR fp < other")
         )
         targets = fingerprints.select(F.col("fp").alias("other"))
         found = found.unionByName(balls.join(targets, "other").select("fp", "other"))

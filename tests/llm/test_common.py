@@ -1,0 +1,27 @@
+"""Cuts below the shared folder."""
+
+import os
+
+from octoloom.llm import common
+
+
+def test_cuts_go_where_the_session_says_and_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "checkpoint_dir", lambda _: f"file://{tmp_path}")
+    rows = common.cut(spark.range(5))
+    other = common.cut(spark.range(0).selectExpr("id", "CAST(NULL AS STRING) AS s"))
+    assert rows.count() == 5 and other.count() == 0 and other.columns == ["id", "s"]
+    assert all(str(tmp_path) in f for f in rows.inputFiles())
+    common.drop_cut(rows)
+    assert len(os.listdir(tmp_path / "octoloom" / spark.sparkContext.applicationId)) == 1
+    common.clear_cuts(spark)
+    assert not os.listdir(tmp_path / "octoloom")
+
+
+def test_the_folder_of_the_session_is_used(spark):
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    assert common.checkpoint_dir(spark) == (named or common.DEFAULT_CHECKPOINT_DIR).rstrip("/")
+
+
+def test_fresh_names_ignore_case(spark):
+    df = spark.range(1).selectExpr("id AS Size", "id AS size_")
+    assert common.fresh(df, "size") == "size__"

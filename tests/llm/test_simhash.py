@@ -77,8 +77,7 @@ def test_links_are_all_pairs_within_two_bits(spark, limit):
         (max(a, b), min(a, b)) for i, a in enumerate(signed) for b in signed[i + 1 :] if ((a ^ b) % (1 << 64)).bit_count() <= 2
     }
     got = simhash.links(spark.createDataFrame([(v,) for v in signed], "fp long"), bucket_limit=limit)
-    assert {tuple(r) for r in got.collect()} == expected
-    assert got.count() == got.distinct().count() or limit == 2
+    assert sorted(tuple(r) for r in got.collect()) == sorted(expected)
 
 
 def test_components_of_long_chains_and_stars(spark):
