@@ -46,26 +46,32 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
     return F.concat_ws(CRLF, *head)
 
 
-def lay_out(pages: DataFrame, file_records: int = FILE_RECORDS) -> DataFrame:
-    """(page_id, file, offset, length, sha256, record) of pages as WARC files.
-
-    Files take about ``file_records`` records each, by the hash of id, address and content; inside a
-    file, records stand in hash order.  The table is cut, since offsets must not move between uses.
-    Null ids, addresses and bodies are empty text; repeated rows are records of their own.
-    """
+def warc_records(pages: DataFrame) -> DataFrame:
+    """(page_id, record, key, length, sha256) of pages; ``length`` counts the closing blank lines."""
     rows = pages.select("page_id", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
-    files = max(1, ceil(rows.count() / file_records))
-    rows = rows.select(
+    return rows.select(
         "page_id",
         "record",
         F.md5(F.col("record").cast("binary")).alias("key"),
         (F.octet_length("record") + 4).cast("long").alias("length"),
         F.sha2(F.col("record").cast("binary"), 256).alias("sha256"),
     )
+
+
+def lay_out(records: DataFrame, file_records: int = FILE_RECORDS, keep: tuple[str, ...] = ("record",)) -> DataFrame:
+    """(page_id, file, offset, length, sha256, and what to ``keep``) of records as WARC files.
+
+    Files take about ``file_records`` records each, by the hash of id, address and content; inside a
+    file, records stand in hash order.  The table is cut, since offsets must not move between uses;
+    contents move only if kept.  Null ids, addresses and bodies are empty text; repeated rows are
+    records of their own.
+    """
+    files = max(1, ceil(records.count() / file_records))
+    rows = records.select("page_id", "key", "length", "sha256", *keep)
     rows = rows.withColumn("file", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % files)
     before = Window.partitionBy("file").orderBy("key", "page_id").rowsBetween(Window.unboundedPreceding, -1)
     offset = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
-    return cut(rows.select("page_id", "file", offset, "length", "sha256", "record"))
+    return cut(rows.select("page_id", "file", offset, "length", "sha256", *keep))
 
 
 def write_warc(laid_out: DataFrame, path: str) -> None:
@@ -186,13 +192,17 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     )
 
 
-def damaged_copy(laid_out: DataFrame) -> DataFrame:
-    """Leaves of a second replica with known damage, to audit against where only one is at hand.
+def with_damage(records: DataFrame) -> DataFrame:
+    """``records`` with ``copy``: the hash of the record in a second replica with known damage.
 
-    Of the record's SHA-256, the first eight hex digits modulo 97 choose: 3, a byte of the content
-    is another; 5, the record is gone.
+    For audits where only one replica is at hand.  Of the record's SHA-256, the first eight hex digits
+    modulo 97 choose: 3, the content has a byte more; 5, the record is gone and ``copy`` is null.
     """
     lot = F.conv(F.substring("sha256", 1, 8), 16, 10).cast("long") % 97
     spoilt = F.sha2(F.concat(F.col("record"), F.lit("~")).cast("binary"), 256)
-    rows = laid_out.where(lot != 5)
-    return rows.select("file", "offset", "length", F.when(lot == 3, spoilt).otherwise(F.col("sha256")).alias("sha256"))
+    return records.withColumn("copy", F.when(lot == 3, spoilt).when(lot != 5, F.col("sha256")))
+
+
+def damaged_copy(laid_out: DataFrame) -> DataFrame:
+    """Leaves of the second replica of records ``with_damage``, at the offsets of the first."""
+    return laid_out.where("copy IS NOT NULL").select("file", "offset", "length", F.col("copy").alias("sha256"))

@@ -57,7 +57,8 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as WARC files, audited against a copy with known damage: the records that differ."""
-    laid_out = fixity.lay_out(table(spark, sf_dir, "pages"))
+    records = fixity.with_damage(fixity.warc_records(table(spark, sf_dir, "pages")))
+    laid_out = fixity.lay_out(records, keep=("copy",))
     found = fixity.audit(laid_out, fixity.damaged_copy(laid_out))
     names = laid_out.select("page_id", "file", "offset", "sha256")
     return found.join(names, ["file", "offset"]).select("page_id", "file", "offset", "length", "sha256", "status")

@@ -124,11 +124,11 @@ def test_pages_with_nulls_repeats_and_clashes(spark):
     assert sorted(str(r["page_id"]) for r in got) == ["1", "3", "3", "4", "None"]
     assert {(r["host"], r["rule"], r["verdict"]) for r in got} == {("", None, "allow"), ("a.com", "com/en/", "block")}
     assert urlfilter.judge(pages.limit(0)).count() == 0
-    laid_out = fixity.lay_out(pages)
+    laid_out = fixity.lay_out(fixity.warc_records(pages))
     assert laid_out.count() == 5
     leaves = laid_out.select("file", "offset", "length", "sha256")
     assert fixity.audit(leaves, leaves).count() == 0
-    empty = fixity.lay_out(pages.limit(0))
+    empty = fixity.lay_out(fixity.warc_records(pages.limit(0)))
     assert fixity.audit(empty, empty).count() == 0
     lost = fixity.audit(laid_out, empty).select("status", F.col("length")).collect()
     assert len(lost) == 5 and {r["status"] for r in lost} == {"missing"}

@@ -77,7 +77,8 @@ def test_fixity_query_equals_sql(same_as_sql):
 
 @pytest.fixture(scope="module")
 def laid_out(spark, small):
-    return fixity.lay_out(spark.read.parquet(f"{small}/pages.parquet"), 9)
+    records = fixity.with_damage(fixity.warc_records(spark.read.parquet(f"{small}/pages.parquet")))
+    return fixity.lay_out(records, 9, keep=("record", "copy"))
 
 
 def test_warc_files_there_and_back(spark, laid_out, tmp_path):
