@@ -6,17 +6,22 @@ from collections.abc import Callable
 
 import numpy as np
 
+#: (index and value of every entry, entries of each row) of some sparse rows.
 Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
 #: Rows of one block: what a step holds beside the sample is a block's share of it.
 BLOCK_ROWS = 256
 
 
 def stack(rows: list[tuple[np.ndarray, np.ndarray]]) -> Rows:
-    """(row of each entry, index, value) of sparse rows."""
-    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
+    sizes = np.array([len(i) for i, _ in rows], np.int64)
     index = np.concatenate([i for i, _ in rows]) if rows else np.zeros(0, np.int32)
     value = np.concatenate([v for _, v in rows]) if rows else np.zeros(0, np.float32)
-    return owner, index.astype(np.int32, copy=False), value.astype(np.float32, copy=False)
+    return index.astype(np.int32, copy=False), value.astype(np.float32, copy=False), sizes
+
+
+def owners(sizes: np.ndarray) -> np.ndarray:
+    """The row of every entry."""
+    return np.repeat(np.arange(len(sizes)), sizes)
 
 
 def sigmoid(z):
@@ -37,23 +42,33 @@ def adam(
     return params
 
 
+def take(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[Rows]:
+    """Sparse rows (index, value) in blocks; ``rows`` is emptied on the way."""
+    blocks = []
+    rows.reverse()
+    while rows:
+        blocks.append(stack([rows.pop() for _ in range(min(BLOCK_ROWS, len(rows)))]))
+    return blocks
+
+
+def linear(blocks: list[Rows], weights: np.ndarray) -> np.ndarray:
+    """The weighted sum of each row."""
+    sums = [np.bincount(owners(n), weights=weights[i] * v, minlength=len(n)) for i, v, n in blocks]
+    return np.concatenate(sums) if sums else np.zeros(0)
+
+
 def fit_logistic(
-    rows: list[tuple[np.ndarray, np.ndarray]],
-    labels: np.ndarray,
-    dims: int,
-    l2: float = 1e-6,
-    steps: int = 120,
-    rate: float = 0.5,
+    blocks: list[Rows], labels: np.ndarray, dims: int, l2: float = 1e-6, steps: int = 120, rate: float = 0.5
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch descent on the mean log loss; rows are (index, value)."""
+    """Weights and bias by full-batch descent on the mean log loss."""
     n = len(labels)
-    cuts = range(0, n, BLOCK_ROWS)
-    blocks = [(stack(rows[k : k + BLOCK_ROWS]), labels[k : k + BLOCK_ROWS]) for k in cuts]
+    parts = np.split(labels, np.cumsum([len(sizes) for *_, sizes in blocks])[:-1])
 
     def gradient(params):
         w, b = params
         gw, gb = l2 * w, 0.0
-        for (owner, index, value), y in blocks:
+        for (index, value, sizes), y in zip(blocks, parts, strict=True):
+            owner = owners(sizes)
             z = np.bincount(owner, weights=w[index] * value, minlength=len(y)) + b[0]
             off = (sigmoid(z) - y) / n
             gw += np.bincount(index, weights=off[owner] * value, minlength=dims)

@@ -3,13 +3,14 @@
 The classifier is a logistic regression over hashed word one- and two-grams and hashed character
 (UTF-8 byte) n-grams, each family as relative frequencies, so a text of any length is read whole.  It is
 fitted on a bounded sample of labelled rows, calibrated on a part kept from the fit (Platt), and
-scored in Arrow batches against a fixed threshold.  Only sampled rows reach the driver; the
-weights that go out have a fixed size.
+scored in Arrow batches against a fixed threshold.  One task fits the bounded
+sample; the driver sees its weights, whose number is fixed.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 from zlib import crc32
 
@@ -18,7 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .logistic import fit_logistic, fit_platt, sigmoid
+from .common import cut, drop_cut
+from .logistic import fit_logistic, fit_platt, linear, sigmoid, take
 
 #: Labelled rows that the fit takes at most (those first in hash order).
 SAMPLE_ROWS = 4_000
@@ -150,8 +152,30 @@ def sample(
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
+def fit_rows(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Model | None:
+    """The calibrated model of rows (doc_id, label, index, value), which are used up."""
+    rows.sort(key=lambda r: r[0])
+    y = np.array([r[1] for r in rows], float)
+    if not 0 < y.sum() < len(y):
+        return None
+    apart = np.array([crc32(str(r[0]).encode()) % 5 == 0 for r in rows])
+    if not 0 < y[~apart].sum() < (~apart).sum():
+        apart[:] = False
+    judged = take([r[2:] for r, a in zip(rows, apart, strict=True) if a])
+    fitted = take([r[2:] for r, a in zip(rows, apart, strict=True) if not a])
+    rows.clear()
+    weights, bias = fit_logistic(fitted, y[~apart], DIMS)
+    held, blocks = (apart, judged) if apart.any() else (~apart, fitted)
+    slope, offset = fit_platt(bias + linear(blocks, weights), y[held])
+    return Model(weights.astype(np.float32), bias, slope, offset)
+
+
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns) -> Model | None:
-    """The calibrated model, or None where the sample has not both classes."""
+    """The calibrated model, or None where the sample has not both classes.
+
+    The sample's features are made where the texts are.  One task reads them back and fits, since
+    their number is bounded; the driver receives the weights alone.
+    """
 
     @F.arrow_udf("index array<int>, value array<float>")
     def features(texts: pa.Array) -> pa.Array:
@@ -159,25 +183,25 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns)
         kind = pa.struct([("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
         return pa.array([{"index": i, "value": v} for i, v in pairs], kind)
 
+    def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for batch in batches:
+            columns = (batch["doc_id"].to_pylist(), batch["label"].to_pylist(), batch["index"], batch["value"])
+            for doc_id, label, index, value in zip(*columns, strict=True):
+                held.append((doc_id, label, index.values.to_numpy().copy(), value.values.to_numpy().copy()))
+        model = fit_rows(held)
+        if model:
+            fields = [model.weights.tobytes(), model.bias, model.slope, model.offset]
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in fields], ["weights", "bias", "slope", "offset"])
+
     got = sample(docs, labels, "quality", rows, **columns)
-    got = got.select("doc_id", "label", features(F.col("text").cast("binary")).alias("x"))
-    table = got.select("doc_id", "label", "x.index", "x.value").toArrow().sort_by("doc_id")
-    y = np.array(table["label"].to_pylist(), float)
-    if not 0 < y.sum() < len(y):
+    got = cut(got.select("doc_id", "label", features(F.col("text").cast("binary")).alias("x")))
+    plain = got.select("doc_id", F.col("label").cast("int").alias("label"), "x.index", "x.value").coalesce(1)
+    found = plain.mapInArrow(train, "weights binary, bias double, slope double, offset double").collect()
+    drop_cut(got)
+    if not found:
         return None
-    x = [
-        (i.values.to_numpy(), v.values.to_numpy())
-        for i, v in zip(table["index"], table["value"], strict=True)
-    ]
-    apart = np.array([crc32(str(i).encode()) % 5 == 0 for i in table["doc_id"].to_pylist()])
-    if not 0 < y[~apart].sum() < (~apart).sum():
-        apart[:] = False
-    del table
-    weights, bias = fit_logistic([r for r, a in zip(x, apart, strict=True) if not a], y[~apart], DIMS)
-    held = apart if apart.any() else ~apart
-    scores = np.array([bias + float(weights[i] @ v) for (i, v), a in zip(x, held, strict=True) if a])
-    slope, offset = fit_platt(scores, y[held])
-    return Model(weights.astype(np.float32), bias, slope, offset)
+    return Model(np.frombuffer(found[0]["weights"], np.float32), *found[0][1:])
 
 
 _RESULT = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, p_good double"

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .decontam import words_of
-from .logistic import adam, fit_platt, sigmoid, stack
+from .logistic import adam, fit_platt, owners, sigmoid, stack
 from .quality import sample
 
 #: Labelled rows that the fit takes at most (those first in hash order).
@@ -86,7 +86,8 @@ def fit_rows(rows: list[np.ndarray], labels: np.ndarray, apart: np.ndarray, step
     columns = np.full(1 << BITS, -1, np.int32)
     columns[used] = np.arange(len(used))
     slots = [(s := columns[r])[s >= 0] for r in rows]
-    owner, index, _ = stack([(s, np.ones(len(s))) for s, a in zip(slots, apart, strict=True) if not a])
+    index, _, sizes = stack([(s, np.ones(len(s))) for s, a in zip(slots, apart, strict=True) if not a])
+    owner = owners(sizes)
     n, dims = len(y), len(used)
     balance = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
     def gradient(params):
