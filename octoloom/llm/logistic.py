@@ -42,13 +42,41 @@ def adam(
     return params
 
 
-def take(rows: list[tuple[np.ndarray, np.ndarray]]) -> list[Rows]:
-    """Sparse rows (index, value) in blocks; ``rows`` is emptied on the way."""
-    blocks = []
-    rows.reverse()
-    while rows:
-        blocks.append(stack([rows.pop() for _ in range(min(BLOCK_ROWS, len(rows)))]))
-    return blocks
+class Blocks:
+    """Labelled sparse rows, stacked ``BLOCK_ROWS`` at a time as they come."""
+
+    def __init__(self):
+        self._full: list[Rows] = []
+        self._open: list[tuple[np.ndarray, np.ndarray]] = []
+        self._labels: list[float] = []
+
+    def add(self, index: np.ndarray, value: np.ndarray, label: float) -> None:
+        self._open.append((index, value))
+        self._labels.append(float(label))
+        if len(self._open) == BLOCK_ROWS:
+            self._close()
+
+    def _close(self) -> None:
+        if self._open:
+            self._full.append(stack(self._open))
+            self._open = []
+
+    def rows(self) -> list[Rows]:
+        self._close()
+        return self._full
+
+    def labels(self) -> np.ndarray:
+        return np.array(self._labels)
+
+    def mixed(self) -> bool:
+        """Whether both classes are among the rows."""
+        return 0 < sum(self._labels) < len(self._labels)
+
+    def joined(self, other: Blocks) -> Blocks:
+        both = Blocks()
+        both._full = self.rows() + other.rows()
+        both._labels = self._labels + other._labels
+        return both
 
 
 def linear(blocks: list[Rows], weights: np.ndarray) -> np.ndarray:

@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, drop_cut
-from .logistic import fit_logistic, fit_platt, linear, sigmoid, take
+from .logistic import Blocks, fit_logistic, fit_platt, linear, sigmoid
 
 #: Labelled rows that the fit takes at most (those first in hash order).
 SAMPLE_ROWS = 4_000
@@ -152,53 +151,45 @@ def sample(
     return texts.join(F.broadcast(chosen), "doc_id")
 
 
-def fit_rows(rows: list[tuple[int, int, np.ndarray, np.ndarray]]) -> Model | None:
-    """The calibrated model of rows (doc_id, label, index, value), which are used up."""
-    rows.sort(key=lambda r: r[0])
-    y = np.array([r[1] for r in rows], float)
-    if not 0 < y.sum() < len(y):
+def fit_rows(rows: Iterator[tuple[int, int, bytes | None]]) -> Model | None:
+    """The calibrated model of rows (doc_id, label, text), read once; every fifth calibrates.
+
+    Only the sparse features are held, in blocks.
+    """
+    fitted, judged = Blocks(), Blocks()
+    for doc_id, label, text in rows:
+        (judged if crc32(str(doc_id).encode()) % 5 == 0 else fitted).add(*sparse(Text(text)), label)
+    if not fitted.mixed():
+        fitted, judged = fitted.joined(judged), Blocks()
+    if not fitted.mixed():
         return None
-    apart = np.array([crc32(str(r[0]).encode()) % 5 == 0 for r in rows])
-    if not 0 < y[~apart].sum() < (~apart).sum():
-        apart[:] = False
-    judged = take([r[2:] for r, a in zip(rows, apart, strict=True) if a])
-    fitted = take([r[2:] for r, a in zip(rows, apart, strict=True) if not a])
-    rows.clear()
-    weights, bias = fit_logistic(fitted, y[~apart], DIMS)
-    held, blocks = (apart, judged) if apart.any() else (~apart, fitted)
-    slope, offset = fit_platt(bias + linear(blocks, weights), y[held])
+    weights, bias = fit_logistic(fitted.rows(), fitted.labels(), DIMS)
+    held = judged if judged.labels().size else fitted
+    slope, offset = fit_platt(bias + linear(held.rows(), weights), held.labels())
     return Model(weights.astype(np.float32), bias, slope, offset)
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, **columns) -> Model | None:
     """The calibrated model, or None where the sample has not both classes.
 
-    The sample's features are made where the texts are.  One task reads them back and fits, since
-    their number is bounded; the driver receives the weights alone.
+    One task reads the sample's texts in order of their ids and fits, since their number is
+    bounded; the driver receives the weights alone.
     """
 
-    @F.arrow_udf("index array<int>, value array<float>")
-    def features(texts: pa.Array) -> pa.Array:
-        pairs = [sparse(Text(t.as_py())) for t in texts]
-        kind = pa.struct([("index", pa.list_(pa.int32())), ("value", pa.list_(pa.float32()))])
-        return pa.array([{"index": i, "value": v} for i, v in pairs], kind)
-
     def train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = []
-        for batch in batches:
-            columns = (batch["doc_id"].to_pylist(), batch["label"].to_pylist(), batch["index"], batch["value"])
-            for doc_id, label, index, value in zip(*columns, strict=True):
-                held.append((doc_id, label, index.values.to_numpy().copy(), value.values.to_numpy().copy()))
-        model = fit_rows(held)
+        model = fit_rows(
+            (i.as_py(), y.as_py(), t.as_py())
+            for batch in batches
+            for i, y, t in zip(batch["doc_id"], batch["label"], batch["text"], strict=True)
+        )
         if model:
             fields = [model.weights.tobytes(), model.bias, model.slope, model.offset]
             yield pa.RecordBatch.from_arrays([pa.array([x]) for x in fields], ["weights", "bias", "slope", "offset"])
 
     got = sample(docs, labels, "quality", rows, **columns)
-    got = cut(got.select("doc_id", "label", features(F.col("text").cast("binary")).alias("x")))
-    plain = got.select("doc_id", F.col("label").cast("int").alias("label"), "x.index", "x.value").coalesce(1)
-    found = plain.mapInArrow(train, "weights binary, bias double, slope double, offset double").collect()
-    drop_cut(got)
+    got = got.select("doc_id", F.col("label").cast("int").alias("label"), F.col("text").cast("binary").alias("text"))
+    ordered = got.repartition(1).sortWithinPartitions("doc_id", "text")
+    found = ordered.mapInArrow(train, "weights binary, bias double, slope double, offset double").collect()
     if not found:
         return None
     return Model(np.frombuffer(found[0]["weights"], np.float32), *found[0][1:])
