@@ -1,8 +1,10 @@
 """Format-preserving Feistel pseudonyms for personal data.  DataFrame functions only.
 
-One expression finds candidates: mail addresses, IBANs, dates, IPv4 addresses, US social security
-numbers, telephone numbers and card numbers.  Each is validated (Luhn, mod 97, calendar, octets,
-number rules); what fails stays as it is.  A valid value is split from its punctuation and run
+One expression finds every place where a candidate may begin: mail addresses, IBANs, dates, IPv4
+addresses, US social security numbers, telephone numbers and card numbers.  At each place all shapes
+and lengths are tried and validated (Luhn, mod 97, calendar, octets, number rules), and valid values
+are chosen from left to right, so values next to each other do not hide each other; what is not
+valid stays as it is.  A valid value is split from its punctuation and run
 through a keyed balanced Feistel network whose round function is SHA-256 and whose addition is
 character by character within digits or letters, or modulo the domain for dates and addresses.  So
 every pseudonym has the value's length, character classes and punctuation, is valid again (check
@@ -31,25 +33,61 @@ DAY_HALVES = (270, 271)
 WALK = 24
 
 _B, _E = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
+_MAIL_B = "(?<![A-Za-z0-9._%+-])"
 EMAIL = r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
-IBAN = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"
-ISO_DATE = r"[0-9]{4}([-/.])[0-9]{2}\1[0-9]{2}"
-DAY_DATE = r"[0-9]{2}([-/.])[0-9]{2}\1[0-9]{4}"
+IBAN_HEAD = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2}"
+ISO_DATE = r"[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{2}"
+DAY_DATE = r"[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}"
 IPV4 = r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}"
 SSN = r"[0-9]{3}-[0-9]{2}-[0-9]{4}"
 PHONE = r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}"
-WORLD_PHONE = r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?){2,5}"
+#: Number groups after the country code of a phone; the most that fit are tried first.
+WORLD_GROUPS = (5, 4, 3, 2)
+WORLD_PHONE = r"\+[0-9]{1,3}(?:[ .-]?\(?[0-9]{2,4}\)?)"
+#: Cards as they are printed: in one piece, 4-4-4-4, 4-6-5, 4-6-4 and 4-4-4-4 with 1 to 3 more.
+PRINTED_CARDS = (
+    r"[1-9][0-9]{12,18}",
+    r"[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}",
+    r"3[0-9]{3}[ -]?[0-9]{6}[ -]?[0-9]{4,5}",
+    r"[2-6][0-9]{3}(?:[ -]?[0-9]{4}){3}[ -]?[0-9]{1,3}",
+)
+#: Any 13 to 19 digits: tried where no digit leads up to it, and as far as it goes.
 CARD = r"[0-9](?:[ -]?[0-9]){12,18}"
-
-
-def _numbered(pattern: str, group: int) -> str:
-    return pattern.replace(r"\1", rf"\{group}")
-
-
-_SHAPES = "|".join(
-    [IBAN, _numbered(ISO_DATE, 1), _numbered(DAY_DATE, 2), IPV4, SSN, CARD, PHONE, WORLD_PHONE]
+#: Inside longer runs of digits, cards in groups of three or more have to begin as an issuer's do.
+CARD_GROUPS = r"[0-9]{3,}(?:[ -][0-9]{3,})*"
+ISSUED = (
+    r"4(?:[0-9]{12}|[0-9]{15}|[0-9]{18})|(?:5[1-5]|2[2-7])[0-9]{14}|3[47][0-9]{13}|3[0689][0-9]{12,17}"
+    r"|(?:35|6[0245])[0-9]{14,17}|(?:50|5[6-9]|6[0-9])[0-9]{11,17}"
+)
+#: Lengths of account numbers by country (registry of ISO 13616).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK MN",
+    21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+#: Longest candidate other than a mail address, and the character after it.
+WINDOW = 48
+
+
+def _account(country: str, length: int) -> str:
+    groups, rest = divmod(length - 4, 4)
+    return rf"(?:{country})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{groups}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else "")
+
+
+IBAN = "|".join(_account(codes.replace(" ", "|"), n) for n, codes in IBAN_LENGTHS.items())
+_LISTED = " ".join(IBAN_LENGTHS.values()).replace(" ", "|")
+#: Countries without a known length: every end of a group, the longest first.
+OTHER_IBANS = tuple(
+    rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{k}}}{tail}"
+    for k in range(7, 1, -1)
+    for tail in (" ?[A-Z0-9]{1,3}", "")
 )
-CANDIDATE = rf"(?<![A-Za-z0-9._%+-]){EMAIL}{_E}|{_B}(?:{_SHAPES}){_E}"
+
+_SHAPES = "|".join([IBAN_HEAD, ISO_DATE, DAY_DATE, IPV4, SSN, PHONE, WORLD_PHONE + "{2}", r"[0-9](?:[ -]?[0-9]){12}"])
+#: Every place where a candidate may begin; of no width, so that candidates may overlap.
+START = rf"(?:{_MAIL_B}(?={EMAIL}{_E})|{_B}(?=[0-9A-Z(+])(?={_SHAPES}))"
+_AHEAD = rf"(?s){START}(?=({EMAIL}{_E}|.{{1,{WINDOW}}}))"
 
 
 def _is(text: Column, shape: str) -> Column:
@@ -170,20 +208,119 @@ def _day(text: Column) -> Column:
     return F.when((past >= 0) & (past < DAYS), past)
 
 
-def kind_of(text: Column) -> Column:
-    """The kind of a valid candidate, else null."""
+def _valid(kind: Column, text: Column) -> Column:
+    """Whether a candidate of a kind's shape is one of its values."""
     account = F.regexp_replace(text, " ", "")
+    number = digits(text)
     return (
-        F.when(text.contains("@"), "email")
-        .when(_is(text, IBAN) & (F.length(account).between(15, 34)) & (_mod97(account) == 1), "iban")
-        .when(_is(text, f"{ISO_DATE}|{_numbered(DAY_DATE, 2)}"), F.when(_day(text).isNotNull(), "date"))
-        .when(_is(text, IPV4), F.when(~F.exists(_octets(text), lambda x: x > 255), "ipv4"))
-        .when(_is(text, SSN), F.when(_ssn_valid(digits(text)), "ssn"))
-        .when(_is(text, CARD) & (luhn_sum(digits(text)) == 0) & ~text.startswith("0"), "card")
-        .when(_is(text, f"{PHONE}|{WORLD_PHONE}") & F.length(digits(text)).between(8, 15), "phone")
+        F.when(text == "", False)
+        .when(kind == "email", True)
+        .when(kind == "iban", F.length(account).between(15, 34) & (_mod97(account) == 1))
+        .when(kind == "date", _day(text).isNotNull())
+        .when(kind == "ipv4", ~F.exists(_octets(text), lambda x: x > 255))
+        .when(kind == "ssn", _ssn_valid(number))
+        .when(kind == "phone", F.length(number).between(8, 15))
+        .otherwise((luhn_sum(number) == 0) & ~text.startswith("0"))
+    )
+
+
+#: Of two candidates that overlap: no other displaces ``FIRM`` ones; ``PHONES`` give way to firm ones
+#: inside and to what they would cut; ``LOOSE`` cards give way to all others.  ``INNER`` are loose too.
+FIRM, PHONES, LOOSE, INNER = 0, 2, 3, 4
+#: Kinds that are no reason to give a phone up unless it would cut them.
+PLAIN = 1
+
+
+def candidates(ahead: Column) -> Column:
+    """Valid (kind, value, rank) that begin where ``ahead`` does, the preferred first."""
+
+    def listed(kind: str, rank: int, *shapes: str) -> list[Column]:
+        return [
+            F.struct(
+                F.lit(kind).alias("kind"),
+                F.regexp_extract(ahead, f"^(?:{shape}){_E}", 0).alias("value"),
+                F.lit(rank).alias("rank"),
+            )
+            for shape in shapes
+        ]
+
+    none = F.array().cast("array<struct<kind:string,value:string,rank:int>>")
+
+    def where(test: Column, *rows: Column) -> Column:
+        return F.when(test, F.array(*rows)).otherwise(none)
+
+    by_digits = [rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1)]
+    shaped = F.concat(
+        F.array(*listed("email", FIRM, EMAIL)),
+        where(ahead.rlike("^[A-Z]{2}[0-9]{2}"), *listed("iban", FIRM, IBAN, *OTHER_IBANS)),
+        where(
+            ahead.rlike("^[0-9]"),
+            *listed("date", PLAIN, ISO_DATE, DAY_DATE),
+            *listed("ipv4", PLAIN, IPV4),
+            *listed("ssn", PLAIN, SSN),
+        ),
+        where(ahead.rlike("^[0-9](?:[ -]?[0-9]){12}"), *listed("card", FIRM, *PRINTED_CARDS)),
+        where(
+            ahead.rlike("^[0-9(+]"),
+            *listed("phone", PHONES, PHONE, *[f"{WORLD_PHONE}{{{n}}}" for n in WORLD_GROUPS]),
+        ),
+        where(
+            ahead.rlike("^[0-9](?:[ -]?[0-9]){12}"),
+            *listed("card", LOOSE, CARD),
+            *listed("card", INNER, *by_digits),
+        ),
+    )
+    return F.filter(
+        shaped,
+        lambda s: _valid(s["kind"], s["value"])
+        & ((s["rank"] != INNER) | (_is(s["value"], CARD_GROUPS) & _is(digits(s["value"]), ISSUED))),
     )
 
 
+def _displaced(places: Column, place: Column, at: Column, one: Column) -> Column:
+    """Whether a better candidate begins inside ``one``, which begins at the place of index ``at``."""
+    size = F.length(one["value"])
+
+    def beats(other: Column, offset: Column) -> Column:
+        cut_off = offset + F.length(other["value"]) > size
+        return (other["rank"] < LOOSE) & ((one["rank"] >= LOOSE) | (other["rank"] == FIRM) | cut_off)
+
+    def step(s: Column, p: Column) -> Column:
+        inside = (s["offset"] < size) & F.exists(p["list"], lambda other: beats(other, s["offset"]))
+        return F.struct((s["offset"] + p["size"]).alias("offset"), (s["hit"] | inside).alias("hit"))
+
+    start = F.struct(place["size"].alias("offset"), F.lit(False).alias("hit"))
+    return F.aggregate(F.slice(places, at + 2, F.lit(WINDOW)), start, step, lambda s: s["hit"])
+
+
+def _choose(places: Column) -> Column:
+    """(piece, kind, value) from left to right, no two of which overlap.
+
+    The first candidate of a place that is not displaced is taken.  Loose cards are taken only
+    where digits do not lead up to them, or where those belong to the value before.
+    """
+    start = F.struct(
+        F.lit(0).alias("at"),
+        F.lit(-2).alias("end"),
+        F.array().cast("array<struct<piece:int,kind:string,value:string>>").alias("out"),
+    )
+
+    def step(s: Column, p: Column) -> Column:
+        free = F.filter(
+            p["list"], lambda c: (c["rank"] != LOOSE) | ~p["led_up"] | ((s["at"] - s["end"]).between(0, 1))
+        )
+        first = F.when(s["at"] >= s["end"], F.get(free, F.lit(0)))
+        taken = first.isNotNull()
+        row = F.struct(p["piece"].alias("piece"), first["kind"].alias("kind"), first["value"].alias("value"))
+        return F.struct(
+            (s["at"] + p["size"]).alias("at"),
+            F.when(taken, s["at"] + F.length(first["value"])).otherwise(s["end"]).alias("end"),
+            F.when(taken, F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"),
+        )
+
+    return F.aggregate(places, start, step, lambda s: s["out"])
+
+
 def _refill(shape: Column, chars: Column) -> Column:
     """``shape`` with its letters and digits replaced, in order, by ``chars``."""
     start = F.struct(F.lit("").alias("out"), F.lit(1).alias("at"))
@@ -255,27 +392,61 @@ def with_pseudonyms(
     they are.  Texts are read whole.  Repeated rows and repeated values get equal pseudonyms.
     Other columns are passed on untouched.
     """
-    found, gaps = fresh(docs, "found"), fresh(docs, "gaps")
+    found, gaps, spots = fresh(docs, "found"), fresh(docs, "gaps"), fresh(docs, "spots")
     text = F.col(text_col)
+    led = F.concat(F.lit("\n"), text)  # nothing begins at its first character, so piece 0 is never a candidate
     none = F.array().cast("array<string>")
-    some = F.coalesce(text.rlike(CANDIDATE), F.lit(False))
-    out = docs.withColumn(found, F.when(some, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))).otherwise(none))
+    some = F.coalesce(text.rlike(START), F.lit(False))
+    out = docs.withColumn(gaps, F.when(some, F.split(led, START, -1)).otherwise(none))
+    out = out.withColumn(spots, F.when(some, F.regexp_extract_all(led, F.lit(_AHEAD), F.lit(1))).otherwise(none))
+    pieces = F.col(gaps)
+    out = out.withColumn(
+        spots,
+        F.transform(
+            F.col(spots),
+            lambda ahead, i: F.struct(
+                (i + 1).alias("piece"),
+                F.length(F.get(pieces, i + 1)).alias("size"),
+                F.get(pieces, i).rlike(r"[0-9][ -]\z").alias("led_up"),
+                candidates(ahead).alias("list"),
+            ),
+        ),
+    )
+    places = F.col(spots)
+    out = out.withColumn(
+        spots,
+        F.transform(
+            places,
+            lambda p, i: p.withField(
+                "list", F.filter(p["list"], lambda c: ~((c["rank"] >= PHONES) & _displaced(places, p, i, c)))
+            ),
+        ),
+    )
     out = out.withColumn(
         found,
         F.transform(
-            F.transform(F.col(found), lambda m: F.struct(m.alias("value"), kind_of(m).alias("kind"))),
-            lambda s: F.struct(s["value"], s["kind"], pseudonym(s["value"], s["kind"], key).alias("pseudonym")),
+            _choose(places),
+            lambda s: F.struct(
+                s["piece"], s["kind"], s["value"], pseudonym(s["value"], s["kind"], key).alias("pseudonym")
+            ),
         ),
     )
-    out = out.withColumn(gaps, F.when(some, F.split(text, CANDIDATE, -1)).otherwise(F.array(text)))
-    pieces = F.transform(
-        F.col(gaps),
-        lambda gap, i: F.concat(
-            gap, F.coalesce(F.get(F.col(found), i)["pseudonym"], F.get(F.col(found), i)["value"], F.lit(""))
+    valid = F.col(found)
+
+    def joined(first: Column, end: Column) -> Column:
+        return F.array_join(F.slice(pieces, first + 1, end - first), "")
+
+    rewritten = F.transform(
+        valid,
+        lambda s, k: F.concat(
+            s["pseudonym"],
+            F.substr(
+                joined(s["piece"], F.coalesce(F.get(valid, k + 1)["piece"], F.size(pieces))), F.length(s["value"]) + 1
+            ),
         ),
     )
-    valid = F.filter(F.col(found), lambda s: s["kind"].isNotNull())
-    rebuilt = F.when(F.size(valid) > 0, F.array_join(pieces, "")).otherwise(text)
+    head = F.substr(joined(F.lit(0), F.get(valid, F.lit(0))["piece"]), F.lit(2))
+    rebuilt = F.when(F.size(valid) > 0, F.concat(head, F.array_join(rewritten, ""))).otherwise(text)
     listed = F.transform(valid, lambda s: F.struct(s["kind"].alias("kind"), s["pseudonym"].alias("pseudonym")))
     columns = [rebuilt.alias(c) if c == text_col else F.col(c) for c in docs.columns]
     return out.select(*columns, listed.alias(fresh(docs, name)))

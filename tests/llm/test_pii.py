@@ -49,6 +49,39 @@ def test_valid_values_change_within_their_format(spark, kind):
     assert [n[0][0] for n in found_again] == [kind] * len(values)  # pseudonyms are valid themselves
 
 
+NEIGHBOURS = {
+    "4111 1111 1111 1111 12/27": ["card:4111 1111 1111 1111"],
+    "4111 1111 1111 1111 123": ["card:4111 1111 1111 1111"],
+    "2 4111111111111111": ["card:4111111111111111"],
+    "1235 4111 1111 1111 1111": ["card:4111 1111 1111 1111"],
+    "3782 822463 10005 4111-1111-1111-1111": ["card:3782 822463 10005", "card:4111-1111-1111-1111"],
+    "12 41111 11111 111111 27": ["card:41111 11111 111111"],
+    "212-555-0187 212-555-0188": ["phone:212-555-0187", "phone:212-555-0188"],
+    "212-555-0187 2024-01-15": ["phone:212-555-0187", "date:2024-01-15"],
+    "2024-01-15 212-555-0187": ["date:2024-01-15", "phone:212-555-0187"],
+    "123-45-6789 4111111111111111": ["ssn:123-45-6789", "card:4111111111111111"],
+    "+44 20 7946 0958 2024-01-15": ["phone:+44 20 7946 0958", "date:2024-01-15"],
+    "+44 20 7946 0958 212-555-0188": ["phone:+44 20 7946 0958", "phone:212-555-0188"],
+    "AT61 1904 3002 3457 3201 BIC": ["iban:AT61 1904 3002 3457 3201"],
+    "GB82WEST12345698765432 DE89 3704 0044 0532 0130 00": ["iban:GB82WEST12345698765432", "iban:DE89 3704 0044 0532 0130 00"],
+    "AT61 1904 3002 3457 3201 4111111111111111 bo@x.org": ["iban:AT61 1904 3002 3457 3201", "card:4111111111111111", "email:bo@x.org"],
+    "10.0.0.1 4111111111111111": ["ipv4:10.0.0.1", "card:4111111111111111"],
+}
+
+
+def test_values_next_to_each_other_are_all_found(spark):
+    texts = [f"{before}{t}{after}" for t in NEIGHBOURS for before, after in (("", ""), ("\u00e9 see ", ", then"))]
+    got, found = rewrite(spark, texts)
+    for text, new, names, wanted in zip(texts, got, found, [w for w in NEIGHBOURS.values() for _ in (0, 1)], strict=True):
+        assert [k for k, _ in names] == [w.split(":", 1)[0] for w in wanted], text
+        expected, at = "", 0
+        for (_, name), value in zip(names, [w.split(":", 1)[1] for w in wanted], strict=True):
+            place = text.index(value, at)
+            assert name != value
+            expected, at = expected + text[at:place] + name, place + len(value)
+        assert new == expected + text[at:]
+
+
 def test_invalid_values_stay(spark):
     texts = [
         "card 4111111111111112", "ip 300.1.1.1", "date 2021-02-29 or 1750-01-01", "ssn 000-12-3456", "iban DE88370400440532013000",
