@@ -5,7 +5,10 @@ that the two meet, and the words under it (with a tenth to spare on both sides)
 is compressed plain and with the template as a raw zstandard dictionary: the bytes saved, as a
 share of what the template saves on itself, rank the templates.  Ranked templates are then
 confirmed by their exact wording: the words of the template missing from the block, and the words
-of the block put between them, must stay within a tenth of the template.
+of the block put between them, must stay within a tenth of the template, and the words that tell
+licenses apart (names, versions, Lesser, NonCommercial and such) must be the same.  Where confirmed
+places of different licenses overlap, the one with the most words counts.  SPDX identifiers are read
+as they stand.
 
 Blocks are as long as a template, however long the text; texts are read whole.
 Documents are scored where they lie; nothing is shuffled.
@@ -36,6 +39,17 @@ _AS_IS = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT '
     "LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT."
 )
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+    "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
+    "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
+    "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+    "documentation and/or other materials provided with the distribution."
+)
+_NEITHER = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
+    "products derived from this software without specific prior written permission."
+)
 #: Notices and texts by the names that SPDX gives the licenses.  Fixed values.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -73,14 +87,7 @@ TEMPLATES = (
         "Public License as published by the Free Software Foundation, either version 3 of the License, or (at your "
         "option) any later version.",
     ),
-    (
-        "BSD-2-Clause",
-        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
-        "that the following conditions are met: 1. Redistributions of source code must retain the above copyright "
-        "notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must "
-        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
-        "documentation and/or other materials provided with the distribution.",
-    ),
+    ("BSD-2-Clause", _BSD_2),
     (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL "
@@ -92,7 +99,64 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("LicenseRef-reserved", "All rights reserved."),
+    *(
+        (f"{short}-{number}.0" if "." not in number else f"{short}-{number}", text.format(name=name, number=number))
+        for short, name, number in (
+            ("GPL", "General", "2"), ("GPL", "General", "3"), ("LGPL", "Library General", "2"),
+            ("LGPL", "Lesser General", "2.1"), ("LGPL", "Lesser General", "3"), ("AGPL", "Affero General", "3"),
+        )
+        for text in (
+            "This work is licensed under the GNU {name} Public License, version {number}.",
+            "Licensed under the GNU {name} Public License, version {number}.",
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {name} "
+            "Public License as published by the Free Software Foundation; either version {number} of the License, or "
+            "(at your option) any later version.",
+            "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {name} "
+            "Public License version {number} as published by the Free Software Foundation.",
+        )
+    ),
+    ("BSD-3-Clause", _BSD_2 + " 3. " + _NEITHER),
+    (
+        "BSD-4-Clause",
+        _BSD_2 + " 3. All advertising materials mentioning features or use of this software must display the "
+        "following acknowledgement: This product includes software developed by the copyright holder. 4. " + _NEITHER,
+    ),
+    ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    (
+        "0BSD",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted.",
+    ),
+    *((f"CC-{kind}-4.0", f"Licensed under CC {kind} 4.0.") for kind in ("BY-ND", "BY-NC-SA", "BY-NC-ND")),
+    *(
+        (f"CC-{kind}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.")
+        for kind, name in (
+            ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"),
+            ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"),
+            ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"),
+        )
+    ),
+)
+
+#: Words that tell licenses apart wherever they stand.
+_NAMES = re.compile(
+    r"lesser|affero|gnu|apache|mozilla|mit|bsd|isc|\d-clause|.*(?:non-?commercial|share-?alike|no-?deriv).*"
 )
+_VERSION = re.compile(r"(?:[a-z]*-|v)?(\d+(?:\.\d+)+)|v(\d+)")
+#: What follows a license's words where they are only the first part of another's.
+_GOES_ON = {"BSD-2-Clause": re.compile(r"\b(?:neither|advertising)\b")}
+_GOES_ON_WORDS = 12
+
+_SPDX_ID = r"(?:\(\s*)*[A-Za-z0-9][A-Za-z0-9.+-]*(?:\s*\))*"
+_SPDX = re.compile(rf"(?i:SPDX-License-Identifier):\s*({_SPDX_ID}(?:\s+(?:OR|AND|WITH|or|and|with)\s+{_SPDX_ID})*)")
+_KNOWN_IDS = {
+    i.lower(): i
+    for i in (
+        *(name for name, _ in TEMPLATES), *"MPL-1.1 EPL-1.0 EPL-2.0 Zlib BSL-1.0 CC0-1.0 WTFPL PostgreSQL MIT-0 GPL-1.0".split(),
+        *"Artistic-2.0 EUPL-1.2 Python-2.0 X11 NCSA CDDL-1.0 OFL-1.1 AFL-3.0 MS-PL Ruby Vim Beerware curl".split(),
+    )
+}
 
 _MARK = re.compile(MARK)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
@@ -102,6 +166,39 @@ def normal_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def telling(words: list[str]) -> list[str]:
+    """The words that tell licenses apart, in order; 3, 3.0 and v3 are one version."""
+    out = []
+    for i, word in enumerate(words):
+        version = _VERSION.fullmatch(word)
+        if version:
+            out.append(re.sub(r"(?:\.0)+$", "", version[1] or version[2]))
+        elif word.isdigit() and i and words[i - 1] in ("version", "v"):
+            out.append(word)
+        elif _NAMES.fullmatch(word) or (word == "library" and words[i + 1 : i + 2] == ["general"]):
+            out.append(word)
+    return out
+
+
+def spdx_names(text: str) -> set[str]:
+    """The licenses of all SPDX lines, without -only, -or-later, + and exceptions."""
+    names = set()
+    for line in _SPDX.finditer(text):
+        before = ""
+        for part in re.findall(r"[A-Za-z0-9][A-Za-z0-9.+-]*", line[1]):
+            if part.lower() in ("or", "and", "with"):
+                before = part
+                continue
+            plain = re.sub(r"(?i)(?:-only|-or-later|\+)$", "", part.rstrip(".-"))
+            known = _KNOWN_IDS.get(plain.lower())
+            if before.islower() and not known:
+                break  # the sentence goes on in prose
+            looks = re.search(r"\d|^[A-Z]", plain) and plain.upper() not in ("NONE", "NOASSERTION")
+            if before.upper() != "WITH" and (known or looks):
+                names.add(known or plain)
+    return names
+
+
 @dataclass(frozen=True)
 class Found:
     license: str
@@ -120,18 +217,20 @@ class Template:
             raise ValueError(f"template without a word of licensing: {name}")
         dictionary = zstandard.ZstdCompressionDict(self.body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.with_dict = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False)
+        self.telling = telling(self.words)
         self.own = max(1, _plain(self.body) - len(self.with_dict.compress(self.body)))
 
     def gain(self, block: bytes, plain: int) -> float:
         return (plain - len(self.with_dict.compress(block))) / self.own
 
-    def differences(self, block: list[str]) -> tuple[int, int]:
-        """Template words missing from the best place of the block, and words put between."""
+    def differences(self, block: list[str]) -> tuple[int, int, int, int]:
+        """Template words missing from the best place of the block, words put between, and that place."""
         runs = SequenceMatcher(None, self.words, block, autojunk=False).get_matching_blocks()[:-1]
         matched = sum(r.size for r in runs)
         if not matched:
-            return len(self.words), 0
-        return len(self.words) - matched, runs[-1].b + runs[-1].size - runs[0].b - matched
+            return len(self.words), 0, 0, 0
+        first, end = runs[0].b, runs[-1].b + runs[-1].size
+        return len(self.words) - matched, end - first - matched, first, end
 
 
 def _plain(block: bytes) -> int:
@@ -150,29 +249,68 @@ class Scanner:
         if not text or not re.search(ANCHOR, text):
             return []
         words = normal_words(text)
-        best: dict[str, Found] = {}
+        places: dict[tuple[int, int, str], Found] = {}
         for at, word in enumerate(words):
             stem = _MARK.search(word)
-            for found in self._confirmed(words, at, self.by_mark.get(stem[0], ())) if stem else ():
-                old = best.get(found.license)
-                if old is None or (found.missing + found.added, -found.gain) < (old.missing + old.added, -old.gain):
-                    best[found.license] = found
+            for first, end, found in self._confirmed(words, at, self.by_mark.get(stem[0], ())) if stem else ():
+                old = places.get((first, end, found.license))
+                if old is None or _order(found) < _order(old):
+                    places[first, end, found.license] = found
+        best = {name: Found(name, 1.0, 0, 0) for name in spdx_names(text)}
+        for found in _winners(places):
+            if found.license not in best or _order(found) < _order(best[found.license]):
+                best[found.license] = found
         return sorted(best.values(), key=lambda f: f.license)
 
-    def _confirmed(self, words: list[str], at: int, laid: list[tuple[Template, int]]) -> Iterator[Found]:
+    def _confirmed(
+        self, words: list[str], at: int, laid: list[tuple[Template, int]]
+    ) -> Iterator[tuple[int, int, Found]]:
         ranked = []
         for k, (template, place) in enumerate(laid):
-            first = at - place
-            block = words[max(0, first - template.slack) : max(0, first + len(template.words) + template.slack)]
+            first = max(0, at - place - template.slack)
+            block = words[first : max(0, at - place + len(template.words) + template.slack)]
             body = " ".join(block).encode()
-            ranked.append((template.gain(body, _plain(body)), -k, block))
-        for gain, k, block in sorted(ranked, reverse=True):
+            ranked.append((template.gain(body, _plain(body)), -k, first, block))
+        for gain, k, start, block in sorted(ranked, reverse=True):
             if gain < LEAST_GAIN:
                 return
             template = laid[-k][0]
-            missing, added = template.differences(block)
-            if missing + added <= len(template.words) * MOST_CHANGED:
-                yield Found(template.name, round(gain, 4), missing, added)
+            missing, added, first, end = template.differences(block)
+            if missing + added > len(template.words) * MOST_CHANGED or telling(block[first:end]) != template.telling:
+                continue
+            goes_on = _GOES_ON.get(template.name)
+            if goes_on and goes_on.search(" ".join(words[start + end : start + end + _GOES_ON_WORDS])):
+                continue
+            yield start + first, start + end, Found(template.name, round(gain, 4), missing, added)
+
+
+def _order(found: Found) -> tuple[int, float]:
+    return found.missing + found.added, -found.gain
+
+
+def _winners(places: dict[tuple[int, int, str], Found]) -> Iterator[Found]:
+    """Places that no longer place of another license overlaps."""
+    held: list[tuple[int, int, str]] = []  # by first word; those of one license may overlap
+    reach = 0
+    for (first, end, name), found in sorted(places.items(), key=lambda p: (p[0][0], -p[0][1])):
+        if first >= reach:
+            yield from _longest(held, places)
+            held = []
+        held.append((first, end, name))
+        reach = max(reach, end)
+    yield from _longest(held, places)
+
+
+def _longest(held: list[tuple[int, int, str]], places: dict[tuple[int, int, str], Found]) -> Iterator[Found]:
+    def rank(place: tuple[int, int, str]) -> tuple[int, tuple[int, float]]:
+        found = places[place]
+        return found.added - (place[1] - place[0]), _order(found)
+
+    kept: list[tuple[int, int, str]] = []
+    for place in sorted(held, key=rank):
+        if all(place[2] == k[2] or place[1] <= k[0] or k[1] <= place[0] for k in kept):
+            kept.append(place)
+            yield places[place]
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES) -> DataFrame:

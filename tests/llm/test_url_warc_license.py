@@ -168,3 +168,37 @@ def test_scan_query_against_plain_search(spark, small):
         expected = sorted({n for n, t in wanted if f" {t} " in words})
         assert r["licenses"] == ",".join(expected)
         assert (r["n_licenses"], r["n_changed_words"]) == (len(expected), 0)
+
+
+NOTICE = (
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public License as "
+    "published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+)
+BSD_2 = next(t for n, t in licenses.TEMPLATES if n == "BSD-2-Clause")
+APART = [
+    *[(f"This work is licensed under the GNU General Public License, version {v}.", w) for v, w in (("1", []), ("2", ["GPL-2.0"]), ("3", ["GPL-3.0"]))],
+    ("This work is licensed under the GNU Lesser General Public License, version 3.", ["LGPL-3.0"]),
+    ("This work is licensed under the GNU Affero General Public License, version 3.", ["AGPL-3.0"]),
+    (NOTICE.format("General", "2"), ["GPL-2.0"]),
+    (NOTICE.format("General", "3"), ["GPL-3.0"]),
+    (NOTICE.format("Lesser General", "2.1"), ["LGPL-2.1"]),
+    (NOTICE.format("Affero General", "3"), ["AGPL-3.0"]),
+    (BSD_2, ["BSD-2-Clause"]),
+    (BSD_2 + " 3. Neither the name of the University nor the names of its contributors may be used to endorse or promote products "
+     "derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED", ["BSD-3-Clause"]),
+    ("This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License.", []),
+    ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", ["CC-BY-NC-4.0"]),
+    ("This work is licensed under a Creative Commons Attribution 3.0 International License.", []),
+    ("// SPDX-License-Identifier: GPL-3.0-only", ["GPL-3.0"]),
+    ("# SPDX-License-Identifier: BSD-3-Clause\n", ["BSD-3-Clause"]),
+    ("SPDX-License-Identifier: ISC.", ["ISC"]),
+    ("SPDX-License-Identifier: (MPL-2.0 OR GPL-2.0-or-later WITH Classpath-exception-2.0)", ["GPL-2.0", "MPL-2.0"]),
+    ("SPDX-License-Identifier: MIT and more is said here", ["MIT"]),
+]
+
+
+@pytest.mark.parametrize("k", range(len(APART)))
+def test_neighbouring_licenses_are_told_apart(scanner, k):
+    text, names = APART[k]
+    for page in (text, f"{'lorem ipsum ' * 50}\n{text}\n{'dolor sit ' * 50}"):
+        assert [f.license for f in scanner.scan(page)] == names
