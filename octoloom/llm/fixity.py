@@ -4,7 +4,8 @@ A record is a leaf: file, offset, length and SHA-256.  Leaves of equal offset ra
 node, ranges are joined ``FANOUT`` at a time up to the file, and files up to one root.  A node hashes
 its children in order.  Trees of two replicas are compared from the root down; only children of
 nodes that differ are looked at, so an audit of sound replicas reads one row and an audit of
-damaged ones reads the paths to the damage.
+damaged ones reads the paths to the damage.  Lost and longer records move all that follow them in
+their file, so leaves that differ are then matched by content, by record id and by place.
 
 Groups hold at most the records of one offset range or ``FANOUT`` nodes.  Nodes of all levels are
 tables in the shared folder; nothing is collected but the number of levels.
@@ -30,10 +31,14 @@ FILE_RECORDS = 1_000
 CRLF = "\r\n"
 
 
+def record_id(page_id: Column, url: Column) -> Column:
+    return F.md5(F.concat(*[F.coalesce(c.cast("string"), F.lit("")) for c in (page_id, F.lit(" "), url)]).cast("binary"))
+
+
 def warc_record(page_id: Column, url: Column, html: Column) -> Column:
     """A response record without its closing blank lines; nulls are empty."""
     url, html = (F.coalesce(c, F.lit("")) for c in (url, html))
-    name = F.md5(F.concat(F.coalesce(page_id.cast("string"), F.lit("")), F.lit(" "), url).cast("binary"))
+    name = record_id(page_id, url)
     head = [
         F.lit("WARC/1.0"),
         F.lit("WARC-Type: response"),
@@ -47,10 +52,12 @@ def warc_record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def warc_records(pages: DataFrame) -> DataFrame:
-    """(page_id, record, key, length, sha256) of pages; ``length`` counts the closing blank lines."""
-    rows = pages.select("page_id", warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
+    """(page_id, record_id, record, key, length, sha256) of pages; ``length`` counts the closing blank lines."""
+    name = record_id(F.col("page_id"), F.col("url")).alias("record_id")
+    rows = pages.select("page_id", name, warc_record(F.col("page_id"), F.col("url"), F.col("html")).alias("record"))
     return rows.select(
         "page_id",
+        "record_id",
         "record",
         F.md5(F.col("record").cast("binary")).alias("key"),
         (F.octet_length("record") + 4).cast("long").alias("length"),
@@ -58,15 +65,21 @@ def warc_records(pages: DataFrame) -> DataFrame:
     )
 
 
-def lay_out(records: DataFrame, file_records: int = FILE_RECORDS, keep: tuple[str, ...] = ("record",)) -> DataFrame:
+def file_count(records: DataFrame, file_records: int = FILE_RECORDS) -> int:
+    return max(1, ceil(records.count() / file_records))
+
+
+def lay_out(
+    records: DataFrame, file_records: int = FILE_RECORDS, keep: tuple[str, ...] = ("record",), files: int | None = None
+) -> DataFrame:
     """(page_id, file, offset, length, sha256, and what to ``keep``) of records as WARC files.
 
     Files take about ``file_records`` records each, by the hash of id, address and content; inside a
     file, records stand in hash order.  The table is cut, since offsets must not move between uses;
     contents move only if kept.  Null ids, addresses and bodies are empty text; repeated rows are
-    records of their own.
+    records of their own.  Replicas need one number of ``files``, which replaces ``file_records``.
     """
-    files = max(1, ceil(records.count() / file_records))
+    files = files or file_count(records, file_records)
     rows = records.select("page_id", "key", "length", "sha256", *keep)
     rows = rows.withColumn("file", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % files)
     before = Window.partitionBy("file").orderBy("key", "page_id").rowsBetween(Window.unboundedPreceding, -1)
@@ -81,40 +94,56 @@ def write_warc(laid_out: DataFrame, path: str) -> None:
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[int, int, str]]:
-    """(offset, length, SHA-256) of each record; a cut-off or unreadable rest is one record."""
+    """(offset, length, SHA-256) of each record.
+
+    What has no readable header, or does not end where its length says, goes up to the next
+    ``WARC/`` after a blank line, or to the end of the file.
+    """
     at = 0
     while at < len(data):
         head = data.find(b"\r\n\r\n", at)
         found = re.search(rb"(?i)^Content-Length: *(\d+)", data[at:head], re.M) if head >= 0 else None
-        end = head + 4 + int(found[1]) + 4 if found else len(data)
-        end = end if data.startswith(b"WARC/", at) and end <= len(data) else len(data)
-        body = data[at : end - 4] if data[end - 4 : end] == b"\r\n\r\n" else data[at:end]
+        end = head + 4 + int(found[1]) + 4 if found and data.startswith(b"WARC/", at) else 0
+        whole = 0 < end <= len(data) and data[end - 4 : end] == b"\r\n\r\n"
+        if not whole:
+            after = data.find(b"\r\n\r\nWARC/", at)
+            end = after + 4 if after >= 0 else len(data)
+        body = data[at : end - 4] if data[end - 4 : end] == b"\r\n\r\n" and end - at >= 4 else data[at:end]
         yield at, end - at, sha256(body).hexdigest()
         at = end
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """Leaves (file, offset, length, sha256) of the WARC files that ``write_warc`` made."""
+def _id_in(record: bytes) -> str | None:
+    found = re.search(rb"(?i)^WARC-Record-ID: *<urn:md5:([0-9a-f]{32})>", record.split(b"\r\n\r\n", 1)[0], re.M)
+    return found[1].decode() if found else None
+
+
+def read_warc(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
+    """Leaves (file, offset, length, sha256) of the WARC files that ``write_warc`` made; record_id with ``ids``."""
 
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch["file"].to_pylist(), batch["content"], strict=True):
-                rows = list(parse_warc(data.as_py()))
+                content = data.as_py()
+                rows = list(parse_warc(content))
                 columns = list(zip(*rows, strict=True)) or [(), (), ()]
+                names = [_id_in(content[at : at + size]) for at, size, _ in rows]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([name] * len(rows), pa.int64()),
                         pa.array(columns[0], pa.int64()),
                         pa.array(columns[1], pa.int64()),
                         pa.array(columns[2], pa.string()),
+                        pa.array(names, pa.string()),
                     ],
-                    names=["file", "offset", "length", "sha256"],
+                    names=["file", "offset", "length", "sha256", "record_id"],
                 )
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
     number = F.regexp_extract("path", r"file=(\d+)/", 1).cast("long")
     named = files.where(F.col("path").rlike(r"file=\d+/")).select(number.alias("file"), "content")
-    return named.mapInArrow(records, "file long, offset long, length long, sha256 string")
+    leaves = named.mapInArrow(records, "file long, offset long, length long, sha256 string, record_id string")
+    return leaves if ids else leaves.drop("record_id")
 
 
 def _node(rows: DataFrame, file: Column, slot: Column) -> DataFrame:
@@ -133,11 +162,16 @@ def _node(rows: DataFrame, file: Column, slot: Column) -> DataFrame:
 def trees(first: DataFrame, second: DataFrame) -> list[tuple[DataFrame, Column, Column]]:
     """Levels from the leaves up, each with the key of its nodes' parents.
 
-    A level has the nodes of both replicas: (replica, file, slot, length, hash).
+    A level has the nodes of both replicas: (replica, file, slot, length, hash), leaves record_id too.
     """
     one, two = (
         leaves.select(
-            F.lit(k).alias("replica"), "file", F.col("offset").alias("slot"), "length", F.col("sha256").alias("hash")
+            F.lit(k).alias("replica"),
+            "file",
+            F.col("offset").alias("slot"),
+            "length",
+            F.col("sha256").alias("hash"),
+            (F.col("record_id") if "record_id" in leaves.columns else F.lit(None).cast("string")).alias("record_id"),
         )
         for k, leaves in enumerate((first, second))
     )
@@ -164,10 +198,12 @@ def trees(first: DataFrame, second: DataFrame) -> list[tuple[DataFrame, Column,
 def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     """(file, offset, length, status) of every record in which two sets of leaves differ.
 
-    ``corrupt``: at one offset, with other content or length; ``missing``: only in ``first``;
-    ``extra``: only in ``second``.  ``length`` is that of ``first`` where it has the record.  Two
-    empty replicas agree.  Records equal in offset in one file of one replica are a broken
-    index; the greatest hash stands for them.
+    Records that only moved inside their file agree.  ``corrupt``: with other content or length, by
+    ``record_id`` where both sets have it, else where the record stands after the last sound one
+    or at the same offset; ``missing``: only in ``first``; ``extra``: only in ``second``.  ``offset``
+    and ``length`` are those of ``first`` where it has the record.  Two empty replicas agree.
+    Records equal in offset in one file of one replica are a broken index; the greatest hash
+    stands for them.
     """
     levels = trees(first, second)
     differing = None
@@ -179,17 +215,47 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
                 ["up_file", "up_slot"],
                 "left_semi",
             )
-        here = [F.max(F.when(F.col("replica") == k, F.struct("hash", "length"))).alias(f"r{k}") for k in (0, 1)]
-        pairs = nodes.groupBy("file", "slot").agg(*here).where(~F.col("r0").eqNullSafe(F.col("r1")))
+        held = [c for c in ("hash", "length", "record_id") if c in level.columns]
+        here = [F.max(F.when(F.col("replica") == k, F.struct(*held))).alias(f"r{k}") for k in (0, 1)]
+        same = F.col("r0.hash").eqNullSafe(F.col("r1.hash")) & F.col("r0.length").eqNullSafe(F.col("r1.length"))
+        pairs = nodes.groupBy("file", "slot").agg(*here).where(~same)
         before, differing = differing, cut(pairs)
         if before is not None:
             drop_cut(before)
     for level, _, _ in levels:
         drop_cut(level)
-    status = F.when(F.col("r1").isNull(), "missing").when(F.col("r0").isNull(), "extra").otherwise("corrupt")
-    return differing.select(
-        "file", F.col("slot").alias("offset"), F.coalesce("r0.length", "r1.length").alias("length"), status.alias("status")
-    )
+    return _located(differing)
+
+
+def _paired(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` with ``o0`` and ``o1``, the offsets in both replicas where the n-th of equal keys is in both."""
+    ordered = Window.partitionBy("file", "replica", *keys).orderBy("offset")
+    both = Window.partitionBy("file", *keys, "nth")
+    offsets = [F.max(F.when(F.col("replica") == k, F.col("offset"))).over(both).alias(f"o{k}") for k in (0, 1)]
+    return rows.withColumn("nth", F.row_number().over(ordered)).select("*", *offsets).drop("nth")
+
+
+def _located(differing: DataFrame) -> DataFrame:
+    """What is lost, spoilt or new among leaves (file, slot, r0, r1) that differ at their offsets."""
+    sides = F.array(*[F.struct(F.lit(k).alias("replica"), F.col(f"r{k}").alias("leaf")) for k in (0, 1)])
+    rows = differing.select("file", F.col("slot").alias("offset"), F.explode(sides).alias("s")).where("s.leaf IS NOT NULL")
+    rows = rows.select("file", "offset", "s.replica", "s.leaf.hash", "s.leaf.length", "s.leaf.record_id")
+    rows = _paired(rows, "hash", "length")
+    earlier = Window.partitionBy("file", "replica").orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
+    shift = F.coalesce(F.last(F.col("o1") - F.col("o0"), ignorenulls=True).over(earlier), F.lit(0))
+    moved = F.col("o0").isNotNull() & F.col("o1").isNotNull()
+    rest = rows.withColumn("place", F.col("offset") - F.when(F.col("replica") == 1, shift).otherwise(0)).where(~moved)
+    rest = rest.select("file", "offset", "replica", "length", "record_id", "place")
+    rest = rest.withColumn("spot", F.col("offset"))
+    done = None
+    for key in ("record_id", "place", "spot"):
+        marked = cut(_paired(rest, key))
+        hit = F.col(key).isNotNull() & F.col("o0").isNotNull() & F.col("o1").isNotNull()
+        here = marked.where(hit & (F.col("replica") == 0)).select("file", "offset", "length", F.lit("corrupt").alias("status"))
+        done = here if done is None else done.unionByName(here)
+        rest = marked.where(~hit).drop("o0", "o1")
+    alone = F.when(F.col("replica") == 0, "missing").otherwise("extra").alias("status")
+    return done.unionByName(rest.select("file", "offset", "length", alone))
 
 
 def with_damage(records: DataFrame) -> DataFrame:
@@ -206,3 +272,20 @@ def with_damage(records: DataFrame) -> DataFrame:
 def damaged_copy(laid_out: DataFrame) -> DataFrame:
     """Leaves of the second replica of records ``with_damage``, at the offsets of the first."""
     return laid_out.where("copy IS NOT NULL").select("file", "offset", "length", F.col("copy").alias("sha256"))
+
+
+def damaged_records(records: DataFrame) -> DataFrame:
+    """The records of a second replica with the damage of ``with_damage``: own contents, lengths and hashes.
+
+    Lay them out with the number of files of the first; what follows a lost or longer record moves.
+    """
+    lot = F.conv(F.substring("sha256", 1, 8), 16, 10).cast("long") % 97
+    kept = records.where(lot != 5).withColumn("record", F.when(lot == 3, F.concat("record", F.lit("~"))).otherwise(F.col("record")))
+    return kept.select(
+        "page_id",
+        "record_id",
+        "record",
+        "key",
+        (F.octet_length("record") + 4).cast("long").alias("length"),
+        F.sha2(F.col("record").cast("binary"), 256).alias("sha256"),
+    )

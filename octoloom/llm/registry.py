@@ -56,10 +56,12 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages as WARC files, audited against a copy with known damage: the records that differ."""
-    records = fixity.with_damage(fixity.warc_records(table(spark, sf_dir, "pages")))
-    laid_out = fixity.lay_out(records, keep=("copy",))
-    found = fixity.audit(laid_out, fixity.damaged_copy(laid_out))
+    """The pages as WARC files, audited against a copy laid out from its own, damaged records: what differs."""
+    records = fixity.warc_records(table(spark, sf_dir, "pages"))
+    files = fixity.file_count(records)
+    laid_out = fixity.lay_out(records, keep=("record_id",), files=files)
+    copy = fixity.lay_out(fixity.damaged_records(records), keep=("record_id",), files=files)
+    found = fixity.audit(laid_out, copy)
     names = laid_out.select("page_id", "file", "offset", "sha256")
     return found.join(names, ["file", "offset"]).select("page_id", "file", "offset", "length", "sha256", "status")
 

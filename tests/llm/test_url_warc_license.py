@@ -105,6 +105,30 @@ def test_one_changed_byte_is_located(spark, laid_out, tmp_path):
     ]
 
 
+@pytest.mark.parametrize("ids", [True, False])
+@pytest.mark.parametrize("harm", ["removed", "longer", "header"])
+def test_damage_that_moves_records_is_located(spark, small, tmp_path, harm, ids):
+    records = fixity.warc_records(spark.read.parquet(f"{small}/pages.parquet"))
+    laid_out = fixity.lay_out(records, 25, keep=("record", "record_id"))
+    path = tmp_path / "warc"
+    fixity.write_warc(laid_out, str(path))
+    victim = laid_out.where("file = 0").orderBy("offset").collect()[3]
+    file = next((path / "file=0").glob("part-*"))
+    data, at, end = file.read_bytes(), victim["offset"], victim["offset"] + victim["length"]
+    harmed = {
+        "removed": data[:at] + data[end:],
+        "longer": data[: end - 4] + b"~" + data[end - 4 :],
+        "header": data[:at] + b"XARC" + data[at + 4 :],
+    }
+    (file.parent / f".{file.name}.crc").unlink(missing_ok=True)
+    file.write_bytes(harmed[harm])
+    kept = ["file", "offset", "length", "sha256", *["record_id"] * ids]
+    found = fixity.audit(laid_out.select(*kept), fixity.read_warc(spark, str(path), ids=ids)).collect()
+    assert [(r["file"], r["offset"], r["length"], r["status"]) for r in found] == [
+        (0, at, victim["length"], "missing" if harm == "removed" else "corrupt")
+    ]
+
+
 def test_audit_against_comparing_all_leaves(laid_out):
     leaves = {(r["file"], r["offset"]): r["sha256"] for r in laid_out.collect()}
     damaged = fixity.damaged_copy(laid_out)
