@@ -11,6 +11,9 @@ every pseudonym has the value's length, character classes and punctuation, is va
 digits are set anew; other rules are met by walking the permutation's cycle), and two values have
 one pseudonym only if they are equal.  Equal values in any documents stay linked, whatever their
 punctuation.  Documents are never shuffled.
+
+All shapes are of bounded length, a mail address as mail itself bounds it, and a round's stream is
+hashed once, so the work grows with the text and not with its longest value.
 """
 
 from __future__ import annotations
@@ -33,8 +36,11 @@ DAY_HALVES = (270, 271)
 WALK = 24
 
 _B, _E = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
-_MAIL_B = "(?<![A-Za-z0-9._%+-])"
-EMAIL = r"[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
+#: Letters and digits of any alphabet, with their marks.
+_ANY = r"\p{L}\p{M}\p{N}"
+_MAIL_B, _MAIL_E = rf"(?<![{_ANY}._%+-])", rf"(?![{_ANY}])"
+#: Mail allows 64 characters before the @ and 63 a label; of more than 32 labels, the first ones count.
+EMAIL = rf"[{_ANY}._%+-]{{1,64}}+@(?:[{_ANY}-]{{1,63}}\.){{1,31}}[\p{{L}}\p{{M}}]{{2,63}}"
 IBAN_HEAD = r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2}"
 ISO_DATE = r"[0-9]{4}(?:-[0-9]{2}-|/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{2}"
 DAY_DATE = r"[0-9]{2}(?:-[0-9]{2}-|/[0-9]{2}/|\.[0-9]{2}\.)[0-9]{4}"
@@ -86,8 +92,11 @@ OTHER_IBANS = tuple(
 
 _SHAPES = "|".join([IBAN_HEAD, ISO_DATE, DAY_DATE, IPV4, SSN, PHONE, WORLD_PHONE + "{2}", r"[0-9](?:[ -]?[0-9]){12}"])
 #: Every place where a candidate may begin; of no width, so that candidates may overlap.
-START = rf"(?:{_MAIL_B}(?={EMAIL}{_E})|{_B}(?=[0-9A-Z(+])(?={_SHAPES}))"
-_AHEAD = rf"(?s){START}(?=({EMAIL}{_E}|.{{1,{WINDOW}}}))"
+START = rf"(?:{_MAIL_B}(?={EMAIL}{_MAIL_E})|{_B}(?=[0-9A-Z(+])(?={_SHAPES}))"
+_AHEAD = rf"(?s){START}(?=({EMAIL}{_MAIL_E}|.{{1,{WINDOW}}}))"
+#: The same in texts without an @.
+NUMBER_START = rf"{_B}(?=[0-9A-Z(+])(?={_SHAPES})"
+_NUMBER_AHEAD = rf"(?s){NUMBER_START}(?=(.{{1,{WINDOW}}}))"
 
 
 def _is(text: Column, shape: str) -> Column:
@@ -98,10 +107,24 @@ def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _hash(key: str, *parts: Column) -> Column:
     return F.sha2(F.concat_ws("\x1f", F.lit(key), *parts).cast("binary"), 256)
 
 
+#: (first code point, number of letters) of alphabets other than ASCII's; a letter moves within its run, small
+#: and capital runs side by side.  Letters of further alphabets stay.
+LETTER_RUNS = (
+    (0xE0, 23), (0xF8, 7), (0xC0, 23), (0xD8, 7), (0x100, 128), (0x3B1, 17), (0x3C3, 7), (0x391, 17), (0x3A3, 7),
+    (0x430, 32), (0x410, 32), (0x450, 16), (0x400, 16), (0x5D0, 27), (0x621, 26), (0x641, 10), (0x905, 53),
+    (0xE01, 46), (0x3041, 86), (0x30A1, 90), (0x4E00, 20_992), (0xAC00, 11_172),
+)
+
+
 def permute_chars(value: Column, key: str, tweak: Column) -> Column:
     """A keyed permutation of the strings with this pattern of digits, small and capital letters.
 
@@ -109,57 +132,54 @@ def permute_chars(value: Column, key: str, tweak: Column) -> Column:
     map to values that differ in case alone.  Other characters stay.
     """
     half = F.floor(F.length(value) / 2).cast("int")
+    runs = F.array([F.struct(F.lit(first).alias("first"), F.lit(size).alias("size")) for first, size in LETTER_RUNS])
+
+    def move(c: Column, at: Column, stream: Column) -> Column:
+        by = F.conv(F.substr(stream, F.pmod(at, F.lit(31)) * 2 + 1, F.lit(4)), 16, 10).cast("int")
+        code = F.ascii(c)
+
+        def within(first: int, size: int) -> Column:
+            return F.char(F.pmod(code - first + by, F.lit(size)) + first)
+
+        def beyond(run: Column) -> Column:
+            moved = F.pmod(code - run["first"] + by, run["size"]) + run["first"]
+            return F.decode(F.unhex(F.lpad(F.hex(moved), 4, "0")), "UTF-16BE")
+
+        own = F.filter(runs, lambda run: (code >= run["first"]) & (code < run["first"] + run["size"]))
+        return (
+            F.when(c.between("0", "9"), within(48, 10))
+            .when(c.between("a", "z"), within(97, 26))
+            .when(c.between("A", "Z"), within(65, 26))
+            .when(c <= "\x7f", c)
+            .otherwise(F.coalesce(F.get(F.transform(own, beyond), F.lit(0)), c))
+        )
 
-    def shifted(part: Column, other: Column, turn: Column) -> Column:
-        stream = _hash(key, tweak, turn.cast("string"), F.lower(other))
+    def turn(s: Column, i: Column) -> Column:
+        def shifted(stream: Column) -> Column:
+            return F.array_join(F.transform(F.split(s["left"], ""), lambda c, at: move(c, at, stream)), "")
 
-        def move(c: Column, at: Column) -> Column:
-            by = F.conv(F.substr(stream, F.pmod(at, F.lit(32)) * 2 + 1, F.lit(2)), 16, 10).cast("int")
+        # bound, so that the hash is taken once a round and not once a character
+        moved = _once(_hash(key, tweak, i.cast("string"), F.lower(s["right"])), shifted)
+        return F.struct(s["right"].alias("left"), moved.alias("right"))
 
-            def within(first: int, size: int) -> Column:
-                return F.char(F.pmod(F.ascii(c) - first + by, F.lit(size)) + first)
+    start = F.struct(F.substr(value, F.lit(1), half).alias("left"), F.substr(value, half + 1).alias("right"))
+    steps = F.sequence(F.lit(0), F.lit(ROUNDS - 1))  # an even number, after which the halves stand as they did
+    return F.aggregate(steps, start, turn, lambda s: F.concat(s["left"], s["right"]))
 
-            return (
-                F.when(c.between("0", "9"), within(48, 10))
-                .when(c.between("a", "z"), within(97, 26))
-                .when(c.between("A", "Z"), within(65, 26))
-                .otherwise(c)
-            )
 
-        return F.array_join(F.transform(F.split(part, ""), move), "")
+def permute_number(value: Column, high: Column, low: Column, key: str, tweak: Column) -> Column:
+    """A keyed permutation of the whole numbers below ``high * low``."""
 
     def turn(s: Column, i: Column) -> Column:
-        left, right = s["left"], s["right"]
-        odd = i % 2 == 1
-        return F.struct(
-            F.when(odd, left).otherwise(shifted(left, right, i)).alias("left"),
-            F.when(odd, shifted(right, left, i)).otherwise(right).alias("right"),
-        )
+        stream = _hash(key, tweak, i.cast("string"), s["right"].cast("string"))
+        size = F.when(i % 2 == 0, high).otherwise(low)
+        moved = F.pmod(s["left"] + F.conv(F.substring(stream, 1, 14), 16, 10).cast("long"), size)
+        return F.struct(s["right"].alias("left"), moved.cast("long").alias("right"))
 
     start = F.struct(
-        F.substr(value, F.lit(1), half).alias("left"), F.substr(value, half + 1).alias("right")
+        F.floor(value / low).cast("long").alias("left"), F.pmod(value.cast("long"), low).cast("long").alias("right")
     )
     steps = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
-    return F.aggregate(steps, start, turn, lambda s: F.concat(s["left"], s["right"]))
-
-
-def permute_number(value: Column, halves: tuple[int, int], key: str, tweak: Column) -> Column:
-    """A keyed permutation of the whole numbers below ``halves[0] * halves[1]``."""
-    high, low = halves
-
-    def turn(s: Column, i: Column) -> Column:
-        def moved(part: Column, other: Column, size: int) -> Column:
-            stream = _hash(key, tweak, i.cast("string"), other.cast("string"))
-            return F.pmod(part + F.conv(F.substring(stream, 1, 14), 16, 10).cast("long"), F.lit(size))
-
-        odd = i % 2 == 1
-        return F.struct(
-            F.when(odd, s["left"]).otherwise(moved(s["left"], s["right"], high)).alias("left"),
-            F.when(odd, moved(s["right"], s["left"], low)).otherwise(s["right"]).alias("right"),
-        )
-
-    start = F.struct(F.floor(value / low).cast("long").alias("left"), F.pmod(value, F.lit(low)).cast("long").alias("right"))
-    steps = F.sequence(F.lit(0), F.lit(ROUNDS - 1))
     return F.aggregate(steps, start, turn, lambda s: s["left"] * low + s["right"])
 
 
@@ -235,10 +255,11 @@ def candidates(ahead: Column) -> Column:
     """Valid (kind, value, rank) that begin where ``ahead`` does, the preferred first."""
 
     def listed(kind: str, rank: int, *shapes: str) -> list[Column]:
+        end = _MAIL_E if kind == "email" else _E
         return [
             F.struct(
                 F.lit(kind).alias("kind"),
-                F.regexp_extract(ahead, f"^(?:{shape}){_E}", 0).alias("value"),
+                F.regexp_extract(ahead, f"^(?:{shape}){end}", 0).alias("value"),
                 F.lit(rank).alias("rank"),
             )
             for shape in shapes
@@ -251,7 +272,7 @@ def candidates(ahead: Column) -> Column:
 
     by_digits = [rf"[0-9](?:[ -]?[0-9]){{{n - 1}}}" for n in range(19, 12, -1)]
     shaped = F.concat(
-        F.array(*listed("email", FIRM, EMAIL)),
+        where(ahead.contains("@"), *listed("email", FIRM, EMAIL)),
         where(ahead.rlike("^[A-Z]{2}[0-9]{2}"), *listed("iban", FIRM, IBAN, *OTHER_IBANS)),
         where(
             ahead.rlike("^[0-9]"),
@@ -293,17 +314,20 @@ def _displaced(places: Column, place: Column, at: Column, one: Column) -> Column
     return F.aggregate(F.slice(places, at + 2, F.lit(WINDOW)), start, step, lambda s: s["hit"])
 
 
+#: Places that one step of the choice takes, so that lists grow by runs and not by values.
+RUN = 256
+
+
 def _choose(places: Column) -> Column:
     """(piece, kind, value) from left to right, no two of which overlap.
 
     The first candidate of a place that is not displaced is taken.  Loose cards are taken only
     where digits do not lead up to them, or where those belong to the value before.
     """
-    start = F.struct(
-        F.lit(0).alias("at"),
-        F.lit(-2).alias("end"),
-        F.array().cast("array<struct<piece:int,kind:string,value:string>>").alias("out"),
-    )
+    none = F.array().cast("array<struct<piece:int,kind:string,value:string>>")
+
+    def state(at: Column, end: Column, out: Column) -> Column:
+        return F.struct(at.alias("at"), end.alias("end"), out.alias("out"))
 
     def step(s: Column, p: Column) -> Column:
         free = F.filter(
@@ -312,13 +336,19 @@ def _choose(places: Column) -> Column:
         first = F.when(s["at"] >= s["end"], F.get(free, F.lit(0)))
         taken = first.isNotNull()
         row = F.struct(p["piece"].alias("piece"), first["kind"].alias("kind"), first["value"].alias("value"))
-        return F.struct(
-            (s["at"] + p["size"]).alias("at"),
-            F.when(taken, s["at"] + F.length(first["value"])).otherwise(s["end"]).alias("end"),
-            F.when(taken, F.concat(s["out"], F.array(row))).otherwise(s["out"]).alias("out"),
+        return state(
+            s["at"] + p["size"],
+            F.when(taken, s["at"] + F.length(first["value"])).otherwise(s["end"]),
+            F.when(taken, F.concat(s["out"], F.array(row))).otherwise(s["out"]),
         )
 
-    return F.aggregate(places, start, step, lambda s: s["out"])
+    def run(s: Column, first: Column) -> Column:
+        inner = F.aggregate(F.slice(places, first, F.lit(RUN)), state(s["at"], s["end"], none), step)
+        return _once(inner, lambda i: state(i["at"], i["end"], F.concat(s["out"], F.array(i["out"]))))
+
+    runs = F.filter(F.sequence(F.lit(1), F.size(places) + 1, F.lit(RUN)), lambda first: first <= F.size(places))
+    start = state(F.lit(0), F.lit(-2), F.array().cast("array<array<struct<piece:int,kind:string,value:string>>>"))
+    return F.aggregate(runs, start, run, lambda s: F.flatten(s["out"]))
 
 
 def _refill(shape: Column, chars: Column) -> Column:
@@ -336,51 +366,54 @@ def _refill(shape: Column, chars: Column) -> Column:
 
 
 def pseudonym(text: Column, kind: Column, key: str) -> Column:
-    number = digits(text)
-    head = F.substring(number, 1, 1)
-    body = permute_chars(
-        F.substr(number, F.lit(2), F.length(number) - 2), key, F.concat_ws(":", F.lit("card"), head, F.length(number))
-    )
-    unchecked = F.concat(head, body, F.lit("0"))
-    card = F.concat(head, body, F.pmod(-luhn_sum(unchecked), F.lit(10)).cast("string"))
-
+    """The pseudonym of a valid value: one permutation of characters or of a number, in the kind's own form."""
+    number, account = digits(text), F.regexp_replace(text, " ", "")
+    head, country = F.substring(number, 1, 1), F.substring(account, 1, 2)
     local, domain = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
-    email = F.concat(permute_chars(local, key, F.concat(F.lit("email:"), F.lower(domain))), F.lit("@"), domain)
-
-    account = F.regexp_replace(text, " ", "")
-    country = F.substring(account, 1, 2)
-    inner = permute_chars(F.substr(account, F.lit(5)), key, F.concat(F.lit("iban:"), country))
-    left = _mod97(F.concat(country, F.lit("00"), inner))
-    iban = F.concat(country, F.lpad((F.lit(98) - left).cast("string"), 2, "0"), inner)
-
-    ssn = _walk(number, lambda v: permute_chars(v, key, F.lit("ssn")), _ssn_valid)
     nation = F.when(text.startswith("+"), F.regexp_extract(text, r"^\+([0-9]{1,3})(?=[^0-9])", 1)).otherwise(F.lit(""))
-    subscriber = F.substr(number, F.length(nation) + 1)
-    phone = F.concat(nation, permute_chars(subscriber, key, F.lit("phone")))
+    moving = (
+        F.when(kind == "card", F.substr(number, F.lit(2), F.length(number) - 2))
+        .when(kind == "email", local)
+        .when(kind == "iban", F.substr(account, F.lit(5)))
+        .when(kind == "ssn", number)
+        .otherwise(F.substr(number, F.length(nation) + 1))
+    )
+    tweak = (
+        F.when(kind == "card", F.concat_ws(":", F.lit("card"), head, F.length(number)))
+        .when(kind == "email", F.concat(F.lit("email:"), F.lower(domain)))
+        .when(kind == "iban", F.concat(F.lit("iban:"), country))
+        .otherwise(kind)
+    )
+    chars = _walk(moving, lambda v: permute_chars(v, key, tweak), lambda v: (kind != "ssn") | _ssn_valid(v))
+
+    def written(body: Column) -> Column:
+        unchecked = F.concat(head, body, F.lit("0"))
+        card = F.concat(head, body, F.pmod(-luhn_sum(unchecked), F.lit(10)).cast("string"))
+        left = _mod97(F.concat(country, F.lit("00"), body))
+        iban = F.concat(country, F.lpad((F.lit(98) - left).cast("string"), 2, "0"), body)
+        plain = F.when(kind == "card", card).when(kind == "iban", iban).when(kind == "ssn", body)
+        return F.when(kind == "email", F.concat(body, F.lit("@"), domain)).otherwise(
+            _refill(text, plain.otherwise(F.concat(nation, body)))
+        )
 
+    dated = kind == "date"
     address = F.aggregate(_octets(text), F.lit(0).cast("long"), lambda s, x: s * 256 + x)
-    moved = permute_number(address, (65_536, 65_536), key, F.lit("ipv4"))
-    ipv4 = F.concat_ws(".", *[F.pmod(F.shiftright(moved, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
+    value = F.when(dated, _day(text).cast("long")).otherwise(address)
+    high, low = (F.when(dated, F.lit(d)).otherwise(F.lit(65_536)).cast("long") for d in DAY_HALVES)
+    moved = _walk(value, lambda v: permute_number(v, high, low, key, kind), lambda v: ~dated | (v < DAYS))
+
+    def shown(v: Column) -> Column:
+        ipv4 = F.concat_ws(".", *[F.pmod(F.shiftright(v, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
+        day = F.date_add(F.lit(FIRST_DAY).cast("date"), v.cast("int"))
+        plain = F.regexp_replace(text, "[/.]", "-")
+        layout = (
+            F.when(_is(text, ISO_DATE), F.date_format(day, "yyyyMMdd"))
+            .when(F.try_to_date(plain, "dd-MM-yyyy").isNotNull(), F.date_format(day, "ddMMyyyy"))
+            .otherwise(F.date_format(day, "MMddyyyy"))
+        )
+        return F.when(dated, _refill(text, layout)).otherwise(ipv4)
 
-    day = _walk(
-        _day(text).cast("long"), lambda v: permute_number(v, DAY_HALVES, key, F.lit("date")), lambda v: v < DAYS
-    )
-    written = F.date_add(F.lit(FIRST_DAY).cast("date"), day.cast("int"))
-    plain = F.regexp_replace(text, "[/.]", "-")
-    layout = (
-        F.when(_is(text, ISO_DATE), F.date_format(written, "yyyyMMdd"))
-        .when(F.try_to_date(plain, "dd-MM-yyyy").isNotNull(), F.date_format(written, "ddMMyyyy"))
-        .otherwise(F.date_format(written, "MMddyyyy"))
-    )
-    return (
-        F.when(kind == "email", email)
-        .when(kind == "ipv4", ipv4)
-        .when(kind == "phone", _refill(text, phone))
-        .when(kind == "card", _refill(text, card))
-        .when(kind == "ssn", _refill(text, ssn))
-        .when(kind == "date", _refill(text, layout))
-        .when(kind == "iban", _refill(text, iban))
-    )
+    return F.when(kind.isin("date", "ipv4"), _once(moved, shown)).otherwise(_once(chars, written))
 
 
 def with_pseudonyms(
@@ -389,16 +422,25 @@ def with_pseudonyms(
     """``docs`` with ``text_col`` rewritten and the array ``name`` of (kind, pseudonym) in text order.
 
     Null texts stay null, with an empty array; empty texts and texts without valid values stay as
-    they are.  Texts are read whole.  Repeated rows and repeated values get equal pseudonyms.
-    Other columns are passed on untouched.
+    they are.  Texts are read whole, and very long texts and tokens take time in proportion: a run of
+    more than 64 characters before an @ is no mail address, and of one with more than 32 labels the
+    first ones count, if they end as an address may.  Ties: of candidates that begin at one place, the first of ``candidates`` wins,
+    and of places that overlap the left one, unless displaced.  Repeated rows and repeated values get
+    equal pseudonyms.  An empty table gives no rows.  Other columns are passed on untouched, whatever
+    their names; where ``docs`` has a column ``name``, the array's name gets underscores.
     """
     found, gaps, spots = fresh(docs, "found"), fresh(docs, "gaps"), fresh(docs, "spots")
     text = F.col(text_col)
     led = F.concat(F.lit("\n"), text)  # nothing begins at its first character, so piece 0 is never a candidate
     none = F.array().cast("array<string>")
-    some = F.coalesce(text.rlike(START), F.lit(False))
-    out = docs.withColumn(gaps, F.when(some, F.split(led, START, -1)).otherwise(none))
-    out = out.withColumn(spots, F.when(some, F.regexp_extract_all(led, F.lit(_AHEAD), F.lit(1))).otherwise(none))
+    mail, numbers = text.contains("@"), text.rlike("[0-9]")
+    pieces_of = F.when(mail, F.split(led, START, -1)).when(numbers, F.split(led, NUMBER_START, -1)).otherwise(none)
+    out = docs.withColumn(gaps, F.coalesce(pieces_of, none))
+    some = F.size(F.col(gaps)) > 1
+    ahead = F.when(mail, F.regexp_extract_all(led, F.lit(_AHEAD), F.lit(1))).otherwise(
+        F.regexp_extract_all(led, F.lit(_NUMBER_AHEAD), F.lit(1))
+    )
+    out = out.withColumn(spots, F.when(some, ahead).otherwise(none))
     pieces = F.col(gaps)
     out = out.withColumn(
         spots,

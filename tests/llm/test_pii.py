@@ -1,7 +1,10 @@
 """Pseudonyms: permutations of their formats, valid, linked, and complete."""
 
+import random
 import re
+import time
 
+import pii_plain
 import pytest
 from pyspark.sql import functions as F
 
@@ -22,11 +25,11 @@ def rewrite(spark, texts):
 
 
 def shape(text):
-    return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", text)))
+    return re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "9", re.sub(r"[^\x00-\x7f]", "\u00e9", text))))
 
 
 VALID = {
-    "email": ["bo.42@mail8.example.com", "Ann_B@x.org"],
+    "email": ["bo.42@mail8.example.com", "Ann_B@x.org", "jos\u00e9@x.org", "user@m\u00fcnchen.de", "\u0438\u0432\u0430\u043d@x.org", "\u738b\u5c0f@x.org"],
     "iban": ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432"],
     "date": ["1980-02-29", "29.02.1980", "12/31/1999"],
     "ipv4": ["42.144.35.254", "0.0.0.1"],
@@ -112,7 +115,7 @@ def test_characters_are_permuted(spark):
 @pytest.mark.parametrize("halves", [(7, 11), (270, 271)])
 def test_numbers_are_permuted(spark, halves):
     n = halves[0] * halves[1]
-    got = spark.range(n).select(pii.permute_number(F.col("id"), halves, KEY, F.lit("t")).alias("p"))
+    got = spark.range(n).select(pii.permute_number(F.col("id"), *[F.lit(h).cast("long") for h in halves], KEY, F.lit("t")).alias("p"))
     assert got.distinct().count() == n and tuple(got.agg(F.min("p"), F.max("p")).first()) == (0, n - 1)
 
 
@@ -144,3 +147,59 @@ def test_query_leaves_no_planted_value_and_changes_nothing_else(spark, small):
 def test_main_path_runs_no_python(spark, small):
     plan = registry.op10_pii_pseudonyms(spark, small)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_query_equals_the_plain_version(spark, small):
+    before = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in registry.op10_pii_pseudonyms(spark, small).collect():
+        text, names = pii_plain.rewrite(before[r["doc_id"]], pii.DEFAULT_KEY)
+        assert (r["text"], r["kinds"]) == (text, ",".join(k for k, _ in names))
+
+
+def test_mixed_values_equal_the_plain_version(spark):
+    """Values of all kinds, whole, cut and run together."""
+    chance = random.Random(5)
+    values = [v for vs in VALID.values() for v in vs] + list(NEIGHBOURS)
+    glue = [" ", ", ", "-", "", " x ", "\n", " 7 ", ".", "\u00e9"]
+    texts = []
+    for _ in range(400):
+        parts = [chance.choice(values) for _ in range(chance.randint(1, 5))]
+        parts = [p if chance.random() < 0.7 else p[chance.randint(0, 3) : len(p) - chance.randint(0, 3)] for p in parts]
+        texts.append("".join(p + chance.choice(glue) for p in parts))
+    got, found = rewrite(spark, texts)
+    for text, new, names in zip(texts, got, found, strict=True):
+        assert (new, names) == pii_plain.rewrite(text, KEY), text
+
+
+HOSTILE = {
+    "labels": "x@" + "ab." * 20_000 + "com",
+    "short labels": "x@" + "a." * 20_000 + "com",
+    "local part": "q" * 300_000 + "@x.org",
+    "digits": "4111111111111111" * 20_000,
+    "spaced digits": "4 1 1 " * 10_000,
+    "marks": "@" * 100_000 + "." * 100_000 + "a@" * 50_000,
+    "addresses": "bo.42@mail8.example.com " * 10_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_texts_end_soon(spark, name):
+    text = HOSTILE[name]
+    began = time.monotonic()
+    (new,), (names,) = rewrite(spark, [text])
+    assert time.monotonic() - began < 60
+    assert len(new) == len(text)
+    if name == "labels":
+        assert [k for k, _ in names] == ["email"] and new[0] != "x" and new[1:] == text[1:]
+    if name == "addresses":
+        assert len(names) == 10_000 and "bo.42@" not in new and len(set(names)) == 1
+    if name in ("short labels", "local part", "digits", "marks"):
+        assert new == text and not names
+
+
+def test_letters_of_other_alphabets_are_permuted(spark):
+    for first, size in pii.LETTER_RUNS[:-2]:
+        two = spark.range(size).select(F.concat(F.lit(chr(first)), F.decode(F.unhex(F.lpad(F.hex(F.col("id") + first), 4, "0")), "UTF-16BE")).alias("v"))
+        moved = two.select(pii.permute_chars(F.col("v"), KEY, F.lit("t")).alias("p")).collect()
+        assert len({r["p"] for r in moved}) == size
+        assert all(first <= ord(c) < first + size for r in moved for c in r["p"])
