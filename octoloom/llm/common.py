@@ -7,15 +7,20 @@ only the tasks that ran on it.
 
 from __future__ import annotations
 
+import re
 import uuid
+from collections.abc import Callable
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Used only where the session names no checkpoint folder, as in tests.
+#: Used only on a local master whose session names no checkpoint folder, as in tests.
 DEFAULT_CHECKPOINT_DIR = "/tmp/checkpoints/octoloom"
 
+_LOCAL = re.compile(r"local(\[.*\])?")
+
 #: The words of the quality, mixing and near-duplicate contracts.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
@@ -25,31 +30,74 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder: ``spark.checkpoint.dir``, else the one set on the context.
+
+    Executors of a cluster do not see a local default, so without either it is an error there.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not _LOCAL.fullmatch(context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = DEFAULT_CHECKPOINT_DIR
-        spark.sparkContext.setCheckpointDir(named)
+        context.setCheckpointDir(named)
     return named.rstrip("/")
 
 
+#: The folder, below the application's, of cuts that ``settled`` deletes.
+_scope: ContextVar[str] = ContextVar("scope", default="")
+
+
 def _cuts(spark: SparkSession) -> str:
     """The folder of this application's cuts."""
     return f"{checkpoint_dir(spark)}/octoloom/{spark.sparkContext.applicationId}"
 
 
+def new_cut(spark: SparkSession) -> str:
+    """A path for one more cut."""
+    return f"{_cuts(spark)}{_scope.get()}/{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` below the shared checkpoint folder and read it back.
 
-    Operators return frames that read such tables, so they stay until ``clear_cuts``.
+    Operators return frames that read such tables, so they stay until ``settled`` or ``clear_cuts``.
     """
     spark = df.sparkSession
-    path = f"{_cuts(spark)}/{uuid.uuid4().hex}"
+    path = new_cut(spark)
     df.write.parquet(path)
     out = spark.read.schema(_nullable(df.schema)).parquet(path)
     out._octoloom_path = path
     return out
 
 
+_TABLE = "cut_table_"
+
+
+def bucketed_cut(df: DataFrame, buckets: int, column: str) -> DataFrame:
+    """A cut whose files are bucketed by ``column``: joins on it leave these rows where they are."""
+    spark = df.sparkSession
+    folder, _, name = new_cut(spark).rpartition("/")
+    path, name = f"{folder}/{_TABLE}{name}", f"{_TABLE}{name}"
+    df.write.format("parquet").option("path", path).bucketBy(buckets, column).saveAsTable(name)
+    out = spark.table(name)
+    out._octoloom_path = path
+    return out
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """``make()`` as a cut, and every cut it needed on the way deleted."""
+    inner = f"{_scope.get()}/{uuid.uuid4().hex}"
+    token = _scope.set(inner)
+    try:
+        made = make()
+    finally:
+        _scope.reset(token)
+    out = cut(made)
+    _delete(spark, f"{_cuts(spark)}{inner}")
+    return out
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete a table made by ``cut`` that nothing will read again."""
     path = getattr(df, "_octoloom_path", None)
@@ -64,7 +112,13 @@ def clear_cuts(spark: SparkSession) -> None:
 
 def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(target):
+        inside = [status.getPath().getName() for status in files.listStatus(target)]
+        for name in (target.getName(), *inside):
+            if name.startswith(_TABLE):
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+        files.delete(target, True)
 
 
 def _nullable(schema: T.StructType) -> T.StructType:

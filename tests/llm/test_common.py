@@ -2,6 +2,8 @@
 
 import os
 
+import pytest
+
 from octoloom.llm import common
 
 
@@ -17,6 +19,50 @@ def test_cuts_go_where_the_session_says_and_can_be_cleared(spark, tmp_path, monk
     assert not os.listdir(tmp_path / "octoloom")
 
 
+def test_settled_leaves_its_result_alone(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "checkpoint_dir", lambda _: f"file://{tmp_path}")
+
+    def make():
+        parts = common.bucketed_cut(common.cut(spark.range(9).selectExpr("id", "id % 3 AS k")), 2, "k")
+        return parts.where("k = 1")
+
+    before = {t.name for t in spark.catalog.listTables()}
+    rows = common.settled(spark, make)
+    assert sorted(r["id"] for r in rows.collect()) == [1, 4, 7]
+    assert len(os.listdir(tmp_path / "octoloom" / spark.sparkContext.applicationId)) == 1
+    assert {t.name for t in spark.catalog.listTables()} == before
+    common.drop_cut(rows)
+
+
+class Context:
+    def __init__(self, master, folder=None):
+        self.master, self.folder = master, folder
+
+    def getCheckpointDir(self):
+        return self.folder
+
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+class Session:
+    class conf:
+        @staticmethod
+        def get(name, default):
+            return default
+
+    def __init__(self, *context):
+        self.sparkContext = Context(*context)
+
+
+def test_the_folder_of_the_context_counts_and_clusters_need_one():
+    assert common.checkpoint_dir(Session("spark://host:7077", "hdfs://x/cuts/")) == "hdfs://x/cuts"
+    assert common.checkpoint_dir(Session("local[4]")) == common.DEFAULT_CHECKPOINT_DIR
+    for master in ("yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            common.checkpoint_dir(Session(master))
+
+
 def test_the_folder_of_the_session_is_used(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert common.checkpoint_dir(spark) == (named or common.DEFAULT_CHECKPOINT_DIR).rstrip("/")
