@@ -25,10 +25,10 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import connected_components, cut, fresh
+from .common import bucketed_cut, connected_components, cut, fresh
 
 #: Above this many distinct fingerprints a bucket costs more in pairs than in ball look-ups.
 BUCKET_LIMIT = 512
@@ -164,15 +164,34 @@ def near_duplicates(
     )
 
 
+#: Rows whose losers share one bitmap: what Spark's bitmaps hold.
+BLOCK_ROWS = 1 << 15
+
+
+def _row_blocks(row: Column) -> Column:
+    """Numbers of blocks of at most ``BLOCK_ROWS`` rows that stand together in one partition."""
+    return F.shiftright(row, 15)
+
+
+def _in_block(row: Column) -> Column:
+    return row.bitwiseAND(BLOCK_ROWS - 1)
+
+
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group: the smallest doc_id (nulls last; then any one row).
 
-    The fingerprint rides along in a table cut to the shared folder, so texts are hashed once
-    and shuffled once.  Columns and their names stay as they were.
+    Groups are those of ``near_duplicates``.  Null and wordless texts are one group; repeated rows leave
+    one; very long texts are read whole; an empty table stays empty.  Columns and their names stay as
+    they were.
+
+    Texts are hashed once and never shuffled: they are written bucketed by blocks of neighbouring
+    rows, and what the join brings to them is a bitmap of the rows to keep of each block, a bit a row.
     """
-    fp, row = fresh(docs, "fp"), fresh(docs, "row_key")
-    marked = with_fingerprint(docs, fp, text_col)
-    marked = cut(marked.withColumn(row, F.monotonically_increasing_id()))
+    spark = docs.sparkSession
+    fp, row, block, bits = (fresh(docs, c) for c in ("fp", "row_key", "row_block", "row_bits"))
+    marked = with_fingerprint(docs, fp, text_col).withColumn(row, F.monotonically_increasing_id())
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    marked = bucketed_cut(marked.withColumn(block, _row_blocks(F.col(row))), buckets, block)
     rows = marked.select(F.col(id_col).alias("doc_id"), F.col(fp).alias("fp"), F.col(row).alias("row_key"))
     nodes = cut(
         rows.groupBy("fp").agg(
@@ -180,10 +199,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         )
     )
     roots = connected_components(links(nodes.select("fp")))
-    kept = (
-        nodes.join(roots, nodes.fp == roots.node, "left")
-        .groupBy(F.coalesce("root", "fp").alias("root"))
-        .agg(F.min("first").alias("first"))
-        .select(F.col("first.row_key").alias(row))
+    labelled = cut(
+        nodes.join(roots, nodes.fp == roots.node, "left").select(
+            "fp", F.coalesce("root", "fp").alias("root"), F.col("first.row_key").alias("row_key"), "first"
+        )
+    )
+    firsts = labelled.groupBy("root").agg(F.min("first")["row_key"].alias("row_key"))
+    kept = firsts.groupBy(_row_blocks(F.col("row_key")).alias(block)).agg(
+        F.bitmap_construct_agg(_in_block(F.col("row_key"))).alias(bits)
     )
-    return marked.join(kept, row, "left_semi").select(*docs.columns)
+    joined = marked.join(kept.hint("shuffle_hash"), block)
+    byte = F.hex(F.substr(bits, F.floor(_in_block(F.col(row)) / 8).cast("int") + 1, F.lit(1)))
+    bit = F.call_function("shiftright", F.conv(byte, 16, 10).cast("int"), F.pmod(F.col(row), F.lit(8)).cast("int"))
+    return joined.where(bit.bitwiseAND(1) == 1).select(*docs.columns)
