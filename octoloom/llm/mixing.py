@@ -22,18 +22,28 @@ MOST = 2
 SEED = "mix-1"
 #: The hash has 60 bits and is refined 12 at a time.
 HASH_BITS, STEP_BITS = 60, 12
+#: Copies of one row that one task makes.
+RUN_ROWS = 16_384
 
 
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def row_hash(doc_id: Column, seed: str = SEED) -> Column:
-    """The first 60 bits of the MD5 of seed and id; a null id hashes as the empty text."""
-    keyed = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")))
+def row_hash(doc_id: Column, text_md5: Column, copy: Column | int = 0, seed: str = SEED) -> Column:
+    """The first 60 bits of the MD5 of seed, id, text and number of the copy; a null id hashes as the empty text.
+
+    The text takes part so that rows with one id, or none, are not taken or left together.
+    """
+    copy = copy if isinstance(copy, Column) else F.lit(copy)
+    keyed = F.concat_ws(":", F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit("")), text_md5, copy.cast("string"))
     return F.conv(F.substring(F.md5(keyed.cast("binary")), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
+def text_md5(text: Column) -> Column:
+    return F.md5(F.coalesce(text, F.lit("")).cast("binary"))
+
+
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
     """(source, source_size, target) from rows (source, size).
 
@@ -84,6 +94,11 @@ def thresholds(sized: DataFrame, plan: DataFrame) -> DataFrame:
         state = _refine(sized, state, shift)
         old, state = state, cut(state)
         drop_cut(old)
+        if shift == HASH_BITS - STEP_BITS:  # later passes read the boundary buckets alone
+            inside = state.where("budget IS NOT NULL").select(F.col("source").alias("of"), "prefix")
+            same = F.col("source").eqNullSafe(F.col("of")) & (F.shiftrightunsigned("hash", shift) == F.col("prefix"))
+            sized = cut(sized.join(inside, same, "left_semi"))
+    drop_cut(sized)
     last = F.col("edge_size") - F.col("budget") < F.col("budget")
     return state.select(
         "source",
@@ -126,18 +141,28 @@ def mix(
 ) -> DataFrame:
     """One row a document: doc_id, size, source_size, target, taken, passes, and its source.
 
-    Null texts have size 0; null ids share one hash; null sources are one source, last in order.
-    Rows with the same id share a hash, so they are taken together.  Documents of size 0 are taken
-    as 0 words.  An empty table gives no rows.  Reruns agree: the hash depends on seed and id.
+    Null texts have size 0; null sources are one source, last in order; very long texts are counted
+    whole.  Null or repeated ids are told apart by their texts, and rows equal in id, source and text
+    by a number from 0, so each is taken or left on its own.  Documents of size 0 are taken as 0
+    words.  An empty table gives no rows.  Columns other than the three named are not read, so their
+    names cannot clash.  Reruns agree: hashes depend on seed, id, text and that number alone.
     """
-    sized = cut(
-        docs.select(
-            F.col(id_col).alias("doc_id"),
-            F.col(source_col).alias("source"),
-            n_words(F.col(text_col)).alias("size"),
-            row_hash(F.col(id_col), seed).alias("hash"),
-        )
+    kinds = docs.select(
+        F.col(id_col).alias("doc_id"),
+        F.col(source_col).alias("source"),
+        n_words(F.col(text_col)).alias("size"),
+        text_md5(F.col(text_col)).alias("md5"),
     )
+    kinds = cut(kinds.groupBy("doc_id", "source", "size", "md5").agg(F.count("*").alias("n")))
+    if (kinds.agg(F.max("n")).first()[0] or 0) > RUN_ROWS:  # the copies of one row are made by several tasks
+        runs = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(RUN_ROWS).cast("long")))
+        kinds = kinds.select("*", runs.alias("run")).repartition("md5", "run")
+        kinds = kinds.withColumn("n", F.least(F.col("n") - F.col("run"), F.lit(RUN_ROWS)))
+    else:
+        kinds = kinds.withColumn("run", F.lit(0).cast("long"))
+    copies = F.explode(F.sequence(F.col("run"), F.col("run") + F.col("n") - 1)).alias("copy")
+    sized = kinds.select("doc_id", "source", "size", "md5", copies)
+    sized = cut(sized.select("doc_id", "source", "size", row_hash(F.col("doc_id"), F.col("md5"), F.col("copy"), seed).alias("hash")))
     bounds = thresholds(sized, cut(targets(sized)))
     bounds = bounds.withColumnRenamed("source", "of")
     times = F.col("passes") + (F.col("hash") < F.col("bound")).cast("int")
@@ -155,17 +180,20 @@ def mix(
 def resample(docs: DataFrame, source_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with each row as often as the mix takes it: never, once or twice.
 
-    Only the few numbers a source are joined to the texts; columns stay as they were.
+    Only the few numbers a source are joined to the texts; columns and their names stay as they were.
+    Null texts have size 0, null sources are one source, very long texts are counted whole, and an
+    empty table stays empty.  Rows with one id are told apart by their texts; rows equal in both are
+    taken together, so a source of such rows alone may miss its target: remove copies before.
     """
     size, key, of, bound, times = (fresh(docs, x) for x in ("size", "hash", "of", "bound", "times"))
     marked = docs.select(
-        "*", n_words(F.col(text_col)).alias(size), row_hash(F.col(id_col)).alias(key)
+        "*", n_words(F.col(text_col)).alias(size), row_hash(F.col(id_col), text_md5(F.col(text_col))).alias(key)
     )
     sized = cut(marked.select(F.col(source_col).alias("source"), F.col(size).alias("size"), F.col(key).alias("hash")))
     bounds = thresholds(sized, cut(targets(sized))).select(
         F.col("source").alias(of), F.col("bound").alias(bound), F.col("passes").alias(times)
     )
-    joined = docs.withColumn(key, row_hash(F.col(id_col))).join(bounds, F.col(source_col).eqNullSafe(F.col(of)))
+    joined = docs.withColumn(key, row_hash(F.col(id_col), text_md5(F.col(text_col)))).join(bounds, F.col(source_col).eqNullSafe(F.col(of)))
     often = F.col(times) + (F.col(key) < F.col(bound)).cast("int")
     copies = joined.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), often)).alias(times))
     return copies.select(*docs.columns)

@@ -128,13 +128,14 @@ OP5_SQL = """
 WITH crc AS (
   SELECT list_transform(range(256), lambda x: list_reduce([x, 1, 2, 3, 4, 5, 6, 7, 8],
            lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
-rows AS (
+crcs AS (
   SELECT doc_id, source, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size,
          xor(list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'),
                                                                   lambda h: CAST('0x' || h AS BIGINT))),
-                         lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS text_crc32,
-         md5('shard-1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS key
+                         lambda c, b: xor(c >> 8, steps[xor(c & 255, b) + 1])), 4294967295::BIGINT) AS text_crc32
   FROM documents, crc),
+rows AS (
+  SELECT *, md5(concat_ws(':', 'shard-1', coalesce(CAST(doc_id AS VARCHAR), ''), text_crc32, size)) AS key FROM crcs),
 ranked AS (
   SELECT *, (row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32, size) - 1
              + (CAST(CAST('0x' || substr(md5('shard-1:' || coalesce(source, '')), 1, 8) AS BIGINT) AS DOUBLE) + 0.5::DOUBLE)
@@ -152,7 +153,8 @@ FROM placed
 OP6_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         CAST('0x' || substr(md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 15) AS BIGINT) AS hash
+         CAST('0x' || substr(md5(concat_ws(':', 'mix-1', coalesce(CAST(doc_id AS VARCHAR), ''), md5(coalesce(text, '')),
+           row_number() OVER (PARTITION BY doc_id, source, text) - 1)), 1, 15) AS BIGINT) AS hash
   FROM documents),
 by_source AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size,

@@ -90,3 +90,45 @@ def test_shards_do_not_depend_on_the_buckets(spark, small, monkeypatch):
     usual = sorted(map(tuple, sharding.interleave(docs).collect()))
     monkeypatch.setattr(sharding, "LEAST_BUCKETS", 1)
     assert sorted(map(tuple, sharding.interleave(docs.repartition(7)).collect())) == usual
+
+
+@pytest.fixture(scope="module")
+def skewed(spark):
+    """A third of the rows without an id, a third equal in everything, in one source."""
+    rows = spark.range(60_000).selectExpr(
+        "CASE WHEN id % 3 = 0 THEN NULL WHEN id % 3 = 1 THEN 5 ELSE id END AS doc_id",
+        "CASE WHEN id % 3 = 1 THEN 'copy of a text' ELSE concat('text ', id) END AS text",
+        "CASE WHEN id % 3 < 2 THEN 'hot' ELSE concat('s', id % 7) END AS source",
+    )
+    return rows
+
+
+def test_shards_of_null_and_equal_ids(skewed, monkeypatch):
+    got = sharding.interleave(skewed).toPandas()
+    counts = got.groupby("shard").size()
+    assert counts.max() - counts.min() <= 1 and counts.sum() == 60_000
+    assert all(sorted(one["slot"]) == list(range(len(one))) for _, one in got.groupby("shard"))
+    share = got[got["source"] == "hot"].groupby("shard").size()
+    assert (share - 5_000).abs().max() <= 3
+    monkeypatch.setattr(sharding, "BUCKET_ROWS", 1_000)  # copies of one row in many tasks
+    again = sharding.interleave(skewed).toPandas()
+    assert (again.groupby("shard").size() == counts).all() and not again.duplicated(["shard", "slot"]).any()
+
+
+def test_no_bucket_of_null_or_equal_ids_is_large(skewed):
+    kinds = skewed.groupBy("doc_id", "source", "text").count()
+    key = sharding.row_key(F.col("doc_id"), F.crc32(F.col("text").cast("binary")), sharding.row_size(F.col("text")))
+    sizes = [r["count"] for r in kinds.groupBy(F.substring(key, 1, 2).alias("bucket")).count().collect()]
+    assert len(sizes) == 256 and max(sizes) < 2 * sum(sizes) / len(sizes)
+
+
+def test_a_source_of_equal_rows_meets_its_target(spark, skewed, monkeypatch):
+    for rows in (skewed, skewed.where("doc_id = 5"), skewed.where("doc_id IS NULL")):
+        mixed = mixing.mix(rows).toPandas()
+        assert len(mixed) == rows.count()
+        for _, one in mixed.groupby("source"):
+            assert abs(one["taken"].sum() - one["target"].iloc[0]) <= 2 * one["size"].max()
+    usual = mixing.mix(skewed).groupBy("source").agg(F.sum("taken").alias("t")).orderBy("source").collect()
+    monkeypatch.setattr(mixing, "RUN_ROWS", 1_000)
+    again = mixing.mix(skewed.repartition(5)).groupBy("source").agg(F.sum("taken").alias("t")).orderBy("source").collect()
+    assert usual == again
