@@ -29,16 +29,21 @@ def sigmoid(z):
 
 
 def adam(
-    start: list[np.ndarray], gradient: Callable[[list[np.ndarray]], list[np.ndarray]], steps: int, rate: float
+    start: list[np.ndarray],
+    gradient: Callable[[list[np.ndarray]], list[np.ndarray]],
+    steps: int,
+    rate: float,
+    falling: bool = False,
 ) -> list[np.ndarray]:
     params = [p.copy() for p in start]
     first = [np.zeros_like(p) for p in params]
     second = [np.zeros_like(p) for p in params]
     for t in range(1, steps + 1):
+        here = rate * (1 - (t - 1) / steps) if falling else rate
         for p, m, v, g in zip(params, first, second, gradient(params), strict=True):
             m += 0.1 * (g - m)
             v += 0.001 * (g * g - v)
-            p -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+            p -= here * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return params
 
 
@@ -86,24 +91,23 @@ def linear(blocks: list[Rows], weights: np.ndarray) -> np.ndarray:
 
 
 def fit_logistic(
-    blocks: list[Rows], labels: np.ndarray, dims: int, l2: float = 1e-6, steps: int = 120, rate: float = 0.5
+    blocks: list[Rows], labels: np.ndarray, dims: int, l2: float = 1e-6, steps: int = 300, rate: float = 0.5
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias by full-batch descent on the mean log loss."""
-    n = len(labels)
+    """Weights and bias by Adam on the mean log loss, a block a step, the rate falling to nothing."""
     parts = np.split(labels, np.cumsum([len(sizes) for *_, sizes in blocks])[:-1])
+    turn = 0
 
     def gradient(params):
+        nonlocal turn
+        (index, value, sizes), y = blocks[turn % len(blocks)], parts[turn % len(blocks)]
+        turn += 1
         w, b = params
-        gw, gb = l2 * w, 0.0
-        for (index, value, sizes), y in zip(blocks, parts, strict=True):
-            owner = owners(sizes)
-            z = np.bincount(owner, weights=w[index] * value, minlength=len(y)) + b[0]
-            off = (sigmoid(z) - y) / n
-            gw += np.bincount(index, weights=off[owner] * value, minlength=dims)
-            gb += off.sum()
-        return [gw, np.array([gb])]
-
-    w, b = adam([np.zeros(dims), np.zeros(1)], gradient, steps, rate)
+        owner = owners(sizes)
+        z = np.bincount(owner, weights=w[index] * value, minlength=len(y)) + b[0]
+        off = (sigmoid(z) - y) / len(y)
+        return [l2 * w + np.bincount(index, weights=off[owner] * value, minlength=dims), np.array([off.sum()])]
+
+    w, b = adam([np.zeros(dims), np.zeros(1)], gradient, steps, rate, falling=True)
     return w, float(b[0])
 
 
