@@ -15,3 +15,8 @@ def div(a: Column | int, b: Column | int) -> Column:
 def ceil_div(a: Column | int, b: int) -> Column:
     a = a if isinstance(a, Column) else F.lit(a)
     return div(a + (b - 1), b)
+
+
+def ceil_div_by(a: Column, b: Column) -> Column:
+    """The same by a column that is above zero (null where it is zero)."""
+    return F.call_function("div", (a + b - 1).cast("long"), F.nullif(b.cast("long"), F.lit(0).cast("long")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,24 +13,17 @@ SYMBOLS = 256
 
 
 def window_entropy(pixels: DataFrame) -> DataFrame:
-    """``pixels`` (blob_id, quad, j, b) with ``entropy``, 0 to 1.
+    """``pixels`` (blob_id, quad, j, byte_idx, b) with ``entropy``, 0 to 1.
 
     The frame holds 16 samples before to 15 after inside the quad; places outside it, and samples
     past the end of a blob, count as byte 0.  The base of the logarithm is the window, so quads
-    need at least that many samples.
+    need at least that many samples.  A group is the samples of one quad, whose number a layout fixes.
     """
-    half = WINDOW // 2
-    frame = Window.partitionBy("blob_id", "quad").orderBy("j").rowsBetween(-half, half - 1)
-    seen = F.array_sort(F.collect_list(F.coalesce("b", F.lit(0))).over(frame))
-    padded = F.concat(F.array_repeat(F.lit(0), F.lit(WINDOW) - F.size("_seen")), F.col("_seen"))
-    return pixels.withColumn("_seen", seen).withColumn("entropy", _entropy(padded)).drop("_seen")
-
-
-def _entropy(values: Column) -> Column:
-    """Normalised entropy of ``WINDOW`` values, by the counts of the distinct ones in order."""
-    distinct = F.array_sort(F.array_distinct(values))
-    shares = F.transform(distinct, lambda v: F.size(F.filter(values, lambda x: x == v)) / WINDOW)
-    return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log(p) / F.log(F.lit(float(WINDOW))))
+    row = F.struct("j", "byte_idx", "b")
+    quads = pixels.groupBy("blob_id", "quad").agg(F.array_sort(F.collect_list(row)).alias("_rows"))
+    values = F.transform("_rows", lambda r: F.coalesce(r["b"], F.lit(0)).cast("short"))
+    rows = quads.select("blob_id", "quad", F.explode(F.arrays_zip("_rows", quad_entropy(values).alias("_h"))).alias("_z"))
+    return rows.select("blob_id", "quad", "_z._rows.*", F.col("_z._h").alias("entropy"))
 
 
 #: Keeps a sum of logarithms that should be a whole step of the colour from falling just below it.
@@ -70,11 +63,15 @@ def window_entropy_kernel(samples: np.ndarray) -> np.ndarray:
     return -terms.sum(1) / np.log(WINDOW)
 
 
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
-def quad_entropy(samples: pa.Array) -> pa.Array:
-    """Entropies of binaries that hold one quad's samples each."""
-    rows = [window_entropy_kernel(np.frombuffer(s or b"", np.uint8)) for s in samples.to_pylist()]
-    return pa.array(rows, pa.list_(pa.float64()))
+def quad_entropy(values: Column) -> Column:
+    """Entropies of arrays that hold one quad's samples each."""
+
+    @F.arrow_udf(T.ArrayType(T.DoubleType()))
+    def entropies(samples: pa.Array) -> pa.Array:
+        rows = [window_entropy_kernel(s.values.to_numpy().astype(np.uint8)) for s in samples]
+        return pa.array(rows, pa.list_(pa.float64()))
+
+    return entropies(values)
 
 
 def block_entropy(counts: Column, n_bytes: Column) -> Column:

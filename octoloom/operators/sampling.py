@@ -7,11 +7,13 @@ drawn by different tasks.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.bytes import byte_at
-from ..functions.numbers import ceil_div, div
+from ..functions.numbers import ceil_div, ceil_div_by, div
 from .layout import check_size, curve
 
 LAYOUTS = ("square", "unrolled", "unrolled_n")
@@ -51,14 +53,91 @@ def sample_index(start: Column, stop: Column, j: Column, size: int) -> Column:
     return start + div(j * (stop - start), size * size)
 
 
+def _check_step(step: int | None) -> None:
+    if step is not None and step < 1:
+        raise ValueError("step must be at least 1")
+
+
+def _first_at(offset: Column, start: Column, width: Column, area: int) -> Column:
+    """The first ``j`` whose sample stands at ``offset`` or after it."""
+    at = F.greatest(offset - start, F.lit(0).cast("long"))
+    return F.when(width > 0, F.least(ceil_div_by(at * area, width), F.lit(area).cast("long"))).otherwise(
+        F.when(at > 0, F.lit(area).cast("long")).otherwise(F.lit(0).cast("long"))
+    )
+
+
+def strips(chunks: DataFrame, size: int, layout: str = "unrolled", step: int | None = None) -> DataFrame:
+    """(blob_id, quad, first_j, n_j, start, width, samples): what each chunk gives to each quad.
+
+    ``chunks`` has blob_id, n_bytes, byte_start and data.  A strip is a run of pixels whose samples all
+    lie in one chunk, so it holds at most a chunk or a quad.  Pixels past the end of a blob have no
+    strip.  A chunk reaches few quads: those whose range meets its own.
+    """
+    _check_step(step)
+    area = check_size(size) ** 2
+    n, first, end = F.col("n_bytes"), F.col("byte_start"), F.col("byte_start") + F.octet_length("data")
+    last = quad_count(n, size, layout, step) - 1
+    if layout == "square":
+        low = high = F.lit(0).cast("long")
+    elif layout == "unrolled" and step is None:
+        # floors part the blob, so look one quad further on both sides
+        low = F.greatest(div(first * DEFAULT_QUADS, n) - 1, F.lit(0).cast("long"))
+        high = F.least(div(end * DEFAULT_QUADS, n) + 1, last)
+    else:
+        wide = area * (step if layout == "unrolled" else 1)
+        low, high = div(first, wide), F.least(div(end - 1, wide), last)
+    met = chunks.where("n_bytes > 0").select("*", end.alias("_end"), F.explode(F.sequence(low, high)).alias("quad"))
+    start, stop = quad_bounds(n, F.col("quad"), size, layout, step)
+    met = met.select("*", start.alias("start"), (stop - start).alias("width"))
+    first_j, end_j = (
+        _first_at(F.col(c), F.col("start"), F.col("width"), area) for c in ("byte_start", "_end")
+    )
+    met = met.select("*", first_j.alias("first_j"), (end_j - first_j).alias("n_j")).where("n_j > 0 AND start < n_bytes")
+
+    @F.arrow_udf("binary")
+    def pick(data: pa.Array, at: pa.Array, a: pa.Array, w: pa.Array, j: pa.Array, k: pa.Array) -> pa.Array:
+        out = []
+        for d, *numbers in zip(*[c.to_pylist() for c in (data, at, a, w, j, k)], strict=True):
+            begin, zero, width, first, count = numbers
+            index = zero - begin + np.arange(first, first + count, dtype=np.int64) * width // area
+            out.append(np.frombuffer(d, np.uint8)[index].tobytes())
+        return pa.array(out, pa.binary())
+
+    samples = pick("data", "byte_start", "start", "width", "first_j", "n_j").alias("samples")
+    return met.select("blob_id", "n_bytes", "quad", "first_j", "n_j", "start", "width", samples)
+
+
+def _grid_of_chunks(chunks: DataFrame, size: int, layout: str, step: int | None) -> DataFrame:
+    area = size * size
+    found = strips(chunks, size, layout, step)
+    known = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_j") - 1)).alias("_k"))
+    known = known.select(
+        "blob_id", "quad", (F.col("first_j") + F.col("_k")).alias("j"), "start", "width", byte_at(F.col("samples"), F.col("_k")).alias("b")
+    )
+    # the last chunk of a blob gives the pixels past the blob's end
+    ends = chunks.where(F.col("byte_start") + F.octet_length("data") == F.col("n_bytes")).where("n_bytes > 0")
+    quad = quad_count(F.col("n_bytes"), size, layout, step) - 1
+    ends = ends.select("blob_id", "n_bytes", F.explode(F.sequence(F.lit(0).cast("long"), quad)).alias("quad"))
+    start, stop = quad_bounds(F.col("n_bytes"), F.col("quad"), size, layout, step)
+    ends = ends.select("*", start.alias("start"), (stop - start).alias("width"))
+    past = _first_at(F.col("n_bytes"), F.col("start"), F.col("width"), area)
+    ends = ends.select("*", past.alias("_past")).where(F.col("_past") < area)
+    j = F.explode(F.sequence(F.col("_past"), F.lit(area - 1).cast("long"))).alias("j")
+    rest = ends.select("blob_id", "quad", j, "start", "width", F.lit(None).cast("int").alias("b"))
+    at = (F.col("start") + div(F.col("j") * F.col("width"), area)).alias("byte_idx")
+    return known.unionByName(rest).select("blob_id", "quad", "j", at, "b")
+
+
 def grid(blobs: DataFrame, size: int, layout: str = "unrolled", step: int | None = None) -> DataFrame:
     """(blob_id, quad, j, byte_idx, b) of every pixel; ``b`` is null past the end of the blob.
 
-    ``blobs`` has blob_id and data (binary).  Empty blobs have no pixels.  ``j`` runs along the
-    curve inside a quad.
+    ``blobs`` has blob_id and data (binary), a whole blob a row, or is a table of chunks (see
+    ``strips``), where no row holds more than a chunk.  Empty blobs have no pixels.  ``j`` runs along
+    the curve inside a quad.
     """
-    if step is not None and step < 1:
-        raise ValueError("step must be at least 1")
+    _check_step(step)
+    if "byte_start" in blobs.columns:
+        return _grid_of_chunks(blobs, check_size(size), layout, step)
     known = blobs.select("blob_id", "data", F.octet_length("data").cast("long").alias("n_bytes")).where("n_bytes > 0")
     quads = known.select(
         "*", F.explode(F.sequence(F.lit(0).cast("long"), quad_count(F.col("n_bytes"), size, layout, step) - 1)).alias("quad")

@@ -21,9 +21,9 @@ HEADER_COLOURS = {
 DATA_COLOURS = (255, 230, 205, 180)
 
 
-def check_spans(spans: DataFrame, blobs: DataFrame) -> DataFrame:
-    """``spans``, failing at run time on one that is reversed or ends past its blob."""
-    sizes = blobs.select("blob_id", F.octet_length("data").cast("long").alias("_n"))
+def check_spans(spans: DataFrame, sizes: DataFrame) -> DataFrame:
+    """``spans``, failing at run time on one that is reversed or ends past its blob (blob_id, n_bytes)."""
+    sizes = sizes.select("blob_id", F.col("n_bytes").alias("_n"))
     bad = (F.col("span_end") > F.col("_n")) | (F.col("span_start") < 0) | (F.col("span_end") < F.col("span_start"))
     checked = spans.join(sizes, "blob_id").withColumn(
         "span_end", F.when(bad, F.raise_error(F.lit("span outside its blob")).cast("long")).otherwise(F.col("span_end"))

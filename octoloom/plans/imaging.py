@@ -23,7 +23,7 @@ def render(
     mode: str = "RGB",
     members: DataFrame | None = None,
 ) -> DataFrame:
-    """Pixels (blob_id, quad, j, x, y, r, g, b) of blobs (blob_id, data).
+    """Pixels (blob_id, quad, j, x, y, r, g, b) of blobs (blob_id, data) or of chunks of blobs.
 
     ``color_map`` names ``class``, ``magnitude``, ``entropy`` or ``structure`` (which needs
     ``members``).  Pixels past the end of a blob are black.  Only sampled bytes are read.
@@ -64,7 +64,11 @@ def render_mask(
 ) -> DataFrame:
     """Pixels (blob_id, quad, j, x, y, mask) with 255 where a sampled byte lies in a span."""
     pixels = sampling.grid(blobs, size, layout_type, step)
-    masked = spans.mask(pixels, spans.check_spans(marked, blobs))
+    if "byte_start" in blobs.columns:
+        sizes = blobs.where("byte_start = 0").select("blob_id", "n_bytes")
+    else:
+        sizes = blobs.select("blob_id", F.octet_length("data").cast("long").alias("n_bytes"))
+    masked = spans.mask(pixels, spans.check_spans(marked, sizes))
     shown = F.when(F.col("b").isNull(), 0).otherwise(F.col("mask")).alias("mask")
     return sampling.place(masked, size, layout_map).select("blob_id", "quad", "j", "x", "y", shown)
 
@@ -79,18 +83,26 @@ def render_quads(
 ) -> DataFrame:
     """(blob_id, quad, image) with one RGB binary of ``size`` rows a quad, drawn by an Arrow kernel.
 
-    Colour maps are ``class``, ``magnitude`` and ``entropy``.  A row carries the bytes of its own
-    quad, so quads of one blob are drawn side by side and no task holds an image.
+    Colour maps are ``class``, ``magnitude`` and ``entropy``; images with ``structure`` or of masks are
+    drawn by ``images`` from their pixels.  A row carries the bytes of its own quad, or only its samples
+    where ``blobs`` are chunks, so quads of one blob are drawn side by side and no task holds an image.
     """
     area = size * size
-    known = blobs.select("blob_id", "data", F.octet_length("data").cast("long").alias("n")).where("n > 0")
-    last = sampling.quad_count(F.col("n"), size, layout_type, step) - 1
-    quads = known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("quad"))
-    start, stop = sampling.quad_bounds(F.col("n"), F.col("quad"), size, layout_type, step)
-    # an empty range still shows the byte at its start, as the row grain does
-    end = F.least(F.greatest(stop, start + 1), F.col("n"))
-    part = F.substr("data", (start + 1).cast("int"), (end - start).cast("int"))
-    ranged = quads.select("blob_id", "quad", (stop - start).alias("width"), part.alias("part"))
+    if "byte_start" in blobs.columns:
+        found = sampling.strips(blobs, size, layout_type, step)
+        strip = F.struct("first_j", "samples")
+        ranged = found.groupBy("blob_id", "quad").agg(F.array_sort(F.collect_list(strip)).alias("_s"))
+        part = F.concat_ws("", F.transform("_s", lambda x: F.hex(x["samples"])))
+        ranged = ranged.select("blob_id", "quad", F.lit(area).cast("long").alias("width"), F.unhex(part).alias("part"))
+    else:
+        known = blobs.select("blob_id", "data", F.octet_length("data").cast("long").alias("n")).where("n > 0")
+        last = sampling.quad_count(F.col("n"), size, layout_type, step) - 1
+        quads = known.select("*", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("quad"))
+        start, stop = sampling.quad_bounds(F.col("n"), F.col("quad"), size, layout_type, step)
+        # an empty range still shows the byte at its start, as the row grain does
+        end = F.least(F.greatest(stop, start + 1), F.col("n"))
+        part = F.substr("data", (start + 1).cast("int"), (end - start).cast("int"))
+        ranged = quads.select("blob_id", "quad", (stop - start).alias("width"), part.alias("part"))
     at = layout.positions(layout_map, size)
     names = list(color_map)
     grey = {k: v for k, v in GREY_TABLES.items() if k in names}
@@ -128,6 +140,30 @@ def render_quads(
     return ranged.select("blob_id", "quad", draw("part", "width").alias("image"))
 
 
+def images(pixels: DataFrame, size: int) -> DataFrame:
+    """(blob_id, quad, image) of pixels (blob_id, quad, x, y, and r, g, b or mask), a quad a group.
+
+    For colours that need a join, such as archive structure and masks.
+    """
+    grey = "mask" in pixels.columns
+    colour = ["mask"] * 3 if grey else ["r", "g", "b"]
+    flat = pixels.select(
+        "blob_id", "quad", (F.col("y") - F.col("quad") * size).cast("int").alias("y"), F.col("x").cast("int").alias("x"),
+        *[F.col(c).cast("int").alias(f"c{k}") for k, c in enumerate(colour)],
+    )
+
+    def draw(group: pa.Table) -> pa.Table:
+        image = np.zeros((size, size, 3), np.uint8)
+        y, x = (group[c].to_numpy() for c in ("y", "x"))
+        for k in range(3):
+            image[y, x, k] = group[f"c{k}"].to_numpy()
+        first = group.slice(0, 1).select(["blob_id", "quad"])
+        return first.append_column("image", pa.array([image.tobytes()], pa.binary()))
+
+    kind = pixels.schema["blob_id"].dataType.simpleString()
+    return flat.groupBy("blob_id", "quad").applyInArrow(draw, f"blob_id {kind}, quad long, image binary")
+
+
 def patches_of_quads(quads: DataFrame, size: int, patch_w: int, patch_h: int) -> DataFrame:
     """(image_name, patch_id, patch) numbered over the whole image, where quads stand below each other."""
     from ..operators.patches import cut_patches

@@ -36,16 +36,16 @@ def text_blobs(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def chunks(blobs: DataFrame, chunk_size: int = CHUNK_SIZE) -> DataFrame:
-    """(blob_id, chunk_id, byte_start, data) of blobs that are already rows; empty blobs give none."""
+    """(blob_id, n_bytes, chunk_id, byte_start, data) of blobs that are already rows; empty blobs give none."""
     if chunk_size < 1:
         raise ValueError("chunk_size must be at least 1")
     count = ceil_div(F.octet_length("data"), chunk_size)
     numbered = blobs.where(F.octet_length("data") > 0).select(
-        "blob_id", "data", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("chunk_id")
+        "blob_id", F.octet_length("data").cast("long").alias("n_bytes"), "data", F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("chunk_id")
     )
     start = F.col("chunk_id") * chunk_size
     return numbered.select(
-        "blob_id", "chunk_id", start.alias("byte_start"), F.substr("data", (start + 1).cast("int"), F.lit(chunk_size)).alias("data")
+        "blob_id", "n_bytes", "chunk_id", start.alias("byte_start"), F.substr("data", (start + 1).cast("int"), F.lit(chunk_size)).alias("data")
     )
 
 
@@ -76,6 +76,7 @@ class ChunkReader(DataSourceReader):
         return out
 
     def read(self, partition: ChunkPartition) -> Iterator[pa.RecordBatch]:
+        total = os.path.getsize(partition.path)
         with open(partition.path, "rb") as file:
             file.seek(partition.first * self.size)
             for k in range(partition.first, partition.last):
@@ -83,11 +84,12 @@ class ChunkReader(DataSourceReader):
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([partition.path], pa.string()),
+                        pa.array([total], pa.int64()),
                         pa.array([k], pa.int64()),
                         pa.array([k * self.size], pa.int64()),
                         pa.array([data], pa.binary()),
                     ],
-                    names=["blob_id", "chunk_id", "byte_start", "data"],
+                    names=["blob_id", "n_bytes", "chunk_id", "byte_start", "data"],
                 )
 
 
@@ -102,7 +104,7 @@ class ChunkSource(DataSource):
         return "blob_chunks"
 
     def schema(self) -> str:
-        return "blob_id string, chunk_id long, byte_start long, data binary"
+        return "blob_id string, n_bytes long, chunk_id long, byte_start long, data binary"
 
     def reader(self, schema: StructType) -> ChunkReader:
         return ChunkReader(self.options)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from octoloom.functions.bytes import rgb_table
 from octoloom.operators import entropy, layout, patches, sampling
 from octoloom.plans import imaging
+from octoloom.sources.blobs import chunks, read_chunks
 
 
 def plain_index(n, size, kind, step):
@@ -73,6 +74,48 @@ def test_row_grain_and_quad_kernel_agree(blobs, kind, step, maps, curve):
         assert image[r["y"] - r["quad"] * size, r["x"]].tolist() == [r["r"], r["g"], r["b"]]
 
 
+@pytest.mark.parametrize("chunk", [7, 64, 1000])
+@pytest.mark.parametrize(("kind", "step"), CASES)
+def test_chunks_are_drawn_as_whole_blobs_are(blobs, kind, step, chunk):
+    pieces = chunks(blobs, chunk)
+    whole, parted = (sorted(map(tuple, sampling.grid(b, 8, kind, step).collect()), key=str) for b in (blobs, pieces))
+    assert whole == parted
+    for maps in (("class",), ("class", "magnitude", "entropy")):
+        first, second = (imaging.render_quads(b, 8, maps, "hilbert", kind, step) for b in (blobs, pieces))
+        assert sorted(map(tuple, first.collect())) == sorted(map(tuple, second.collect()))
+
+
+@pytest.mark.parametrize(("kind", "step"), CASES)
+def test_structure_and_masks_of_chunks(spark, blobs, kind, step):
+    members = spark.createDataFrame(
+        [(257, 0, "0", 0, 20, 30), (257, 1, "5", 64, 80, 0), (257, 2, "0", 128, 140, 100), (100, 0, "0", 0, 10, 90)],
+        "blob_id long, member_idx int, type string, offset long, offset_data long, size long",
+    )
+    marked = spark.createDataFrame([(257, 3, 60), (257, 50, 90), (257, 200, 257), (33, 0, 1)], "blob_id long, span_start long, span_end long")
+    pieces = chunks(blobs, 40)
+    drawn = []
+    for source in (blobs, pieces):
+        structured = imaging.images(imaging.render(source, 8, ("structure",), "zigzag", kind, step, members=members), 8)
+        masked = imaging.images(imaging.render_mask(source, marked, 8, "zigzag", kind, step), 8)
+        drawn.append([sorted(map(tuple, x.collect())) for x in (structured, masked)])
+    assert drawn[0] == drawn[1]
+    assert any(any(bytes(image)) for _, _, image in drawn[0][0]) and any(any(bytes(image)) for _, _, image in drawn[0][1])
+
+
+def test_a_file_of_over_two_gigabytes_is_drawn_from_chunks(spark, tmp_path):
+    path, size = tmp_path / "sparse.bin", (2 << 30) + 12_345
+    with path.open("wb") as file:
+        file.truncate(size)
+        file.seek(size - 5)
+        file.write(b"A" * 5)
+    (row,) = imaging.render_quads(read_chunks(spark, str(path), 4 << 20), 16, ("magnitude",), "zigzag", "square").collect()
+    image = np.frombuffer(bytes(row["image"]), np.uint8)
+    assert len(image) == 16 * 16 * 3 and not image.any()
+    tail = read_chunks(spark, str(path), 4 << 20)
+    found = sampling.grid(tail.where(F.col("byte_start") >= 2 << 30), 512, "unrolled_n").where("b > 0")
+    assert sorted(r["byte_idx"] for r in found.collect()) == list(range(size - 5, size))
+
+
 def test_quad_images_by_a_whole_array_version(blobs):
     at, palette = layout.positions("hilbert", 8), rgb_table()
     for r in imaging.render_quads(blobs, 8, ("class",), "hilbert", "unrolled", 3).join(blobs, "blob_id").collect():
@@ -89,7 +132,7 @@ def test_window_entropy_three_ways(spark):
     samples = rng.integers(0, 6, 64, np.uint8)
     expected = plain_entropy(samples.tolist())
     assert entropy.window_entropy_kernel(samples) == pytest.approx(expected)
-    rows = spark.createDataFrame([(1, 0, j, int(b)) for j, b in enumerate(samples)], "blob_id long, quad long, j long, b int")
+    rows = spark.createDataFrame([(1, 0, j, int(b)) for j, b in enumerate(samples)], "blob_id long, quad long, j long, b int").withColumn("byte_idx", F.col("j"))
     got = entropy.window_entropy(rows).orderBy("j").collect()
     assert [r["entropy"] for r in got] == pytest.approx(expected)
 
