@@ -119,3 +119,9 @@ def byte_counts(chunks: pa.Array) -> pa.Array:
     """How often a binary has each of the 256 byte values."""
     rows = [np.bincount(np.frombuffer(c or b"", np.uint8), minlength=256) for c in chunks.to_pylist()]
     return pa.array(rows, pa.list_(pa.int64()))
+
+
+@F.arrow_udf(T.LongType())
+def byte_sum(chunks: pa.Array) -> pa.Array:
+    """The sum of a binary's byte values."""
+    return pa.array([int(np.frombuffer(c or b"", np.uint8).sum(dtype=np.int64)) for c in chunks.to_pylist()], pa.int64())

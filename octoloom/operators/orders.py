@@ -8,9 +8,13 @@ from pyspark.sql import functions as F
 from ..sources.orders import parse_services
 
 
+#: White space of Unicode, which is stripped from both ends of an order.  Fixed values.
+WHITE = "\t\n\v\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def content_hash(body: Column) -> Column:
     """MD5 of the text without white space around it."""
-    return F.md5(F.regexp_replace(body, r"^\s+|\s+$", "").cast("binary"))
+    return F.md5(F.btrim(body, F.lit(WHITE)).cast("binary"))
 
 
 def services(orders: DataFrame, kind: str = "compose") -> DataFrame:
@@ -32,10 +36,13 @@ def with_verdicts(listed: DataFrame, verdicts: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(F.col("class").isNull(), "failed").otherwise("completed"))
 
 
-def order_label(judged: DataFrame) -> DataFrame:
-    """(order_id, label): malevolent if any service is; an order of none is benign."""
-    bad = F.coalesce(F.max((F.col("class") == "malevolent").cast("int")), F.lit(0)) == 1
-    return judged.groupBy("order_id").agg(F.when(bad, "malevolent").otherwise("benign").alias("label"))
+def order_label(judged: DataFrame, orders: DataFrame | None = None) -> DataFrame:
+    """(order_id, label): malevolent if any service is; one of ``orders`` (order_id) without services is benign."""
+    found = judged.groupBy("order_id").agg(F.max((F.col("class") == "malevolent").cast("int")).alias("_bad"))
+    if orders is not None:
+        found = orders.select("order_id").distinct().join(found, "order_id", "left")
+    bad = F.coalesce("_bad", F.lit(0)) == 1
+    return found.select("order_id", F.when(bad, "malevolent").otherwise("benign").alias("label"))
 
 
 def hits(requests: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("sa_hash",)) -> DataFrame:

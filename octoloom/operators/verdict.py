@@ -98,3 +98,14 @@ def bce_with_logits(z: Column, y: Column, w: Column) -> Column:
 def running_loss(batches: DataFrame, loss: str = "loss", order: str = "i") -> DataFrame:
     """The sum of each batch's loss by its number from one: not a mean, and kept as it is known."""
     return batches.agg(F.sum(F.col(loss) / (F.col(order) + 1)).alias("running_loss"))
+
+
+def patch_accuracy(batches: DataFrame, batch_size: int) -> DataFrame:
+    """(running_accuracy, accuracy) of patch predictions (batch, y_true, y_pred).
+
+    The first divides by whole batches, so it is too low where the last is short, and is kept as it is
+    known; the second is the mean over all patches.
+    """
+    hit = (F.col("y_true") == F.col("y_pred")).cast("long")
+    whole = (F.max("batch") + 1) * batch_size
+    return batches.agg((F.sum(hit) / whole).alias("running_accuracy"), F.avg(hit).alias("accuracy"))

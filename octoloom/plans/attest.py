@@ -60,7 +60,7 @@ def attest(
     status = services.groupBy("order_id").agg(
         F.when(F.max((F.col("status") == "failed").cast("int")) == 1, "failed").otherwise("completed").alias("status")
     )
-    made = report.bundles(services.where("status = 'completed'"), stamp)
+    made = report.bundles(services.where("status = 'completed'"), stamp, new)
     return (
         new.join(made, "order_id", "left")
         .join(status, "order_id", "left")
