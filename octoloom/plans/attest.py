@@ -45,7 +45,8 @@ def attest(
     ``requests`` has order_id and body; ``archives`` has image, tag, path_to_tar, hash and data;
     ``stored`` has id, sa_hash and stix_report.  Orders whose hash is stored are left to
     ``orders.hits``.  Each image is drawn and scored once, however many services run it.  A service
-    without an archive makes its order ``failed``; the others are still reported.
+    without an archive makes its order ``failed``; the others are still reported.  An order without
+    services is benign.
     """
     if area not in AREAS:
         raise ValueError(f"unknown application area {area!r}; there are {sorted(AREAS)}")
@@ -60,7 +61,9 @@ def attest(
     status = services.groupBy("order_id").agg(
         F.when(F.max((F.col("status") == "failed").cast("int")) == 1, "failed").otherwise("completed").alias("status")
     )
-    made = report.bundles(services.where("status = 'completed'"), stamp, new)
+    known = services.where("status = 'completed'")
+    empty = new.select("order_id").join(listed.select("order_id"), "order_id", "left_anti")
+    made = report.bundles(known, stamp, empty.unionByName(known.select("order_id")))
     return (
         new.join(made, "order_id", "left")
         .join(status, "order_id", "left")

@@ -7,15 +7,20 @@ logits, and so on; results say nothing about malware.  The same queries in SQL a
 
 from __future__ import annotations
 
+import io
+import tarfile
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType
 
-from ..functions.bytes import CLASS_GREY, CLASS_RGB, byte_counts, class_counts, entropy_curve, hex_colour
-from ..operators import entropy, layout, orders, patches, sampling, spans, verdict
-from ..operators.report import bundles
+from ..functions.bytes import CLASS_GREY, CLASS_RGB, byte_counts, byte_sum, chunk_colours, class_counts, entropy_curve, hex_colour
+from ..operators import colours, entropy, layout, orders, patches, sampling, spans, verdict
+from ..operators.report import bundles, object_rows
 from ..operators.scoring import sigmoid
+from ..sources import tars
 from ..sources.blobs import chain, chunks, text_blobs
 from . import attest, imaging
 from .catalog_sql import SQL
@@ -99,14 +104,14 @@ def hilbert_layout(spark, sf_dir):
 
 @query
 def sample_square(spark, sf_dir):
-    return sampling.grid(_documents(spark, sf_dir), 8, "square").select(
+    return sampling.grid(_documents(spark, sf_dir), 16, "square").select(
         F.col("blob_id").alias("doc_id"), "j", "byte_idx", "b"
     )
 
 
 @query
 def sample_unrolled4(spark, sf_dir):
-    return sampling.grid(_documents(spark, sf_dir), 4, "unrolled").select(
+    return sampling.grid(_documents(spark, sf_dir), 8, "unrolled").select(
         F.col("blob_id").alias("doc_id"), "quad", "j", "byte_idx", "b"
     )
 
@@ -121,15 +126,12 @@ def sample_unrolled_step(spark, sf_dir):
 @query
 def unrolled_n_quads(spark, sf_dir):
     """Bytes and their sum in each quad of a layout that keeps every byte: quads are chunks."""
-    quads = chunks(_documents(spark, sf_dir), 16 * 16).select("blob_id", "chunk_id", "data", byte_counts("data").alias("c"))
-    total = F.aggregate(
-        F.sequence(F.lit(0), F.lit(255)), F.lit(0).cast("long"), lambda s, v: s + F.get(F.col("c"), v) * v
-    )
+    quads = chunks(_documents(spark, sf_dir), 16 * 16)
     return quads.select(
         F.col("blob_id").alias("doc_id"),
         F.col("chunk_id").alias("quad"),
         F.octet_length("data").alias("n_bytes"),
-        total.alias("sum_value"),
+        byte_sum("data").alias("sum_value"),
     )
 
 
@@ -150,6 +152,21 @@ def span_mask(spark, sf_dir):
     return pixels.select(F.col("blob_id").alias("doc_id"), "x", "y", "mask")
 
 
+@F.arrow_udf(BinaryType())
+def pack(names: pa.Array, contents: pa.Array) -> pa.Array:
+    """Tar archives of members named by numbers."""
+    out = []
+    for ks, datas in zip(names.to_pylist(), contents.to_pylist(), strict=True):
+        held = io.BytesIO()
+        with tarfile.open(fileobj=held, mode="w", format=tarfile.USTAR_FORMAT) as archive:
+            for k, data in zip(ks, datas, strict=True):
+                info = tarfile.TarInfo(f"p{k}.html")
+                info.size = len(data)
+                archive.addfile(info, io.BytesIO(data))
+        out.append(held.getvalue())
+    return pa.array(out, pa.binary())
+
+
 def _page_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as the members of archives of ten, each with a header of 512 and padding to 512 bytes."""
     from pyspark.sql import Window
@@ -168,17 +185,46 @@ def _page_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _archive_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where the square layout of size 32 samples each archive of pages."""
+    members = _page_members(spark, sf_dir)
+    ends = members.groupBy("blob_id").agg(F.max(F.col("offset_data") + F.col("size")).alias("end"))
+    each = ends.select("blob_id", "end", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1023).cast("long"))).alias("j"))
+    index = sampling.sample_index(F.lit(0).cast("long"), F.col("end"), F.col("j"), 32)
+    return each.select("blob_id", "j", index.alias("byte_idx"))
+
+
 @query
 def interval_structure(spark, sf_dir):
+    return spans.structure(_archive_points(spark, sf_dir), _page_members(spark, sf_dir), block=4096)
+
+
+@query
+def structure_ranges(spark, sf_dir):
+    """Header and data of every member with their colours, whole."""
+    return spans.structure_ranges(_page_members(spark, sf_dir))
+
+
+@query
+def member_spans(spark, sf_dir):
+    """Spans, headers included, of the members that came by https."""
     members = _page_members(spark, sf_dir)
-    ends = members.groupBy("blob_id").agg(F.max(F.col("offset_data") + F.col("size")).alias("end"))
-    points = ends.select("blob_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("end"), F.lit(97).cast("long"))).alias("byte_idx"))
-    return spans.structure(points, members, block=4096)
+    files = members.where(F.col("name").startswith("https:")).select("blob_id", F.concat(F.lit("/"), "name").alias("file"))
+    return spans.spans_of_files(members, files)
+
+
+@query
+def tar_members(spark, sf_dir):
+    """Pages packed into real archives of ten, and what is read from them again."""
+    pages = _table(spark, sf_dir, "pages")
+    member = F.struct(F.pmod("page_id", F.lit(10)).alias("k"), F.coalesce("html", F.lit("")).cast("binary").alias("data"))
+    packed = pages.groupBy(F.floor(F.col("page_id") / 10).alias("blob_id")).agg(F.array_sort(F.collect_list(member)).alias("m"))
+    return tars.members(packed.select("blob_id", pack("m.k", "m.data").alias("data")))
 
 
 @query
 def window_entropy(spark, sf_dir):
-    pixels = sampling.grid(_documents(spark, sf_dir), 8, "square")
+    pixels = sampling.grid(_documents(spark, sf_dir), 16, "square")
     return entropy.window_entropy(pixels).select(
         F.col("blob_id").alias("doc_id"), "j", F.round("entropy", 6).alias("entropy")
     )
@@ -323,7 +369,7 @@ def member_semi_join(spark, sf_dir):
     """Pages whose language folder is a language of some document."""
     lang = F.regexp_extract("url", r"://[^/]*(/[a-z]+)/", 1)
     members = _table(spark, sf_dir, "pages").select("page_id", lang.alias("name"))
-    files = _table(spark, sf_dir, "documents").where("lang != 'fr'").select(F.concat(F.lit("//"), "lang").alias("file"))
+    files = _table(spark, sf_dir, "documents").select(F.concat(F.lit("//"), "lang").alias("file"))
     return spans.member_name_matches(members, files)
 
 
@@ -344,14 +390,29 @@ def service_dedupe(spark, sf_dir):
 def sa_hash(spark, sf_dir):
     """Hashes of all texts; of equal ones the first id is stored, and the others are hits."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", orders.content_hash(F.col("text")).alias("sa_hash"))
-    stored = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), "sa_hash", F.col("doc_id").alias("stix_report"))
-    return orders.hits(docs, stored).select("doc_id", "sa_hash", F.col("stix_report").alias("stored_id"))
+    stored = docs.groupBy("sa_hash").agg(F.min("doc_id").alias("id")).withColumn("stix_report", F.col("id"))
+    hits = orders.hits(docs, stored).where("doc_id != stix_report")
+    return hits.select("doc_id", "sa_hash", F.col("stix_report").alias("stored_id"))
 
 
 @query
 def hash_misses(spark, sf_dir):
-    docs = _table(spark, sf_dir, "documents").select("doc_id", orders.content_hash(F.col("text")).alias("sa_hash"))
-    return orders.misses(docs, docs.where("doc_id % 2 = 0")).select("sa_hash")
+    """Keys of orders, by their hash, that are the key of no customer."""
+
+    def hashed(table: str, key: str) -> DataFrame:
+        return _table(spark, sf_dir, table).select(orders.content_hash(F.col(key).cast("string")).alias("sa_hash"))
+
+    return orders.misses(hashed("orders", "o_orderkey"), hashed("customer", "c_custkey"))
+
+
+@query
+def order_verdict_of_none(spark, sf_dir):
+    """Parts as orders, and the orders of the customer of that number as services; those without any are benign."""
+    services = _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("order_id"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", "malevolent").otherwise("benign").alias("class"),
+    )
+    return orders.order_label(services, _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("order_id")))
 
 
 @query
@@ -378,20 +439,140 @@ def attestation_lookup(spark, sf_dir):
 
 @query
 def report_json(spark, sf_dir):
-    """A report an order, from the turns of conversations."""
-    turns = _table(spark, sf_dir, "conversations")
-    p = F.pmod(F.octet_length("text"), F.lit(100)) / 100
-    judged = turns.select(
-        F.col("conv_id").alias("order_id"),
-        F.concat(F.lit("c"), F.col("turn").cast("string")).alias("container_name"),
-        F.col("role").alias("image"),
-        F.lit("latest").alias("tag"),
-        F.lit("a.tar").alias("path_to_tar"),
-        F.md5(F.col("text").cast("binary")).alias("hash"),
+    """Every object of the reports, read from their JSON: orders by customer, and parts of no customer's number without services."""
+    p = F.pmod(F.col("o_orderkey"), F.lit(100)) / 100
+    judged = _table(spark, sf_dir, "orders").select(
+        F.col("o_custkey").alias("order_id"),
+        F.concat(F.lit("c"), F.col("o_orderkey").cast("string")).alias("container_name"),
+        F.col("o_orderpriority").alias("image"),
+        F.col("o_orderstatus").alias("tag"),
+        F.concat(F.lit("/tars/t"), F.col("o_orderkey").cast("string"), F.lit(".1.tar")).alias("path_to_tar"),
+        F.md5(F.col("o_orderkey").cast("string").cast("binary")).alias("hash"),
         F.when(p > 0.4, "malevolent").otherwise("benign").alias("class"),
         p.alias("probability"),
     )
-    return bundles(judged, F.lit("2024-01-01 00:00:00").cast("timestamp"))
+    everyone = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("order_id"))
+    return object_rows(bundles(judged, F.lit("2024-01-01 00:00:00").cast("timestamp"), everyone))
+
+
+@query
+def compose_orders(spark, sf_dir):
+    """Conversations written as compose files and read again; some images have no tag."""
+    turn = F.col("turn").cast("string")
+    service = F.concat(F.lit("\n  c"), turn, F.lit(":\n    image: "), F.col("role"), F.when(F.col("turn") % 3 > 0, F.concat(F.lit(":v"), turn)).otherwise(""))
+    bodies = _table(spark, sf_dir, "conversations").groupBy(F.col("conv_id").alias("order_id")).agg(
+        F.concat(F.lit("services:"), F.array_join(F.array_sort(F.collect_list(service)), "")).alias("body")
+    )
+    return orders.services(bodies).select("order_id", "container_name", "image", "tag")
+
+
+@query
+def chart_orders(spark, sf_dir):
+    """Parts written as chart values: mappings, texts with and without a tag, and entries without an image."""
+    key, kind = F.col("p_partkey").cast("string"), F.col("p_size") % 4
+    image = (
+        F.when(kind == 0, F.concat(F.lit("{image: {repository: r"), key, F.lit(", tag: '1."), key, F.lit("'}}")))
+        .when(kind == 1, F.concat(F.lit("{image: 'i"), key, F.lit(":t"), key, F.lit("'}")))
+        .when(kind == 2, F.concat(F.lit("{image: i"), key, F.lit("}")))
+        .otherwise(F.lit("{replicas: 2}"))
+    )
+    bodies = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("order_id"), F.concat(F.lit("e"), key, F.lit(": "), image).alias("body"))
+    return orders.services(bodies, "chart").select("order_id", "container_name", "image", "tag")
+
+
+@query
+def entropy_colours(spark, sf_dir):
+    pixels = imaging.render(_documents(spark, sf_dir), 8, ("entropy",), "zigzag", "square")
+    return pixels.select(F.col("blob_id").alias("doc_id"), "x", "y", "r", "g", "b")
+
+
+@query
+def chunk_square(spark, sf_dir):
+    """The square layout from chunks of 1,000 bytes."""
+    return sampling.grid(chunks(_documents(spark, sf_dir), 1000), 8, "square").select(
+        F.col("blob_id").alias("doc_id"), "j", "byte_idx", "b"
+    )
+
+
+@query
+def chunk_unrolled(spark, sf_dir):
+    return sampling.grid(chunks(_pages(spark, sf_dir), 1000), 8, "unrolled", 3).select(
+        F.col("blob_id").alias("page_id"), "quad", "j", "byte_idx", F.coalesce("b", F.lit(0)).alias("b")
+    )
+
+
+@query
+def chunk_unrolled_n(spark, sf_dir):
+    """Images that keep every byte, drawn from chunks."""
+    quads = imaging.render_quads(chunks(_pages(spark, sf_dir), 1000), 16, ("class",), "zigzag", "unrolled_n")
+    return quads.select(F.col("blob_id").alias("page_id"), "quad", F.md5(F.hex("image")).alias("image_md5"))
+
+
+@query
+def chunk_mask(spark, sf_dir):
+    blobs = _documents(spark, sf_dir)
+    pixels = imaging.render_mask(chunks(blobs, 1000), _seeded_spans(blobs), 8, "zigzag", "square")
+    return pixels.select(F.col("blob_id").alias("doc_id"), "x", "y", "mask")
+
+
+@query
+def chunk_structure(spark, sf_dir):
+    """Structure colours of real archives, drawn from chunks."""
+    pages = _table(spark, sf_dir, "pages")
+    member = F.struct(F.pmod("page_id", F.lit(10)).alias("k"), F.coalesce("html", F.lit("")).cast("binary").alias("data"))
+    packed = pages.groupBy(F.floor(F.col("page_id") / 10).alias("blob_id")).agg(F.array_sort(F.collect_list(member)).alias("m"))
+    archives = packed.select("blob_id", pack("m.k", "m.data").alias("data"))
+    pixels = imaging.render(chunks(archives, 1000), 16, ("structure",), "zigzag", "square", members=tars.members(archives))
+    return pixels.select("blob_id", "x", "y", F.col("r").alias("structure"))
+
+
+@query
+def training_patches(spark, sf_dir):
+    """Documents as images of 8 by 8, their marked spans as masks, and patches of 4 by 4 with labels."""
+    blobs = _documents(spark, sf_dir)
+    size = [F.lit(8).alias("width"), F.lit(8).alias("height")]
+    drawn = imaging.render_quads(blobs, 8, ("class",), "zigzag", "square")
+    masks = imaging.images(imaging.render_mask(blobs, _seeded_spans(blobs), 8, "zigzag", "square"), 8)
+    langs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("blob_id"), F.when(F.col("lang") == "en", "benign").otherwise("bad").alias("label"))
+    images = drawn.join(langs, "blob_id").select(F.col("blob_id").alias("image_name"), *size, F.col("image").alias("data"), patches.label_of(F.col("label")).alias("label"))
+    masks = masks.select(F.col("blob_id").alias("image_name"), *size, F.col("image").alias("data"))
+    cut = patches.training_patches(images, masks, 4, 4)
+    hot = patches.one_hot(F.col("label"))
+    return cut.select(
+        F.col("image_name").alias("doc_id"), F.col("patch_id").cast("int").alias("patch_id"), F.md5(F.hex("patch")).alias("patch_md5"),
+        "label", F.get(hot, 0).alias("is_benign"), F.get(hot, 1).alias("is_malevolent"),
+    )
+
+
+@query
+def patch_accuracy(spark, sf_dir):
+    """Embeddings as patches in batches of 64."""
+    rows = _scores(spark, sf_dir).select(
+        F.floor(F.col("patch_id") / 64).alias("batch"), F.col("label").alias("y_true"), verdict.eval_pred(F.col("p_benign"), F.col("p_malevolent")).alias("y_pred")
+    )
+    return verdict.patch_accuracy(rows, 64).select(F.round("running_accuracy", 6).alias("running_accuracy"), F.round("accuracy", 6).alias("accuracy"))
+
+
+@query
+def colour_block(spark, sf_dir):
+    """Customers as bytes, coloured where they lie in the block of their nation."""
+    start = F.col("c_nationkey") * 50
+    spec = F.concat_ws(":", start, start + 500, F.when(F.col("c_nationkey") % 2 == 0, "00ff00"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", spans.hex_block(F.col("c_custkey"), spec).alias("colour"))
+
+
+@query
+def channels_swapped(spark, sf_dir):
+    colour = patches.swap_channels(hex_colour(F.substring(F.md5(F.col("c_name").cast("binary")), 1, 6)))
+    return _table(spark, sf_dir, "customer").select("c_custkey", *[F.round(patches.normalised(colour[c] * 255, 0.5, 0.25), 6).alias(c) for c in "rgb"])
+
+
+@query
+def chunk_colour_lengths(spark, sf_dir):
+    """Colour maps of every document have its length."""
+    docs = _documents(spark, sf_dir)
+    same = colours.same_length(F.col("data"), chunk_colours(F.col("data"), "class"), chunk_colours(F.col("data"), "magnitude"))
+    return docs.select(F.col("blob_id").alias("doc_id"), "n_bytes", same.alias("same_length"))
 
 
 @query

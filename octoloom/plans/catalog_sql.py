@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from ..operators.orders import WHITE
+
 SQL: dict[str, str] = {}
 
 _DOCS = "SELECT doc_id, hex(encode(text)) AS h, CAST(strlen(text) AS BIGINT) AS n FROM documents WHERE text IS NOT NULL"
@@ -70,9 +72,9 @@ def _square(size: int) -> str:
     return _grid(_DOCS, "doc_id", size, "1", "0", "n")
 
 
-SQL["sample_square"] = f"WITH {_square(8)} SELECT doc_id, j, byte_idx, b FROM grid"
+SQL["sample_square"] = f"WITH {_square(16)} SELECT doc_id, j, byte_idx, b FROM grid"
 SQL["sample_unrolled4"] = (
-    f"WITH {_grid(_DOCS, 'doc_id', 4, '4', 'q * n // 4', '(q + 1) * n // 4')} SELECT doc_id, quad, j, byte_idx, b FROM grid"
+    f"WITH {_grid(_DOCS, 'doc_id', 8, '4', 'q * n // 4', '(q + 1) * n // 4')} SELECT doc_id, quad, j, byte_idx, b FROM grid"
 )
 SQL["sample_unrolled_step"] = (
     f"WITH {_grid(_PAGES, 'page_id', 8, '(n + 191) // 192', 'q * 192', '(q + 1) * 192')} "
@@ -120,25 +122,56 @@ SELECT doc_id, CAST(j // 8 AS INT) AS x, CAST({_zigzag_y(8)} AS BIGINT) AS y,
 FROM grid
 """
 
-SQL["interval_structure"] = """
-WITH sized AS (
-  SELECT page_id // 10 AS blob_id, page_id % 10 AS k, CAST(coalesce(strlen(html), 0) AS BIGINT) AS size FROM pages),
+_MEMBERS = """
+sized AS (
+  SELECT page_id // 10 AS blob_id, page_id % 10 AS k, url, CAST(coalesce(strlen(html), 0) AS BIGINT) AS size FROM pages),
 members AS (
   SELECT *, CAST(coalesce(sum((size + 511) // 512 * 512 + 512) OVER (PARTITION BY blob_id ORDER BY k
-              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM sized),
+              ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS o FROM sized)
+"""
+SQL["interval_structure"] = f"""
+WITH {_MEMBERS},
 points AS (
-  SELECT blob_id, unnest(range(0, last + 1, 97)) AS byte_idx
-  FROM (SELECT blob_id, max(o + 512 + size) AS last FROM members GROUP BY blob_id))
-SELECT p.blob_id, p.byte_idx, coalesce(max(CASE
+  SELECT blob_id, j, j * n // 1024 AS byte_idx
+  FROM (SELECT blob_id, max(o + 512 + size) AS n FROM members GROUP BY blob_id), unnest(range(1024)) AS t(j))
+SELECT p.blob_id, p.j, p.byte_idx, coalesce(max(CASE
     WHEN m.blob_id IS NULL THEN NULL
     WHEN p.byte_idx < m.o + 512 THEN [155, 140, 125, 105, 90, 75, 60, 45, 0, 0][m.k + 1]
     ELSE [255, 230, 205, 180][m.k % 4 + 1] END), 0) AS structure
 FROM points p LEFT JOIN members m ON p.blob_id = m.blob_id AND p.byte_idx >= m.o AND p.byte_idx < m.o + 512 + m.size
-GROUP BY p.blob_id, p.byte_idx
+GROUP BY p.blob_id, p.j, p.byte_idx
+"""
+SQL["structure_ranges"] = f"""
+WITH {_MEMBERS}
+SELECT blob_id, CAST(k AS INT) AS member_idx, o AS range_start, o + 512 AS range_end, [155, 140, 125, 105, 90, 75, 60, 45, 0, 0][k + 1] AS colour
+FROM members
+UNION ALL SELECT blob_id, CAST(k AS INT), o + 512, o + 512 + size, [255, 230, 205, 180][k % 4 + 1] FROM members
+"""
+SQL["member_spans"] = f"""
+WITH {_MEMBERS}
+SELECT m.blob_id, o AS span_start, o + 512 + size AS span_end FROM members m
+WHERE EXISTS (SELECT 1 FROM members f WHERE f.blob_id = m.blob_id AND f.url = m.url AND starts_with(f.url, 'https:'))
+"""
+_PACKED = _MEMBERS.replace("page_id % 10 AS k", "row_number() OVER (PARTITION BY page_id // 10 ORDER BY page_id % 10) - 1 AS k, page_id % 10 AS d")
+SQL["tar_members"] = f"""
+WITH {_PACKED}
+SELECT blob_id, CAST(k AS INT) AS member_idx, 'p' || d || '.html' AS name, '0' AS type, o AS "offset", o + 512 AS offset_data, size FROM members
+"""
+SQL["chunk_structure"] = f"""
+WITH {_PACKED},
+points AS (
+  SELECT blob_id, j, j * n // 256 AS byte_idx
+  FROM (SELECT blob_id, (max(o + 512 + (size + 511) // 512 * 512) + 1024 + 10239) // 10240 * 10240 AS n FROM members GROUP BY blob_id),
+       unnest(range(256)) AS t(j))
+SELECT p.blob_id, CAST(p.j // 16 AS INT) AS x, CAST(CASE WHEN p.j // 16 % 2 = 1 THEN 15 - p.j % 16 ELSE p.j % 16 END AS BIGINT) AS y,
+       CAST(coalesce(max(CASE WHEN m.blob_id IS NULL THEN NULL WHEN p.byte_idx < m.o + 512 THEN 155
+                              ELSE [255, 230, 205, 180][m.k % 4 + 1] END), 0) AS INT) AS structure
+FROM points p LEFT JOIN members m ON p.blob_id = m.blob_id AND p.byte_idx >= m.o AND p.byte_idx < m.o + 512 + m.size
+GROUP BY p.blob_id, p.j
 """
 
 SQL["window_entropy"] = f"""
-WITH {_square(8)},
+WITH {_square(16)},
 framed AS (
   SELECT g.doc_id, g.j, coalesce(o.b, 0) AS b
   FROM grid g CROSS JOIN unnest(range(-16, 16)) AS t(k)
@@ -237,7 +270,7 @@ WHERE nullif(event_type, 'view') IS NULL OR event_type NOT IN ('click', 'purchas
 """
 SQL["member_semi_join"] = """
 SELECT page_id, regexp_extract(url, '://[^/]*(/[a-z]+)/', 1) AS name FROM pages
-WHERE ltrim(regexp_extract(url, '://[^/]*(/[a-z]+)/', 1), '/') IN (SELECT lang FROM documents WHERE lang <> 'fr')
+WHERE ltrim(regexp_extract(url, '://[^/]*(/[a-z]+)/', 1), '/') IN (SELECT lang FROM documents)
 """
 SQL["service_dedupe"] = """
 SELECT conv_id AS order_id, turn AS container_name, role AS image,
@@ -245,14 +278,18 @@ SELECT conv_id AS order_id, turn AS container_name, role AS image,
        CASE WHEN strlen(text) % 3 = 2 THEN 'failed' ELSE 'completed' END AS status
 FROM conversations
 """
-_HASHED = r"hashed AS (SELECT doc_id, md5(regexp_replace(text, '^\s+|\s+$', '', 'g')) AS sa_hash FROM documents)"
+_HASHED = f"hashed AS (SELECT doc_id, md5(trim(text, '{WHITE}')) AS sa_hash FROM documents)"
 SQL["sa_hash"] = f"""
 WITH {_HASHED}
 SELECT h.doc_id, h.sa_hash, s.stored_id FROM hashed h
-JOIN (SELECT sa_hash, min(doc_id) AS stored_id FROM hashed WHERE doc_id % 2 = 0 GROUP BY sa_hash) s USING (sa_hash)
+JOIN (SELECT sa_hash, min(doc_id) AS stored_id FROM hashed GROUP BY sa_hash) s ON h.sa_hash = s.sa_hash AND h.doc_id <> s.stored_id
+"""
+SQL["hash_misses"] = """
+SELECT DISTINCT md5(CAST(o_orderkey AS VARCHAR)) AS sa_hash FROM orders WHERE o_orderkey NOT IN (SELECT c_custkey FROM customer)
 """
-SQL["hash_misses"] = f"""
-WITH {_HASHED} SELECT DISTINCT sa_hash FROM hashed WHERE sa_hash NOT IN (SELECT sa_hash FROM hashed WHERE doc_id % 2 = 0)
+SQL["order_verdict_of_none"] = """
+SELECT p_partkey AS order_id, CASE WHEN bool_or(o_orderpriority = '1-URGENT') THEN 'malevolent' ELSE 'benign' END AS label
+FROM part LEFT JOIN orders ON o_custkey = p_partkey GROUP BY p_partkey
 """
 SQL["order_verdict"] = """
 SELECT conv_id AS order_id, CASE WHEN bool_or(strlen(text) % 7 = 0) THEN 'malevolent' ELSE 'benign' END AS label
@@ -281,3 +318,80 @@ SELECT c_custkey, round(coalesce(CAST('0x' || substr(spec, 1, 2) AS INT) / 255,
        round(coalesce(CAST('0x' || substr(spec, 5, 2) AS INT) / 255, 0), 6) AS b
 FROM c
 """
+
+SQL["report_json"] = """
+WITH judged AS (
+  SELECT o_custkey AS order_id, o_orderpriority AS image, o_orderstatus AS tag, 't' || o_orderkey || '.1' AS stem,
+         md5(CAST(o_orderkey AS VARCHAR)) AS hash, CASE WHEN o_orderkey % 100 > 40 THEN 'malevolent' ELSE 'benign' END AS class,
+         (o_orderkey % 100) / 100.0::DOUBLE AS p, o_orderkey % 100 > 50 AS bad
+  FROM orders WHERE o_custkey IN (SELECT p_partkey FROM part)),
+none AS (SELECT NULL::VARCHAR AS t, NULL::INT AS i, NULL::DOUBLE AS d)
+SELECT p_partkey AS order_id, 'report' AS type, 'container-malware-detection-report' AS name, t AS context,
+       CASE WHEN bool_or(class = 'malevolent') THEN 'malevolent' ELSE 'benign' END AS labels, i AS confidence,
+       CAST(count(j.order_id) AS INT) AS n_refs, t AS image, t AS tag, t AS hash, t AS class, d AS probability
+FROM none, part LEFT JOIN judged j ON j.order_id = p_partkey GROUP BY p_partkey, t, i, d
+UNION ALL SELECT order_id, 'grouping', image || ':' || tag, 'software-container-analysis', class, i, CASE WHEN bad THEN 3 ELSE 2 END, t, t, t, t, d
+FROM judged, none
+UNION ALL SELECT order_id, 'file', stem, t, t, i, 0, image, tag, hash, t, d FROM judged, none
+UNION ALL SELECT order_id, 'observed-data', t, t, t, i, 1, t, t, t, class, p FROM judged, none
+UNION ALL SELECT order_id, 'malware', 'unknown_malware', t, 'docker,machine learning detection', CAST(floor(p * 100) AS INT), 1, t, t, t, t, d
+FROM judged, none WHERE bad
+"""
+SQL["compose_orders"] = """
+SELECT conv_id AS order_id, 'c' || turn AS container_name, role AS image, CASE WHEN turn % 3 > 0 THEN 'v' || turn ELSE 'latest' END AS tag
+FROM conversations
+"""
+SQL["chart_orders"] = """
+SELECT p_partkey AS order_id, 'e' || p_partkey AS container_name, CASE p_size % 4 WHEN 0 THEN 'r' ELSE 'i' END || p_partkey AS image,
+       CASE p_size % 4 WHEN 0 THEN '1.' ELSE 't' END || p_partkey AS tag
+FROM part WHERE p_size % 4 < 2
+"""
+SQL["entropy_colours"] = f"""
+WITH {_square(8)},
+framed AS (
+  SELECT g.doc_id, g.j, coalesce(o.b, 0) AS b
+  FROM grid g CROSS JOIN unnest(range(-16, 16)) AS t(k) LEFT JOIN grid o ON o.doc_id = g.doc_id AND o.j = g.j + k),
+shares AS (SELECT doc_id, j, b, count(*) / 32.0 AS p FROM framed GROUP BY doc_id, j, b),
+found AS (SELECT doc_id, j, least(sum(-p * ln(p) / ln(32.0)), 1) AS e FROM shares GROUP BY doc_id, j)
+SELECT doc_id, CAST(j // 8 AS INT) AS x, CAST({_zigzag_y(8)} AS BIGINT) AS y, CAST(floor(e * 255 + 1e-9) AS INT) AS r, 0 AS g,
+       CAST(floor(e * e * 255 + 1e-9) AS INT) AS b
+FROM found
+"""
+SQL["chunk_square"] = f"WITH {_square(8)} SELECT doc_id, j, byte_idx, b FROM grid"
+SQL["chunk_unrolled"] = SQL["sample_unrolled_step"]
+SQL["chunk_unrolled_n"] = f"""
+WITH {_grid(_PAGES, "page_id", 16, "(n + 255) // 256", "q * 256", "(q + 1) * 256")},
+coloured AS (
+  SELECT page_id, quad, j // 16 AS x, {_zigzag_y(16)} AS y,
+         CASE WHEN b IS NULL THEN '000000' ELSE {_class("b", "'000000'", "'FFFFFF'", "'377EB8'", "'E41A1C'")} END AS c
+  FROM grid)
+SELECT page_id, quad, md5(string_agg(c, '' ORDER BY y, x)) AS image_md5 FROM coloured GROUP BY page_id, quad
+"""
+SQL["chunk_mask"] = SQL["span_mask"]
+SQL["training_patches"] = f"""
+WITH masks AS ({SQL["span_mask"]}), {_square(8)},
+pixels AS (
+  SELECT doc_id, j // 8 AS x, {_zigzag_y(8)} AS y, {_class("b", "'000000'", "'FFFFFF'", "'377EB8'", "'E41A1C'")} AS c FROM grid),
+parts AS (
+  SELECT p.doc_id, CAST(p.y // 4 * 2 + p.x // 4 AS INT) AS patch_id, md5(string_agg(c, '' ORDER BY p.y, p.x)) AS patch_md5,
+         CASE WHEN any_value(lang) = 'en' THEN 0 ELSE CAST(max(mask) > 0 AS INT) END AS label
+  FROM pixels p JOIN masks m ON m.doc_id = p.doc_id AND m.x = p.x AND m.y = p.y JOIN documents d ON d.doc_id = p.doc_id
+  GROUP BY p.doc_id, p.y // 4, p.x // 4)
+SELECT *, CAST(1 - label AS DOUBLE) AS is_benign, CAST(label AS DOUBLE) AS is_malevolent FROM parts
+"""
+SQL["patch_accuracy"] = f"""
+WITH {_SCORES}, hits AS (SELECT patch_id // 64 AS batch, CASE WHEN (p1 > p0) = (label = 1) THEN 1 ELSE 0 END AS hit FROM scores)
+SELECT round(sum(hit) / ((max(batch) + 1) * 64.0::DOUBLE), 6) AS running_accuracy, round(avg(hit), 6) AS accuracy FROM hits
+"""
+SQL["colour_block"] = """
+SELECT c_custkey, CASE WHEN c_custkey >= c_nationkey * 50 AND c_custkey < c_nationkey * 50 + 500
+                       THEN CASE WHEN c_nationkey % 2 = 0 THEN '00ff00' ELSE 'ff0000' END END AS colour
+FROM customer
+"""
+SQL["channels_swapped"] = """
+SELECT c_custkey, round((CAST('0x' || substr(m, 5, 2) AS INT) / 255 - 0.5::DOUBLE) / 0.25::DOUBLE, 6) AS r,
+       round((CAST('0x' || substr(m, 3, 2) AS INT) / 255 - 0.5::DOUBLE) / 0.25::DOUBLE, 6) AS g,
+       round((CAST('0x' || substr(m, 1, 2) AS INT) / 255 - 0.5::DOUBLE) / 0.25::DOUBLE, 6) AS b
+FROM (SELECT c_custkey, md5(c_name) AS m FROM customer)
+"""
+SQL["chunk_colour_lengths"] = f"SELECT doc_id, n AS n_bytes, true AS same_length FROM ({_DOCS})"

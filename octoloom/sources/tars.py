@@ -31,19 +31,20 @@ _MEMBER = pa.list_(
 )
 
 
+def _rows(archive: tarfile.TarFile) -> Iterator[dict]:
+    for k, m in enumerate(archive):
+        kind = m.type.decode("latin-1").replace("\0", "0")
+        size = m.size if m.isreg() else 0
+        yield {"member_idx": k, "name": m.name, "type": kind, "offset": m.offset, "offset_data": m.offset_data, "size": size}
+        archive.members.clear()  # what has been read is not kept
+
+
 def list_members(data: bytes) -> list[dict]:
     """Members in archive order.  Extended headers belong to the member they describe."""
     if not tarfile.is_tarfile(io.BytesIO(data)):
         raise ValueError("not a tar archive")
-    out = []
     with tarfile.open(fileobj=io.BytesIO(data)) as archive:
-        for k, m in enumerate(archive):
-            kind = m.type.decode("latin-1").replace("\0", "0")
-            size = m.size if m.isreg() else 0
-            out.append(
-                {"member_idx": k, "name": m.name, "type": kind, "offset": m.offset, "offset_data": m.offset_data, "size": size}
-            )
-    return out
+        return list(_rows(archive))
 
 
 @F.arrow_udf(from_arrow_type(_MEMBER))
@@ -153,3 +154,37 @@ def read_shards(spark: SparkSession, path: str, split: str | None = None) -> Dat
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("sample_shards")
     return (reader.option("split", split) if split else reader).load(path)
+
+
+class MemberReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path = options["path"]
+
+    def partitions(self) -> list[ShardPartition]:
+        found = sorted(glob(f"{self.path}/*.tar")) if os.path.isdir(self.path) else sorted(glob(self.path))
+        return [ShardPartition(p) for p in found]
+
+    def read(self, partition: ShardPartition) -> Iterator[tuple]:
+        with tarfile.open(partition.path, "r:") as archive:
+            for row in _rows(archive):
+                yield (partition.path, *row.values())
+
+
+class MemberSource(DataSource):
+    """Members of tar files on a shared mount, a task a file: headers are read, and contents skipped."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "tar_members"
+
+    def schema(self) -> str:
+        return "blob_id string, member_idx int, name string, type string, offset long, offset_data long, size long"
+
+    def reader(self, schema: StructType) -> MemberReader:
+        return MemberReader(self.options)
+
+
+def read_members(spark: SparkSession, path: str) -> DataFrame:
+    """(blob_id, member_idx, name, type, offset, offset_data, size) of archives of any size."""
+    spark.dataSource.register(MemberSource)
+    return spark.read.format("tar_members").load(path)

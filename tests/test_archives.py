@@ -166,3 +166,18 @@ def test_json_split_and_image_folder(spark, tmp_path):
         (tmp_path / "img" / folder / "a.mask.png").write_bytes(b"2")
     got = tars.read_image_dir(spark, str(tmp_path / "img")).collect()
     assert sorted(r["label"] for r in got) == [0, 1]
+
+
+def test_members_are_read_by_their_headers(spark, tmp_path):
+    path = tmp_path / "a.tar"
+    sizes = [0, 1, 512, 70_000]
+    with tarfile.open(path, "w") as archive:
+        for k, size in enumerate(sizes):
+            info = tarfile.TarInfo("n" * 150 + str(k) if k == 2 else f"f{k}")
+            info.size = size
+            archive.addfile(info, io.BytesIO(bytes(size)))
+    (tmp_path / "b.txt").write_text("no archive")
+    rows = tars.read_members(spark, str(tmp_path)).orderBy("member_idx").collect()
+    whole = tars.members(B.read_blobs(spark, str(tmp_path), "*.tar")).orderBy("member_idx").collect()
+    assert [r["size"] for r in rows] == sizes and all(r["blob_id"].endswith("a.tar") for r in rows)
+    assert [tuple(r)[1:] for r in rows] == [tuple(r)[1:] for r in whole]

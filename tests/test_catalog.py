@@ -14,12 +14,6 @@ def test_query_equals_its_sql(same_as_sql, name):
     same_as_sql(catalog.QUERIES[name], catalog.ORACLES[name])
 
 
-def test_reports_of_all_orders(spark, small):
-    rows = catalog.report_json(spark, small).collect()
-    orders = spark.read.parquet(f"{small}/conversations.parquet").select("conv_id").distinct().count()
-    assert len(rows) == orders and all(r["stix_report"].startswith('{"type":"bundle"') for r in rows)
-
-
 def test_entry_and_names(spark):
     assert entry_points.entry(spark).count() > 0
     assert set(catalog.ORACLES) <= set(catalog.QUERIES)
