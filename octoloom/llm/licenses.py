@@ -50,6 +50,25 @@ _NEITHER = (
     "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote "
     "products derived from this software without specific prior written permission."
 )
+#: Licenses that notices name in full.  Fixed values.
+BY_NAME = (
+    ("Apache-1.1", "Apache License, Version 1.1"),
+    ("Artistic-2.0", "Artistic License, version 2.0"),
+    ("BSL-1.0", "Boost Software License, Version 1.0"),
+    ("CC0-1.0", "CC0 1.0 Universal license"),
+    ("CDDL-1.0", "Common Development and Distribution License, version 1.0"),
+    ("EPL-1.0", "Eclipse Public License, version 1.0"),
+    ("EPL-2.0", "Eclipse Public License, version 2.0"),
+    ("EUPL-1.2", "European Union Public Licence, version 1.2"),
+    ("ISC", "ISC License"),
+    ("MPL-1.1", "Mozilla Public License, version 1.1"),
+    ("MPL-2.0", "Mozilla Public License, version 2.0"),
+    ("NCSA", "University of Illinois/NCSA Open Source License"),
+    ("OFL-1.1", "SIL Open Font License, Version 1.1"),
+    ("PostgreSQL", "PostgreSQL License"),
+    ("Unlicense", "Unlicense"),
+    ("Zlib", "zlib License"),
+)
 #: Notices and texts by the names that SPDX gives the licenses.  Fixed values.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
@@ -128,6 +147,34 @@ TEMPLATES = (
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
         "hereby granted.",
     ),
+    *((i, f"{verb} under the {name}.") for i, name in BY_NAME for verb in ("Licensed", "Released")),
+    (
+        "MPL-1.1",
+        "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use "
+        "this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.mozilla.org/MPL/",
+    ),
+    (
+        "Zlib",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to "
+        "alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must "
+        "not be misrepresented; you must not claim that you wrote the original software. If you use this software in a "
+        "product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered "
+        "source versions must be plainly marked as such, and must not be misrepresented as being the original software. "
+        "3. This notice may not be removed or altered from any source distribution.",
+    ),
+    (
+        "BSL-1.0",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and "
+        'accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, '
+        "execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties "
+        "to whom the Software is furnished to do so.",
+    ),
+    (
+        "WTFPL",
+        "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing "
+        "it is allowed as long as the name is changed.",
+    ),
     *((f"CC-{kind}-4.0", f"Licensed under CC {kind} 4.0.") for kind in ("BY-ND", "BY-NC-SA", "BY-NC-ND")),
     *(
         (f"CC-{kind}-4.0", f"This work is licensed under a Creative Commons {name} 4.0 International License.")
@@ -141,9 +188,11 @@ TEMPLATES = (
 
 #: Words that tell licenses apart wherever they stand.
 _NAMES = re.compile(
-    r"lesser|affero|gnu|apache|mozilla|mit|bsd|isc|\d-clause|.*(?:non-?commercial|share-?alike|no-?deriv).*"
+    r"lesser|affero|gnu|apache|mozilla|mit|bsd|isc|\d-clause|artistic|boost|cc0|eclipse|european|ncsa|sil|postgresql|zlib|.*(?:non-?commercial|share-?alike|no-?deriv).*"
 )
 _VERSION = re.compile(r"(?:[a-z]*-|v)?(\d+(?:\.\d+)+)|v(\d+)")
+#: Where one of the two words before a notice is such, it says what does not hold.
+_DENIED = {"not", "never", "nor", "longer", "isn", "cannot"}
 #: What follows a license's words where they are only the first part of another's.
 _GOES_ON = {"BSD-2-Clause": re.compile(r"\b(?:neither|advertising)\b")}
 _GOES_ON_WORDS = 12
@@ -278,6 +327,8 @@ class Scanner:
             missing, added, first, end = template.differences(block)
             if missing + added > len(template.words) * MOST_CHANGED or telling(block[first:end]) != template.telling:
                 continue
+            if _DENIED.intersection(words[max(0, start + first - 2) : start + first]):
+                continue
             goes_on = _GOES_ON.get(template.name)
             if goes_on and goes_on.search(" ".join(words[start + end : start + end + _GOES_ON_WORDS])):
                 continue
@@ -317,7 +368,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One row a document: doc_id, licenses (array of license, gain, missing, added), by name.
 
     Null and empty texts have none.  Texts without a word of licensing never leave the JVM.  Ties
-    between wordings of one license go to the greater gain.  Repeated rows are scanned alike.
+    between wordings of one license go to the greater gain.  Notices that are denied ("not licensed
+    under") are none.  Very long texts are scanned whole, repeated rows alike, and an empty table gives
+    no rows.  Columns other than the two named are not read, so their names cannot clash.
     """
     fields = [("license", pa.string()), ("gain", pa.float64()), ("missing", pa.int32()), ("added", pa.int32())]
 
