@@ -212,7 +212,7 @@ judged AS (
           WHERE (p.host = r.rule_host OR ends_with(p.host, '.' || r.rule_host)) AND starts_with(p.path, r.rule_path)) AS best
   FROM parts p)
 SELECT page_id, host, path, best.n AS rule,
-       coalesce(best.v, CASE WHEN regexp_matches(host || path, '(^|[^A-Za-z0-9])(casino|porn|xxx|viagra|torrent|warez|phishing|wp-login|escort|betting)($|[^A-Za-z0-9])')
+       coalesce(best.v, CASE WHEN regexp_matches(host || path, '(?i)(^|[^A-Za-z0-9])(casino|porn|xxx|viagra|torrent|warez|phishing|wp-login|escort|betting)($|[^A-Za-z0-9])')
                              THEN 'block' ELSE 'allow' END) AS verdict
 FROM judged
 """

@@ -226,3 +226,57 @@ def test_neighbouring_licenses_are_told_apart(scanner, k):
     text, names = APART[k]
     for page in (text, f"{'lorem ipsum ' * 50}\n{text}\n{'dolor sit ' * 50}"):
         assert [f.license for f in scanner.scan(page)] == names
+
+
+NEAR_MISSES = {
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.": ["GPL-2.0"],
+    "Licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+    "Licensed under the GNU Affero General Public License, version 3.": ["AGPL-3.0"],
+    "The contents of this file are subject to the Mozilla Public License Version 1.1 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.mozilla.org/MPL/": ["MPL-1.1"],
+    "Licensed under the Mozilla Public License, version 1.1.": ["MPL-1.1"],
+    "Licensed under the Mozilla Public License, version 2.0.": ["MPL-2.0"],
+    "Licensed under the Apache License, Version 1.1.": ["Apache-1.1"],
+    "Licensed under the Apache License, Version 2.0.": ["Apache-2.0"],
+    "Licensed under the Eclipse Public License, version 1.0.": ["EPL-1.0"],
+    "Released under the Eclipse Public License, version 2.0.": ["EPL-2.0"],
+    "This code is not licensed under the MIT License.": [],
+    "It is no longer released under the MIT License.": [],
+    "Licensed under the MIT License.": ["MIT"],
+    "Licensed under the ISC License.": ["ISC"],
+    "Licensed under the zlib License.": ["Zlib"],
+    "Licensed under the Boost Software License, Version 1.0.": ["BSL-1.0"],
+    "Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.": ["WTFPL"],
+}
+
+
+@pytest.mark.parametrize("notice", NEAR_MISSES)
+def test_near_misses_have_their_own_names(notice):
+    found = licenses.Scanner().scan(f"Some words before. {notice} And some after.")
+    assert [f.license for f in found] == NEAR_MISSES[notice]
+
+
+def test_twenty_five_licenses_and_each_template_names_itself():
+    assert len({name for name, _ in licenses.TEMPLATES}) >= 25
+    scanner = licenses.Scanner()
+    for name, text in licenses.TEMPLATES:
+        assert name in [f.license for f in scanner.scan(text)], text
+
+
+def test_word_rules_ignore_case_and_lists_are_read(spark):
+    urls = ["http://a.com/CASINO/1", "http://b.com/casinos", "http://Bad.org/x", "http://ok.bad.org/x", "http://c.net/Ads/2"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    assert [r["verdict"] for r in urlfilter.judge(pages).orderBy("page_id").collect()][:2] == ["block", "allow"]
+    rules = urlfilter.list_rules(["! a comment", "", "||bad.org^", "@@||ok.bad.org^", "ads"])
+    got = [r["verdict"] for r in urlfilter.judge(pages, rules).orderBy("page_id").collect()]
+    assert got == ["allow", "allow", "block", "allow", "block"]
+
+
+def test_a_hundred_thousand_rules(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    hosts = [f"||site{k}.example{k % 50}.com/{k % 7}^" for k in range(99_990)]
+    many = urlfilter.RULES + urlfilter.list_rules(hosts)
+    more = spark.createDataFrame([(10_000 + k, f"http://www.site{k}.example{k % 50}.com/{k % 7}") for k in range(0, 99_990, 999)], "page_id long, url string")
+    both = pages.select("page_id", "url").unionByName(more)
+    got = {r["page_id"]: tuple(r) for r in urlfilter.judge(both, many).collect()}
+    assert {k: v for k, v in got.items() if k < 10_000} == {r["page_id"]: tuple(r) for r in urlfilter.judge(pages).collect()}
+    assert all(v[4] == "block" for k, v in got.items() if k >= 10_000) and len(got) == both.count()
