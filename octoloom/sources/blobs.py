@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 from functools import reduce
-from glob import glob
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -14,6 +12,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql.types import StructType
 
 from ..functions.numbers import ceil_div
+from .files import find, open_file
 
 #: Default bytes of a chunk.
 CHUNK_SIZE = 512 * 512
@@ -57,8 +56,8 @@ def chain(*sources: DataFrame) -> DataFrame:
 
 
 class ChunkPartition(InputPartition):
-    def __init__(self, path: str, first: int, last: int):
-        self.path, self.first, self.last = path, first, last
+    def __init__(self, path: str, total: int, first: int, last: int):
+        self.path, self.total, self.first, self.last = path, total, first, last
 
 
 class ChunkReader(DataSourceReader):
@@ -68,23 +67,23 @@ class ChunkReader(DataSourceReader):
         self.per_task = int(options.get("chunks_per_task", 256))
 
     def partitions(self) -> list[ChunkPartition]:
-        found = sorted(glob(self.path)) if not os.path.isdir(self.path) else sorted(glob(f"{self.path}/*"))
         out = []
-        for path in filter(os.path.isfile, found):
-            count = -(-os.path.getsize(path) // self.size)
-            out += [ChunkPartition(path, k, min(k + self.per_task, count)) for k in range(0, count, self.per_task)]
+        for path, total in find(self.path):
+            count = -(-total // self.size)
+            out += [ChunkPartition(path, total, k, min(k + self.per_task, count)) for k in range(0, count, self.per_task)]
         return out
 
-    def read(self, partition: ChunkPartition) -> Iterator[pa.RecordBatch]:
-        total = os.path.getsize(partition.path)
-        with open(partition.path, "rb") as file:
+    def read(self, partition: ChunkPartition | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # Spark's one partition of a source without files
+            return
+        with open_file(partition.path) as file:
             file.seek(partition.first * self.size)
             for k in range(partition.first, partition.last):
                 data = file.read(self.size)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([partition.path], pa.string()),
-                        pa.array([total], pa.int64()),
+                        pa.array([partition.total], pa.int64()),
                         pa.array([k], pa.int64()),
                         pa.array([k * self.size], pa.int64()),
                         pa.array([data], pa.binary()),
@@ -94,7 +93,7 @@ class ChunkReader(DataSourceReader):
 
 
 class ChunkSource(DataSource):
-    """Files on a mount that all executors share, a task for each range of chunks.
+    """Files on a shared mount or in an object store, a task for each range of chunks.
 
     One very large file is read by many tasks, and no task holds more than one chunk.
     """

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import os
 import struct
+import uuid
 import zlib
 
 import numpy as np
@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .files import make_folder, write_file
+
 
 def read_images(spark: SparkSession, path: str, recursive: bool = True) -> DataFrame:
     """(path, image_name, width, height, data) of image files; ``data`` is rows of RGB bytes.
@@ -59,7 +61,7 @@ def encode_png(data: pa.Array, width: pa.Array, height: pa.Array) -> pa.Array:
 
 
 def write_pngs(images: DataFrame, folder: str) -> int:
-    """Write ``folder/<image_name>.png`` on a mount that all executors share; the number written.
+    """Write ``folder/<image_name>.png`` on a shared mount or in an object store; the number written.
 
     A file is written under another name and then renamed, so a task that runs twice does no harm.
     """
@@ -67,13 +69,9 @@ def write_pngs(images: DataFrame, folder: str) -> int:
     def write(batches):
         for batch in batches:
             for name, data in zip(batch["image_name"].to_pylist(), batch["png"].to_pylist(), strict=True):
-                target = os.path.join(folder, f"{name}.png")
-                part = f"{target}.{os.getpid()}.part"
-                with open(part, "wb") as file:
-                    file.write(data)
-                os.replace(part, target)
+                write_file(f"{folder}/{name}.png", data, uuid.uuid4().hex)
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    os.makedirs(folder, exist_ok=True)
+    make_folder(folder)
     encoded = images.select("image_name", encode_png("data", "width", "height").alias("png"))
     return encoded.mapInArrow(write, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

@@ -7,7 +7,6 @@ import json
 import os
 import tarfile
 from collections.abc import Iterator
-from glob import glob
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +16,8 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter
 from pyspark.sql.pandas.types import from_arrow_type
 from pyspark.sql.types import StructType
 
+from .files import find, open_file
+
 _MEMBER = pa.list_(
     pa.struct(
         [
@@ -110,13 +111,15 @@ class ShardReader(DataSourceReader):
                 yield f
 
     def partitions(self) -> list[ShardPartition]:
-        found = sorted(glob(f"{self.path}/*.tar"))
+        found = [name for name, _ in find(self.path, ".tar")]
         return [ShardPartition(p) for p in found if all(s in os.path.basename(p) for s in self.splits)]
 
-    def read(self, partition: ShardPartition) -> Iterator[tuple]:
+    def read(self, partition: ShardPartition | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's one partition of a source without files
+            return
         held: dict[str, dict[str, bytes]] = {}
         shard = os.path.basename(partition.path)
-        with tarfile.open(partition.path) as archive:
+        with open_file(partition.path) as file, tarfile.open(fileobj=file) as archive:
             for m in archive:
                 if not m.isreg():
                     continue
@@ -132,7 +135,7 @@ class ShardReader(DataSourceReader):
 
 
 class ShardSource(DataSource):
-    """Samples of tar shards on a shared mount, a task a shard; incomplete samples are left out."""
+    """Samples of tar shards on a shared mount or in an object store, a task a shard; incomplete samples are left out."""
 
     @classmethod
     def name(cls) -> str:
@@ -161,17 +164,18 @@ class MemberReader(DataSourceReader):
         self.path = options["path"]
 
     def partitions(self) -> list[ShardPartition]:
-        found = sorted(glob(f"{self.path}/*.tar")) if os.path.isdir(self.path) else sorted(glob(self.path))
-        return [ShardPartition(p) for p in found]
+        return [ShardPartition(name) for name, _ in find(self.path, ".tar")]
 
-    def read(self, partition: ShardPartition) -> Iterator[tuple]:
-        with tarfile.open(partition.path, "r:") as archive:
+    def read(self, partition: ShardPartition | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's one partition of a source without files
+            return
+        with open_file(partition.path) as file, tarfile.open(fileobj=file, mode="r:") as archive:
             for row in _rows(archive):
                 yield (partition.path, *row.values())
 
 
 class MemberSource(DataSource):
-    """Members of tar files on a shared mount, a task a file: headers are read, and contents skipped."""
+    """Members of tar files on a shared mount or in an object store, a task a file: headers are read, and contents skipped."""
 
     @classmethod
     def name(cls) -> str:
