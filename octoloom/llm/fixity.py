@@ -14,21 +14,32 @@ tables in the shared folder; nothing is collected but the number of levels.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
+from functools import reduce
 from hashlib import sha256
+from itertools import chain
 from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
+from ..sources.files import find, open_file
 from .common import cut, drop_cut
 
 RANGE_BYTES = 64 << 10
 FANOUT = 16
 FILE_RECORDS = 1_000
 CRLF = "\r\n"
+#: A header longer than this, or a record said to be longer, is not read as one.
+HEAD_BYTES = 1 << 20
+RECORD_BYTES = 1 << 30
+PIECE_BYTES = 1 << 20
+_GZIP = b"\x1f\x8b\x08"
 
 
 def record_id(page_id: Column, url: Column) -> Column:
@@ -93,29 +104,123 @@ def write_warc(laid_out: DataFrame, path: str) -> None:
     rows.write.partitionBy("file").option("lineSep", CRLF + CRLF).text(path)
 
 
-def parse_warc(data: bytes) -> Iterator[tuple[int, int, str]]:
-    """(offset, length, SHA-256) of each record.
+class _Window:
+    """What has been read of a stream and not yet taken."""
+
+    def __init__(self, pieces: Iterator[bytes]):
+        self.pieces, self.data = pieces, bytearray()
+
+    def fill(self, size: int) -> bool:
+        """Whether the stream still has ``size`` bytes; they are in the window then."""
+        while len(self.data) < size:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return False
+            self.data += piece
+        return True
+
+    def find(self, mark: bytes, limit: int | None = None) -> int:
+        """Where ``mark`` stands in the stream, or -1; not looked for beyond ``limit`` bytes."""
+        start = 0
+        while True:
+            at = self.data.find(mark, start, limit)
+            if at >= 0 or (limit is not None and len(self.data) >= limit):
+                return at
+            start = max(0, len(self.data) - len(mark) + 1)
+            if not self.fill(len(self.data) + 1):
+                return -1
+
+    def record_end(self) -> int:
+        """Bytes of the record at the front with its closing blank lines; 0 if it cannot be read."""
+        head = self.find(b"\r\n\r\n", HEAD_BYTES)
+        found = re.search(rb"(?i)^Content-Length: *(\d{1,18})[ \t]*\r?$", self.data[:head], re.M) if head >= 0 else None
+        if not found or not self.data.startswith(b"WARC/") or int(found[1]) > RECORD_BYTES:
+            return 0
+        end = head + 4 + int(found[1]) + 4
+        return end if self.fill(end) and self.data[end - 4 : end] == b"\r\n\r\n" else 0
+
+
+def parse_stream(pieces: Iterator[bytes]) -> Iterator[tuple[int, int, str, str | None]]:
+    """(offset, length, SHA-256, id) of each record of a stream, which is held a record at a time.
 
     What has no readable header, or does not end where its length says, goes up to the next
-    ``WARC/`` after a blank line, or to the end of the file.
+    ``WARC/`` after a blank line, or to the end of the stream.
+    """
+    window, at = _Window(pieces), 0
+    while window.fill(1):
+        end = window.record_end()
+        if not end:
+            after = window.find(b"\r\n\r\nWARC/")
+            end = after + 4 if after >= 0 else len(window.data)
+        record = bytes(window.data[:end])
+        del window.data[:end]
+        yield at, end, sha256(record.removesuffix(b"\r\n\r\n")).hexdigest(), _id_in(record)
+        at += end
+
+
+def parse_warc(data: bytes) -> Iterator[tuple[int, int, str]]:
+    """(offset, length, SHA-256) of each record, as by ``parse_stream``."""
+    for at, size, digest, _ in parse_stream(iter([data])):
+        yield at, size, digest
+
+
+def inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
+    """The content of a stream's gzip members, in pieces of at most ``PIECE_BYTES``.
+
+    A member that cannot be read gives what could be read of it, closed by a blank line; reading goes on
+    at the next start of a member after its own, so that later records are found.
     """
-    at = 0
-    while at < len(data):
-        head = data.find(b"\r\n\r\n", at)
-        found = re.search(rb"(?i)^Content-Length: *(\d+)", data[at:head], re.M) if head >= 0 else None
-        end = head + 4 + int(found[1]) + 4 if found and data.startswith(b"WARC/", at) else 0
-        whole = 0 < end <= len(data) and data[end - 4 : end] == b"\r\n\r\n"
-        if not whole:
-            after = data.find(b"\r\n\r\nWARC/", at)
-            end = after + 4 if after >= 0 else len(data)
-        body = data[at : end - 4] if data[end - 4 : end] == b"\r\n\r\n" and end - at >= 4 else data[at:end]
-        yield at, end - at, sha256(body).hexdigest()
-        at = end
+    held = bytearray()  # from the start of the member on
+    while held or (piece := next(pieces, b"")):
+        held = held or bytearray(piece)
+        member, used, sent, tail = zlib.decompressobj(31), 0, 0, b""
+        try:
+            while not member.eof:
+                if used == len(held):
+                    if not (piece := next(pieces, b"")):
+                        return
+                    held += piece
+                given = bytes(held[used : used + PIECE_BYTES])
+                out = member.decompress(given, PIECE_BYTES)
+                used += len(given) - len(member.unconsumed_tail) - len(member.unused_data)
+                if out:
+                    sent, tail = sent + len(out), (tail + out)[-4:]
+                    yield out
+            del held[:used]
+        except zlib.error:
+            for out in _before_damage(held, sent):
+                tail = (tail + out)[-4:]
+                yield out
+            if tail and tail != b"\r\n\r\n":
+                yield b"\r\n\r\n"
+            del held[:1]
+            while (at := held.find(_GZIP)) < 0:
+                if not (piece := next(pieces, b"")):
+                    return
+                del held[: 1 - len(_GZIP)]
+                held += piece
+            del held[:at]
+
+
+def _before_damage(held: bytearray, sent: int) -> Iterator[bytes]:
+    """What a damaged member still gives in small steps, beyond the ``sent`` bytes that it gave in large ones."""
+    member, seen = zlib.decompressobj(31), 0
+    try:
+        for at in range(0, len(held), 64):
+            out = member.decompress(bytes(held[at : at + 64]))
+            seen += len(out)
+            if seen > sent and out:
+                yield out[-(seen - sent) :]
+                sent = seen
+    except zlib.error:
+        return
 
 
 def _id_in(record: bytes) -> str | None:
-    found = re.search(rb"(?i)^WARC-Record-ID: *<urn:md5:([0-9a-f]{32})>", record.split(b"\r\n\r\n", 1)[0], re.M)
-    return found[1].decode() if found else None
+    """The id in a record's header: the bare digest of ``urn:md5:``, else all between the brackets."""
+    head = record[: max(0, record.find(b"\r\n\r\n", 0, HEAD_BYTES))]
+    found = re.search(rb"(?i)^WARC-Record-ID: *<(?:urn:md5:)?([^<>\r\n]{1,1000})>", head, re.M)
+    return found[1].decode("utf-8", "replace") if found else None
 
 
 def read_warc(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
@@ -124,17 +229,15 @@ def read_warc(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for name, data in zip(batch["file"].to_pylist(), batch["content"], strict=True):
-                content = data.as_py()
-                rows = list(parse_warc(content))
-                columns = list(zip(*rows, strict=True)) or [(), (), ()]
-                names = [_id_in(content[at : at + size]) for at, size, _ in rows]
+                rows = list(parse_stream(iter([data.as_py()])))
+                columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([name] * len(rows), pa.int64()),
                         pa.array(columns[0], pa.int64()),
                         pa.array(columns[1], pa.int64()),
                         pa.array(columns[2], pa.string()),
-                        pa.array(names, pa.string()),
+                        pa.array(columns[3], pa.string()),
                     ],
                     names=["file", "offset", "length", "sha256", "record_id"],
                 )
@@ -146,6 +249,65 @@ def read_warc(spark: SparkSession, path: str, ids: bool = False) -> DataFrame:
     return leaves if ids else leaves.drop("record_id")
 
 
+class ArchivePartition(InputPartition):
+    def __init__(self, name: str):
+        self.name = name
+
+
+class ArchiveReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.path = options["path"]
+
+    def partitions(self) -> list[ArchivePartition]:
+        return [ArchivePartition(name) for name, _ in find(self.path)]
+
+    def read(self, partition: ArchivePartition | None) -> Iterator[tuple]:
+        if partition is None:  # Spark's one partition of a source without files
+            return
+        name = partition.name.rsplit("/", 1)[-1].removesuffix(".gz")
+        with open_file(partition.name) as file:
+            pieces = iter(lambda: file.read(PIECE_BYTES), b"")
+            first = next(pieces, b"")
+            stream = chain([first], pieces)
+            packed = first.startswith(_GZIP)
+            for row in parse_stream(inflated(stream) if packed else stream):
+                yield (name, *row)
+
+
+class ArchiveSource(DataSource):
+    """WARC files, plain or gzip, on a shared mount or in an object store: a task a file, a record in memory."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "warc_records"
+
+    def schema(self) -> str:
+        return "name string, offset long, length long, sha256 string, record_id string"
+
+    def reader(self, schema: StructType) -> ArchiveReader:
+        return ArchiveReader(self.options)
+
+
+def read_archives(spark: SparkSession, path: str) -> DataFrame:
+    """(name, offset, length, sha256, record_id) of every record of WARC files of any make and size.
+
+    ``path`` is a file, a folder or a pattern.  Offsets, lengths and hashes are those of the content
+    before compression, and names go without ``.gz``, so a compressed replica equals a plain one.
+    """
+    spark.dataSource.register(ArchiveSource)
+    return spark.read.format("warc_records").load(path)
+
+
+def numbered(*replicas: DataFrame) -> list[DataFrame]:
+    """Replicas from ``read_archives`` with the ``file`` number of each name, as ``audit`` reads them.
+
+    All names, a row a file, are ordered in one task.
+    """
+    names = reduce(DataFrame.unionByName, [r.select("name") for r in replicas]).distinct()
+    files = cut(names.select("name", (F.row_number().over(Window.orderBy("name")) - 1).cast("long").alias("file")))
+    return [r.join(files, "name").select("file", "offset", "length", "sha256", "record_id") for r in replicas]
+
+
 def _node(rows: DataFrame, file: Column, slot: Column) -> DataFrame:
     """Parents (replica, file, slot, hash) of rows (replica, file, slot, length, hash)."""
     child = F.struct("file", "slot", "length", "hash")

@@ -1,6 +1,8 @@
 """URL rules, Merkle audits and license scans against plain versions."""
 
+import gzip
 import re
+from hashlib import sha256
 
 import pytest
 from hypothesis import given, settings
@@ -149,6 +151,63 @@ def test_levels_shrink_to_one_root(laid_out):
     assert counts[0] == 2 * laid_out.count() and counts[-1] == 2 and counts == sorted(counts, reverse=True)
 
 
+def _members(data: bytes) -> list[bytes]:
+    return [gzip.compress(data[at : at + size], mtime=0) for at, size, _ in fixity.parse_warc(data)]
+
+
+def test_compressed_archives_equal_plain_ones(spark, laid_out, tmp_path):
+    fixity.write_warc(laid_out, str(tmp_path / "warc"))
+    for side in ("plain", "packed"):
+        (tmp_path / side).mkdir()
+    files = sorted((tmp_path / "warc").glob("file=*/part-*"))
+    for k, file in enumerate(files):
+        data = file.read_bytes()
+        (tmp_path / "plain" / f"{k}.warc").write_bytes(data)
+        (tmp_path / "packed" / f"{k}.warc.gz").write_bytes(b"".join(_members(data)))
+    first, second = (fixity.read_archives(spark, str(tmp_path / side)) for side in ("plain", "packed"))
+    got = sorted(map(tuple, first.collect()))
+    assert got == sorted(map(tuple, second.collect())) and len(got) == laid_out.count()
+    assert fixity.audit(*fixity.numbered(first, second)).isEmpty()
+
+    whole = next(k for k, f in enumerate(files) if len(_members(f.read_bytes())) >= 3)
+    data = files[whole].read_bytes()
+    spans, members = list(fixity.parse_warc(data)), _members(data)
+    broken = bytearray(members[1])
+    broken[len(broken) // 2] ^= 0xFF
+    (tmp_path / "packed" / f"{whole}.warc.gz").write_bytes(b"".join([members[0], bytes(broken), *members[2:]]))
+    found = fixity.audit(*fixity.numbered(first, second)).collect()
+    assert [(r["file"], r["offset"], r["length"], r["status"]) for r in found] == [(whole, *spans[1][:2], "corrupt")]
+    none = fixity.read_archives(spark, str(tmp_path / "none"))
+    assert none.isEmpty() and fixity.audit(*fixity.numbered(none, none)).isEmpty()
+
+
+@settings(max_examples=60, deadline=None)
+@given(
+    st.lists(st.binary(max_size=60), min_size=1, max_size=6),
+    st.integers(1, 50),
+    st.integers(0, 10**6),
+    st.integers(0, 7),
+)
+def test_streams_in_pieces_of_any_size(bodies, piece, place, bit):
+    records = [
+        b"WARC/1.0\r\nWARC-Record-ID: <urn:uuid:%d>\r\nContent-Length: %d\r\n\r\n%b\r\n\r\n" % (k, len(b), b)
+        for k, b in enumerate(bodies)
+    ]
+    data, packed = b"".join(records), b"".join(gzip.compress(r, mtime=0) for r in records)
+
+    def pieces(of):
+        return (of[k : k + piece] for k in range(0, len(of), piece))
+
+    expected = [(sum(map(len, records[:k])), len(r), sha256(r[:-4]).hexdigest(), f"urn:uuid:{k}") for k, r in enumerate(records)]
+    assert list(fixity.parse_stream(pieces(data))) == expected
+    assert list(fixity.parse_stream(fixity.inflated(pieces(packed)))) == expected
+    harmed = bytearray(packed)
+    harmed[place % len(harmed)] ^= 1 << bit
+    left = {row[2] for row in fixity.parse_stream(fixity.inflated(pieces(bytes(harmed))))}
+    lost = [row for row in expected if row[2] not in left]
+    assert len({row[2] for row in lost}) <= 1
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.binary(max_size=200))
 def test_unreadable_bytes_are_one_record(data):
