@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.numbers import div
 
@@ -105,6 +106,28 @@ def training_patches(images: DataFrame, masks: DataFrame, patch_w: int, patch_h:
     return joined.select("image_name", "patch_id", "patch", label.alias("label"))
 
 
+@F.arrow_udf(T.ArrayType(T.FloatType()))
+def planes(patch: pa.Array) -> pa.Array:
+    """Rows of RGB bytes as floats, all of red first, then green, then blue; null stays null."""
+    rows = [None if d is None else np.frombuffer(d, np.uint8).reshape(-1, 3).T.astype(np.float32).ravel() for d in patch.to_pylist()]
+    return pa.array(rows, pa.list_(pa.float32()))
+
+
+def training_source(images: DataFrame, masks: DataFrame, patch_w: int, patch_h: int, seed: int) -> DataFrame:
+    """``training_patches`` in a seeded order over all images."""
+    return shuffled(training_patches(images, masks, patch_w, patch_h), seed)
+
+
+def validation_source(images: DataFrame, masks: DataFrame, patch_w: int, patch_h: int) -> DataFrame:
+    """``training_patches`` in no order."""
+    return training_patches(images, masks, patch_w, patch_h)
+
+
+def inference_source(images: DataFrame, patch_w: int, patch_h: int) -> DataFrame:
+    """(image_name, patch_id, patch) without labels or masks."""
+    return cut_patches(images, patch_w, patch_h)
+
+
 def shuffled(rows: DataFrame, seed: int) -> DataFrame:
     """Rows in a seeded order; needed only where a consumer reads them in turn."""
     return rows.orderBy(F.rand(seed))

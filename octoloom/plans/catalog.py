@@ -567,6 +567,14 @@ def channels_swapped(spark, sf_dir):
     return _table(spark, sf_dir, "customer").select("c_custkey", *[F.round(patches.normalised(colour[c] * 255, 0.5, 0.25), 6).alias(c) for c in "rgb"])
 
 
+@query
+def channel_planes(spark, sf_dir):
+    """Names of customers, hashed and read as five pixels, as planes of floats."""
+    pixels = F.unhex(F.substring(F.md5(F.col("c_name").cast("binary")), 1, 30))
+    rows = _table(spark, sf_dir, "customer").select("c_custkey", F.posexplode(patches.planes(pixels)).alias("place", "value"))
+    return rows.select("c_custkey", F.col("place").cast("long").alias("place"), F.col("value").cast("double").alias("value"))
+
+
 @query
 def chunk_colour_lengths(spark, sf_dir):
     """Colour maps of every document have its length."""

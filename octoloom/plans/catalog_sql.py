@@ -394,4 +394,8 @@ SELECT c_custkey, round((CAST('0x' || substr(m, 5, 2) AS INT) / 255 - 0.5::DOUBL
        round((CAST('0x' || substr(m, 1, 2) AS INT) / 255 - 0.5::DOUBLE) / 0.25::DOUBLE, 6) AS b
 FROM (SELECT c_custkey, md5(c_name) AS m FROM customer)
 """
+SQL["channel_planes"] = """
+SELECT c_custkey, k AS place, CAST('0x' || substr(m, 6 * (k % 5) + 2 * (k // 5) + 1, 2) AS INT)::DOUBLE AS value
+FROM (SELECT c_custkey, md5(c_name) AS m FROM customer), range(15) AS places(k)
+"""
 SQL["chunk_colour_lengths"] = f"SELECT doc_id, n AS n_bytes, true AS same_length FROM ({_DOCS})"

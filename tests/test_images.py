@@ -56,3 +56,17 @@ def test_normalise(spark):
     from pyspark.sql import functions as F
 
     assert spark.range(1).select(patches.normalised(F.lit(255), 0.5, 0.25)).first()[0] == pytest.approx(2)
+
+
+def test_sources_of_patches_hold_the_same_patches(spark):
+    data = [bytes(range(48)), bytes(range(48, 96))]
+    shown = spark.createDataFrame([(f"i{k}", 4, 4, d, k) for k, d in enumerate(data)], f"{SCHEMA}, label int")
+    masks = spark.createDataFrame([("i1", 4, 4, bytes(12) + bytes([1] * 36))], SCHEMA)
+    train = [tuple(r) for r in patches.training_source(shown, masks, 2, 2, 7).collect()]
+    again = [tuple(r) for r in patches.training_source(shown, masks, 2, 2, 7).collect()]
+    valid = [tuple(r) for r in patches.validation_source(shown, masks, 2, 2).collect()]
+    infer = [tuple(r) for r in patches.inference_source(shown, 2, 2).collect()]
+    assert sorted(train) == sorted(again) == sorted(valid) and len(valid) == 8
+    assert sorted(r[:3] for r in valid) == sorted(infer)
+    planes = spark.createDataFrame([(bytes([1, 2, 3, 4, 5, 6]),), (b"",), (None,)], "p binary").select(patches.planes("p")).collect()
+    assert [r[0] for r in planes] == [[1, 4, 2, 5, 3, 6], [], None]
