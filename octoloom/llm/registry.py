@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, fixity, licenses, mixing, pii, quality, sharding, simhash, toxicity, urlfilter
+from . import (
+    collocations,
+    decontam,
+    embeddings,
+    filter_audit,
+    fixity,
+    licenses,
+    mixing,
+    pii,
+    quality,
+    sharding,
+    simhash,
+    toxicity,
+    urlfilter,
+)
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +91,18 @@ def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_filter_interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -88,6 +114,9 @@ QUERIES: dict[str, Query] = {
     "op8_url_filter": op8_url_filter,
     "op9_warc_fixity": op9_warc_fixity,
     "op10_pii_pseudonyms": op10_pii_pseudonyms,
+    "op11_embedding_near_dedup": op11_embedding_near_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_filter_interactions": op13_filter_interactions,
 }
 
 OP2_SQL = r"""
@@ -238,10 +267,104 @@ SELECT page_id, file, "offset", length, sha256, CASE lot WHEN 3 THEN 'corrupt' E
 FROM placed WHERE lot IN (3, 5)
 """
 
+#: All pairs, without hashing.
+OP11_SQL = """
+WITH RECURSIVE sound AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM sound a JOIN sound b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.9),
+reached(x, y) AS (
+  SELECT x, y FROM links UNION SELECT r.x, l.y FROM reached r JOIN links l ON r.y = l.x),
+firsts AS (SELECT x, min(y) AS y FROM reached GROUP BY x),
+counts AS (SELECT x, count(*) AS n FROM links GROUP BY x)
+SELECT e.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, least(e.vec_id, f.y) AS component_id,
+       e.vec_id = least(e.vec_id, f.y) AS kept
+FROM embeddings e LEFT JOIN counts c ON e.vec_id = c.x LEFT JOIN firsts f ON e.vec_id = f.x
+"""
+
+OP12_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                   '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+grams AS (
+  SELECT lang, m, array_to_string(w[i : i + m - 1], ' ') AS phrase
+  FROM worded, unnest(range(1, 5)) AS lengths(m), unnest(range(1, len(w) - m + 2)) AS starts(i)
+  WHERE len(w) >= m),
+freq AS (SELECT lang, m, phrase, CAST(count(*) AS HUGEINT) AS f FROM grams GROUP BY ALL HAVING count(*) >= 30),
+totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang),
+cands AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM freq WHERE m > 1),
+cuts AS (
+  SELECT c.lang, c.m, c.phrase, c.a, k, l.f AS l, r.f AS r, 2000000 * c.a // (l.f + r.f) AS score
+  FROM cands c, unnest(range(1, c.m)) AS places(k)
+  JOIN freq l ON l.lang = c.lang AND l.phrase = array_to_string(c.w[1 : k], ' ')
+  JOIN freq r ON r.lang = c.lang AND r.phrase = array_to_string(c.w[k + 1 : c.m], ' ')),
+worst AS (
+  SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covers AS (
+  SELECT c.lang, array_to_string(c.w[s : s + size - 1], ' ') AS phrase, max(c.a) AS a
+  FROM cands c, unnest(range(2, c.m)) AS sizes(size), unnest(range(1, c.m - size + 2)) AS starts(s) GROUP BY ALL),
+kept AS (
+  SELECT w.* FROM worst w LEFT JOIN covers v ON v.lang = w.lang AND v.phrase = w.phrase
+  WHERE v.a IS NULL OR 100 * v.a < 80 * w.a),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM kept)
+SELECT r.lang, CAST(rank AS BIGINT) AS rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       n, CAST(score AS BIGINT) AS score
+FROM ranked r JOIN totals t ON t.lang = r.lang WHERE rank <= 2000
+"""
+
+OP13_SQL = r"""
+WITH texts AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+flags AS (
+  SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic
+  FROM labels GROUP BY doc_id),
+failed AS (
+  SELECT part, t.doc_id, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         concat(CASE WHEN len(w) < 200 THEN 'A' ELSE '' END,
+                CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END,
+                CASE WHEN 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text)
+                     THEN 'C' ELSE '' END,
+                CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END,
+                CASE WHEN t.doc_id > min(t.doc_id) OVER (PARTITION BY text) THEN 'E' ELSE '' END) AS fails
+  FROM texts t LEFT JOIN flags USING (doc_id)),
+counts AS (
+  SELECT part, fails, CAST(count(*) AS BIGINT) AS n, CAST(sum(good) AS BIGINT) AS good, CAST(sum(toxic) AS BIGINT) AS toxic
+  FROM failed GROUP BY ALL),
+letters(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+orders AS (
+  SELECT concat(a.x, b.x, c.x, d.x, e.x) AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE length(translate('ABCDE', concat(a.x, b.x, c.x, d.x, e.x), '')) = 0),
+steps AS (
+  SELECT filter_order, step, filter_order[1 : step - 1] AS before, filter_order[step] AS filter
+  FROM orders, range(1, 6) AS steps(step))
+SELECT part, filter_order, CAST(step AS INTEGER) AS step,
+       CAST(sum(CASE WHEN translate(fails, before || filter, '') = fails THEN n ELSE 0 END) AS BIGINT) AS kept,
+       CAST(sum(CASE WHEN here THEN n ELSE 0 END) AS BIGINT) AS removed,
+       CAST(sum(CASE WHEN contains(fails, filter) AND NOT here THEN n ELSE 0 END) AS BIGINT) AS redundant,
+       CAST(sum(CASE WHEN fails = filter THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+       CAST(sum(CASE WHEN here THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+       CAST(sum(CASE WHEN here THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost,
+       CAST(sum(CASE WHEN contains(fails, filter) THEN n * (120 // length(fails)) ELSE 0 END) AS BIGINT) AS shapley
+FROM (SELECT *, contains(fails, filter) AND translate(fails, before, '') = fails AS here FROM counts, steps)
+GROUP BY part, filter_order, step
+"""
+
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": OP2_SQL,
     "op5_stratified_shards": OP5_SQL,
     "op6_source_mix": OP6_SQL,
     "op8_url_filter": OP8_SQL,
     "op9_warc_fixity": OP9_SQL,
+    "op11_embedding_near_dedup": OP11_SQL,
+    "op12_phrase_collocations": OP12_SQL,
+    "op13_filter_interactions": OP13_SQL,
 }
