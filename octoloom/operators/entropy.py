@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.bytes import byte_at
+from ..functions.numbers import div
+from . import sampling
+
 WINDOW = 32
 SYMBOLS = 256
 
@@ -46,21 +52,102 @@ def entropy_levels(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.floor(top * 255 + NUDGE), np.floor(top * top * 255 + NUDGE)
 
 
-def window_entropy_kernel(samples: np.ndarray) -> np.ndarray:
-    """The same entropy of one quad's samples, for chunk kernels."""
+#: Terms c ln c of a window's 256 counts, in whole steps of 2^-40, so that adding and taking off leaves no rounding behind.
+_TERMS = np.array([0] + [round(c * math.log(c) * (1 << 40)) for c in range(1, WINDOW + 1)], np.int64)
+#: Samples whose counts are held at once.
+SLICE = 1 << 16
+
+
+def _slice_entropy(framed: np.ndarray) -> np.ndarray:
+    """Entropy of each full window of ``framed``, from the window before it.
+
+    A step takes one byte off a histogram and adds one, so the sum of its terms moves by two differences of
+    ``_TERMS``.  They need the count of the byte that goes, in the window that it heads, and of the byte
+    that comes, in the window that it ends: places of equal bytes within a window's reach, found for
+    all steps at once in the order (byte, place).
+    """
+    n, reach = len(framed), WINDOW - 1
+    order = np.argsort(framed, kind="stable")
+    keys = framed[order].astype(np.int64) * (n + WINDOW) + order
+    rank = np.arange(n)
+    ahead, back = np.empty(n, np.int64), np.empty(n, np.int64)
+    ahead[order] = np.searchsorted(keys, keys + reach, "right") - rank
+    back[order] = rank - np.searchsorted(keys, keys - reach) + 1
+    gone, come = ahead[: n - WINDOW], back[WINDOW:]
+    sums = np.empty(n - reach, np.int64)
+    sums[0] = _TERMS[np.bincount(framed[:WINDOW])].sum()
+    sums[1:] = _TERMS[gone - 1] - _TERMS[gone] + _TERMS[come] - _TERMS[come - 1]
+    return 1.0 - np.cumsum(sums) / _TERMS[WINDOW]
+
+
+def window_entropy_kernel(samples: np.ndarray, before: bytes = b"", after: bytes = b"") -> np.ndarray:
+    """The same entropy of a run of one quad's samples, for chunk kernels.
+
+    ``before`` and ``after`` are the samples beside the run, as far as the quad has any: its halo.  The
+    run is worked through in slices of ``SLICE`` samples, each with a halo of its own.
+    """
     half = WINDOW // 2
-    padded = np.zeros(len(samples) + WINDOW - 1, np.uint8)
-    padded[half : half + len(samples)] = samples
-    at = np.arange(len(samples))
-    views = np.sort(np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[at], axis=1)
-    first = np.ones(views.shape, bool)
-    first[:, 1:] = views[:, 1:] != views[:, :-1]
-    run = np.cumsum(first, axis=1) - 1
-    counts = np.zeros((len(samples), WINDOW), np.int64)
-    np.add.at(counts, (at[:, None], run), 1)
-    share = counts / WINDOW
-    terms = np.where(counts > 0, share * np.log(np.where(counts > 0, share, 1.0)), 0.0)
-    return -terms.sum(1) / np.log(WINDOW)
+    framed = np.zeros(len(samples) + WINDOW - 1, np.uint8)
+    framed[half : half + len(samples)] = samples
+    for halo, at in ((before[-half:], half - min(half, len(before))), (after[: half - 1], half + len(samples))):
+        framed[at : at + len(halo)] = np.frombuffer(halo, np.uint8)
+    out = np.empty(len(samples))
+    for first in range(0, len(samples), SLICE):
+        last = min(first + SLICE, len(samples))
+        out[first:last] = _slice_entropy(framed[first : last + WINDOW - 1])
+    return out
+
+
+def strip_entropy(found: DataFrame, size: int) -> DataFrame:
+    """Strips of a layout (see ``sampling.strips``) with ``entropies``: one for each of their samples.
+
+    A strip gets the last 16 samples before it and the first 15 after it from its neighbours in the quad,
+    however few each of them has.  The last strip of a quad also answers for its pixels past the end of the blob.
+    """
+    half, area = WINDOW // 2, size * size
+    order = Window.partitionBy("blob_id", "quad").orderBy("first_j")
+    tail = F.substr("samples", F.greatest(F.col("n_j") - half, F.lit(0)).cast("int") + 1, F.lit(half))
+    head = F.substr("samples", F.lit(1), F.lit(half - 1))
+    haloed = found.withColumns(
+        {
+            "_before": F.collect_list(tail).over(order.rowsBetween(-half, -1)),
+            "_after": F.collect_list(head).over(order.rowsBetween(1, half - 1)),
+            "_last": F.lead("first_j").over(order).isNull(),
+        }
+    )
+    past = F.when(F.col("_last"), area - F.col("first_j") - F.col("n_j")).otherwise(0).cast("long")
+    return haloed.select(*found.columns, _strip_kernel("samples", "_before", "_after", past).alias("entropies"))
+
+
+@F.arrow_udf(T.ArrayType(T.DoubleType()))
+def _strip_kernel(samples: pa.Array, before: pa.Array, after: pa.Array, past: pa.Array) -> pa.Array:
+    rows = []
+    for run, left, right, more in zip(samples, before, after, past, strict=True):
+        values = np.frombuffer(run.as_py() + bytes(more.as_py()), np.uint8)
+        rows.append(window_entropy_kernel(values, b"".join(left.as_py()), b"".join(right.as_py())))
+    return pa.array(rows, pa.list_(pa.float64()))
+
+
+def blob_entropy(blobs: DataFrame, size: int, layout: str = "unrolled", step: int | None = None) -> DataFrame:
+    """``sampling.grid`` with ``entropy``, 0 to 1, of blobs (blob_id, data) or of chunks of blobs.
+
+    The same numbers as ``window_entropy``.  Samples stay packed until they are answered for.  A whole blob
+    is one chunk, so its quads need no neighbours and nothing is shuffled; of chunks, a strip and its halo
+    are shuffled, never a quad's pixels.
+    """
+    if "byte_start" in blobs.columns:
+        found = strip_entropy(sampling.strips(blobs, size, layout, step), size)
+    else:
+        n = F.octet_length("data").cast("long")
+        whole = blobs.select("blob_id", n.alias("n_bytes"), F.lit(0).cast("long").alias("byte_start"), "data")
+        found = sampling.strips(whole, size, layout, step)
+        none = F.array().cast("array<binary>")
+        past = size * size - F.col("first_j") - F.col("n_j")
+        found = found.withColumn("entropies", _strip_kernel("samples", none, none, past))
+    each = found.select("blob_id", "quad", "first_j", "start", "width", "samples", F.posexplode("entropies").alias("_k", "entropy"))
+    j = F.col("first_j") + F.col("_k")
+    index = F.col("start") + div(j * F.col("width"), size * size)
+    return each.select("blob_id", "quad", j.alias("j"), index.alias("byte_idx"), byte_at(F.col("samples"), F.col("_k")).alias("b"), "entropy")
 
 
 def quad_entropy(values: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,6 +58,28 @@ def misses(requests: DataFrame, stored: DataFrame, keys: tuple[str, ...] = ("sa_
     return requests.join(stored.select(*keys).distinct(), list(keys), "left_anti").dropDuplicates(list(keys))
 
 
+def answered(requests: DataFrame, judge: Callable[[DataFrame], DataFrame], stored: DataFrame | None = None) -> DataFrame:
+    """(order_id, sa_hash, stix_report, answered_by, repeated) of every request (order_id, body).
+
+    The batch form of ``streaming.answers``: what is stored answers first; of the others, each hash is judged
+    once, for its smallest order_id.  ``judge`` maps (order_id, sa_hash, body), a row a hash, to
+    (sa_hash, stix_report).  ``answered_by`` is the order judged, null where a stored report answers.  Requests
+    without a body have no hash and no answer.
+    """
+    hashed = requests.select("order_id", "body", content_hash(F.col("body")).alias("sa_hash"))
+    firsts = hashed.where("sa_hash IS NOT NULL").groupBy("sa_hash").agg(F.min(F.struct("order_id", "body")).alias("_first"))
+    known = firsts.limit(0).select("sa_hash", F.lit(None).cast("string").alias("stix_report"))
+    if stored is not None:
+        known = hits(firsts.select("sa_hash"), stored).select("sa_hash", F.col("stix_report").cast("string").alias("stix_report"))
+    new = firsts.join(known.select("sa_hash"), "sa_hash", "left_anti")
+    judged = judge(new.select("_first.order_id", "sa_hash", "_first.body")).select("sa_hash", "stix_report")
+    by = new.select("sa_hash", F.col("_first.order_id").alias("answered_by")).join(judged, "sa_hash")
+    nobody = F.lit(None).cast(dict(hashed.dtypes)["order_id"]).alias("answered_by")
+    answers = by.unionByName(known.select("sa_hash", nobody, "stix_report"))
+    repeated = F.coalesce(F.col("order_id") != F.col("answered_by"), F.col("sa_hash").isNotNull())
+    return hashed.join(answers, "sa_hash", "left").select("order_id", "sa_hash", "stix_report", "answered_by", repeated.alias("repeated"))
+
+
 def result_by_id(stored: DataFrame, wanted: int) -> DataFrame:
     return stored.where(F.col("id") == wanted).limit(1)
 

@@ -1,8 +1,10 @@
 """Byte ranges: masks from marked spans, and archive structure colours from members.
 
-Open-source Spark runs a range join as a nested loop.  Here ranges are filed under the blocks of
-``BLOCK`` bytes that they touch, points under theirs, and the join is an equality on (blob, block);
-a long range is filed many times, a point once, and each point meets a range in one block only.
+Open-source Spark runs a range join as a nested loop.  Here a range is filed by its length: at the
+lowest level whose aligned power-of-two blocks are at least as long, so it touches two blocks at most,
+whether it has a byte or a terabyte.  A block is one row with its ranges, and a point looks up its own
+block once for each level that any range has: equalities on (blob, block), one row a point, in and out.
+Levels are ``LEVEL_BITS`` apart, so there are ten of them up to the longest file, and one or two in most archives.
 """
 
 from __future__ import annotations
@@ -11,9 +13,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.bytes import MASK_COLOUR
-from ..functions.numbers import div
 
+#: Length of the lowest level's blocks, a power of two.
 BLOCK = 65_536
+LEVEL_BITS = 4
+_TOP_BITS = 62
 #: Header colours by member type, and the cycle of data colours.  Fixed values.
 HEADER_COLOURS = {
     "0": 155, "1": 140, "2": 125, "3": 105, "4": 90, "5": 75, "6": 60, "7": 45, "g": 30, "x": 15,
@@ -43,9 +47,53 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     ).drop("_run")
 
 
-def _filed(ranges: DataFrame, start: str, end: str, block: int) -> DataFrame:
-    first, last = div(F.col(start), block), div(F.col(end) - 1, block)
-    return ranges.where(F.col(end) > F.col(start)).select("*", F.explode(F.sequence(first, last)).alias("_block"))
+def _base_bits(block: int) -> int:
+    if block < 1 or block & (block - 1):
+        raise ValueError("the block of the lowest level must be a power of two")
+    return block.bit_length() - 1
+
+
+def level_of(length: Column, block: int = BLOCK) -> Column:
+    """Bits of the lowest level whose blocks are at least as long."""
+    out = None
+    for bits in range(_base_bits(block), _TOP_BITS, LEVEL_BITS):
+        longest = F.lit(1 << bits).cast("long")
+        out = F.when(length <= longest, bits) if out is None else out.when(length <= longest, bits)
+    return out.otherwise(_TOP_BITS)
+
+
+def _block(place: Column, level: Column | int) -> Column:
+    return F.call_function("shiftright", place, level if isinstance(level, Column) else F.lit(level))
+
+
+def file_ranges(ranges: DataFrame, start: str, end: str, block: int = BLOCK) -> DataFrame:
+    """``ranges`` with ``_level`` and ``_block``: a row for each of the one or two blocks that a range touches; empty ones go."""
+    level = level_of(F.col(end) - F.col(start), block)
+    levelled = ranges.where(F.col(end) > F.col(start)).withColumn("_level", level)
+    blocks = F.array_distinct(F.array(_block(F.col(start), F.col("_level")), _block(F.col(end) - 1, F.col("_level"))))
+    return levelled.select("*", F.explode(blocks).alias("_block"))
+
+
+def _look_up(points: DataFrame, ranges: DataFrame, start: str, end: str, rank: list[str], block: int) -> DataFrame:
+    """``points`` with ``_best``: the greatest struct of ``rank`` among the ranges that hold the byte, else null.
+
+    The levels that occur are counted first: ten numbers at most.
+    """
+    filed = file_ranges(ranges, start, end, block)
+    levels = sorted(r[0] for r in filed.select("_level").distinct().collect())
+    names, found = list(points.columns), []
+    for level in levels:
+        held = F.collect_list(F.struct(F.col(start).alias("s"), F.col(end).alias("e"), F.struct(*rank).alias("v")))
+        of_level = filed.where(F.col("_level") == level).groupBy(F.col("blob_id").alias("_blob"), "_block").agg(held.alias("_held"))
+        same = (F.col("blob_id") == F.col("_blob")) & (_block(F.col("byte_idx"), level) == F.col("_block"))
+        inside = F.filter("_held", lambda r: (r["s"] <= F.col("byte_idx")) & (F.col("byte_idx") < r["e"]))
+        best = F.array_max(F.transform(inside, lambda r: r["v"])).alias(f"_best_{level}")
+        points = points.join(of_level, same, "left").select(*names, *found, best)
+        found.append(f"_best_{level}")
+    if not found:
+        return points.withColumn("_best", F.lit(None))
+    best = F.greatest(*found) if len(found) > 1 else F.col(found[0])
+    return points.select(*names, best.alias("_best"))
 
 
 def mask(points: DataFrame, spans: DataFrame, block: int = BLOCK) -> DataFrame:
@@ -53,17 +101,9 @@ def mask(points: DataFrame, spans: DataFrame, block: int = BLOCK) -> DataFrame:
 
     Spans may be empty, overlap, and come in any order.
     """
-    filed = _filed(merge_spans(spans), "span_start", "span_end", block).withColumnRenamed("blob_id", "_blob")
-    own = div(F.col("byte_idx"), block)
-    inside = (
-        (F.col("blob_id") == F.col("_blob"))
-        & (own == F.col("_block"))
-        & (F.col("byte_idx") >= F.col("span_start"))
-        & (F.col("byte_idx") < F.col("span_end"))
-    )
-    joined = points.join(filed, inside, "left")
-    hit = F.when(F.col("_blob").isNotNull(), MASK_COLOUR).otherwise(0)
-    return joined.select(*points.columns, hit.alias("mask"))
+    found = _look_up(points, merge_spans(spans), "span_start", "span_end", ["span_start"], block)
+    hit = F.when(F.col("_best").isNotNull(), MASK_COLOUR).otherwise(0)
+    return found.select(*points.columns, hit.alias("mask"))
 
 
 def structure_ranges(members: DataFrame) -> DataFrame:
@@ -83,21 +123,10 @@ def structure_ranges(members: DataFrame) -> DataFrame:
 
 
 def structure(points: DataFrame, members: DataFrame, block: int = BLOCK) -> DataFrame:
-    """``points`` with ``structure``: the colour of the last member range that holds the byte, else 0.
-
-    ``points`` are distinct rows; one that lies in several ranges meets them all and keeps the last.
-    """
-    filed = _filed(structure_ranges(members), "range_start", "range_end", block).withColumnRenamed("blob_id", "_blob")
-    own = div(F.col("byte_idx"), block)
-    inside = (
-        (F.col("blob_id") == F.col("_blob"))
-        & (own == F.col("_block"))
-        & (F.col("byte_idx") >= F.col("range_start"))
-        & (F.col("byte_idx") < F.col("range_end"))
-    )
-    latest = F.max(F.struct("member_idx", "range_start", "colour"))
-    found = points.join(filed, inside, "left").groupBy(*points.columns).agg(latest.alias("_m"))
-    return found.select(*points.columns, F.coalesce("_m.colour", F.lit(0)).alias("structure"))
+    """``points`` with ``structure``: the colour of the last member range that holds the byte, else 0."""
+    found = _look_up(points, structure_ranges(members), "range_start", "range_end", ["member_idx", "range_start", "colour"], block)
+    colour = F.col("_best.colour") if dict(found.dtypes)["_best"].startswith("struct") else F.lit(None).cast("int")
+    return found.select(*points.columns, F.coalesce(colour, F.lit(0)).alias("structure"))
 
 
 def changed_files(records: DataFrame) -> DataFrame:

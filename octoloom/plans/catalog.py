@@ -224,12 +224,26 @@ def tar_members(spark, sf_dir):
 
 @query
 def window_entropy(spark, sf_dir):
-    pixels = sampling.grid(_documents(spark, sf_dir), 16, "square")
-    return entropy.window_entropy(pixels).select(
+    return entropy.blob_entropy(_documents(spark, sf_dir), 16, "square").select(
         F.col("blob_id").alias("doc_id"), "j", F.round("entropy", 6).alias("entropy")
     )
 
 
+@query
+def chunk_entropy(spark, sf_dir):
+    """The same from chunks of 1,000 bytes, whose strips hand each other what stands beside them."""
+    return entropy.blob_entropy(chunks(_documents(spark, sf_dir), 1000), 16, "square").select(
+        F.col("blob_id").alias("doc_id"), "j", F.round("entropy", 6).alias("entropy")
+    )
+
+
+@query
+def chunk_entropy_step(spark, sf_dir):
+    """Entropy colours of pages in the layout of production, from chunks of 500 bytes; black past the end."""
+    pixels = imaging.render(chunks(_pages(spark, sf_dir), 500), 8, ("entropy",), "zigzag", "unrolled", 3)
+    return pixels.select(F.col("blob_id").alias("page_id"), "quad", "j", "r", "g", "b")
+
+
 @query
 def block_entropy(spark, sf_dir):
     docs = _documents(spark, sf_dir)
@@ -386,6 +400,24 @@ def service_dedupe(spark, sf_dir):
     return orders.with_verdicts(listed, judged).select("order_id", "container_name", "image", "class", "status")
 
 
+@query
+def repeated_orders(spark, sf_dir):
+    """Turns as requests: each text judged once, by its length, and every request answered."""
+    requests = _table(spark, sf_dir, "conversations").select(
+        F.struct("conv_id", "turn", "role").alias("order_id"), F.col("text").alias("body")
+    )
+
+    def judge(new: DataFrame) -> DataFrame:
+        label = F.when(F.octet_length("body") % 3 == 0, "malevolent").otherwise("benign")
+        return new.select("sa_hash", F.concat_ws(":", label, F.octet_length("body")).alias("stix_report"))
+
+    found = orders.answered(requests, judge)
+    return found.select(
+        "order_id.conv_id", "order_id.turn", "order_id.role", "sa_hash", "stix_report", F.col("answered_by.conv_id").alias("by_conv"),
+        F.col("answered_by.turn").alias("by_turn"), "repeated",
+    )
+
+
 @query
 def sa_hash(spark, sf_dir):
     """Hashes of all texts; of equal ones the first id is stored, and the others are hits."""

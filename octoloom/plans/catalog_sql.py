@@ -179,6 +179,19 @@ framed AS (
 shares AS (SELECT doc_id, j, b, count(*) / 32.0 AS p FROM framed GROUP BY doc_id, j, b)
 SELECT doc_id, j, round(sum(-p * ln(p) / ln(32.0)), 6) AS entropy FROM shares GROUP BY doc_id, j
 """
+SQL["chunk_entropy"] = SQL["window_entropy"]
+SQL["chunk_entropy_step"] = f"""
+WITH {_grid(_PAGES, "page_id", 8, "(n + 191) // 192", "q * 192", "(q + 1) * 192")},
+framed AS (
+  SELECT g.page_id, g.quad, g.j, g.b AS own, coalesce(o.b, 0) AS b
+  FROM grid g CROSS JOIN unnest(range(-16, 16)) AS t(k)
+  LEFT JOIN grid o ON o.page_id = g.page_id AND o.quad = g.quad AND o.j = g.j + k),
+shares AS (SELECT page_id, quad, j, own, b, count(*) / 32.0 AS p FROM framed GROUP BY ALL),
+found AS (SELECT page_id, quad, j, own, least(sum(-p * ln(p) / ln(32.0)), 1) AS e FROM shares GROUP BY page_id, quad, j, own)
+SELECT page_id, quad, j, CASE WHEN own IS NULL THEN 0 ELSE CAST(floor(e * 255 + 1e-9) AS INT) END AS r, 0 AS g,
+       CASE WHEN own IS NULL THEN 0 ELSE CAST(floor(e * e * 255 + 1e-9) AS INT) END AS b
+FROM found
+"""
 
 _BLOCK = f"""
 docs AS ({_DOCS}), bytes AS ({_bytes("doc_id, n", "docs")}),
@@ -279,6 +292,16 @@ SELECT conv_id AS order_id, turn AS container_name, role AS image,
 FROM conversations
 """
 _HASHED = f"hashed AS (SELECT doc_id, md5(trim(text, '{WHITE}')) AS sa_hash FROM documents)"
+SQL["repeated_orders"] = f"""
+WITH hashed AS (SELECT *, md5(trim(text, '{WHITE}')) AS sa_hash FROM conversations),
+firsts AS (
+  SELECT * FROM hashed WHERE sa_hash IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY sa_hash ORDER BY conv_id, turn, role, encode(text)) = 1)
+SELECT h.conv_id, h.turn, h.role, h.sa_hash,
+       CASE WHEN strlen(f.text) % 3 = 0 THEN 'malevolent' ELSE 'benign' END || ':' || strlen(f.text) AS stix_report,
+       f.conv_id AS by_conv, f.turn AS by_turn, (h.conv_id, h.turn, h.role) <> (f.conv_id, f.turn, f.role) AS repeated
+FROM hashed h LEFT JOIN firsts f ON h.sa_hash = f.sa_hash
+"""
 SQL["sa_hash"] = f"""
 WITH {_HASHED}
 SELECT h.doc_id, h.sa_hash, s.stored_id FROM hashed h

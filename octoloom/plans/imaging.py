@@ -28,10 +28,9 @@ def render(
     ``color_map`` names ``class``, ``magnitude``, ``entropy`` or ``structure`` (which needs
     ``members``).  Pixels past the end of a blob are black.  Only sampled bytes are read.
     """
-    pixels = sampling.grid(blobs, size, layout_type, step)
     names, channels = list(color_map), []
-    if "entropy" in names:
-        pixels = entropy.window_entropy(pixels)
+    read = entropy.blob_entropy if "entropy" in names else sampling.grid
+    pixels = read(blobs, size, layout_type, step)
     if "structure" in names:
         if members is None:
             raise ValueError("the colour map 'structure' needs members")
@@ -111,8 +110,10 @@ def render_quads(
         if name != "entropy" and name not in grey:
             raise NotImplementedError(f"no chunk colour map named {name!r}")
 
+    levels = entropy.entropy_levels
+
     def colour(name: str, samples: np.ndarray) -> np.ndarray:
-        return entropy.entropy_levels(samples)[0] if name == "entropy" else grey[name][samples]
+        return levels(samples)[0] if name == "entropy" else grey[name][samples]
 
     @F.arrow_udf("binary")
     def draw(parts: pa.Array, widths: pa.Array) -> pa.Array:
@@ -126,7 +127,7 @@ def render_quads(
             if names == ["class"]:
                 pixels = palette[samples]
             elif names == ["entropy"]:
-                red, blue = entropy.entropy_levels(samples)
+                red, blue = levels(samples)
                 pixels = np.stack([red, np.zeros(area), blue], 1)
             else:
                 channels = [colour(n, samples) for n in (names * 3 if len(names) == 1 else names)[:3]]

@@ -2,6 +2,7 @@
 
 import io
 import json
+import random
 import tarfile
 
 import pytest
@@ -106,6 +107,50 @@ def test_masks_take_any_spans(spark):
     assert spans.mask(points, spanned.limit(0)).agg(F.max("mask")).first()[0] == 0
 
 
+@pytest.mark.parametrize("block", [1, 16, 65_536])
+def test_ranges_of_any_length_overlapping_at_terabytes(spark, block):
+    """Lengths from one byte to terabytes, nested and overlapping, with points at every edge; a range is filed twice at most."""
+    rng = random.Random(block)
+    top = 1 << 45
+    members = []
+    for k in range(60):
+        offset = rng.choice([0, 5, 65_536, top - 100_000, rng.randrange(top)])
+        size = rng.choice([0, 1, 17, 65_535, 65_536, 65_537, 1 << 20, (1 << 30) + 3, 100 << 30, rng.randrange(top)])
+        members.append((rng.choice("ab"), k, rng.choice("05x"), offset, offset + 512, size))
+    frame = spark.createDataFrame(members, "blob_id string, member_idx int, type string, offset long, offset_data long, size long")
+    edges = {e + d for _, _, _, o, a, n in members for e in (o, a, a + n) for d in (-1, 0, 1) if e + d >= 0}
+    points = [(b, i) for b in "abc" for i in sorted(edges | {rng.randrange(top) for _ in range(200)})]
+    colours = {"0": 155, "5": 75, "x": 15}
+
+    def plain(blob, i):
+        held = [
+            (k, start, c)
+            for b, k, t, o, a, n in members
+            for start, end, c in ((o, a, colours[t]), (a, a + n, (255, 230, 205, 180)[k % 4]))
+            if b == blob and start <= i < end
+        ]
+        return max(held)[2] if held else 0
+
+    at = spark.createDataFrame(points, "blob_id string, byte_idx long")
+    found = {tuple(r)[:2]: r["structure"] for r in spans.structure(at, frame, block).collect()}
+    assert found == {p: plain(*p) for p in points}
+    marked = frame.select("blob_id", F.col("offset").alias("span_start"), (F.col("offset_data") + F.col("size")).alias("span_end"))
+    masked = {tuple(r)[:2]: r["mask"] for r in spans.mask(at, marked, block).collect()}
+    assert masked == {p: 255 if plain(*p) else 0 for p in points}
+    ranges = spans.structure_ranges(frame)
+    filed = spans.file_ranges(ranges, "range_start", "range_end", block)
+    assert filed.count() <= 2 * ranges.count()
+    assert filed.select("_level").distinct().count() <= 13
+
+
+def test_levels_by_length(spark):
+    lengths = [1, 16, 17, 256, 257, 1 << 40, (1 << 62) + 1]
+    df = spark.createDataFrame([(n,) for n in lengths], "n long")
+    assert [r[0] for r in df.select(spans.level_of(F.col("n"), 16)).collect()] == [4, 4, 8, 8, 12, 40, 62]
+    with pytest.raises(ValueError, match="power of two"):
+        spans.level_of(F.col("n"), 100)
+
+
 @pytest.mark.parametrize("bad", [(0, 101), (-1, 5), (9, 3)])
 def test_spans_outside_the_blob_are_errors(spark, bad):
     blobs = spark.createDataFrame([("a", bytes(100))], "blob_id string, data binary")

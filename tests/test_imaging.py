@@ -137,6 +137,59 @@ def test_window_entropy_three_ways(spark):
     assert [r["entropy"] for r in got] == pytest.approx(expected)
 
 
+def test_entropy_by_increments_equals_each_window(monkeypatch):
+    rng = np.random.default_rng(7)
+    for n in (1, 2, 15, 16, 17, 31, 32, 33, 64, 500):
+        for symbols in (1, 2, 6, 256):
+            samples = rng.integers(0, symbols, n, np.uint8)
+            expected = plain_entropy(samples.tolist())
+            assert entropy.window_entropy_kernel(samples) == pytest.approx(expected, abs=1e-10)
+            monkeypatch.setattr(entropy, "SLICE", 7)
+            assert entropy.window_entropy_kernel(samples) == pytest.approx(expected, abs=1e-10)
+            monkeypatch.undo()
+    data = rng.integers(0, 9, 400, np.uint8)
+    whole = entropy.window_entropy_kernel(data)
+    for cuts in ([0, 3, 4, 60, 400], [0, 200, 400], [0, 1, 2, 3, 20, 399, 400]):
+        parts = [entropy.window_entropy_kernel(data[a:b], data[:a].tobytes(), data[b:].tobytes()) for a, b in zip(cuts, cuts[1:], strict=False)]
+        assert np.array_equal(np.concatenate(parts), whole)
+
+
+def test_entropy_of_a_production_quad_is_cheap():
+    """1,024 x 1,024 samples: below 100 MB and, by CPU time, below a second."""
+    import time
+    import tracemalloc
+
+    samples = np.random.default_rng(8).integers(0, 256, 1 << 20, np.uint8)
+    took = []
+    for _ in range(3):
+        began = time.process_time()
+        entropy.window_entropy_kernel(samples)
+        took.append(time.process_time() - began)
+    assert min(took) < 1
+    tracemalloc.start()
+    entropy.window_entropy_kernel(samples)
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("chunk", [1, 7, 64, 1000])
+@pytest.mark.parametrize(("kind", "step"), CASES)
+def test_entropy_of_chunks_and_blobs(blobs, kind, step, chunk):
+    """Strips shorter than a halo too, as of one byte; pixels past the end count as zero."""
+    data = {r["blob_id"]: bytes(r["data"]) for r in blobs.collect()}
+    columns = ["blob_id", "quad", "j", "byte_idx", "b", "entropy"]
+    for source in (blobs, chunks(blobs, chunk)):
+        rows = entropy.blob_entropy(source, 8, kind, step).select(columns).orderBy(*columns[:3]).collect()
+        assert [tuple(r)[:5] for r in rows] == sorted(map(tuple, sampling.grid(blobs, 8, kind, step).select(columns[:5]).collect()))
+        got = {}
+        for r in rows:
+            got.setdefault((r["blob_id"], r["quad"]), []).append(r["entropy"])
+        for n in SIZES:
+            for quad, index in enumerate(plain_index(n, 8, kind, step)):
+                samples = [data[n][i] if i < n else 0 for i in index]
+                assert got[n, quad] == pytest.approx(plain_entropy(samples), abs=1e-10)
+
+
 def test_block_entropy(spark):
     from octoloom.functions.bytes import byte_counts
 
