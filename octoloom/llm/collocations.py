@@ -35,7 +35,7 @@ SCALE = 2_000_000
 #: Bitmaps have 2^26 bits (8 MB), whatever the corpus.
 BUCKET_BITS = 26
 #: Bytes of text whose words are numbered at once; a longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 #: Ends of pieces become 0xFF, a byte that no UTF-8 text holds; A-Z become a-z.
 _BREAK = b"\xff"

@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
@@ -37,7 +38,7 @@ LEAST_COSINE = 0.9
 #: Chance that a pair at just the least cosine meets in a table.
 RECALL = 0.99
 #: More entries than this make a bucket crowded.
-CROWD = 64
+CROWD = 16
 BLOCK = 256
 SEED = 11
 _SKETCH = 64
@@ -92,16 +93,16 @@ def _digest(vectors: pa.Array) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def _units(vectors: pa.Array) -> list[np.ndarray]:
-    return [unit(v) for v in vectors.to_pylist()]
-
-
-def _by_dimension(vectors: list[np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(positions, matrix) of the vectors of each dimension."""
-    sizes = np.array([len(v) for v in vectors])
+def _by_dimension(vectors: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(positions, unit vectors) of the vectors of each dimension; all are sound."""
+    sizes = pc.list_value_length(vectors).to_numpy(zero_copy_only=False)
+    flat = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    starts = np.cumsum(sizes) - sizes
     for size in np.unique(sizes):
         at = np.flatnonzero(sizes == size)
-        yield at, np.stack([vectors[i] for i in at])
+        matrix = flat[starts[at, None] + np.arange(size)]
+        matrix /= np.abs(matrix).max(axis=1, keepdims=True)
+        yield at, matrix / np.sqrt(np.einsum("ij,ij->i", matrix, matrix))[:, None]
 
 
 def _signs(bits: int, tables: int):
@@ -111,7 +112,7 @@ def _signs(bits: int, tables: int):
     @F.arrow_udf("keys array<long>, sketch long")
     def signs(vectors: pa.Array) -> pa.Array:
         rows: list[dict | None] = [None] * len(vectors)
-        for at, matrix in _by_dimension(_units(vectors)):
+        for at, matrix in _by_dimension(vectors):
             width = matrix.shape[1]
             above = matrix @ _planes(width, tables * bits + _SKETCH) > 0
             keys = above[:, : tables * bits].reshape(len(at), tables, bits) @ powers + (width << bits)
@@ -126,15 +127,12 @@ def _signs(bits: int, tables: int):
 @F.arrow_udf(T.DoubleType())
 def _cosine(left: pa.Array, right: pa.Array) -> pa.Array:
     """Cosines in double precision; null where dimensions differ."""
-    a, b = _units(left), _units(right)
-    out: list[float | None] = [None] * len(a)
-    same = [i for i in range(len(a)) if len(a[i]) == len(b[i])]
-    for at, matrix in _by_dimension([a[i] for i in same]) if same else ():
-        places = [same[i] for i in at]
-        cosines = np.einsum("ij,ij->i", matrix, np.stack([b[i] for i in places]))
-        for i, c in zip(places, cosines.tolist(), strict=True):
-            out[i] = c
-    return pa.array(out, pa.float64())
+    out = np.full(len(left), np.nan)
+    same = pc.equal(pc.list_value_length(left), pc.list_value_length(right))
+    places = np.flatnonzero(same.to_numpy(zero_copy_only=False))
+    for (at, a), (_, b) in zip(_by_dimension(left.filter(same)), _by_dimension(right.filter(same)), strict=True):
+        out[places[at]] = np.einsum("ij,ij->i", a, b)
+    return pa.array(out, pa.float64(), from_pandas=True)
 
 
 def _angle(cosine: Column) -> Column:
@@ -178,7 +176,11 @@ def _clusters(classes: DataFrame, entries: DataFrame, cosine: float, crowd: int)
 
 @F.arrow_udf(T.ArrayType(T.DoubleType()))
 def _as_units(vectors: pa.Array) -> pa.Array:
-    return pa.array([v.tolist() for v in _units(vectors)], pa.list_(pa.float64()))
+    rows: list[np.ndarray | None] = [None] * len(vectors)
+    for at, matrix in _by_dimension(vectors):
+        for i, row in zip(at, matrix, strict=True):
+            rows[i] = row
+    return pa.array(rows, pa.list_(pa.float64()))
 
 
 def _blocks(members: DataFrame) -> DataFrame:
@@ -325,15 +327,19 @@ def _labelled(
     roots: DataFrame,
 ) -> DataFrame:
     zero = F.lit(0).cast("long")
-    rooted = clusters.select("cluster", "copies").join(by_cluster, "cluster", "left")
-    rooted = rooted.join(roots.select(F.col("node").alias("cluster"), "root"), "cluster", "left").select(
-        "cluster",
-        F.coalesce("root", "cluster").alias("root"),
-        (F.col("copies") - 1 + F.coalesce("outside", zero)).alias("links"),
+    firsts = members.groupBy("cluster").agg(F.min("first_id").alias("first_id"))
+    rooted = clusters.select("cluster", "copies").join(by_cluster, "cluster", "left").join(firsts, "cluster")
+    rooted = cut(
+        rooted.join(roots.select(F.col("node").alias("cluster"), "root"), "cluster", "left").select(
+            "cluster",
+            "first_id",
+            F.coalesce("root", "cluster").alias("root"),
+            (F.col("copies") - 1 + F.coalesce("outside", zero)).alias("links"),
+        )
     )
-    placed = cut(members.select("node", "cluster", "first_id").join(rooted, "cluster"))
-    firsts = placed.groupBy("root").agg(F.min("first_id").alias("component"))
-    placed = placed.join(firsts, "root").select("node", "links", "component")
+    by_root = rooted.groupBy("root").agg(F.min("first_id").alias("component"))
+    rooted = rooted.join(by_root, "root").select("cluster", "links", "component")
+    placed = members.select("node", "cluster").join(rooted, "cluster").select("node", "links", "component")
     if by_node is not None:
         placed = placed.join(by_node, "node", "left").withColumn("links", F.col("links") + F.coalesce("open_links", zero))
     placed = classes.select("node", "digest").join(placed, "node").select("digest", "links", "component")
