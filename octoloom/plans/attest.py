@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import orders, report, scoring, verdict
+from ..operators import fitting, orders, report, scoring, verdict
 from .imaging import patches_of_quads, render_quads
 
 #: How archives become images and patches in production.  Fixed values.
@@ -23,12 +23,16 @@ def judge_blobs(
     size: int = IMAGE["size"],
     step: int | None = IMAGE["step"],
     patch: int = PATCH,
-    scorer: str | Callable = "mean",
+    scorer: str | Callable | fitting.PatchModel = "mean",
 ) -> DataFrame:
-    """(image_name, class, probability) of every blob; all blobs are judged, in parallel."""
-    quads = render_quads(blobs, size, color_map, step=step)
-    scores = scoring.score(patches_of_quads(quads, size, patch, patch), patch, patch, scorer)
-    return verdict.infer_verdict(scores)
+    """(image_name, class, probability) of every blob; all blobs are judged, in parallel.
+
+    ``scorer`` is the name of a function, a function, or a fitted model.
+    """
+    quads = patches_of_quads(render_quads(blobs, size, color_map, step=step), size, patch, patch)
+    if isinstance(scorer, fitting.PatchModel):
+        return verdict.infer_verdict(fitting.score_patches(quads, scorer))
+    return verdict.infer_verdict(scoring.score(quads, patch, patch, scorer))
 
 
 def attest(

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
 from ..functions.bytes import CLASS_GREY, CLASS_RGB, byte_counts, byte_sum, chunk_colours, class_counts, entropy_curve, hex_colour
-from ..operators import colours, entropy, layout, orders, patches, sampling, spans, verdict
+from ..operators import colours, entropy, fitting, layout, orders, patches, sampling, spans, verdict
 from ..operators.report import bundles, object_rows
 from ..operators.scoring import sigmoid
 from ..sources import tars
@@ -303,6 +303,37 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _halves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings with a label by the sign of what their first three numbers make, and a fifth of them held out by their id's hash."""
+    first = [F.get("embedding", k).cast("double") for k in range(3)]
+    label = (first[0] + first[1] - first[2] > 0.1).cast("int")
+    held = F.crc32(F.col("vec_id").cast("string").cast("binary")) % 5 == 0
+    return _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("features"), label.alias("label"), held.alias("held_out"))
+
+
+@query
+def fitted_scores(spark, sf_dir):
+    """A scorer fitted to four fifths of the embeddings, and what it says of all of them."""
+    rows = _halves(spark, sf_dir)
+    model = fitting.PatchClassifier(validationIndicatorCol="held_out", positiveWeight=2.0).fit(rows)
+    scored = model.transform(rows)
+    return scored.select("vec_id", "label", "held_out", *[F.round(c, 4).alias(c) for c in ("p_benign", "p_malevolent")])
+
+
+@query
+def fitted_patches(spark, sf_dir):
+    """Patches of documents' images scored by a model fitted to half of the documents: does a patch show text beyond ASCII?"""
+    size = [F.lit(16).alias("width"), F.lit(16).alias("height")]
+    drawn = imaging.render_quads(_documents(spark, sf_dir), 16, ("class",), "zigzag", "square")
+    cut = patches.cut_patches(drawn.select(F.col("blob_id").alias("image_name"), *size, F.col("image").alias("data")), 8, 8)
+    langs = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("image_name"), (F.col("lang") != "en").cast("int").alias("label"))
+    held = F.crc32(F.col("image_name").cast("string").cast("binary")) % 2 == 0
+    rows = cut.join(langs, "image_name").select("image_name", "patch_id", "label", held.alias("held_out"), fitting.patch_features("patch").alias("features"))
+    model = fitting.PatchClassifier(validationIndicatorCol="held_out").fit(rows)
+    scored = model.transform(rows).select(F.col("image_name").alias("doc_id"), "patch_id", "label", "held_out", "p_benign", "p_malevolent")
+    return scored.select("doc_id", "patch_id", "label", "held_out", *[F.round(c, 4).alias(c) for c in ("p_benign", "p_malevolent")])
+
+
 @query
 def infer_verdict(spark, sf_dir):
     return verdict.infer_verdict(_scores(spark, sf_dir)).withColumn("probability", F.round("probability", 6))
