@@ -10,7 +10,9 @@ character by character within digits or letters, or modulo the domain for dates
 every pseudonym has the value's length, character classes and punctuation, is valid again (check
 digits are set anew; other rules are met by walking the permutation's cycle), and two values have
 one pseudonym only if they are equal.  Equal values in any documents stay linked, whatever their
-punctuation.  Documents are never shuffled.
+punctuation: a telephone number keeps its calling code and has the same rest with separators, without
+and, at home, without the code; a date keeps to the days that can be read as a month or to those that
+cannot, so it means one day in every writing.  Documents are never shuffled.
 
 All shapes are of bounded length, a mail address as mail itself bounds it, and a round's stream is
 hashed once, so the work grows with the text and not with its longest value.
@@ -34,6 +36,10 @@ FIRST_DAY, DAYS = "1900-01-01", 73_049
 DAY_HALVES = (270, 271)
 #: Steps of a cycle walk; a walk this long has a chance below 10^-20.
 WALK = 24
+#: The same for dates, two fifths of which are of the first days of a month.
+DAY_WALK = 96
+#: Up to this day of the month a date's day may be read as a month.
+MONTHS = 12
 
 _B, _E = "(?<![A-Za-z0-9])", "(?![A-Za-z0-9])"
 #: Letters and digits of any alphabet, with their marks.
@@ -99,6 +105,12 @@ NUMBER_START = rf"{_B}(?=[0-9A-Z(+])(?={_SHAPES})"
 _NUMBER_AHEAD = rf"(?s){NUMBER_START}(?=(.{{1,{WINDOW}}}))"
 
 
+#: Calling codes (ITU-T E.164), none of which begins another: those of one and two digits; all others have three.
+NATION = r"1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3}"
+#: The nation of telephone numbers without a code.
+HOME = "1"
+
+
 def _is(text: Column, shape: str) -> Column:
     return text.rlike(rf"^(?:{shape})\z")
 
@@ -183,10 +195,10 @@ def permute_number(value: Column, high: Column, low: Column, key: str, tweak: Co
     return F.aggregate(steps, start, turn, lambda s: s["left"] * low + s["right"])
 
 
-def _walk(value: Column, step: Callable[[Column], Column], valid: Callable[[Column], Column]) -> Column:
+def _walk(value: Column, step: Callable[[Column], Column], valid: Callable[[Column], Column], most: int = WALK) -> Column:
     """``step`` at least once and on until valid: a permutation of the valid values."""
     return F.aggregate(
-        F.sequence(F.lit(1), F.lit(WALK)), value, lambda v, i: F.when((i == 1) | ~valid(v), step(v)).otherwise(v)
+        F.sequence(F.lit(1), F.lit(most)), value, lambda v, i: F.when((i == 1) | ~valid(v), step(v)).otherwise(v)
     )
 
 
@@ -370,7 +382,8 @@ def pseudonym(text: Column, kind: Column, key: str) -> Column:
     number, account = digits(text), F.regexp_replace(text, " ", "")
     head, country = F.substring(number, 1, 1), F.substring(account, 1, 2)
     local, domain = F.substring_index(text, "@", 1), F.substring_index(text, "@", -1)
-    nation = F.when(text.startswith("+"), F.regexp_extract(text, r"^\+([0-9]{1,3})(?=[^0-9])", 1)).otherwise(F.lit(""))
+    abroad = text.startswith("+")
+    nation = F.when(abroad, F.regexp_extract(number, f"^(?:{NATION})", 0)).otherwise(F.lit(""))
     moving = (
         F.when(kind == "card", F.substr(number, F.lit(2), F.length(number) - 2))
         .when(kind == "email", local)
@@ -382,6 +395,7 @@ def pseudonym(text: Column, kind: Column, key: str) -> Column:
         F.when(kind == "card", F.concat_ws(":", F.lit("card"), head, F.length(number)))
         .when(kind == "email", F.concat(F.lit("email:"), F.lower(domain)))
         .when(kind == "iban", F.concat(F.lit("iban:"), country))
+        .when(kind == "phone", F.concat(F.lit("phone:"), F.when(abroad, nation).otherwise(HOME)))
         .otherwise(kind)
     )
     chars = _walk(moving, lambda v: permute_chars(v, key, tweak), lambda v: (kind != "ssn") | _ssn_valid(v))
@@ -400,11 +414,27 @@ def pseudonym(text: Column, kind: Column, key: str) -> Column:
     address = F.aggregate(_octets(text), F.lit(0).cast("long"), lambda s, x: s * 256 + x)
     value = F.when(dated, _day(text).cast("long")).otherwise(address)
     high, low = (F.when(dated, F.lit(d)).otherwise(F.lit(65_536)).cast("long") for d in DAY_HALVES)
-    moved = _walk(value, lambda v: permute_number(v, high, low, key, kind), lambda v: ~dated | (v < DAYS))
+
+    def date_of(v: Column) -> Column:
+        return F.date_add(F.lit(FIRST_DAY).cast("date"), F.pmod(v, F.lit(DAYS)).cast("int"))
+
+    def late(v: Column) -> Column:
+        return F.dayofmonth(date_of(v)) > MONTHS
+
+    # a day that cannot be a month stays one that cannot, so a date reads alike in the writing of its own
+    moved = _once(
+        F.struct(value.alias("value"), late(value).alias("late")),
+        lambda own: _walk(
+            own["value"],
+            lambda v: permute_number(v, high, low, key, kind),
+            lambda v: ~dated | ((v < DAYS) & (late(v) == own["late"])),
+            DAY_WALK,
+        ),
+    )
 
     def shown(v: Column) -> Column:
         ipv4 = F.concat_ws(".", *[F.pmod(F.shiftright(v, s), F.lit(256)).cast("string") for s in (24, 16, 8, 0)])
-        day = F.date_add(F.lit(FIRST_DAY).cast("date"), v.cast("int"))
+        day = date_of(v)
         plain = F.regexp_replace(text, "[/.]", "-")
         layout = (
             F.when(_is(text, ISO_DATE), F.date_format(day, "yyyyMMdd"))

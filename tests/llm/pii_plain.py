@@ -170,15 +170,15 @@ def pseudonym(kind, text, key):
             number = chars(number, key, kind)
         return refill(text, number)
     if kind == "phone":
-        nation = regex.match(r"\+([0-9]{1,3})(?=[^0-9])", text)
-        nation = nation[1] if nation else ""
-        return refill(text, nation + chars(number[len(nation) :], key, kind))
+        nation = regex.match(pii.NATION, number)[0] if text[0] == "+" else ""
+        return refill(text, nation + chars(number[len(nation) :], key, f"phone:{nation or pii.HOME}"))
     if kind == "ipv4":
         value = int.from_bytes(bytes(map(int, text.split("."))))
         return ".".join(map(str, number_of(value, 65_536, 65_536, key, kind).to_bytes(4)))
     day, layout = day_of(text)
+    late = (FIRST + datetime.timedelta(day)).day > 12
     day = number_of(day, *pii.DAY_HALVES, key, kind)
-    while day >= pii.DAYS:
+    while day >= pii.DAYS or ((FIRST + datetime.timedelta(day)).day > 12) != late:
         day = number_of(day, *pii.DAY_HALVES, key, kind)
     return refill(text, (FIRST + datetime.timedelta(day)).strftime(layout.replace("-", "")))
 

@@ -203,3 +203,40 @@ def test_letters_of_other_alphabets_are_permuted(spark):
         moved = two.select(pii.permute_chars(F.col("v"), KEY, F.lit("t")).alias("p")).collect()
         assert len({r["p"] for r in moved}) == size
         assert all(first <= ord(c) < first + size for r in moved for c in r["p"])
+
+
+def test_every_day_in_every_writing_has_a_pseudonym_of_its_own(spark):
+    """All days, written year first, day first and (where it can only be) month first; each text tells its day again."""
+    import datetime
+
+    days = [pii_plain.FIRST + datetime.timedelta(k) for k in range(pii.DAYS)]
+    written = [d.strftime(w) for d in days for w in ("%Y-%m-%d", "%d/%m/%Y", "%m/%d/%Y") if w[1] != "m" or d.day > 12]
+    names = [pii_plain.pseudonym("date", t, "k") for t in written]
+    assert len(set(written)) == len(set(names)) == len(written)
+    of = dict(zip(written, names, strict=True))
+    means = {t: pii_plain.day_of(t)[0] for t in names}
+    for d in days[::97]:
+        forms = [d.strftime("%Y-%m-%d"), d.strftime("%d/%m/%Y"), *([d.strftime("%m/%d/%Y")] if d.day > 12 else [])]
+        assert len({means[of[f]] for f in forms}) == 1
+    some = written[::41]
+    frame = spark.createDataFrame([(t,) for t in some], "t string")
+    got = [r[0] for r in frame.select(pii.pseudonym(F.col("t"), F.lit("date"), "k")).collect()]
+    assert got == [of[t] for t in some]
+
+
+def test_phones_are_linked_with_and_without_separators(spark):
+    same = [
+        ["+44 20 7183 8750", "+442071838750", "+44-20-7183-8750"],
+        ["212-555-0187", "+12125550187", "(212) 555-0187", "+1 212 555 0187", "212.555.0187"],
+        ["+49 30 901820", "+4930901820"],
+        ["+353 1 679 9700", "+35316799700"],
+    ]
+    frame = spark.createDataFrame([(g, t) for g, texts in enumerate(same) for t in texts], "g int, t string")
+    rows = frame.select("g", "t", pii.pseudonym(F.col("t"), F.lit("phone"), "k").alias("p")).collect()
+    codes = ["44", "1", "49", "353"]
+    for r in rows:
+        assert r["p"] == pii_plain.pseudonym("phone", r["t"], "k") and r["p"] != r["t"]
+        assert not r["t"].startswith("+") or pii_plain.only_digits(r["p"]).startswith(codes[r["g"]])
+    for g, code in enumerate(codes):
+        rest = {pii_plain.only_digits(r["p"])[len(code) if r["t"][0] == "+" else 0 :] for r in rows if r["g"] == g}
+        assert len(rest) == 1
