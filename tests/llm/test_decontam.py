@@ -57,3 +57,44 @@ def test_a_twentieth_of_the_words_contaminates(spark):
     got = {r["doc_id"]: r for r in decontam.report(docs, items).collect()}
     assert [got[k]["n_hit"] for k in (0, 1)] == [13, 13]
     assert [got[k]["contaminated"] for k in (0, 1)] == [True, False]
+
+
+def test_tables_of_a_full_block_are_small():
+    """8 MB of benchmark, random words of a vocabulary of 50,000: below 100 MB when loaded, and soon built."""
+    import pickle
+    import time
+    import tracemalloc
+
+    rng = random.Random(6)
+    vocabulary = [f"w{rng.randrange(10**6)}" for _ in range(50_000)]
+    items, held = [], 0
+    while held < decontam.BLOCK_BYTES:
+        text = " ".join(rng.choices(vocabulary, k=400)).encode()
+        items.append((f"i{len(items)}", text))
+        held += len(text)
+    began = time.process_time()
+    packed = pickle.dumps(decontam.build(items))
+    assert time.process_time() - began < 15
+    assert len(packed) < 100 << 20
+    tracemalloc.start()
+    searches = pickle.loads(packed)
+    assert tracemalloc.get_traced_memory()[0] < 100 << 20
+    tracemalloc.stop()
+    words = decontam.words_of(items[7][1])
+    spans, found = decontam.scan([b"x"] * 50 + words[3:40] + [b"y"], searches)
+    assert (spans, found) == ([[50, 87]], {"i7"})
+
+
+def test_an_item_that_repeats_itself_is_held_once():
+    searches = decontam.build([("a", b"x " * 5_000), ("b", b"x " * 13)])
+    assert len(searches[0].keys) == 2
+    assert decontam.scan([b"x"] * 14, searches) == ([[0, 14]], {"a", "b"})
+
+
+def test_one_token_of_a_megabyte(spark):
+    long = "z" * 1_000_000
+    docs = spark.createDataFrame([(1, long), (2, f"a {long} b")], "doc_id long, text string")
+    items = spark.createDataFrame([(5, long), (6, None), (7, "")], "item_id long, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in decontam.report(docs, items).collect()}
+    assert got == {1: (1, 1, 1), 2: (3, 1, 1)}
+    assert {r["n_hit"] for r in decontam.report(docs, items.limit(0)).collect()} == {0}
