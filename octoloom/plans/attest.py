@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import fitting, orders, report, scoring, verdict
+from ..sources.store import ResultStore
 from .imaging import patches_of_quads, render_quads
 
 #: How archives become images and patches in production.  Fixed values.
@@ -81,12 +82,9 @@ def attest(
     )
 
 
-def append_results(results: DataFrame, stored: DataFrame, path: str) -> None:
-    """Append to the Parquet store what it has not yet; running twice changes nothing."""
-    first = stored.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    new = orders.misses(results, stored)
-    # ids need to be distinct and to grow, not to be without gaps
-    new.withColumn("id", F.monotonically_increasing_id() + first + 1).write.mode("append").parquet(path)
+def append_results(results: DataFrame, store: ResultStore) -> int:
+    """Commit the results that the store has not yet, and the version that shows them; running twice changes nothing."""
+    return store.append(results)
 
 
 def listing(stored: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from octoloom.operators import orders, patches, report, scoring, verdict
 from octoloom.plans import attest
 from octoloom.sources import orders as order_source
+from octoloom.sources.store import ResultStore
 from octoloom.streaming import ingest
 
 @pytest.fixture
@@ -135,12 +136,10 @@ def test_attestation_end_to_end(spark, world, stamp, tmp_path):
         assert kinds.count("file") == kinds.count("observed-data") == kinds.count("grouping")
     assert labels["malevolent"].count("malware") == 1 and labels["malevolent"].count("file") == 2
     assert "malware" not in labels["benign"]
-    path = str(tmp_path / "store")
-    schema = "sa_hash string, created_at timestamp, stix_report string, application_area int, status string, id long"
-    spark.createDataFrame([], schema).write.parquet(path)
+    store = ResultStore(spark, str(tmp_path / "store"))
     for _ in range(2):
-        attest.append_results(results, spark.read.parquet(path), path)
-        kept = spark.read.parquet(path)
+        assert attest.append_results(results, store) == 1
+        kept = store.read()
         assert kept.count() == kept.select("id").distinct().count() == 3
     hits = orders.hits(requests.withColumn("sa_hash", orders.content_hash(F.col("body"))), kept)
     assert hits.count() == 4
