@@ -35,6 +35,10 @@ RANGE_BYTES = 64 << 10
 FANOUT = 16
 FILE_RECORDS = 1_000
 CRLF = "\r\n"
+#: Copies of a record, equal in everything, that stand in one file.
+RUN_COPIES = 1_000
+#: Compressed bytes behind the reader in which a damaged member is searched for the starts of others.
+BEHIND_BYTES = 16 << 20
 #: A header longer than this, or a record said to be longer, is not read as one.
 HEAD_BYTES = 1 << 20
 RECORD_BYTES = 1 << 30
@@ -86,15 +90,30 @@ def lay_out(
     """(page_id, file, offset, length, sha256, and what to ``keep``) of records as WARC files.
 
     Files take about ``file_records`` records each, by the hash of id, address and content; inside a
-    file, records stand in hash order.  The table is cut, since offsets must not move between uses;
-    contents move only if kept.  Null ids, addresses and bodies are empty text; repeated rows are
-    records of their own.  Replicas need one number of ``files``, which replaces ``file_records``.
+    file, records stand in hash order.  Records equal in everything are one row with a count until they are
+    placed: each run of ``RUN_COPIES`` of them has a hash, and so a file, of its own, and no file or task gets them
+    all.  The table is cut, since offsets must not move between uses; contents move only if kept.  Null ids,
+    addresses and bodies are empty text; repeated rows are records of their own; an empty table has no files.  Columns
+    other than those of ``warc_records`` and ``keep`` are not read.  Replicas need one number of ``files``, which
+    replaces ``file_records``.
     """
     files = files or file_count(records, file_records)
-    rows = records.select("page_id", "key", "length", "sha256", *keep)
+    known = records.groupBy("page_id", "key", "length", "sha256")
+    rows = known.agg(F.count("*").alias("_copies"), *[F.any_value(c).alias(c) for c in keep])
+    last = F.floor((F.col("_copies") - 1) / RUN_COPIES).cast("long")
+    rows = rows.withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    again = F.md5(F.concat_ws(":", "key", "_run").cast("binary"))
+    rows = rows.withColumns(
+        {
+            "key": F.when(F.col("_run") == 0, F.col("key")).otherwise(again),
+            "_copies": F.least(F.col("_copies") - F.col("_run") * RUN_COPIES, F.lit(RUN_COPIES).cast("long")),
+        }
+    )
     rows = rows.withColumn("file", F.conv(F.substring("key", 1, 8), 16, 10).cast("long") % files)
     before = Window.partitionBy("file").orderBy("key", "page_id").rowsBetween(Window.unboundedPreceding, -1)
-    offset = F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset")
+    rows = rows.withColumn("_first", F.coalesce(F.sum(F.col("length") * F.col("_copies")).over(before), F.lit(0)))
+    rows = rows.withColumn("_nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_copies") - 1)))
+    offset = (F.col("_first") + F.col("_nth") * F.col("length")).alias("offset")
     return cut(rows.select("page_id", "file", offset, "length", "sha256", *keep))
 
 
@@ -140,24 +159,47 @@ class _Window:
         return end if self.fill(end) and self.data[end - 4 : end] == b"\r\n\r\n" else 0
 
 
+_NEXT = b"\r\n\r\nWARC/"
+
+
 def parse_stream(pieces: Iterator[bytes]) -> Iterator[tuple[int, int, str, str | None]]:
     """(offset, length, SHA-256, id) of each record of a stream, which is held a record at a time.
 
     What has no readable header, or does not end where its length says, goes up to the next
-    ``WARC/`` after a blank line, or to the end of the stream.
+    ``WARC/`` after a blank line, or to the end of the stream; it is hashed as it passes and not held.
     """
     window, at = _Window(pieces), 0
     while window.fill(1):
         end = window.record_end()
-        if not end:
-            after = window.find(b"\r\n\r\nWARC/")
-            end = after + 4 if after >= 0 else len(window.data)
-        record = bytes(window.data[:end])
-        del window.data[:end]
-        yield at, end, sha256(record.removesuffix(b"\r\n\r\n")).hexdigest(), _id_in(record)
+        if end:
+            record = bytes(window.data[:end])
+            del window.data[:end]
+            yield at, end, sha256(record.removesuffix(b"\r\n\r\n")).hexdigest(), _id_in(record)
+        else:
+            end, digest, name = _passed_over(window)
+            yield at, end, digest, name
         at += end
 
 
+def _passed_over(window: _Window) -> tuple[int, str, str | None]:
+    """Length, SHA-256 and id of what stands at the front up to the next record; it is taken off."""
+    window.find(b"\r\n\r\n", HEAD_BYTES)
+    name = _id_in(bytes(window.data[:HEAD_BYTES]))
+    digest, size = sha256(), 0
+    while (found := window.data.find(_NEXT)) < 0:
+        # a mark, or the blank line that closes the stretch, may reach into what comes
+        done = max(0, len(window.data) - len(_NEXT) + 1)
+        digest.update(window.data[:done])
+        del window.data[:done]
+        size += done
+        if not window.fill(len(window.data) + 1):
+            break
+    end = found + 4 if found >= 0 else len(window.data)
+    digest.update(bytes(window.data[:end]).removesuffix(b"\r\n\r\n"))
+    del window.data[:end]
+    return size + end, digest.hexdigest(), name
+
+
 def parse_warc(data: bytes) -> Iterator[tuple[int, int, str]]:
     """(offset, length, SHA-256) of each record, as by ``parse_stream``."""
     for at, size, digest, _ in parse_stream(iter([data])):
@@ -168,50 +210,53 @@ def inflated(pieces: Iterator[bytes]) -> Iterator[bytes]:
     """The content of a stream's gzip members, in pieces of at most ``PIECE_BYTES``.
 
     A member that cannot be read gives what could be read of it, closed by a blank line; reading goes on
-    at the next start of a member after its own, so that later records are found.
+    at the next start of a member after its own, so that later records are found.  ``BEHIND_BYTES`` of what
+    has been read are held for that, so the start of a member that long is looked for in its last part only.
     """
-    held = bytearray()  # from the start of the member on
-    while held or (piece := next(pieces, b"")):
-        held = held or bytearray(piece)
-        member, used, sent, tail = zlib.decompressobj(31), 0, 0, b""
+    held, used = bytearray(), 0
+    while used < len(held) or (piece := next(pieces, b"")):
+        if used == len(held):
+            held, used = bytearray(piece), 0
+        del held[:used]  # now from the start of the member on
+        member, used, tail = zlib.decompressobj(31), 0, b""
+        before, given = member, b""
         try:
             while not member.eof:
                 if used == len(held):
                     if not (piece := next(pieces, b"")):
                         return
                     held += piece
-                given = bytes(held[used : used + PIECE_BYTES])
+                given, before = bytes(held[used : used + PIECE_BYTES]), member.copy()
                 out = member.decompress(given, PIECE_BYTES)
                 used += len(given) - len(member.unconsumed_tail) - len(member.unused_data)
+                if used > BEHIND_BYTES + PIECE_BYTES:
+                    del held[: used - BEHIND_BYTES]
+                    used = BEHIND_BYTES
                 if out:
-                    sent, tail = sent + len(out), (tail + out)[-4:]
+                    tail = (tail + out)[-4:]
                     yield out
-            del held[:used]
         except zlib.error:
-            for out in _before_damage(held, sent):
+            for out in _before_damage(before, given):
                 tail = (tail + out)[-4:]
                 yield out
             if tail and tail != b"\r\n\r\n":
                 yield b"\r\n\r\n"
-            del held[:1]
-            while (at := held.find(_GZIP)) < 0:
+            used = 1
+            while (at := held.find(_GZIP, used)) < 0:
                 if not (piece := next(pieces, b"")):
                     return
                 del held[: 1 - len(_GZIP)]
                 held += piece
-            del held[:at]
+                used = 0
+            used = at
 
 
-def _before_damage(held: bytearray, sent: int) -> Iterator[bytes]:
-    """What a damaged member still gives in small steps, beyond the ``sent`` bytes that it gave in large ones."""
-    member, seen = zlib.decompressobj(31), 0
+def _before_damage(member, given: bytes) -> Iterator[bytes]:
+    """What a member in the state before ``given`` still gives of it in small steps."""
     try:
-        for at in range(0, len(held), 64):
-            out = member.decompress(bytes(held[at : at + 64]))
-            seen += len(out)
-            if seen > sent and out:
-                yield out[-(seen - sent) :]
-                sent = seen
+        for at in range(0, len(given), 64):
+            if out := member.decompress(given[at : at + 64]):
+                yield out
     except zlib.error:
         return
 

@@ -76,8 +76,10 @@ def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     laid_out = fixity.lay_out(records, keep=("record_id",), files=files)
     copy = fixity.lay_out(fixity.damaged_records(records), keep=("record_id",), files=files)
     found = fixity.audit(laid_out, copy)
-    names = laid_out.select("page_id", "file", "offset", "sha256")
-    return found.join(names, ["file", "offset"]).select("page_id", "file", "offset", "length", "sha256", "status")
+    names = [side.select("page_id", "file", "offset", "sha256") for side in (laid_out, copy)]
+    new = F.col("status") == "extra"
+    named = found.where(~new).join(names[0], ["file", "offset"]).unionByName(found.where(new).join(names[1], ["file", "offset"]))
+    return named.select("page_id", "file", "offset", "length", "sha256", "status")
 
 
 def op10_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:

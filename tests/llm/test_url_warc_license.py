@@ -1,6 +1,7 @@
 """URL rules, Merkle audits and license scans against plain versions."""
 
 import gzip
+import random
 import re
 from hashlib import sha256
 
@@ -216,6 +217,58 @@ def test_unreadable_bytes_are_one_record(data):
     assert [at for at, _ in spans] == [sum(s for _, s in spans[:k]) for k in range(len(spans))]
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from([b"WARC/1.0", b"\r\n", b"\r\n\r\n", b"x", b"Content-Length: 2", b"ab"]), max_size=20), st.integers(1, 9))
+def test_what_is_passed_over_is_hashed_as_if_held(parts, piece):
+    data = b"".join(parts)
+    rows = list(fixity.parse_stream(data[k : k + piece] for k in range(0, len(data), piece)))
+    assert sum(r[1] for r in rows) == len(data)
+    for at, size, digest, _ in rows:
+        assert digest == sha256(data[at : at + size].removesuffix(b"\r\n\r\n")).hexdigest()
+    assert rows == list(fixity.parse_stream(iter([data])))
+
+
+@pytest.mark.parametrize("packed", [False, True])
+def test_junk_and_one_large_member_take_little_memory(packed):
+    """A gigabyte without a header, plain or as one gzip member: far below 200 MB."""
+    import tracemalloc
+    import zlib
+
+    block = bytes(random.Random(1).randbytes(1 << 16)) * 16
+
+    def plain():
+        for _ in range(1024 if not packed else 256):
+            yield block
+
+    def compressed():
+        held = zlib.compressobj(0, zlib.DEFLATED, 31)
+        for piece in plain():
+            yield held.compress(piece)
+        yield held.flush()
+
+    tracemalloc.start()
+    rows = list(fixity.parse_stream(fixity.inflated(compressed()) if packed else plain()))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [r[:2] for r in rows] == [(0, len(block) * (256 if packed else 1024))]
+    assert peak < 100 << 20
+
+
+def test_copies_are_spread_over_files(spark, monkeypatch):
+    """Half of the records equal in everything: no file gets more than a run of them, and both replicas agree."""
+    monkeypatch.setattr(fixity, "RUN_COPIES", 50)
+    rows = [(7, "http://x", "same")] * 2_000 + [(k, f"http://y/{k}", f"text {k}") for k in range(2_000)]
+    records = fixity.warc_records(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    laid_out = fixity.lay_out(records, 100)
+    assert laid_out.count() == 4_000
+    sizes = [r["count"] for r in laid_out.groupBy("file").count().collect()]
+    assert max(sizes) < 400
+    inside = laid_out.groupBy("file").agg(F.sum("length").alias("sum"), F.max(F.col("offset") + F.col("length")).alias("end"), F.countDistinct("offset").alias("n"), F.count("*").alias("m"))
+    assert inside.where("sum != end OR n != m").count() == 0
+    leaves = laid_out.select("file", "offset", "length", "sha256")
+    assert fixity.audit(leaves, leaves).count() == 0
+
+
 # ---- licenses
 
 
