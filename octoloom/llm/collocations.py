@@ -42,6 +42,9 @@ _BREAK = b"\xff"
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0xFF if chr(b) in ".,;:!?\n\x0b\x0c\r" else b for b in range(256))
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _BLOCK_BITS = 15
+#: Buckets whose counts a task holds before it hands them on, and rows that it hands on at once.
+HELD_BUCKETS = 1 << 20
+_ROWS = 1 << 16
 
 _COUNTS = "lang string, phrase string, bucket int, n long"
 _COUNTS_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
@@ -104,7 +107,7 @@ def count_slice(
     yield _exact(codes, at, size, spelled, _buckets(rolled[at], seed, bits))
     if size < longest:
         both = inside[:-1] & inside[1:]
-        found = _buckets(_longer(rolled, hashes[size:])[both], seed, bits)
+        found = _buckets(_longer(rolled, hashes[size:])[both], seed, bits).astype(np.int32)
         values, counts = np.unique(found, return_counts=True)
         if len(values):
             yield [None] * len(values), values, counts
@@ -144,6 +147,41 @@ def _slices(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
     yield from held.items()
 
 
+class BucketCounts:
+    """Counts by bucket of several slices, merged whenever ``HELD_BUCKETS`` have come together."""
+
+    def __init__(self) -> None:
+        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    def add(self, values: np.ndarray, counts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Takes counts in; gives them all out if they stay too many when merged."""
+        self.parts.append((values, counts))
+        self.held += len(values)
+        if self.held > HELD_BUCKETS:
+            values, counts = self.merged()
+            if len(values) > HELD_BUCKETS // 2:
+                yield values, counts
+            else:
+                self.parts, self.held = [(values, counts)], len(values)
+
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        values, at = np.unique(np.concatenate([v for v, _ in self.parts]), return_inverse=True)
+        counts = np.bincount(at, np.concatenate([c for _, c in self.parts])).astype(np.int64)
+        self.parts, self.held = [], 0
+        return values, counts
+
+
+def _rows(lang: str | None, phrases: list[str] | None, buckets: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for first in range(0, len(buckets), _ROWS):
+        part = slice(first, first + _ROWS)
+        n = len(buckets[part])
+        names = pa.array([lang] * n, pa.string())
+        spelled = pa.nulls(n, pa.string()) if phrases is None else pa.array(phrases[part], pa.string())
+        numbers = [pa.array(buckets[part].astype(np.int32)), pa.array(counts[part].astype(np.int64))]
+        yield pa.RecordBatch.from_arrays([names, spelled, *numbers], schema=_COUNTS_ARROW)
+
+
 def _pass(docs: DataFrame, size: int, longest: int, least: int, bits: int, maps: Broadcast | None) -> DataFrame:
     """A cut of frequent phrases of ``size`` words and full buckets of the next length (phrase null).
 
@@ -152,17 +190,19 @@ def _pass(docs: DataFrame, size: int, longest: int, least: int, bits: int, maps:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, full = maps.value if maps else (None, None)
+        held = BucketCounts()
         for batch in batches:
             for lang, texts in _slices(batch):
                 for phrases, buckets, counts in count_slice(texts, lang, size, longest, bits, frequent, full):
-                    exact = phrases[0] is not None
-                    names = pa.array([lang if exact else None] * len(phrases), pa.string())
-                    columns = [names, pa.array(phrases, pa.string()), buckets.astype(np.int32), counts.astype(np.int64)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=_COUNTS_ARROW)
-                    if exact and size == 1:
-                        yield pa.RecordBatch.from_pylist(
-                            [{"lang": lang, "phrase": "", "bucket": 0, "n": int(counts.sum())}], _COUNTS_ARROW
-                        )
+                    if phrases[0] is None:
+                        for more in held.add(buckets, counts):
+                            yield from _rows(None, None, *more)
+                        continue
+                    yield from _rows(lang, phrases, buckets, counts)
+                    if size == 1:
+                        yield from _rows(lang, [""], np.zeros(1), np.array([counts.sum()]))
+        if held.parts:
+            yield from _rows(None, None, *held.merged())
 
     counted = docs.mapInArrow(count, _COUNTS).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
     return cut(counted.where((F.col("n") >= least) | (F.col("phrase") == "")))

@@ -104,6 +104,22 @@ def test_buckets_of_the_next_length_bound_its_counts():
     assert not list(collocations.count_slice(texts, "en", 2, 4, bits, nothing, everything))
 
 
+def test_held_counts_are_handed_on_whole(monkeypatch):
+    monkeypatch.setattr(collocations, "HELD_BUCKETS", 10)
+    rng = np.random.default_rng(1)
+    for top in (4, 1_000):
+        held, expected, found = collocations.BucketCounts(), Counter(), Counter()
+        for _ in range(30):
+            values, counts = np.unique(rng.integers(0, top, 7).astype(np.int32), return_counts=True)
+            expected.update(dict(zip(values.tolist(), counts.tolist(), strict=True)))
+            for more in held.add(values, counts):
+                found.update(dict(zip(more[0].tolist(), more[1].tolist(), strict=True)))
+        if held.parts:
+            more = held.merged()
+            found.update(dict(zip(more[0].tolist(), more[1].tolist(), strict=True)))
+        assert found == expected
+
+
 def test_edges(spark):
     assert got(collocations.collocations(frame(spark, []))) == []
     assert got(collocations.collocations(frame(spark, [(None, "en"), ("", None)]))) == []
