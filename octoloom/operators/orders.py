@@ -19,12 +19,17 @@ def content_hash(body: Column) -> Column:
     return F.md5(F.btrim(body, F.lit(WHITE)).cast("binary"))
 
 
-def services(orders: DataFrame, kind: str = "compose") -> DataFrame:
-    """(order_id, sa_hash, container_name, image, tag) of orders (order_id, body)."""
+def parsed(orders: DataFrame, kind: str = "compose") -> DataFrame:
+    """(order_id, sa_hash, services, error) of orders (order_id, body), a row each; services are null where error is not."""
     listed = orders.select(
         "order_id", content_hash(F.col("body")).alias("sa_hash"), parse_services(kind)(F.col("body")).alias("_s")
     )
-    return listed.select("order_id", "sa_hash", F.inline("_s"))
+    return listed.select("order_id", "sa_hash", "_s.services", "_s.error")
+
+
+def services(orders: DataFrame, kind: str = "compose") -> DataFrame:
+    """(order_id, sa_hash, container_name, image, tag) of orders (order_id, body); none of those that cannot be read."""
+    return parsed(orders, kind).select("order_id", "sa_hash", F.inline("services"))
 
 
 def distinct_images(listed: DataFrame) -> DataFrame:

@@ -50,14 +50,16 @@ def attest(
     ``requests`` has order_id and body; ``archives`` has image, tag, path_to_tar, hash and data;
     ``stored`` has id, sa_hash and stix_report.  Orders whose hash is stored are left to
     ``orders.hits``.  Each image is drawn and scored once, however many services run it.  A service
-    without an archive makes its order ``failed``; the others are still reported.  An order without
-    services is benign.
+    without an archive makes its order ``failed``, and so does a body that is no order; the others are still
+    reported.  An order without services is benign.
     """
     if area not in AREAS:
         raise ValueError(f"unknown application area {area!r}; there are {sorted(AREAS)}")
     hashed = requests.withColumn("sa_hash", orders.content_hash(F.col("body")))
     new = orders.misses(hashed, stored)
-    listed = orders.services(new.select("order_id", "body"), kind)
+    read = orders.parsed(new.select("order_id", "body"), kind)
+    listed = read.select("order_id", "sa_hash", F.inline("services"))
+    wrong = read.where("error IS NOT NULL").select("order_id", F.lit(True).alias("_wrong"))
     wanted = archives.join(orders.distinct_images(listed), ["image", "tag"])
     name = F.concat_ws(":", "image", "tag")
     judged = judge_blobs(wanted.select(name.alias("blob_id"), "data"), scorer=AREAS[area], **imaging)
@@ -67,17 +69,18 @@ def attest(
         F.when(F.max((F.col("status") == "failed").cast("int")) == 1, "failed").otherwise("completed").alias("status")
     )
     known = services.where("status = 'completed'")
-    empty = new.select("order_id").join(listed.select("order_id"), "order_id", "left_anti")
+    empty = read.where("error IS NULL AND size(services) = 0").select("order_id")
     made = report.bundles(known, stamp, empty.unionByName(known.select("order_id")))
     return (
         new.join(made, "order_id", "left")
         .join(status, "order_id", "left")
+        .join(wrong, "order_id", "left")
         .select(
             "sa_hash",
             stamp.alias("created_at"),
             "stix_report",
             F.lit(area).alias("application_area"),
-            F.coalesce("status", F.lit("completed")).alias("status"),
+            F.when(F.col("_wrong"), "failed").otherwise(F.coalesce("status", F.lit("completed"))).alias("status"),
         )
     )
 

@@ -6,14 +6,14 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 _FIELDS = ["container_name", "image", "tag"]
-_KIND = pa.list_(pa.struct([(f, pa.string()) for f in _FIELDS]))
+_KIND = pa.struct([("services", pa.list_(pa.struct([(f, pa.string()) for f in _FIELDS]))), ("error", pa.string())])
 
 
 def load_yaml(body: str):
-    """The mapping of a YAML text.  PyYAML is needed only where an order is parsed."""
+    """The mapping of a YAML text, by libyaml where it is there.  PyYAML is needed only where an order is parsed."""
     import yaml
 
-    return yaml.safe_load(body)
+    return yaml.load(body, getattr(yaml, "CSafeLoader", yaml.SafeLoader))
 
 
 def compose_services(body: str | None) -> list[dict[str, str]]:
@@ -50,13 +50,23 @@ PARSERS = {"compose": compose_services, "chart": chart_services}
 
 
 def parse_services(kind: str):
-    """A column function from YAML texts to arrays of (container_name, image, tag)."""
+    """A column function from YAML texts to (services, error).
+
+    ``services`` is an array of (container_name, image, tag).  A text that is no such order has null
+    services and says why in ``error``; the texts beside it are parsed all the same.
+    """
     if kind not in PARSERS:
         raise NotImplementedError(f"no order format named {kind!r}; there are {sorted(PARSERS)}")
     parse = PARSERS[kind]
 
-    @F.arrow_udf("array<struct<container_name:string,image:string,tag:string>>")
+    def parsed(body: str | None) -> dict:
+        try:
+            return {"services": [{f: str(s[f]) for f in _FIELDS} for s in parse(body)], "error": None}
+        except Exception as e:  # noqa: BLE001  a request may be wrong in any way
+            return {"services": None, "error": f"{type(e).__name__}: {e}"[:1000]}
+
+    @F.arrow_udf("struct<services: array<struct<container_name:string,image:string,tag:string>>, error: string>")
     def services(bodies: pa.Array) -> pa.Array:
-        return pa.array([parse(b) for b in bodies.to_pylist()], _KIND)
+        return pa.array([parsed(b) for b in bodies.to_pylist()], _KIND)
 
     return services

@@ -93,6 +93,28 @@ def test_orders_are_parsed():
         order_source.parse_services("ini")
 
 
+def test_a_bad_order_fails_alone(spark, world, stamp):
+    archives, stored = world
+    bodies = {
+        "good": "services: {y: {image: postgres}}",
+        "port": 'services: {a: {image: "host:5000/a:1"}}',
+        "none": "services: {a: {build: .}}",
+        "yaml": "a: [1, {",
+        "list": "- a\n- b",
+        "text": "just words",
+        "empty": "x: 1",
+    }
+    requests = spark.createDataFrame(list(bodies.items()), "order_id string, body string")
+    read = {r["order_id"]: r for r in orders.parsed(requests).collect()}
+    assert {k for k, r in read.items() if r["error"]} == {"port", "none", "yaml", "list", "text"}
+    assert "more than one colon" in read["port"]["error"] and read["none"]["error"].startswith("KeyError")
+    assert orders.services(requests).count() == 1
+    hashed = {r["order_id"]: r["h"] for r in requests.select("order_id", orders.content_hash(F.col("body")).alias("h")).collect()}
+    made = {r["sa_hash"]: r for r in attest.attest(requests, archives, stored, stamp, **IMAGING).collect()}
+    assert {k for k, h in hashed.items() if made[h]["status"] == "completed"} == {"good", "empty"}
+    assert {k for k, h in hashed.items() if made[h]["stix_report"]} == {"good", "empty"}
+
+
 def test_requests_are_checked():
     assert attest.check_request(1, "application/x-yaml", b" a: 1 ") == "a: 1"
     for bad in ((0, "application/yaml", b"a"), (1, "text/html", b"a"), (1, "application/yaml", b" \n")):
