@@ -54,6 +54,80 @@ def hilbert(d: Column, size: int) -> Column:
     return F.aggregate(levels, start, unfold, lambda s: F.struct(s["x"].alias("x"), s["y"].alias("y")))
 
 
+def hilbert_index(x: Column, y: Column, size: int) -> Column:
+    """The position on Hilbert's curve of (x, y): ``hilbert`` undone, from the largest square down."""
+    sides = F.array([F.lit(1 << k) for k in range(_bits(size), -1, -1)])
+    start = F.struct(x.cast("int").alias("x"), y.cast("int").alias("y"), F.lit(0).cast("long").alias("d"))
+
+    def fold(s: Column, side: Column) -> Column:
+        across, up = (s["x"] >= side).cast("int"), (s["y"] >= side).cast("int")
+        x, y = s["x"] - side * across, s["y"] - side * up
+        flip = (up == 0) & (across == 1)
+        first, second = F.when(up == 0, y).otherwise(x), F.when(up == 0, x).otherwise(y)
+        return F.struct(
+            F.when(flip, side - 1 - first).otherwise(first).alias("x"),
+            F.when(flip, side - 1 - second).otherwise(second).alias("y"),
+            (s["d"] * 4 + across * 2 + up.bitwiseXOR(across)).alias("d"),
+        )
+
+    return F.aggregate(sides, start, fold, lambda s: s["d"])
+
+
+def _place(x: int, y: int, bits: int) -> int:
+    """The same of whole numbers."""
+    d = 0
+    for k in range(bits, -1, -1):
+        side = 1 << k
+        across, up = int(x >= side), int(y >= side)
+        x, y = x - side * across, y - side * up
+        if not up:
+            x, y = y, x
+            if across:
+                x, y = side - 1 - x, side - 1 - y
+        d = d * 4 + across * 2 + (up ^ across)
+    return d
+
+
+def window_ranges(name: str, size: int, x: int, y: int, width: int, height: int) -> list[tuple[int, int]]:
+    """The runs [first, last) of the curve that make up a window of the square, in order.
+
+    An aligned square of 2^k pixels a side is one run of a Hilbert curve, so a window is cut into the
+    largest of them: their number goes with its edge, not with its area.  Of a zigzag each column is a run.
+    """
+    check_size(size)
+    x0, y0, x1, y1 = max(x, 0), max(y, 0), min(x + width, size), min(y + height, size)
+    runs: list[tuple[int, int]] = []
+    if x0 >= x1 or y0 >= y1:
+        return runs
+    if name == "zigzag":
+        for column in range(x0, x1):
+            low, high = (size - y1, size - y0) if column % 2 else (y0, y1)
+            runs.append((column * size + low, column * size + high))
+    elif name == "hilbert":
+        bits = _bits(size)
+        squares = [(0, 0, bits)]
+        while squares:
+            left, top, k = squares.pop()
+            side = 1 << k
+            if left >= x1 or top >= y1 or left + side <= x0 or top + side <= y0:
+                continue
+            if x0 <= left and y0 <= top and left + side <= x1 and top + side <= y1:
+                first = _place(left, top, bits) >> 2 * k << 2 * k
+                runs.append((first, first + (1 << 2 * k)))
+            else:
+                half = side // 2
+                squares += [(left + a * half, top + b * half, k - 1) for a in (0, 1) for b in (0, 1)]
+    else:
+        raise NotImplementedError(f"no curve named {name!r}; there are {sorted(CURVES)}")
+    merged: list[tuple[int, int]] = []
+    for first, last in sorted(runs):
+        if merged and merged[-1][1] == first:
+            merged[-1] = (merged[-1][0], last)
+        else:
+            merged.append((first, last))
+    return merged
+
+
 #: Curves by name.
 CURVES = {"hilbert": hilbert, "zigzag": zigzag}
 

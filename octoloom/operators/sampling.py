@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.bytes import byte_at
 from ..functions.numbers import ceil_div, ceil_div_by, div
-from .layout import check_size, curve
+from .layout import check_size, curve, window_ranges
 
 LAYOUTS = ("square", "unrolled", "unrolled_n")
 DEFAULT_QUADS = 4
@@ -73,6 +73,11 @@ def strips(chunks: DataFrame, size: int, layout: str = "unrolled", step: int | N
     lie in one chunk, so it holds at most a chunk or a quad.  Pixels past the end of a blob have no
     strip.  A chunk reaches few quads: those whose range meets its own.
     """
+    return _picked(_met(chunks, size, layout, step), check_size(size) ** 2)
+
+
+def _met(chunks: DataFrame, size: int, layout: str, step: int | None) -> DataFrame:
+    """Which pixels (first_j, n_j) of which quads each chunk gives, before any byte is looked at."""
     _check_step(step)
     area = check_size(size) ** 2
     n, first, end = F.col("n_bytes"), F.col("byte_start"), F.col("byte_start") + F.octet_length("data")
@@ -92,8 +97,10 @@ def strips(chunks: DataFrame, size: int, layout: str = "unrolled", step: int | N
     first_j, end_j = (
         _first_at(F.col(c), F.col("start"), F.col("width"), area) for c in ("byte_start", "_end")
     )
-    met = met.select("*", first_j.alias("first_j"), (end_j - first_j).alias("n_j")).where("n_j > 0 AND start < n_bytes")
+    return met.select("*", first_j.alias("first_j"), (end_j - first_j).alias("n_j")).where("n_j > 0 AND start < n_bytes")
+
 
+def _picked(met: DataFrame, area: int) -> DataFrame:
     @F.arrow_udf("binary")
     def pick(data: pa.Array, at: pa.Array, a: pa.Array, w: pa.Array, j: pa.Array, k: pa.Array) -> pa.Array:
         out = []
@@ -150,6 +157,52 @@ def grid(blobs: DataFrame, size: int, layout: str = "unrolled", step: int | None
     return pixels.select("blob_id", "quad", "j", "byte_idx", b.alias("b"))
 
 
+def window(
+    blobs: DataFrame,
+    size: int,
+    x: int,
+    y: int,
+    width: int,
+    height: int,
+    curve_name: str = "hilbert",
+    layout: str = "unrolled",
+    step: int | None = None,
+) -> DataFrame:
+    """(blob_id, quad, j, x, y, byte_idx, b) of the pixels of a window of each image, where quads stand below each other.
+
+    The window is cut into runs of the curve, and of a blob only the bytes between a run's first and
+    last sample are taken; of chunks, only those that have samples of a run go on.  Pixels past the end of a
+    blob are left out.  ``blobs`` are whole blobs or chunks, as for ``grid``.
+    """
+    area = check_size(size) ** 2
+    runs = []
+    for quad in range(max(y, 0) // size, -(-(y + height) // size)):
+        runs += [(quad, a, b) for a, b in window_ranges(curve_name, size, x, y - quad * size, width, height)]
+    if "byte_start" in blobs.columns:
+        pieces = blobs.select("blob_id", "n_bytes", "byte_start", "data")
+    else:
+        n = F.octet_length("data").cast("long")
+        pieces = blobs.select("blob_id", n.alias("n_bytes"), F.lit(0).cast("long").alias("byte_start"), "data")
+    listed = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip("qab", run, strict=True)]) for run in runs])
+    if not runs:
+        listed = F.array().cast("array<struct<q:long,a:long,b:long>>")
+    met = _met(pieces, size, layout, step)
+    end = F.col("first_j") + F.col("n_j")
+    own = F.filter(listed, lambda r: (r["q"] == F.col("quad")) & (r["a"] < end) & (r["b"] > F.col("first_j")))
+    cut = met.withColumn("_run", F.explode(own))
+    first, last = F.greatest("_run.a", "first_j"), F.least(F.col("_run.b"), end)
+    at = [F.col("start") + div(j * F.col("width"), area) - F.col("byte_start") for j in (first, last - 1)]
+    part = F.substr("data", (at[0] + 1).cast("int"), (at[1] - at[0] + 1).cast("int"))
+    cut = cut.select("blob_id", "n_bytes", "quad", first.alias("first_j"), (last - first).alias("n_j"), "start", "width",
+                     (F.col("byte_start") + at[0]).alias("byte_start"), part.alias("data"))
+    found = _picked(cut, area)
+    each = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_j") - 1)).alias("_k"))
+    j = F.col("first_j") + F.col("_k")
+    index = F.col("start") + div(j * F.col("width"), area)
+    pixels = each.select("blob_id", "quad", j.alias("j"), index.alias("byte_idx"), byte_at(F.col("samples"), F.col("_k")).alias("b"))
+    return place(pixels, size, curve_name)
+
+
 def place(pixels: DataFrame, size: int, curve_name: str = "hilbert") -> DataFrame:
     """``pixels`` with x and y in the image, where quads stand one below the other."""
     at = curve(curve_name, F.col("j"), size)

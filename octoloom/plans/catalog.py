@@ -258,6 +258,28 @@ def entropy_contrast(spark, sf_dir):
     return docs.select(F.col("blob_id").alias("doc_id"), F.round(entropy_curve(h), 6).alias("contrast"))
 
 
+@query
+def hilbert_window(spark, sf_dir):
+    """A window of every document's image on a Hilbert curve, from the bytes of its runs alone."""
+    pixels = sampling.window(_documents(spark, sf_dir), 32, 8, 5, 13, 12, "hilbert", "square")
+    return pixels.select(F.col("blob_id").alias("doc_id"), "j", "x", "y", "byte_idx", "b")
+
+
+@query
+def hilbert_window_chunks(spark, sf_dir):
+    """A window over two quads of every page's image, from chunks."""
+    pixels = sampling.window(chunks(_pages(spark, sf_dir), 700), 16, 3, 10, 9, 14, "hilbert", "unrolled_n")
+    return pixels.select(F.col("blob_id").alias("page_id"), "quad", "j", "x", "y", "byte_idx", "b")
+
+
+@query
+def hilbert_inverse(spark, sf_dir):
+    """Customers as points of a square of 1,024 a side, by nation and balance, and where the curve passes them."""
+    x, y = F.col("c_custkey") % 1024, F.pmod(F.floor(F.col("c_acctbal")).cast("long"), F.lit(1024))
+    points = _table(spark, sf_dir, "customer").select("c_custkey", x.cast("int").alias("x"), y.cast("int").alias("y"))
+    return points.select("c_custkey", "x", "y", layout.hilbert_index(F.col("x"), F.col("y"), 1024).alias("d"))
+
+
 @query
 def render_quads(spark, sf_dir):
     """Images drawn quad by quad in Arrow batches; the SQL rebuilds each from sampled bytes."""

@@ -207,6 +207,36 @@ SELECT doc_id, round(greatest(pow(4 * (e / 2) - 4 * (e / 2) * (e / 2), 4), 0), 6
 FROM docs LEFT JOIN found USING (doc_id)
 """
 
+def _hilbert(size: int) -> str:
+    """Positions (d, x, y), unfolded a level at a time; to go first, after WITH RECURSIVE."""
+    levels = size.bit_length()
+    return f"""
+steps(d, k, x, y, rest) AS (
+  SELECT d, 0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), d FROM range({size * size}) AS t(d)
+  UNION ALL
+  SELECT d, k + 1, CASE WHEN up = 0 THEN fy ELSE fx END + side * across, CASE WHEN up = 0 THEN fx ELSE fy END + side * up, rest // 4
+  FROM (SELECT *, CASE WHEN up = 0 AND across = 1 THEN side - 1 - x ELSE x END AS fx,
+                  CASE WHEN up = 0 AND across = 1 THEN side - 1 - y ELSE y END AS fy
+        FROM (SELECT *, CAST(power(2, k) AS BIGINT) AS side, rest // 2 % 2 AS across, xor(rest % 2, rest // 2 % 2) AS up FROM steps WHERE k < {levels}))),
+curve AS (SELECT d, x, y FROM steps WHERE k = {levels})"""
+
+
+SQL["hilbert_window"] = f"""
+WITH RECURSIVE {_hilbert(32)}, {_square(32)}
+SELECT doc_id, j, CAST(x AS INT) AS x, CAST(y AS BIGINT) AS y, byte_idx, b FROM grid JOIN curve ON d = j
+WHERE x BETWEEN 8 AND 20 AND y BETWEEN 5 AND 16
+"""
+SQL["hilbert_window_chunks"] = f"""
+WITH RECURSIVE {_hilbert(16)}, {_grid(_PAGES, "page_id", 16, "(n + 255) // 256", "q * 256", "(q + 1) * 256")}
+SELECT page_id, quad, j, CAST(x AS INT) AS x, CAST(y + quad * 16 AS BIGINT) AS y, byte_idx, b FROM grid JOIN curve ON d = j
+WHERE b IS NOT NULL AND x BETWEEN 3 AND 11 AND y + quad * 16 BETWEEN 10 AND 23
+"""
+SQL["hilbert_inverse"] = f"""
+WITH RECURSIVE {_hilbert(1024)},
+points AS (SELECT c_custkey, c_custkey % 1024 AS x, (CAST(floor(c_acctbal) AS BIGINT) % 1024 + 1024) % 1024 AS y FROM customer)
+SELECT c_custkey, CAST(p.x AS INT) AS x, CAST(p.y AS INT) AS y, d FROM points p JOIN curve c ON c.x = p.x AND c.y = p.y
+"""
+
 SQL["render_quads"] = f"""
 WITH {_grid(_DOCS, "doc_id", 8, "4", "q * n // 4", "(q + 1) * n // 4")},
 coloured AS (

@@ -107,3 +107,24 @@ def test_chunks_join_to_the_blob(spark):
     assert b"".join(bytes(r["data"]) for r in rows if r["blob_id"] == "a") == data
     assert [r["byte_start"] for r in rows if r["blob_id"] == "a"] == [0, 256, 512, 768]
     assert [r["blob_id"] for r in rows] == ["a"] * 4 + ["c"]
+
+
+@pytest.mark.parametrize("size", [1, 2, 8, 32])
+def test_hilbert_index_undoes_the_curve(spark, size):
+    rows = layout.layout_table(spark, "hilbert", size)
+    back = rows.select("d", layout.hilbert_index(F.col("x"), F.col("y"), size).alias("back"))
+    assert back.where("d != back").count() == 0 and rows.count() == size * size
+
+
+@pytest.mark.parametrize("name", ["hilbert", "zigzag"])
+def test_windows_are_few_runs_of_the_curve(name):
+    size, at = 64, {}
+    for d, (x, y) in enumerate(layout.positions(name, 64).tolist()):
+        at[d] = (x, y)
+    for x, y, w, h in [(0, 0, 64, 64), (0, 0, 1, 1), (63, 63, 1, 1), (5, 7, 20, 31), (32, 0, 32, 32), (-4, -4, 9, 9), (60, 60, 9, 9), (9, 9, 0, 3), (70, 0, 3, 3)]:
+        runs = layout.window_ranges(name, size, x, y, w, h)
+        covered = [d for a, b in runs for d in range(a, b)]
+        assert covered == sorted(d for d, (p, q) in at.items() if x <= p < x + w and y <= q < y + h)
+        assert all(a[1] < b[0] for a, b in zip(runs, runs[1:], strict=False)) or name == "zigzag"
+    assert len(layout.window_ranges("hilbert", 1024, 256, 512, 256, 256)) == 1
+    assert len(layout.window_ranges("hilbert", 1024, 100, 100, 500, 500)) < 4 * 500
