@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,9 +116,12 @@ def planes(patch: pa.Array) -> pa.Array:
     return pa.array(rows, pa.list_(pa.float32()))
 
 
-def training_source(images: DataFrame, masks: DataFrame, patch_w: int, patch_h: int, seed: int) -> DataFrame:
-    """``training_patches`` in a seeded order over all images."""
-    return shuffled(training_patches(images, masks, patch_w, patch_h), seed)
+def training_source(
+    images: DataFrame, masks: DataFrame, patch_w: int, patch_h: int, seed: int, buffer: int | None = None
+) -> DataFrame:
+    """``training_patches`` in a seeded order: over all images, or through a ``buffer`` of so many rows in each task."""
+    cut = training_patches(images, masks, patch_w, patch_h)
+    return shuffled(cut, seed) if buffer is None else buffered(cut, seed, buffer)
 
 
 def validation_source(images: DataFrame, masks: DataFrame, patch_w: int, patch_h: int) -> DataFrame:
@@ -133,5 +139,42 @@ def shuffled(rows: DataFrame, seed: int) -> DataFrame:
     return rows.orderBy(F.rand(seed))
 
 
+def buffered(rows: DataFrame, seed: int, buffer: int = 1_000) -> DataFrame:
+    """Rows shuffled inside their partitions by a buffer, without an exchange; each row once.
+
+    A task holds ``buffer`` rows and as many that come: it mixes them, hands half of them on and holds the others, so a
+    row may wait for long but none moves forward by twice the buffer.  The order follows from the seed, the number
+    of the partition and the order in which its rows come, not from the size of batches.  Shards read in a seeded order
+    (``tars.read_shards`` with ``seed``) give the other level.
+    """
+    if buffer < 1:
+        raise ValueError("the buffer must hold a row at least")
+
+    def mix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        chance = np.random.default_rng([seed, TaskContext.get().partitionId()])
+        held, coming, n = None, [], 0
+
+        def turn(more: pa.Table, keep: int) -> tuple[pa.Table, pa.Table]:
+            both = more if held is None else pa.concat_tables([held, more])
+            order = chance.permutation(both.num_rows)
+            leave = max(0, both.num_rows - keep)
+            # taken, not sliced, so that what is held does not hold on to what has left
+            return both.take(order[:leave]), both.take(order[leave:])
+
+        for batch in batches:
+            coming.append(batch)
+            n += batch.num_rows
+            while n >= buffer:
+                table = pa.Table.from_batches(coming)
+                out, held = turn(table.slice(0, buffer), buffer)
+                coming, n = table.slice(buffer).to_batches(), n - buffer
+                yield from out.to_batches()
+        if coming or held is not None:
+            rest = pa.Table.from_batches(coming) if coming else held.slice(0, 0)
+            yield from turn(rest, 0)[0].to_batches()
+
+    return rows.mapInArrow(mix, rows.schema)
+
+
 def normalised(pixel: Column, mean: float, deviation: float) -> Column:
     return (pixel / 255 - mean) / deviation

@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import json
 import os
+import random
 import tarfile
 from collections.abc import Iterator
 
@@ -98,6 +99,7 @@ class ShardPartition(InputPartition):
 class ShardReader(DataSourceReader):
     def __init__(self, options: dict[str, str]):
         self.path, self.splits = options["path"], [options["split"]] if options.get("split") else []
+        self.seed = options.get("seed")
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Filters on the shard's file name choose shards before any is opened."""
@@ -112,6 +114,8 @@ class ShardReader(DataSourceReader):
 
     def partitions(self) -> list[ShardPartition]:
         found = [name for name, _ in find(self.path, ".tar")]
+        if self.seed is not None:
+            random.Random(self.seed).shuffle(found)
         return [ShardPartition(p) for p in found if all(s in os.path.basename(p) for s in self.splits)]
 
     def read(self, partition: ShardPartition | None) -> Iterator[tuple]:
@@ -148,14 +152,17 @@ class ShardSource(DataSource):
         return ShardReader(self.options)
 
 
-def read_shards(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
+def read_shards(spark: SparkSession, path: str, split: str | None = None, seed: int | None = None) -> DataFrame:
     """(shard, key, png, mask, name, label) of shards whose file name holds ``split``.
 
+    Shards are read in the order of their names or, with ``seed``, in an order that it gives.
     Filters on ``shard`` reach the source too; the session setting that lets them is turned on.
     """
     spark.dataSource.register(ShardSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     reader = spark.read.format("sample_shards")
+    if seed is not None:
+        reader = reader.option("seed", str(seed))
     return (reader.option("split", split) if split else reader).load(path)
 
 

@@ -199,6 +199,9 @@ def test_shards_by_split(spark, tmp_path):
     named = tars.read_shards(spark, str(tmp_path)).where("shard like '%test%'")
     assert named.count() == 4 and named.where("shard = 'test-1.tar'").count() == 2
     assert {(bytes(r["png"]), bytes(r["mask"]), r["label"]) for r in rows} == {(b"p", b"m", "benign")}
+    orders = {seed: [r["shard"] for r in tars.read_shards(spark, str(tmp_path), seed=seed).collect()] for seed in range(8)}
+    assert len({tuple(o) for o in orders.values()}) > 1 and all(sorted(o) == sorted(orders[0]) for o in orders.values())
+    assert orders[3] == [r["shard"] for r in tars.read_shards(spark, str(tmp_path), seed=3).collect()]
 
 
 def test_json_split_and_image_folder(spark, tmp_path):

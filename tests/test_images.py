@@ -52,6 +52,34 @@ def test_shuffle_is_seeded(spark):
     assert first == again != other and sorted(first) == list(range(50))
 
 
+@pytest.mark.parametrize("buffer", [1, 7, 100, 5_000])
+def test_buffered_shuffle(spark, buffer):
+    """Each row once, one order a seed whatever the batches, no exchange, and no row far ahead of its place."""
+    rows = spark.range(0, 1_003, 1, 3).selectExpr("id", "cast(id as string) AS text")
+
+    def order(seed):
+        return [r["id"] for r in patches.buffered(rows, seed, buffer).collect()]
+
+    first = order(1)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "13")
+    try:
+        again = order(1)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert first == again and sorted(first) == list(range(1_003))
+    if buffer > 1:
+        assert first != list(range(1_003)) and first != order(2)
+    third = 1_003 // 3
+    for part in range(3):
+        own = [i for i in first if part * third <= i < (part + 1) * third]
+        assert all(i - part * third - at < 2 * buffer for at, i in enumerate(own))
+    plan = patches.buffered(rows, 1, buffer)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    assert patches.buffered(rows.limit(0), 1, buffer).count() == 0
+    with pytest.raises(ValueError, match="buffer"):
+        patches.buffered(rows, 1, 0)
+
+
 def test_normalise(spark):
     from pyspark.sql import functions as F
 
@@ -66,7 +94,8 @@ def test_sources_of_patches_hold_the_same_patches(spark):
     again = [tuple(r) for r in patches.training_source(shown, masks, 2, 2, 7).collect()]
     valid = [tuple(r) for r in patches.validation_source(shown, masks, 2, 2).collect()]
     infer = [tuple(r) for r in patches.inference_source(shown, 2, 2).collect()]
-    assert sorted(train) == sorted(again) == sorted(valid) and len(valid) == 8
+    mixed = [tuple(r) for r in patches.training_source(shown, masks, 2, 2, 7, buffer=3).collect()]
+    assert sorted(train) == sorted(again) == sorted(valid) == sorted(mixed) and len(valid) == 8
     assert sorted(r[:3] for r in valid) == sorted(infer)
     planes = spark.createDataFrame([(bytes([1, 2, 3, 4, 5, 6]),), (b"",), (None,)], "p binary").select(patches.planes("p")).collect()
     assert [r[0] for r in planes] == [[1, 4, 2, 5, 3, 6], [], None]
