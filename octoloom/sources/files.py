@@ -60,3 +60,21 @@ def write_file(name: str, data: bytes, part: str) -> None:
     with system.open_output_stream(held) as file:
         file.write(data)
     system.move(held, inside)
+
+
+def open_new(name: str) -> NativeFile:
+    """A file open for writing from its start on."""
+    system, inside, _ = located(name)
+    return system.open_output_stream(inside)
+
+
+def move_file(name: str, to: str) -> None:
+    system, inside, _ = located(name)
+    system.move(inside, located(to)[1])
+
+
+def delete_folder(path: str) -> None:
+    """A folder and all in it; nothing where there is none."""
+    system, inside, _ = located(path)
+    if system.get_file_info(inside).type == fs.FileType.Directory:
+        system.delete_dir(inside)

@@ -25,6 +25,44 @@ def test_rendered_quads_can_be_written(spark, tmp_path):
     assert images.read_images(spark, str(tmp_path)).count() == 4
 
 
+def test_checksums_of_runs_are_combined():
+    import zlib
+
+    rng = np.random.default_rng(3)
+    for n, m in ((0, 0), (0, 5), (7, 0), (1, 1), (70_000, 66_000)):
+        a, b = rng.bytes(n), rng.bytes(m)
+        assert images.adler_of_both(zlib.adler32(a), zlib.adler32(b), m) == zlib.adler32(a + b)
+
+
+def test_images_written_by_quads_are_read_by_any_reader(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    shapes = {"one": 1, "five": 5, "sub/deep": 2}
+    rows = [(n, k, rng.integers(0, 256, 8 * 8 * 3, np.uint8).tobytes()) for n, count in shapes.items() for k in range(count)]
+    quads = spark.createDataFrame(rows, "image_name string, quad long, image binary").repartition(5)
+    images.write_quads(quads, 8, str(tmp_path))
+    got = {r["path"].split(str(tmp_path) + "/")[1]: r for r in images.read_images(spark, str(tmp_path)).collect()}
+    assert set(got) == {f"{n}.png" for n in shapes}
+    for name, count in shapes.items():
+        r = got[f"{name}.png"]
+        assert (r["width"], r["height"]) == (8, 8 * count)
+        assert bytes(r["data"]) == b"".join(d for n, _, d in rows if n == name)
+    assert not list(tmp_path.glob(".staged*"))
+    images.write_quads(quads.limit(0), 8, str(tmp_path / "none"))
+    assert list((tmp_path / "none").iterdir()) == []
+
+
+def test_a_failed_write_leaves_no_file(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    good = [(f"i{k}", 0, bytes(192)) for k in range(4)]
+    quads = spark.createDataFrame([*good, ("bad", 0, bytes(192)), ("bad", 1, bytes(5))], "image_name string, quad long, image binary")
+    with pytest.raises(Exception, match="reshape"):
+        images.write_quads(quads, 8, str(tmp_path))
+    assert not [p for p in tmp_path.rglob("*") if p.is_file()]
+    images.write_quads(quads.where(F.col("image_name") != "bad"), 8, str(tmp_path))
+    assert sorted(p.name for p in tmp_path.glob("*.png")) == [f"i{k}.png" for k in range(4)]
+
+
 def test_training_patches(spark):
     plain, mark = bytes(4 * 4 * 3), np.zeros((4, 4, 3), np.uint8)
     mark[3, 0] = 255
