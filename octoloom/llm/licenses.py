@@ -8,15 +8,18 @@ confirmed by their exact wording: the words of the template missing from the blo
 of the block put between them, must stay within a tenth of the template, and the words that tell
 licenses apart (names, versions, Lesser, NonCommercial and such) must be the same.  Where confirmed
 places of different licenses overlap, the one with the most words counts.  SPDX identifiers are read
-as they stand.
+as they stand, and so are fields such as ``license: MIT``.
 
-Blocks are as long as a template, however long the text; texts are read whole.
+Blocks are as long as a template, however long the text; texts are read whole.  A template is laid only
+where its telling words stand, and one of so many of its longest words that they cannot all be missing: what is left
+out so could not have been confirmed.  Equal blocks are compressed once.
 Documents are scored where they lie; nothing is shuffled.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -191,8 +194,20 @@ _NAMES = re.compile(
     r"lesser|affero|gnu|apache|mozilla|mit|bsd|isc|\d-clause|artistic|boost|cc0|eclipse|european|ncsa|sil|postgresql|zlib|.*(?:non-?commercial|share-?alike|no-?deriv).*"
 )
 _VERSION = re.compile(r"(?:[a-z]*-|v)?(\d+(?:\.\d+)+)|v(\d+)")
-#: Where one of the two words before a notice is such, it says what does not hold.
+#: Where one of the words before a notice, in its clause, is such, it says what does not hold.
 _DENIED = {"not", "never", "nor", "longer", "isn", "cannot"}
+_DENIED_WITHIN = 3
+#: These deny from further off, but not across a comma.
+_NONE = {"no", "none", "neither", "nothing"}
+_NONE_WITHIN = 6
+_SENTENCE = re.compile(r"[.!?;:]\s|\n\s*\n|\bbut\b")
+_COMMA = re.compile(r",\s")
+#: What may stand for "licensed" before "under".
+_VERBS = {"released", "distributed", "available", "published", "provided", "offered", "issued"}
+#: Names that may stand after "under" without an article.
+_SHORT = {"mit", "apache", "isc", "zlib"}
+#: How far on "or" may stand after "either".
+_EITHER_WORDS = 14
 #: What follows a license's words where they are only the first part of another's.
 _GOES_ON = {"BSD-2-Clause": re.compile(r"\b(?:neither|advertising)\b")}
 _GOES_ON_WORDS = 12
@@ -207,6 +222,10 @@ _KNOWN_IDS = {
     )
 }
 
+_FIELD = re.compile(
+    rf"(?m)(?i:\blicen[cs]e)[\"']?[ \t]*[:=][ \t]*[\"']?({_SPDX_ID}(?:\s+(?:OR|AND|WITH|or|and|with)\s+{_SPDX_ID})*)[\"']?[ \t]*(?=[.,;)}}\]]?\s*$|[,;)}}\]])"
+)
+
 _MARK = re.compile(MARK)
 _WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 
@@ -215,18 +234,61 @@ def normal_words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def telling(words: list[str]) -> list[str]:
-    """The words that tell licenses apart, in order; 3, 3.0 and v3 are one version."""
-    out = []
+def _telling(words: list[str]) -> Iterator[tuple[int, str]]:
     for i, word in enumerate(words):
         version = _VERSION.fullmatch(word)
         if version:
-            out.append(re.sub(r"(?:\.0)+$", "", version[1] or version[2]))
+            yield i, re.sub(r"(?:\.0)+$", "", version[1] or version[2])
         elif word.isdigit() and i and words[i - 1] in ("version", "v"):
-            out.append(word)
+            yield i, word
         elif _NAMES.fullmatch(word) or (word == "library" and words[i + 1 : i + 2] == ["general"]):
-            out.append(word)
-    return out
+            yield i, word
+
+
+def telling(words: list[str]) -> list[str]:
+    """The words that tell licenses apart, in order; 3, 3.0 and v3 are one version."""
+    return [word for _, word in _telling(words)]
+
+
+def _as_notices(words: list[str]) -> Iterator[tuple[str, int]]:
+    """(word, index of the word that it comes from)."""
+    last: tuple[str, ...] = ("", "")
+    either, article = 0, False
+    for i, word in enumerate(words):
+        if word in _VERBS and words[i + 1 : i + 2] == ["under"]:
+            word = "licensed"
+        opened = last == ("licensed", "under")
+        if opened and word == "either":
+            either, article = _EITHER_WORDS, True
+            continue
+        if either and article and word == "of":
+            continue
+        if either and word == "or":
+            yield "licensed", i
+            yield "under", i
+            last, either, article = ("licensed", "under"), 0, True
+            continue
+        if (article or (opened and word in _SHORT)) and word != "the":
+            yield "the", i
+        article, either = False, max(0, either - 1)
+        yield word, i
+        last = (last[1], word)
+
+
+def as_notices(words: list[str]) -> list[str]:
+    """Words with one way to say "licensed under the", and "under either of A or B" said twice."""
+    return [word for word, _ in _as_notices(words)]
+
+
+def fields(text: str) -> set[str]:
+    """The licenses of fields, such as ``license: MIT`` or ``"license": "Apache-2.0"``; only what is an identifier."""
+    names = set()
+    for line in _FIELD.finditer(text):
+        parts = re.findall(r"[A-Za-z0-9][A-Za-z0-9.+-]*", line[1])
+        known = [_KNOWN_IDS.get(re.sub(r"(?i)(?:-only|-or-later|\+)$", "", p.rstrip(".-")).lower()) for p in parts if p.lower() not in ("or", "and")]
+        if all(known):
+            names.update(known)
+    return names
 
 
 def spdx_names(text: str) -> set[str]:
@@ -258,7 +320,7 @@ class Found:
 
 class Template:
     def __init__(self, name: str, text: str):
-        self.name, self.words = name, normal_words(text)
+        self.name, self.words = name, as_notices(normal_words(text))
         self.body = " ".join(self.words).encode()
         self.slack = int(len(self.words) * MOST_CHANGED)
         self.marks = [(stem[0], k) for k, w in enumerate(self.words) if (stem := _MARK.search(w))]
@@ -267,6 +329,9 @@ class Template:
         dictionary = zstandard.ZstdCompressionDict(self.body, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
         self.with_dict = zstandard.ZstdCompressor(level=LEVEL, dict_data=dictionary, write_content_size=False, write_dict_id=False)
         self.telling = telling(self.words)
+        # if none of these stands in a block, more words are missing than may be
+        self.distinct = set(self.words)
+        self.needed = sorted(self.distinct, key=lambda w: (bool(_MARK.search(w)), -len(w), w))[: self.slack + 1]
         self.own = max(1, _plain(self.body) - len(self.with_dict.compress(self.body)))
 
     def gain(self, block: bytes, plain: int) -> float:
@@ -297,37 +362,36 @@ class Scanner:
         """The confirmed licenses of a text, one each with its closest wording, by name."""
         if not text or not re.search(ANCHOR, text):
             return []
-        words = normal_words(text)
+        page = Page(text)
+        laid = {stem: [x for x in of_stem if page.may_hold(x[0])] for stem, of_stem in self.by_mark.items()}
         places: dict[tuple[int, int, str], Found] = {}
-        for at, word in enumerate(words):
+        for at, word in enumerate(page.words):
             stem = _MARK.search(word)
-            for first, end, found in self._confirmed(words, at, self.by_mark.get(stem[0], ())) if stem else ():
+            for first, end, found in self._confirmed(page, at, laid.get(stem[0], ())) if stem else ():
                 old = places.get((first, end, found.license))
                 if old is None or _order(found) < _order(old):
                     places[first, end, found.license] = found
-        best = {name: Found(name, 1.0, 0, 0) for name in spdx_names(text)}
+        best = {name: Found(name, 1.0, 0, 0) for name in spdx_names(text) | fields(text)}
         for found in _winners(places):
             if found.license not in best or _order(found) < _order(best[found.license]):
                 best[found.license] = found
         return sorted(best.values(), key=lambda f: f.license)
 
-    def _confirmed(
-        self, words: list[str], at: int, laid: list[tuple[Template, int]]
-    ) -> Iterator[tuple[int, int, Found]]:
-        ranked = []
+    def _confirmed(self, page: Page, at: int, laid: list[tuple[Template, int]]) -> Iterator[tuple[int, int, Found]]:
+        words, ranked = page.words, []
         for k, (template, place) in enumerate(laid):
             first = max(0, at - place - template.slack)
-            block = words[first : max(0, at - place + len(template.words) + template.slack)]
-            body = " ".join(block).encode()
-            ranked.append((template.gain(body, _plain(body)), -k, first, block))
+            last = max(0, at - place + len(template.words) + template.slack)
+            if page.may_hold(template, first, last):
+                ranked.append((page.gain(template, first, last), -k, first, words[first:last]))
         for gain, k, start, block in sorted(ranked, reverse=True):
             if gain < LEAST_GAIN:
                 return
             template = laid[-k][0]
-            missing, added, first, end = template.differences(block)
+            missing, added, first, end = page.differences(template, block)
             if missing + added > len(template.words) * MOST_CHANGED or telling(block[first:end]) != template.telling:
                 continue
-            if _DENIED.intersection(words[max(0, start + first - 2) : start + first]):
+            if page.denied(start + first):
                 continue
             goes_on = _GOES_ON.get(template.name)
             if goes_on and goes_on.search(" ".join(words[start + end : start + end + _GOES_ON_WORDS])):
@@ -335,6 +399,72 @@ class Scanner:
             yield start + first, start + end, Found(template.name, round(gain, 4), missing, added)
 
 
+class Page:
+    """A text's words, where each stands, and what has been found of equal blocks."""
+
+    HELD = 20_000
+
+    def __init__(self, text: str):
+        text = text.lower()
+        found = list(_WORD.finditer(text))
+        pairs = list(_as_notices([m[0] for m in found]))
+        self.words = [word for word, _ in pairs]
+        places = [found[i].start() for _, i in pairs]
+        # words before which a sentence, or what follows a comma, begins
+        self.opens, self.parts = (
+            {bisect_left(places, m.end()) for m in mark.finditer(text)} | {0} for mark in (_SENTENCE, _COMMA)
+        )
+        self.where: dict[str, list[int]] = {}
+        for i, word in enumerate(self.words):
+            self.where.setdefault(word, []).append(i)
+        self.told: dict[str, list[int]] = {}
+        for i, word in _telling(self.words):
+            self.told.setdefault(word, []).append(i)
+        self.gains: dict[tuple[int, bytes], float] = {}
+        self.compared: dict[tuple[int, bytes], tuple[int, int, int, int]] = {}
+
+    def may_hold(self, template: Template, first: int = 0, last: int | None = None) -> bool:
+        """False where the words in [first, last) cannot be confirmed as the template."""
+        if last is None:
+            last = len(self.words)
+            if sum(w in self.where for w in template.distinct) < len(template.distinct) - template.slack:
+                return False
+
+        def stands(places: list[int] | None) -> bool:
+            k = bisect_left(places, first) if places else 0
+            return bool(places) and k < len(places) and places[k] < last
+
+        return all(stands(self.told.get(w)) for w in set(template.telling)) and any(stands(self.where.get(w)) for w in template.needed)
+
+    def gain(self, template: Template, first: int, last: int) -> float:
+        body = " ".join(self.words[first:last]).encode()
+        key = (id(template), body)
+        if key not in self.gains:
+            if len(self.gains) >= self.HELD:
+                self.gains.clear()
+            self.gains[key] = template.gain(body, _plain(body))
+        return self.gains[key]
+
+    def differences(self, template: Template, block: list[str]) -> tuple[int, int, int, int]:
+        key = (id(template), " ".join(block).encode())
+        if key not in self.compared:
+            if len(self.compared) >= self.HELD:
+                self.compared.clear()
+            self.compared[key] = template.differences(block)
+        return self.compared[key]
+
+    def denied(self, first: int) -> bool:
+        """Whether the words before the one that a notice begins with say that it does not hold."""
+        within, whole = 0, True
+        while first - within not in self.opens and within < _NONE_WITHIN:
+            whole = whole and first - within not in self.parts
+            within += 1
+            word = self.words[first - within]
+            if (word in _DENIED and within <= _DENIED_WITHIN) or (word in _NONE and whole):
+                return True
+        return False
+
+
 def _order(found: Found) -> tuple[int, float]:
     return found.missing + found.added, -found.gain
 

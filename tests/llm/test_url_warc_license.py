@@ -392,3 +392,81 @@ def test_a_hundred_thousand_rules(spark, small):
     got = {r["page_id"]: tuple(r) for r in urlfilter.judge(both, many).collect()}
     assert {k: v for k, v in got.items() if k < 10_000} == {r["page_id"]: tuple(r) for r in urlfilter.judge(pages).collect()}
     assert all(v[4] == "block" for k, v in got.items() if k >= 10_000) and len(got) == both.count()
+
+
+#: Notices as they are written in the wild, and what they say.
+WILD = {
+    "Distributed under the Boost Software License, Version 1.0.": ["BSL-1.0"],
+    "Available under the MIT License.": ["MIT"],
+    "Published under the Apache License, Version 2.0.": ["Apache-2.0"],
+    "Provided under the ISC License.": ["ISC"],
+    "Offered under the BSD 3-Clause License.": ["BSD-3-Clause"],
+    "Issued under the BSD 2-Clause License.": ["BSD-2-Clause"],
+    "Released under the MIT License.": ["MIT"],
+    "Licensed under MIT license": ["MIT"],
+    "licensed under Apache License, Version 2.0": ["Apache-2.0"],
+    "Licensed under either of Apache License, Version 2.0 or MIT license": ["Apache-2.0", "MIT"],
+    "Licensed under either of the Apache License, Version 2.0 or the MIT license at your option.": ["Apache-2.0", "MIT"],
+    "License: MIT": ["MIT"],
+    "license = \"MIT\"": ["MIT"],
+    "\"license\": \"Apache-2.0\",": ["Apache-2.0"],
+    "License: GPL-2.0-or-later\nVersion: 3": ["GPL-2.0"],
+    "license: (MIT OR Apache-2.0)": ["Apache-2.0", "MIT"],
+    "licence: ISC": ["ISC"],
+    "License: see the file": [],
+    "License: MIT is one of many": [],
+    "license: proprietary": [],
+    "No part is licensed under the MIT License.": [],
+    "None of this is licensed under the MIT License.": [],
+    "Nothing here is released under the ISC License.": [],
+    "This is not, however, licensed under the MIT License.": [],
+    "It was never licensed under the MIT License.": [],
+    "There is no warranty. Licensed under the MIT License.": ["MIT"],
+    "There is no warranty; licensed under the MIT License.": ["MIT"],
+    "There is no fee, and it is licensed under the MIT License.": ["MIT"],
+    "It is not free but licensed under the MIT License.": ["MIT"],
+    "Why not?\n\nLicensed under the MIT License.": ["MIT"],
+    " * Licensed under the Apache License, Version 2.0\n * by us.": ["Apache-2.0"],
+    "/* SPDX-License-Identifier: MPL-2.0 */": ["MPL-2.0"],
+    "This work is licensed under CC BY 4.0.": ["CC-BY-4.0"],
+    "Distributed under the Eclipse Public License, version 2.0.": ["EPL-2.0"],
+    "Distributed under the Mozilla Public License, version 1.1.": ["MPL-1.1"],
+    "Distributed under the GNU General Public License, version 3.": ["GPL-3.0"],
+    "Distributed under the GNU General Public License, version 1.": [],
+    "Everything under the sun is licensed.": [],
+    "Distributed under the counter.": [],
+    "You may either license it or not.": [],
+}
+
+
+@pytest.mark.parametrize("notice", WILD)
+def test_notices_in_the_wild(scanner, notice):
+    for text in (notice, f"Some words before.\n{notice}\nAnd some after."):
+        assert [f.license for f in scanner.scan(text)] == WILD[notice], text
+
+
+def test_a_megabyte_of_marks_is_soon_scanned(scanner):
+    import time
+
+    words = ["license", "copyright", "reserved", "permission", "warranty", "redistribution", "domain", "mit", "apache"]
+    rng = random.Random(3)
+    for text in ("license " * 125_000, " ".join(rng.choices(words, k=110_000))):
+        began = time.process_time()
+        assert not scanner.scan(text)
+        assert time.process_time() - began < 10
+
+
+def test_what_is_left_out_could_not_have_been_confirmed(scanner):
+    """Templates are laid everywhere once, without the cheap look, on texts with words taken out and put in."""
+    rng = random.Random(4)
+    for name, text in licenses.TEMPLATES:
+        words = text.split()
+        for _ in range(3):
+            changed = [w for w in words if rng.random() > 0.06] + ["end"]
+            page = " ".join(["before", *changed])
+            held, licenses.Page.may_hold = licenses.Page.may_hold, lambda *a: True
+            try:
+                plain = scanner.scan(page)
+            finally:
+                licenses.Page.may_hold = held
+            assert scanner.scan(page) == plain, name
