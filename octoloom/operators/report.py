@@ -25,20 +25,27 @@ MALWARE_LABELS = ("docker", "machine learning detection")
 _STAMP = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 
 
-def stix_id(kind: str, *parts: Column) -> Column:
-    """``kind--uuid`` that depends on the parts alone, in the form of a version 5 UUID."""
-    h = F.sha1(F.concat_ws("\x1f", F.lit(kind), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
+def _digest(kind: str, *parts: Column) -> Column:
+    return F.sha1(F.concat_ws("\x1f", F.lit(kind), *[F.coalesce(p.cast("string"), F.lit("")) for p in parts]).cast("binary"))
+
+
+def _name(kind: str, h: Column) -> Column:
     variant = F.element_at(F.array([F.lit(v) for v in "89ab"]), (F.conv(F.substring(h, 17, 1), 16, 10).cast("int") % 4 + 1))
     pieces = [F.substring(h, 1, 8), F.substring(h, 9, 4), F.concat(F.lit("5"), F.substring(h, 14, 3))]
     pieces += [F.concat(variant, F.substring(h, 18, 3)), F.substring(h, 21, 12)]
     return F.concat(F.lit(f"{kind}--"), F.concat_ws("-", *pieces))
 
 
+def stix_id(kind: str, *parts: Column) -> Column:
+    """``kind--uuid`` that depends on the parts alone, in the form of a version 5 UUID."""
+    return F.get(F.transform(F.array(_digest(kind, *parts)), lambda h: _name(kind, h)), F.lit(0))
+
+
 def _object(kind: str, identity: Column, stamp: Column, **fields: Column) -> Column:
-    """One STIX object as a map of JSON texts."""
+    """One STIX object as a JSON text; ``stamp`` is its time as text."""
     known = {"type": F.lit(kind), "spec_version": F.lit("2.1"), "id": identity}
     if kind != "file":
-        known |= {"created": F.date_format(stamp, _STAMP), "modified": F.date_format(stamp, _STAMP)}
+        known |= {"created": stamp, "modified": stamp}
     return F.to_json(F.struct(*[c.alias(n) for n, c in (known | fields).items()]))
 
 
@@ -61,8 +68,12 @@ def service_objects(judged: DataFrame, stamp: Column) -> DataFrame:
     """
     bad = F.coalesce((F.col("class") == "malevolent") & (F.col("probability") > MALWARE_FROM), F.lit(False))
     key = [F.col(c) for c in ("order_id", "container_name", "image", "tag")]
-    file_id, seen_id = stix_id("file", *key), stix_id("observed-data", *key)
-    malware_id, group_id = stix_id("malware", *key), stix_id("grouping", *key)
+    kinds = ("file", "observed-data", "malware", "grouping")
+    # columns of their own, so that objects which name each other do not hash anew
+    named = judged.withColumns({f"_h {kind}": _digest(kind, *key) for kind in kinds})
+    named = named.withColumns({f"_id {kind}": _name(kind, F.col(f"_h {kind}")) for kind in kinds} | {"_at": F.date_format(stamp, _STAMP)})
+    file_id, seen_id, malware_id, group_id = (F.col(f"_id {kind}") for kind in kinds)
+    stamp = F.col("_at")
     container = _extension(
         CONTAINER_EXT,
         x_image_name=F.col("image"),
@@ -75,8 +86,8 @@ def service_objects(judged: DataFrame, stamp: Column) -> DataFrame:
         "observed-data",
         seen_id,
         stamp,
-        first_observed=F.date_format(stamp, _STAMP),
-        last_observed=F.date_format(stamp, _STAMP),
+        first_observed=stamp,
+        last_observed=stamp,
         number_observed=F.lit(1),
         object_refs=F.array(file_id),
         extensions=_extension(CLASSIFICATION_EXT, x_class=F.col("class"), x_probability=F.col("probability")),
@@ -107,8 +118,8 @@ def service_objects(judged: DataFrame, stamp: Column) -> DataFrame:
         object_refs=refs,
     )
     objects = F.filter(F.array(file, seen, F.when(bad, malware)), lambda x: x.isNotNull())
-    return judged.select(
-        "*", objects.alias("objects"), group.alias("grouping"), group_id.alias("grouping_id"), bad.alias("is_malware")
+    return named.select(
+        *judged.columns, objects.alias("objects"), group.alias("grouping"), group_id.alias("grouping_id"), bad.alias("is_malware")
     )
 
 
@@ -132,7 +143,7 @@ def bundles(judged: DataFrame, stamp: Column, orders: DataFrame | None = None) -
     report = _object(
         "report",
         stix_id("report", F.col("order_id")),
-        stamp,
+        F.date_format(stamp, _STAMP),
         name=F.lit(REPORT_NAME),
         report_types=_texts(*REPORT_TYPES),
         description=F.lit(REPORT_TEXT),
