@@ -337,7 +337,8 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """(name, offset, length, sha256, record_id) of every record of WARC files of any make and size.
 
     ``path`` is a file, a folder or a pattern.  Offsets, lengths and hashes are those of the content
-    before compression, and names go without ``.gz``, so a compressed replica equals a plain one.
+    before compression, and names go without ``.gz``, so a compressed replica equals a plain one.  A file
+    without a readable header is one record; an empty file, and a folder without files, have none.
     """
     spark.dataSource.register(ArchiveSource)
     return spark.read.format("warc_records").load(path)
@@ -408,7 +409,9 @@ def audit(first: DataFrame, second: DataFrame) -> DataFrame:
     Records that only moved inside their file agree.  ``corrupt``: with other content or length, by
     ``record_id`` where both sets have it, else where the record stands after the last sound one
     or at the same offset; ``missing``: only in ``first``; ``extra``: only in ``second``.  ``offset``
-    and ``length`` are those of ``first`` where it has the record.  Two empty replicas agree.
+    and ``length`` are those of ``first`` where it has the record.  Two empty replicas agree; against an
+    empty one every record is missing or extra.  Columns other than file, offset, length, sha256 and record_id
+    are not read, so their names cannot clash.
     Records equal in offset in one file of one replica are a broken index; the greatest hash
     stands for them.
     """

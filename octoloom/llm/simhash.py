@@ -154,8 +154,9 @@ def near_duplicates(
 
     Null and wordless texts have fingerprint zero and link like any other.  Fewer than three
     words are one shingle.  Null ids keep their row and never become a component id unless all
-    ids of the component are null (then it is null).  Repeated rows keep each row.  Columns of
-    ``docs`` other than the two named are not read, so their names cannot clash.
+    ids of the component are null (then it is null).  Repeated rows keep each row.  Texts of any length
+    are hashed whole, and an empty table gives no rows.  Columns of ``docs`` other than the two named
+    are not read, so their names cannot clash.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     rows = cut(with_fingerprint(rows, "fp").select("doc_id", "fp"))
