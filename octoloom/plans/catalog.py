@@ -92,14 +92,21 @@ def channel_mix3(spark, sf_dir):
     return pixels.select(F.col("blob_id").alias("doc_id"), "x", "y", "r", "g", "b")
 
 
+def _along(spark: SparkSession, sf_dir: str, name: str, size: int) -> DataFrame:
+    """Orders laid along a curve by their keys."""
+    d = (F.col("o_orderkey") % (size * size)).cast("long").alias("d")
+    placed = _table(spark, sf_dir, "orders").select("o_orderkey", d).withColumn("p", layout.curve(name, F.col("d"), size))
+    return placed.select("o_orderkey", "d", "p.x", "p.y")
+
+
 @query
 def zigzag_layout(spark, sf_dir):
-    return layout.layout_table(spark, "zigzag", 48)
+    return _along(spark, sf_dir, "zigzag", 48)
 
 
 @query
 def hilbert_layout(spark, sf_dir):
-    return layout.layout_table(spark, "hilbert", 64)
+    return _along(spark, sf_dir, "hilbert", 64)
 
 
 @query
@@ -289,8 +296,10 @@ def render_quads(spark, sf_dir):
 
 @query
 def patch_ids(spark, sf_dir):
-    side = spark.range(100 * 70).select((F.col("id") % 100).alias("x"), F.floor(F.col("id") / 100).alias("y"))
-    return patches.whole_patches(side, F.lit(100), F.lit(70), 32, 16)
+    """Orders as pixels of an image of 100 by 70; those in whole patches of 32 by 16."""
+    x, y = (F.col("o_custkey") % 100).cast("long"), (F.col("o_orderkey") % 70).cast("long")
+    pixels = _table(spark, sf_dir, "orders").select("o_orderkey", x.alias("x"), y.alias("y"))
+    return patches.whole_patches(pixels, F.lit(100), F.lit(70), 32, 16)
 
 
 @query

@@ -96,7 +96,8 @@ SELECT doc_id, CAST(j // 4 AS INT) AS x, CAST({_zigzag_y(4)} AS BIGINT) AS y, {_
 """.replace("b AS g, 0 AS b", "grid.b AS g, 0 AS b")
 
 SQL["zigzag_layout"] = f"""
-SELECT j AS d, CAST(j // 48 AS INT) AS x, CAST({_zigzag_y(48)} AS INT) AS y FROM range(48 * 48) AS t(j)
+SELECT o_orderkey, j AS d, CAST(j // 48 AS INT) AS x, CAST({_zigzag_y(48)} AS INT) AS y
+FROM (SELECT o_orderkey, CAST(o_orderkey % 2304 AS BIGINT) AS j FROM orders)
 """
 
 SQL["hilbert_layout"] = """
@@ -108,7 +109,7 @@ WITH RECURSIVE walk(d, k, rest, x, y) AS (
          CASE WHEN up = 0 THEN (CASE WHEN across = 1 THEN s - 1 - x ELSE x END) ELSE y END + s * up
   FROM (SELECT *, (rest >> 1) & 1 AS across, xor(rest & 1, (rest >> 1) & 1) AS up, CAST(1 AS BIGINT) << k AS s
         FROM walk WHERE k < 7))
-SELECT d, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM walk WHERE k = 7
+SELECT o_orderkey, d, CAST(x AS INT) AS x, CAST(y AS INT) AS y FROM walk JOIN orders ON o_orderkey % 4096 = d WHERE k = 7
 """
 
 SQL["span_mask"] = f"""
@@ -248,8 +249,9 @@ SELECT doc_id, quad, md5(string_agg(c, '' ORDER BY y, x)) AS image_md5 FROM colo
 """
 
 SQL["patch_ids"] = """
-SELECT i % 100 AS x, i // 100 AS y, (i // 100) // 16 * 3 + (i % 100) // 32 AS patch_id
-FROM range(7000) AS t(i) WHERE i % 100 < 96 AND i // 100 < 64
+SELECT *, y // 16 * 3 + x // 32 AS patch_id
+FROM (SELECT o_orderkey, CAST(o_custkey % 100 AS BIGINT) AS x, CAST(o_orderkey % 70 AS BIGINT) AS y FROM orders)
+WHERE x < 96 AND y < 64
 """
 SQL["near_equal_splits"] = f"""
 SELECT doc_id, CAST(k AS INT) AS k, k * (n // 7) + least(k, n % 7) AS first,
