@@ -146,7 +146,11 @@ def layout_table(spark: SparkSession, name: str, size: int) -> DataFrame:
 
 def positions(name: str, size: int) -> np.ndarray:
     """The same layout as an array of (x, y) rows, for chunk kernels."""
-    d = np.arange(check_size(size) ** 2, dtype=np.int64)
+    return decoded(name, np.arange(check_size(size) ** 2, dtype=np.int64), size)
+
+
+def decoded(name: str, d: np.ndarray, size: int) -> np.ndarray:
+    """(x, y) rows of any positions on the curve."""
     if name == "zigzag":
         x, y = d // size, d % size
         return np.stack([x, np.where(x % 2 == 1, size - 1 - y, y)], 1).astype(np.int32)

@@ -11,13 +11,17 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from ..functions.bytes import byte_at
 from ..functions.numbers import ceil_div, ceil_div_by, div
-from .layout import check_size, curve, window_ranges
+from .layout import check_size, curve, decoded, window_ranges
 
 LAYOUTS = ("square", "unrolled", "unrolled_n")
 DEFAULT_QUADS = 4
+#: Pixels of a window that go to Python in a row at most.
+RUN_PIXELS = 256
+_SHOWN = pa.list_(pa.struct([("j", pa.int64()), ("byte_idx", pa.int64()), ("b", pa.int32()), ("x", pa.int32()), ("y", pa.int32())]))
 
 
 def quad_count(n_bytes: Column, size: int, layout: str, step: int | None = None) -> Column:
@@ -189,18 +193,44 @@ def window(
     met = _met(pieces, size, layout, step)
     end = F.col("first_j") + F.col("n_j")
     own = F.filter(listed, lambda r: (r["q"] == F.col("quad")) & (r["a"] < end) & (r["b"] > F.col("first_j")))
-    cut = met.withColumn("_run", F.explode(own))
-    first, last = F.greatest("_run.a", "first_j"), F.least(F.col("_run.b"), end)
-    at = [F.col("start") + div(j * F.col("width"), area) - F.col("byte_start") for j in (first, last - 1)]
-    part = F.substr("data", (at[0] + 1).cast("int"), (at[1] - at[0] + 1).cast("int"))
-    cut = cut.select("blob_id", "n_bytes", "quad", first.alias("first_j"), (last - first).alias("n_j"), "start", "width",
-                     (F.col("byte_start") + at[0]).alias("byte_start"), part.alias("data"))
-    found = _picked(cut, area)
-    each = found.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_j") - 1)).alias("_k"))
-    j = F.col("first_j") + F.col("_k")
-    index = F.col("start") + div(j * F.col("width"), area)
-    pixels = each.select("blob_id", "quad", j.alias("j"), index.alias("byte_idx"), byte_at(F.col("samples"), F.col("_k")).alias("b"))
-    return place(pixels, size, curve_name)
+
+    def parts(run: Column) -> Column:
+        """The run in stretches, each with the bytes from its first sample to its last."""
+        first, last = F.greatest(run["a"], F.col("first_j")), F.least(run["b"], end)
+
+        def part(j: Column) -> Column:
+            count = F.least(F.lit(RUN_PIXELS).cast("long"), last - j)
+            at = [F.col("start") + div(k * F.col("width"), area) - F.col("byte_start") for k in (j, j + count - 1)]
+            held = F.substr("data", (at[0] + 1).cast("int"), (at[1] - at[0] + 1).cast("int"))
+            return F.struct(j.alias("first"), count.alias("count"), held.alias("part"))
+
+        return F.transform(F.sequence(first, last - 1, F.lit(RUN_PIXELS).cast("long")), part)
+
+    cut = met.select("blob_id", "quad", "start", "width", F.inline(F.flatten(F.transform(own, parts))))
+    seen = cut.select("blob_id", "quad", F.inline(_shown(curve_name, size)("part", "first", "count", "start", "width")))
+    return seen.select("blob_id", "quad", "j", "byte_idx", "b", "x", (F.col("y") + F.col("quad") * size).cast("long").alias("y"))
+
+
+def _shown(curve_name: str, size: int):
+    """The pixels of stretches of a curve, all stretches of a batch at once."""
+    area = size * size
+
+    @F.arrow_udf(from_arrow_type(_SHOWN))
+    def shown(part: pa.Array, first: pa.Array, count: pa.Array, start: pa.Array, width: pa.Array) -> pa.Array:
+        first, count, start, width = (c.to_numpy() for c in (first, count, start, width))
+        ends = np.cumsum(count)
+        row = np.repeat(np.arange(len(count)), count)
+        j = np.arange(len(row)) - (ends - count)[row] + first[row]
+        index = start[row] + j * width[row] // area
+        begin = start + first * width // area
+        sizes = np.fromiter(map(len, held := part.to_pylist()), np.int64, len(part))
+        data = np.frombuffer(b"".join(held), np.uint8)
+        at = decoded(curve_name, j, size)
+        b = data[(np.cumsum(sizes) - sizes - begin)[row] + index].astype(np.int32)
+        pixels = pa.StructArray.from_arrays([pa.array(c) for c in (j, index, b, at[:, 0].copy(), at[:, 1].copy())], fields=list(_SHOWN.value_type))
+        return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pixels)
+
+    return shown
 
 
 def place(pixels: DataFrame, size: int, curve_name: str = "hilbert") -> DataFrame:

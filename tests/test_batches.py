@@ -7,7 +7,9 @@ from pyspark.sql import types as T
 
 import corpus_pipeline
 from octoloom.functions.batches import BATCH_BYTES, bounded
+from octoloom.operators import sampling
 from octoloom.plans import catalog
+from octoloom.sources.blobs import chunks
 
 NAME = "spark.sql.execution.arrow.maxBytesPerBatch"
 
@@ -47,3 +49,16 @@ def test_stages_of_the_pipeline_bound_their_batches(unbound, small):
 def test_catalog_queries_bound_their_batches(unbound, small):
     catalog.QUERIES["chunk_structure"](unbound, str(small))
     assert _largest(unbound) <= BATCH_BYTES + 200_000
+
+
+@pytest.mark.parametrize("layout", ["square", "unrolled", "unrolled_n"])
+def test_windows_in_short_stretches_equal_the_grid(spark, monkeypatch, layout):
+    monkeypatch.setattr(sampling, "RUN_PIXELS", 3)
+    texts = [b"", b"a", bytes(range(256)) * 3, b"xyz" * 40]
+    blobs = spark.createDataFrame(list(enumerate(texts)), "blob_id int, data binary")
+    for curve in ("hilbert", "zigzag"):
+        all_pixels = sampling.place(sampling.grid(blobs, 8, layout), 8, curve).where("b is not null")
+        expected = sorted(map(tuple, all_pixels.where("x between 2 and 7 and y between 3 and 11").collect()))
+        for given in (blobs, chunks(blobs, 50)):
+            got = sampling.window(given, 8, 2, 3, 6, 9, curve, layout)
+            assert got.columns == all_pixels.columns and sorted(map(tuple, got.collect())) == expected
