@@ -46,8 +46,9 @@ def test_stages_of_the_pipeline_bound_their_batches(unbound, small):
     assert _largest(unbound) <= BATCH_BYTES + 200_000
 
 
-def test_catalog_queries_bound_their_batches(unbound, small):
-    catalog.QUERIES["chunk_structure"](unbound, str(small))
+@pytest.mark.parametrize("name", ["chunk_structure", "entropy_colours"])
+def test_catalog_queries_bound_their_batches(unbound, small, name):
+    catalog.QUERIES[name](unbound, str(small))
     assert _largest(unbound) <= BATCH_BYTES + 200_000
 
 
