@@ -9,7 +9,8 @@ phrase that passes is counted by its own words.
 
 Texts become word numbers and rolling 64-bit hashes in numpy, a slice of bounded bytes at a time; counts of a
 slice go to Spark's aggregation, combined before the shuffle and keyed by the whole phrase, so neither a frequent
-word nor a language is a hot key.  Only what is frequent is kept after a pass.
+word nor a language is a hot key.  Only what is frequent is kept after a pass.  Most buckets are met once or twice, so
+their counts travel packed, a row for each block of 2^15 buckets and not one for each bucket.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.batches import bounded
 from .common import cut
 
 LEAST = 30
@@ -36,6 +38,8 @@ SCALE = 2_000_000
 BUCKET_BITS = 26
 #: Bytes of text whose words are numbered at once; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+#: Bytes of text that wait for their slice to fill, in all languages.
+WAIT_BYTES = 8 << 20
 
 #: Ends of pieces become 0xFF, a byte that no UTF-8 text holds; A-Z become a-z.
 _BREAK = b"\xff"
@@ -43,11 +47,16 @@ _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else 0xFF if chr(b) in ".,;:!?\n\x0b\x
 _MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 _BLOCK_BITS = 15
 #: Buckets whose counts a task holds before it hands them on, and rows that it hands on at once.
-HELD_BUCKETS = 1 << 20
-_ROWS = 1 << 16
+HELD_BUCKETS = 1 << 19
+_ROWS = 1 << 15
+#: Texts whose words are objects at once.
+_TEXTS = 64
 
-_COUNTS = "lang string, phrase string, bucket int, n long"
-_COUNTS_ARROW = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("bucket", pa.int32()), ("n", pa.int64())])
+#: A phrase, its bucket and its count; or (phrase null) the number of a block, its packed counts, and 1.
+_COUNTS = "lang string, phrase string, bucket int, packed binary, n long"
+_COUNTS_ARROW = pa.schema(
+    [("lang", pa.string()), ("phrase", pa.string()), ("bucket", pa.int32()), ("packed", pa.binary()), ("n", pa.int64())]
+)
 
 
 class Words(dict):
@@ -63,6 +72,15 @@ class Words(dict):
         return number
 
 
+def _numbered(texts: list[bytes], words: Words) -> np.ndarray:
+    """The numbers of all words, with a break after each piece; a few texts at a time are objects."""
+    out = [np.empty(0, np.int32)]
+    for first in range(0, len(texts), _TEXTS):
+        tokens = (_BREAK.join(texts[first : first + _TEXTS]).translate(_FOLD) + _BREAK).replace(_BREAK, b" \xff ").split()
+        out.append(np.fromiter(map(words.__getitem__, tokens), np.int32, len(tokens)))
+    return np.concatenate(out)
+
+
 def _buckets(hashes: np.ndarray, seed: int, bits: int) -> np.ndarray:
     return ((hashes ^ np.uint64(seed)) * _MIX[1]) >> np.uint64(64 - bits)
 
@@ -79,10 +97,8 @@ def count_slice(
     ``frequent`` has the bits of frequent phrases one word shorter, ``full`` those of full buckets of this length.
     """
     words = Words()
-    tokens = _BREAK.join(texts).translate(_FOLD).replace(_BREAK, b" \xff ").split()
-    codes = np.fromiter(map(words.__getitem__, tokens), np.int64, len(tokens))
-    n = len(codes)
-    if not n:
+    codes = _numbered(texts, words)
+    if not len(codes):
         return
     seed = xxhash.xxh64_intdigest(lang)
     hashes = np.array(words.hashes, np.uint64)[codes]
@@ -104,7 +120,7 @@ def count_slice(
     spelled = [None] * len(words)
     for word, number in words.items():
         spelled[number] = word
-    yield _exact(codes, at, size, spelled, _buckets(rolled[at], seed, bits))
+    yield from _exact(codes, at, size, spelled, _buckets(rolled[at], seed, bits))
     if size < longest:
         both = inside[:-1] & inside[1:]
         found = _buckets(_longer(rolled, hashes[size:])[both], seed, bits).astype(np.int32)
@@ -121,30 +137,38 @@ def _longer(rolled: np.ndarray, following: np.ndarray) -> np.ndarray:
 
 def _exact(
     codes: np.ndarray, at: np.ndarray, size: int, spelled: list[bytes], buckets: np.ndarray
-) -> tuple[list[str], np.ndarray, np.ndarray]:
-    key = codes[at]
+) -> Iterator[tuple[list[str], np.ndarray, np.ndarray]]:
+    key = codes[at].astype(np.int64)
     for k in range(1, size):
         if k > 1:
             key = np.unique(key, return_inverse=True)[1]
         key = key * len(spelled) + codes[at + k]
     _, first, counts = np.unique(key, return_index=True, return_counts=True)
-    columns = [codes[at[first] + k].tolist() for k in range(size)]
-    phrases = [b" ".join([spelled[c] for c in row]).decode("utf-8", "replace") for row in zip(*columns, strict=True)]
-    return phrases, buckets[first], counts
+    for begin in range(0, len(first), _ROWS):
+        part = first[begin : begin + _ROWS]
+        columns = [codes[at[part] + k].tolist() for k in range(size)]
+        phrases = [b" ".join([spelled[c] for c in row]).decode("utf-8", "replace") for row in zip(*columns, strict=True)]
+        yield phrases, buckets[part], counts[begin : begin + _ROWS]
 
 
-def _slices(batch: pa.RecordBatch) -> Iterator[tuple[str, list[bytes]]]:
-    """Texts of one language together, in slices of bounded bytes."""
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
+    """Texts of one language together, in slices of bounded bytes, whatever the batches."""
     held: dict[str, list[bytes]] = {}
     bytes_held: dict[str, int] = {}
-    for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
-        data = text.as_py() or b""
-        held.setdefault(lang, []).append(data)
-        bytes_held[lang] = bytes_held.get(lang, 0) + len(data)
-        if bytes_held[lang] >= SLICE_BYTES:
-            yield lang, held.pop(lang)
-            bytes_held[lang] = 0
-    yield from held.items()
+    for batch in batches:
+        for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text"), strict=True):
+            data = text.as_py() or b""
+            held.setdefault(lang, []).append(data)
+            bytes_held[lang] = bytes_held.get(lang, 0) + len(data) + 1
+            if bytes_held[lang] >= SLICE_BYTES:
+                del bytes_held[lang]
+                yield lang, held.pop(lang)
+            elif sum(bytes_held.values()) >= WAIT_BYTES:
+                most = max(bytes_held, key=bytes_held.__getitem__)
+                del bytes_held[most]
+                yield most, held.pop(most)
+    while held:
+        yield held.popitem()
 
 
 class BucketCounts:
@@ -172,18 +196,34 @@ class BucketCounts:
         return values, counts
 
 
-def _rows(lang: str | None, phrases: list[str] | None, buckets: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
-    for first in range(0, len(buckets), _ROWS):
-        part = slice(first, first + _ROWS)
-        n = len(buckets[part])
-        names = pa.array([lang] * n, pa.string())
-        spelled = pa.nulls(n, pa.string()) if phrases is None else pa.array(phrases[part], pa.string())
-        numbers = [pa.array(buckets[part].astype(np.int32)), pa.array(counts[part].astype(np.int64))]
-        yield pa.RecordBatch.from_arrays([names, spelled, *numbers], schema=_COUNTS_ARROW)
+def _rows(lang: str, phrases: list[str], buckets: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    n = len(phrases)
+    columns = [pa.array([lang] * n, pa.string()), pa.array(phrases, pa.string()), pa.array(buckets.astype(np.int32))]
+    columns += [pa.nulls(n, pa.binary()), pa.array(counts.astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, schema=_COUNTS_ARROW)
+
+
+def _wide(least: int) -> type:
+    return np.uint8 if least < 256 else np.int64
+
+
+def _packed_rows(buckets: np.ndarray, counts: np.ndarray, least: int) -> pa.RecordBatch:
+    """A row for each block: places in it (two bytes each), then their counts.
+
+    Counts stop at ``least``, which says as much of a sum that only has to be compared with ``least``.
+    """
+    blocks, places = buckets >> _BLOCK_BITS, (buckets & ((1 << _BLOCK_BITS) - 1)).astype(np.uint16)
+    counts = np.minimum(counts, least).astype(_wide(least))
+    found, first = np.unique(blocks, return_index=True)
+    parts = [slice(a, b) for a, b in zip(first, [*first[1:], len(blocks)], strict=True)]
+    n = len(parts)
+    packed = pa.array([places[p].tobytes() + counts[p].tobytes() for p in parts], pa.binary())
+    columns = [pa.nulls(n, pa.string()), pa.nulls(n, pa.string()), pa.array(found.astype(np.int32)), packed, pa.array(np.ones(n, np.int64))]
+    return pa.RecordBatch.from_arrays(columns, schema=_COUNTS_ARROW)
 
 
 def _pass(docs: DataFrame, size: int, longest: int, least: int, bits: int, maps: Broadcast | None) -> DataFrame:
-    """A cut of frequent phrases of ``size`` words and full buckets of the next length (phrase null).
+    """A cut of frequent phrases of ``size`` words and of the packed bucket counts of the next length (phrase null).
 
     In the first pass also all words of each language, under the empty phrase.
     """
@@ -191,32 +231,64 @@ def _pass(docs: DataFrame, size: int, longest: int, least: int, bits: int, maps:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         frequent, full = maps.value if maps else (None, None)
         held = BucketCounts()
-        for batch in batches:
-            for lang, texts in _slices(batch):
-                for phrases, buckets, counts in count_slice(texts, lang, size, longest, bits, frequent, full):
-                    if phrases[0] is None:
-                        for more in held.add(buckets, counts):
-                            yield from _rows(None, None, *more)
-                        continue
-                    yield from _rows(lang, phrases, buckets, counts)
-                    if size == 1:
-                        yield from _rows(lang, [""], np.zeros(1), np.array([counts.sum()]))
+        for lang, texts in _slices(batches):
+            total = 0
+            for phrases, buckets, counts in count_slice(texts, lang, size, longest, bits, frequent, full):
+                if phrases[0] is None:
+                    for more in held.add(buckets, counts):
+                        yield _packed_rows(*more, least)
+                    continue
+                yield _rows(lang, phrases, buckets, counts)
+                total += counts.sum()
+            if size == 1 and total:
+                yield _rows(lang, [""], np.zeros(1), np.array([total]))
         if held.parts:
-            yield from _rows(None, None, *held.merged())
+            yield _packed_rows(*held.merged(), least)
+
+    # a packed row is a group of its own; equal ones are counted
+    counted = docs.mapInArrow(count, _COUNTS).groupBy("lang", "phrase", "bucket", "packed").agg(F.sum("n").alias("n"))
+    return cut(counted.where((F.col("n") >= least) | (F.col("phrase") == "") | F.col("packed").isNotNull()))
 
-    counted = docs.mapInArrow(count, _COUNTS).groupBy("lang", "phrase", "bucket").agg(F.sum("n").alias("n"))
-    return cut(counted.where((F.col("n") >= least) | (F.col("phrase") == "")))
 
+def _full(packed: DataFrame, least: int) -> DataFrame:
+    """(block, bits): the buckets of each block whose counts sum to ``least``; a task holds one block at a time."""
+    wide, size = _wide(least), 1 << _BLOCK_BITS
+    schema = pa.schema([("block", pa.int32()), ("bits", pa.binary())])
 
-def _bitmap(buckets: DataFrame, bits: int) -> np.ndarray:
-    """The bits of ``bucket`` set; at most 2^(bits - 15) rows of 4 KB come to the driver."""
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def bits() -> pa.RecordBatch:
+            made = np.packbits(sums >= least, bitorder="little").tobytes()
+            return pa.RecordBatch.from_pydict({"block": [block], "bits": [made]}, schema=schema)
+
+        block, sums = None, np.zeros(size, np.int64)
+        for batch in batches:
+            for number, data, times in zip(*[batch.column(c).to_pylist() for c in ("bucket", "packed", "n")], strict=True):
+                if number != block and block is not None:
+                    yield bits()
+                    sums[:] = 0
+                block = number
+                n = len(data) // (2 + np.dtype(wide).itemsize)
+                places = np.frombuffer(data, np.uint16, n)
+                sums[places] = np.minimum(sums[places] + np.frombuffer(data, wide, n, 2 * n).astype(np.int64) * times, least)
+        if block is not None:
+            yield bits()
+
+    dealt = packed.select("bucket", "packed", "n").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(add, "block int, bits binary")
+
+
+def _marked(buckets: DataFrame) -> DataFrame:
+    """(block, bits) with the bits of ``bucket`` set."""
     block = F.shiftright("bucket", _BLOCK_BITS)
-    made = buckets.groupBy(block.alias("block")).agg(
-        F.bitmap_construct_agg(F.col("bucket").bitwiseAND((1 << _BLOCK_BITS) - 1).cast("long")).alias("bits")
-    )
+    place = F.col("bucket").bitwiseAND((1 << _BLOCK_BITS) - 1).cast("long")
+    return buckets.groupBy(block.alias("block")).agg(F.bitmap_construct_agg(place).alias("bits"))
+
+
+def _bitmap(blocks: DataFrame, bits: int) -> np.ndarray:
+    """One bitmap of (block, bits); at most 2^(bits - 15) rows of 4 KB come to the driver."""
     out = np.zeros(1 << (bits - 3), np.uint8)
     width = 1 << (_BLOCK_BITS - 3)
-    for row in made.toLocalIterator():
+    for row in blocks.collect():
         out[row["block"] * width : (row["block"] + 1) * width] = np.frombuffer(row["bits"], np.uint8)
     return out
 
@@ -227,6 +299,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     Under the empty phrase (words 0) stands the number of all words of each language.  Null lang is ``und``.
     """
     spark = docs.sparkSession
+    bounded(spark)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.col("text").cast("binary").alias("text"))
     maps, out = None, None
     for size in range(1, longest + 1):
@@ -239,7 +312,8 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         out = sized if out is None else out.unionByName(sized)
         if size < longest:
             phrases = exact.where("phrase != ''")
-            maps = spark.sparkContext.broadcast((_bitmap(phrases, bits), _bitmap(found.where("phrase IS NULL"), bits)))
+            full = _full(found.where("phrase IS NULL"), least)
+            maps = spark.sparkContext.broadcast((_bitmap(_marked(phrases), bits), _bitmap(full, bits)))
     return out
 
 

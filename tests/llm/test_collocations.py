@@ -5,8 +5,11 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from octoloom.functions.batches import BATCH_BYTES
 from octoloom.llm import collocations, registry
 
 SCHEMA = "doc_id long, text string, lang string, phrase string, bucket string, n string, score string"
@@ -135,3 +138,50 @@ def test_scores_past_64_bits(spark, monkeypatch):
     monkeypatch.setattr(collocations, "frequent_phrases", lambda *a: made)
     row = collocations.collocations(made).first()
     assert row["score"] == 2_000_000 * (big - 7) // (2 * big + 1) and row["n"] == 9 * 10**15
+
+
+@pytest.mark.parametrize("least", [1, 30, 300])
+def test_buckets_travel_packed(spark, least):
+    """A row for each block of buckets, not one for each bucket; sums are exact where they are compared."""
+    rng = np.random.default_rng(least)
+    sums, rows = Counter(), []
+    for _ in range(6):
+        values, counts = np.unique((rng.integers(0, 900, 4_000) ** 2 % 99_991).astype(np.int32), return_counts=True)
+        counts = counts * rng.integers(1, 90, len(counts))
+        for _ in range(2):  # equal rows count twice
+            sums.update(dict(zip(values.tolist(), counts.tolist(), strict=True)))
+            batch = collocations._packed_rows(values, counts, least)
+            assert batch.num_rows == len(np.unique(values >> 15)) <= 4
+            rows += batch.to_pylist()
+    packed = spark.createDataFrame([(r["bucket"], bytes(r["packed"])) for r in rows], "bucket int, packed binary")
+    bitmap = collocations._bitmap(collocations._full(packed.groupBy("bucket", "packed").agg(F.count("*").alias("n")), least), 17)
+    found = np.flatnonzero(np.unpackbits(bitmap, bitorder="little")).tolist()
+    assert found == sorted(b for b, n in sums.items() if n >= least)
+
+
+def test_a_pass_hands_on_few_rows_for_pairs_met_once(spark):
+    """100,000 pairs of words, each met once: before, a row each in Spark's aggregation."""
+    texts = [" ".join(f"w{(i * 7919 + k * k) % 400}" for k in range(i, i + 250)) for i in range(400)]
+    docs = spark.createDataFrame([("en", t.encode()) for t in texts], "lang string, text binary").coalesce(1)
+    found = collocations._pass(docs, 1, 4, 30, 26, None).where("phrase IS NULL")
+    assert 0 < found.count() <= 2 * 2**11
+
+
+def test_texts_wait_in_bounded_bytes_for_their_slices(monkeypatch):
+    """Small batches and many languages make neither many slices nor much to hold."""
+    monkeypatch.setattr(collocations, "SLICE_BYTES", 100)
+    monkeypatch.setattr(collocations, "WAIT_BYTES", 300)
+    rows = [(f"l{i % 7}" if i % 2 else "en", b"x" * (i % 23)) for i in range(500)] + [("en", b"y" * 1_000), ("de", None)]
+    batches = [pa.RecordBatch.from_pylist([{"lang": n, "text": t}]) for n, t in rows]
+    slices = list(collocations._slices(iter(batches)))
+    assert sorted((n, t) for n, texts in slices for t in texts) == sorted((n, t or b"") for n, t in rows)
+    assert len(slices) < 90 and max(sum(map(len, texts)) for _, texts in slices) < 1_200
+
+
+def test_batches_are_bounded(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.unset(name)
+    collocations.collocations(frame(spark, [("a b", "en")]))
+    assert int(spark.conf.get(name)) == BATCH_BYTES
+    spark.conf.set(name, before)
