@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,9 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.bytes import byte_at
-from ..functions.numbers import div
 from . import sampling
+from .layout import check_size
 
 WINDOW = 32
 SYMBOLS = 256
@@ -98,8 +98,12 @@ def window_entropy_kernel(samples: np.ndarray, before: bytes = b"", after: bytes
     return out
 
 
+#: Pixels that a task hands on at once.
+BATCH_PIXELS = 1 << 16
+
+
 def strip_entropy(found: DataFrame, size: int) -> DataFrame:
-    """Strips of a layout (see ``sampling.strips``) with ``entropies``: one for each of their samples.
+    """Pixels (blob_id, quad, j, byte_idx, b, entropy) of strips of a layout (see ``sampling.strips``).
 
     A strip gets the last 16 samples before it and the first 15 after it from its neighbours in the quad,
     however few each of them has.  The last strip of a quad also answers for its pixels past the end of the blob.
@@ -110,22 +114,53 @@ def strip_entropy(found: DataFrame, size: int) -> DataFrame:
     head = F.substr("samples", F.lit(1), F.lit(half - 1))
     haloed = found.withColumns(
         {
-            "_before": F.collect_list(tail).over(order.rowsBetween(-half, -1)),
-            "_after": F.collect_list(head).over(order.rowsBetween(1, half - 1)),
+            "before": F.collect_list(tail).over(order.rowsBetween(-half, -1)),
+            "after": F.collect_list(head).over(order.rowsBetween(1, half - 1)),
             "_last": F.lead("first_j").over(order).isNull(),
         }
     )
-    past = F.when(F.col("_last"), area - F.col("first_j") - F.col("n_j")).otherwise(0).cast("long")
-    return haloed.select(*found.columns, _strip_kernel("samples", "_before", "_after", past).alias("entropies"))
+    past = F.when(F.col("_last"), area - F.col("first_j") - F.col("n_j")).otherwise(0).cast("long").alias("past")
+    return _pixels(haloed.select("blob_id", "quad", "first_j", "n_j", "start", "width", "samples", past, "before", "after"), area)
 
 
-@F.arrow_udf(T.ArrayType(T.DoubleType()))
-def _strip_kernel(samples: pa.Array, before: pa.Array, after: pa.Array, past: pa.Array) -> pa.Array:
-    rows = []
-    for run, left, right, more in zip(samples, before, after, past, strict=True):
-        values = np.frombuffer(run.as_py() + bytes(more.as_py()), np.uint8)
-        rows.append(window_entropy_kernel(values, b"".join(left.as_py()), b"".join(right.as_py())))
-    return pa.array(rows, pa.list_(pa.float64()))
+def _pixels(strips: DataFrame, area: int) -> DataFrame:
+    """The pixels of strips with their entropies; ``samples`` are picked here where strips come with whole ``data``.
+
+    One Python function does it all, so a task has one worker, which holds a batch of strips and of pixels.
+    """
+    schema = T.StructType([strips.schema["blob_id"]]).add("quad", "long").add("j", "long").add("byte_idx", "long").add("b", "integer")
+    schema = schema.add("entropy", "double")
+    whole = "data" in strips.columns
+    names = ["first_j", "n_j", "start", "width", "past"] + ([] if whole else ["before", "after"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, n = [], 0
+            texts = batch.column("data" if whole else "samples")
+            for row, (first, count, start, width, past, *halo) in enumerate(zip(*[batch.column(c).to_pylist() for c in names], strict=True)):
+                values = np.zeros(count + past, np.uint8)
+                j = np.arange(first, first + len(values), dtype=np.int64)
+                index = start + j * width // area
+                text = np.frombuffer(texts[row].as_buffer(), np.uint8)
+                values[:count] = text[index[:count]] if whole else text
+                found = window_entropy_kernel(values, *map(b"".join, halo))
+                held.append((np.full(len(values), row), j, index, values, np.arange(len(values)) >= count, found))
+                n += len(values)
+                if n >= BATCH_PIXELS:
+                    yield from made(batch, held)
+                    held, n = [], 0
+            if held:
+                yield from made(batch, held)
+
+    def made(batch: pa.RecordBatch, held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        row, j, index, values, past, found = (np.concatenate(c) for c in zip(*held, strict=True))
+        for first in range(0, len(row), BATCH_PIXELS):
+            part = slice(first, first + BATCH_PIXELS)
+            keys = batch.select(["blob_id", "quad"]).take(pa.array(row[part]))
+            b = pa.array(values[part].astype(np.int32), mask=past[part])
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(j[part]), pa.array(index[part]), b, pa.array(found[part])], schema.names)
+
+    return strips.mapInArrow(answer, schema)
 
 
 def blob_entropy(blobs: DataFrame, size: int, layout: str = "unrolled", step: int | None = None) -> DataFrame:
@@ -136,18 +171,12 @@ def blob_entropy(blobs: DataFrame, size: int, layout: str = "unrolled", step: in
     are shuffled, never a quad's pixels.
     """
     if "byte_start" in blobs.columns:
-        found = strip_entropy(sampling.strips(blobs, size, layout, step), size)
-    else:
-        n = F.octet_length("data").cast("long")
-        whole = blobs.select("blob_id", n.alias("n_bytes"), F.lit(0).cast("long").alias("byte_start"), "data")
-        found = sampling.strips(whole, size, layout, step)
-        none = F.array().cast("array<binary>")
-        past = size * size - F.col("first_j") - F.col("n_j")
-        found = found.withColumn("entropies", _strip_kernel("samples", none, none, past))
-    each = found.select("blob_id", "quad", "first_j", "start", "width", "samples", F.posexplode("entropies").alias("_k", "entropy"))
-    j = F.col("first_j") + F.col("_k")
-    index = F.col("start") + div(j * F.col("width"), size * size)
-    return each.select("blob_id", "quad", j.alias("j"), index.alias("byte_idx"), byte_at(F.col("samples"), F.col("_k")).alias("b"), "entropy")
+        return strip_entropy(sampling.strips(blobs, size, layout, step), size)
+    area = check_size(size) ** 2
+    n = F.octet_length("data").cast("long")
+    whole = blobs.select("blob_id", n.alias("n_bytes"), F.lit(0).cast("long").alias("byte_start"), "data")
+    past = (area - F.col("first_j") - F.col("n_j")).alias("past")
+    return _pixels(sampling.planned(whole, size, layout, step).select("blob_id", "quad", "first_j", "n_j", "start", "width", "data", past), area)
 
 
 def quad_entropy(values: Column) -> Column:

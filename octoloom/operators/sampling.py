@@ -77,10 +77,10 @@ def strips(chunks: DataFrame, size: int, layout: str = "unrolled", step: int | N
     lie in one chunk, so it holds at most a chunk or a quad.  Pixels past the end of a blob have no
     strip.  A chunk reaches few quads: those whose range meets its own.
     """
-    return _picked(_met(chunks, size, layout, step), check_size(size) ** 2)
+    return _picked(planned(chunks, size, layout, step), check_size(size) ** 2)
 
 
-def _met(chunks: DataFrame, size: int, layout: str, step: int | None) -> DataFrame:
+def planned(chunks: DataFrame, size: int, layout: str, step: int | None) -> DataFrame:
     """Which pixels (first_j, n_j) of which quads each chunk gives, before any byte is looked at."""
     _check_step(step)
     area = check_size(size) ** 2
@@ -190,7 +190,7 @@ def window(
     listed = F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip("qab", run, strict=True)]) for run in runs])
     if not runs:
         listed = F.array().cast("array<struct<q:long,a:long,b:long>>")
-    met = _met(pieces, size, layout, step)
+    met = planned(pieces, size, layout, step)
     end = F.col("first_j") + F.col("n_j")
     own = F.filter(listed, lambda r: (r["q"] == F.col("quad")) & (r["a"] < end) & (r["b"] > F.col("first_j")))
 

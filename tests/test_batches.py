@@ -1,5 +1,7 @@
 """Batches that go to Python stay below their bound."""
 
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import types as T
 
 import corpus_pipeline
 from octoloom.functions.batches import BATCH_BYTES, bounded
-from octoloom.operators import sampling
+from octoloom.operators import entropy, sampling
 from octoloom.plans import catalog
 from octoloom.sources.blobs import chunks
 
@@ -52,6 +54,27 @@ def test_catalog_queries_bound_their_batches(unbound, small, name):
     assert _largest(unbound) <= BATCH_BYTES + 200_000
 
 
+def _python_steps(df):
+    return len(re.findall(r"(?m)^[ :+-]*(?:\*\(\d+\) )?(?:\w*EvalPython|\w+InArrow|\w+InPandas)\b", df._jdf.queryExecution().sparkPlan().toString()))
+
+
+def test_entropies_take_one_worker_a_task(spark, small):
+    """Samples and entropies come of one function, which no filter repeats; of chunks, each side of the shuffle has one."""
+    assert _python_steps(catalog.QUERIES["entropy_colours"](spark, str(small))) == 1
+    assert _python_steps(catalog.QUERIES["window_entropy"](spark, str(small))) == 1
+    assert _python_steps(catalog.QUERIES["chunk_entropy"](spark, str(small))) == 2
+
+
+@pytest.mark.parametrize("pixels", [1, 50, 64, 1_000])
+def test_pixels_are_handed_on_in_small_batches(spark, monkeypatch, pixels):
+    monkeypatch.setattr(entropy, "BATCH_PIXELS", pixels)
+    blobs = spark.createDataFrame([("a", b"abcabc" * 30), ("b", b"z"), ("c", b""), (None, bytes(range(256)))], "blob_id string, data binary")
+    for layout in ("square", "unrolled", "unrolled_n"):
+        found = entropy.blob_entropy(blobs, 8, layout).collect()
+        expected = sampling.grid(blobs, 8, layout).collect()
+        assert sorted(map(str, expected)) == sorted(str(r)[: str(r).index(", entropy")] + ")" for r in found)
+
+
 @pytest.mark.parametrize("layout", ["square", "unrolled", "unrolled_n"])
 def test_windows_in_short_stretches_equal_the_grid(spark, monkeypatch, layout):
     monkeypatch.setattr(sampling, "RUN_PIXELS", 3)
